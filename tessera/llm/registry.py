@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
-from tessera.llm.common import table
+from tessera.llm import bpe, langid, quality
+from tessera.llm.common import crc_of_id, table
 
 #: The vocabulary file; a parameter of the operator.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.measured(docs, ("doc_id",), forest)
+
+
+def op3_word_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fitted(docs.where(crc_of_id(F.col("doc_id"), 3) != 1))
+    found = langid.predicted(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(crc_of_id(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_byte_bpe": op7_byte_bpe}
+    found = (op2_isolation_forest, op3_word_first, op7_byte_bpe)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
