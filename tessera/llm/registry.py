@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, quality
+from tessera.llm import bpe, langid, near_dup, quality
 from tessera.llm.common import crc_of_id, table
 
 #: The vocabulary file; a parameter of the operator.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.linked(table(spark, sf_dir, "documents"))
+
+
 def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.fitted(docs, table(spark, sf_dir, "labels"))
@@ -33,7 +37,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_isolation_forest, op3_word_first, op7_byte_bpe)
+    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op7_byte_bpe)
     return {f.__name__: f for f in found}
 
 
