@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, near_dup, quality
+from tessera.llm import bpe, hilbert, langid, mixture, near_dup, quality, winnow
 from tessera.llm.common import crc_of_id, table
 
 #: The vocabulary file; a parameter of the operator.
@@ -32,12 +32,24 @@ def op3_word_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_of_id(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.sharded(table(spark, sf_dir, "documents"))
+
+
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op10_golden_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op7_byte_bpe)
+    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op5_hilbert, op6_winnowing, op7_byte_bpe, op10_golden_ratio)
     return {f.__name__: f for f in found}
 
 
