@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hilbert, langid, mixture, near_dup, quality, winnow
+from tessera.llm import bpe, hilbert, langid, mixture, near_dup, quality, warc, winnow
 from tessera.llm.common import crc_of_id, table
 
 #: The vocabulary file; a parameter of the operator.
@@ -32,6 +32,10 @@ def op3_word_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_of_id(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.sharded(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_golden_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op5_hilbert, op6_winnowing, op7_byte_bpe, op10_golden_ratio)
+    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op4_zstd_warc, op5_hilbert, op6_winnowing, op7_byte_bpe, op10_golden_ratio)
     return {f.__name__: f for f in found}
 
 
