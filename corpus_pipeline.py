@@ -1,21 +1,87 @@
-"""The corpus pipeline: a list of stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
+
+Columns of documents may have any names besides doc_id, text, lang, source and n_chars; they pass through all
+stages but the last. Null ids are never copies of others and count as documents of their own; rows that repeat an
+id and a text are one document after the near-duplicate stage. Empty inputs give empty results.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, langid, mixture, near_dup, quality
+from tessera.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: The vocabulary file of the last stage; a parameter, as the file isn't part of the library.
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+#: Documents whose language is less sure than this are rejected.
+LEAST_SCORE = 0.5
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Columns by position, so that no name can clash with a result's, and where each went."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those whose language stays unsure."""
+    model = langid.fitted(docs)
+    rows, at = numbered(docs)
+    found = langid.predicted(rows, model, keep=tuple(at.values()), text_col=at["text"])
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*at.values()).toDF(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail the base rule or that the isolation forest finds anomalous."""
+    forest = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    rows, at = numbered(docs)
+    return quality.measured(rows, tuple(at.values()), forest, at["text"]).where("kept").select(*at.values()).toDF(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each class of near copies, once."""
+    rows, at = numbered(docs)
+    doc, text = at["doc_id"], at["text"]
+    kept = near_dup.linked(rows, id_col=doc, text_col=text).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc)).distinct()
+    once = rows.join(kept, doc, "left_semi").withColumn("same", F.xxhash64(text)).dropDuplicates([doc, "same"]).drop("same")
+    return once.unionByName(rows.where(F.col(doc).isNull())).select(*at.values()).toDF(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it whole, to the nearest number of times; 0 drops it."""
+    rows, at = numbered(docs)
+    doc, text = at["doc_id"], at["text"]
+    taken = mixture.mixed(rows, id_col=doc, text_col=text, source_col=at["source"], with_source=True)
+    # Rows with the same id and text are numbered on both sides; equal ones among them can take each other's place.
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys[:2]).orderBy(keys[2]))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    plan = taken.select("doc_id", "text_hash", nth("doc_id", "text_hash", "source").alias("nth"), times.alias("times")).where("times > 0")
+    own = rows.withColumn("hash", F.xxhash64(text))
+    own = own.withColumn("place", nth(doc, "hash", at["source"]))
+    met = own.join(plan, F.col(doc).eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")) & (F.col("place") == F.col("nth")))
+    return met.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*at.values()).toDF(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return bpe.encoded(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("mixing", mixing), ("byte_bpe", byte_bpe)]
 #: The stages learn models, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,6 +26,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def with_text(docs: DataFrame, keep: Sequence[str], text_col: str) -> tuple[DataFrame, str]:
+    """The columns of ``keep`` and the text, sent to workers once, and the name that the text has there."""
+    if text_col in keep:
+        return docs.select(*keep), text_col
+    return docs.select(*keep, docs[text_col].alias("_text")), "_text"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach: spark.checkpoint.dir.
 
@@ -102,12 +109,11 @@ def running(df: DataFrame, order: Sequence[str], sums: dict[str, str], by: Seque
     # One row for each range and group: bounded by ranges plus groups.
     totals = ranged.groupBy("_range", *by).agg(*[v.alias(f"_{k}") for k, v in added.items()])
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *by, *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in added])
+    offsets = totals.select(F.col("_range").alias("_of_range"), *[F.col(c).alias(f"_of_{c}") for c in by], *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in added])
     inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = {"rank": F.count(F.lit(1)).over(inside), **{k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()}}
     here = ranged.select("*", *[v.alias(k) for k, v in near.items()])
-    same = here["_range"] == offsets["_range"]
+    same = F.col("_range") == F.col("_of_range")
     for c in by:
-        same &= here[c].eqNullSafe(offsets[c])
-    kept = [here[c] for c in df.columns]
-    return here.join(offsets, same, "left").select(*kept, *[(here[k] + F.coalesce(offsets[f"_{k}"], F.lit(0))).alias(k) for k in added])
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return here.join(offsets, same, "left").select(*df.columns, *[(F.col(k) + F.coalesce(F.col(f"_{k}"), F.lit(0))).alias(k) for k in added])

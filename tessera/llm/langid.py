@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, with_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -164,10 +164,12 @@ def predicted(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the tables' sizes
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double"
 
+    rows, name = with_text(docs, keep, text_col)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(text) for text in batch.column("_text").to_pylist()]
+            found = [scorer.score(text) for text in batch.column(name).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)

@@ -70,16 +70,19 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return ranked.select("slot", "sid", at.alias("block"), limit.alias("limit"))
 
 
-def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row; ``taken`` counts repeats."""
-    rows = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size")))
+def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_source: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row; ``taken`` counts repeats. With with_source also the
+    source and a hash of the text, which tell apart rows that share an id."""
+    rows = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")))
     sources = settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     slots = schedule(sources, block)
-    known = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("sid", "doc_id", "size", "source_size", "target", F.xxhash64("doc_id", F.lit(SEED)).alias("_order"))
-    stream = running(known, ["_order", "doc_id", "size"], {"start": "size"}, by=["sid"])
+    of_source = sources.withColumnRenamed("source", "_source")
+    known = rows.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).select("sid", "doc_id", "source", "size", "text_hash", "source_size", "target", F.xxhash64("doc_id", F.lit(SEED)).alias("_order"))
+    stream = running(known, ["_order", "doc_id", "size", "text_hash"], {"start": "size"}, by=["sid"])
     pieces = stream.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))))
     met = pieces.join(slots.select("sid", "block", "limit"), ["sid", "block"], "left")
     begin, end = F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), F.least(F.col("start") + F.col("size") - F.col("block") * block, F.col("limit"))
     part = F.coalesce(F.greatest(end - begin, F.lit(0)), F.lit(0))
     # A row is known by its source and rank: ids may repeat.
-    return met.groupBy("sid", "rank", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("limit").isNull(), F.lit(0)).otherwise(part)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    found = met.groupBy("sid", "rank", "doc_id", "source", "text_hash", "size", "source_size", "target").agg(F.sum(F.when(F.col("limit").isNull(), F.lit(0)).otherwise(part)).cast("long").alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", *(["source", "text_hash"] if with_source else []))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, with_text
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -155,12 +155,14 @@ def measured(docs: DataFrame, keep: tuple[str, ...], forest: Forest | None, text
     extra = "base_failed boolean, features array<double>" if forest is None else "base_failed boolean, anomaly double, kept boolean"
     names = [*keep, *COUNTS, *(["base_failed", "features"] if forest is None else ["base_failed", "anomaly", "kept"])]
 
+    rows, name = with_text(docs, keep, text_col)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts = np.array([counts_of(t) for t in batch.column("_text").to_pylist()], np.int64)
+            counts = np.array([counts_of(t) for t in batch.column(name).to_pylist()], np.int64)
             x = features_of(counts)
             arrays = [*[batch.column(c) for c in keep], *[pa.array(counts[:, i]) for i in range(len(COUNTS))]]
             if own is None:
@@ -171,7 +173,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...], forest: Forest | None, text
                 arrays += [pa.array(failed), pa.array(score), pa.array(~failed & (score < own.threshold))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(work, f"{named}, {extra}")
+    return rows.mapInArrow(work, f"{named}, {extra}")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> Forest:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hilbert, kneser_ney, langid, mixture, near_dup, quality, warc, winnow
+from tessera.llm import bpe, hilbert, html_cut, kneser_ney, langid, mixture, near_dup, quality, warc, winnow
 from tessera.llm.common import crc_of_id, table
 
 #: The vocabulary file; a parameter of the operator.
@@ -48,6 +48,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op8_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_cut.extracted(pages, html_cut.fitted(pages))
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser_ney.fitted(docs.where(crc_of_id(F.col("doc_id"), 5) != 1))
@@ -60,7 +65,7 @@ def op10_golden_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op4_zstd_warc, op5_hilbert, op6_winnowing, op7_byte_bpe, op9_kneser_ney, op10_golden_ratio)
+    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op4_zstd_warc, op5_hilbert, op6_winnowing, op7_byte_bpe, op8_min_cut, op9_kneser_ney, op10_golden_ratio)
     return {f.__name__: f for f in found}
 
 
