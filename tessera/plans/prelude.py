@@ -41,7 +41,18 @@ jobs AS (
   SELECT event_id AS id, user_id, ts AS created_at, event_type,
          CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS status,
          CAST(event_id % 4 AS INTEGER) AS attempts, CAST(event_id % 3 AS INTEGER) AS priority, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
-  FROM events)
+  FROM events),
+term_queries AS (
+  SELECT item_id AS query_id, list(w ORDER BY p) AS terms FROM (
+    SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9äöüßéèêçàáíóúñ]+'), lambda w: length(w) >= 4)[1:3]) AS w, generate_subscripts(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9äöüßéèêçàáíóúñ]+'), lambda w: length(w) >= 4)[1:3], 1) AS p FROM benchmark WHERE item_id < 6) GROUP BY item_id, w)
+  GROUP BY item_id),
+rankings AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, list_idx ORDER BY draw, doc_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY draw, doc_id) AS idx FROM (
+    SELECT doc_id, doc_id // 100 AS query_id, CAST(doc_id % 4 AS INTEGER) AS list_idx, (doc_id * 37) % 1009 AS draw,
+      'note:' || (['chunk', 'source', 'entry', 'page'])[(doc_id * 3) % 4 + 1] || ':' || CAST((doc_id * 31) % 13 AS VARCHAR) AS key,
+      'o' || CAST((doc_id * 31) % 23 AS VARCHAR) AS origin, CAST((doc_id * 53) % 1000 AS DOUBLE) / 1000 AS score,
+      (['lexical', 'knowledge', 'entry', 'attachment', 'other'])[(doc_id * 7) % 5 + 1] AS channel,
+      CASE WHEN (doc_id * 11) % 3 = 0 THEN 'attachment_chunk' ELSE 'mirror' END AS source_type FROM documents))
 """
 
 

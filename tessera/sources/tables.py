@@ -101,3 +101,25 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(value as double) as value",
         "cast(get_json_object(props, '$.k') as bigint) as k",
     )
+
+
+def term_queries(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
+    """The stated query set for lexical search: the first words of the first benchmark passages."""
+    words = "filter(split(lower(text), '[^a-z0-9äöüßéèêçàáíóúñ]+'), w -> length(w) >= 4)"
+    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).selectExpr("item_id as query_id", f"array_distinct(slice({words}, 1, 3)) as terms")
+
+
+def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked hits of many queries: a block of a hundred documents is a query, dealt out to four lists."""
+    hits = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id",
+        "doc_id div 100 as query_id",
+        "cast(doc_id % 4 as int) as list_idx",
+        "(doc_id * 37) % 1009 as draw",
+        "concat('note:', element_at(array('chunk', 'source', 'entry', 'page'), cast((doc_id * 3) % 4 + 1 as int)), ':', cast((doc_id * 31) % 13 as string)) as key",
+        "concat('o', cast((doc_id * 31) % 23 as string)) as origin",
+        "(doc_id * 53) % 1000 / 1000.0D as score",
+        "element_at(array('lexical', 'knowledge', 'entry', 'attachment', 'other'), cast((doc_id * 7) % 5 + 1 as int)) as channel",
+        "case when (doc_id * 11) % 3 = 0 then 'attachment_chunk' else 'mirror' end as source_type",
+    )
+    return hits.withColumn("rank", F.expr("cast(row_number() over (partition by query_id, list_idx order by draw, doc_id) as bigint)")).withColumn("idx", F.expr("cast(row_number() over (partition by query_id order by draw, doc_id) as bigint)"))
