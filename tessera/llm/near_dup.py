@@ -7,8 +7,9 @@ and a bound on sizes are confirmed, on full sets of 64-bit shingle hashes.
 
 A bucket never emits all its pairs. First each member meets the bucket's hub, the member that shares most
 buckets. Then only buckets whose members still lie in several components compare members across components, in
-blocks of bounded size, and emit what passes the sketch. Every link of a bucket is thus confirmed or implied by
-confirmed ones. A pair at the threshold of 0.8 misses all buckets with probability (1 - 0.8^4)^32 < 1e-7.
+blocks of bounded size that hold the full sets: sketches first, then, for what passes and isn't connected yet,
+the sets themselves. A block emits no more links than join its components. Every link of a bucket is thus
+confirmed or implied by confirmed ones. A pair at the threshold of 0.8 misses all buckets with probability (1 - 0.8^4)^32 < 1e-7.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows with a null id take no part: they get no
 component and are kept. Repeated rows are copies of one another with the same id, so all of them are kept or
@@ -37,8 +38,10 @@ SKETCH_BITS = 512
 PERCENT = 80
 #: Pairs are confirmed if the sketch puts them at PERCENT less this margin, five standard deviations of the estimate.
 MARGIN = 20
-#: Members of a bucket that meet in one block.
-BLOCK = 1024
+#: Bits of the parity bitmap of a whole set, whose XOR counts the shingles in which two sets differ.
+WHOLE_BITS = 2048
+#: Shingles of a bucket's members that one side of a block holds.
+BLOCK_SHINGLES = 1_000_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
@@ -99,6 +102,20 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bands, np.packbits(odd).view(U)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The odd sketch of the whole set: each shingle flips a bit."""
+    odd = np.bincount((shingles % U(WHOLE_BITS)).astype(np.int64), minlength=WHOLE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U)
+
+
+def most_whole_flips(sizes: np.ndarray) -> np.ndarray:
+    """Most XOR bits of two whole-set bitmaps whose sets are similar enough, by the sum of their sizes. Differing
+    shingles flip a bit each, so their number is a bound; six deviations above the expected bits is the other."""
+    differing = np.floor(sizes * (100 - PERCENT) / (100 + PERCENT))
+    kept = (1 - 2 / WHOLE_BITS) ** differing
+    return np.minimum(differing, np.ceil(WHOLE_BITS / 2 * (1 - kept) + 3 * np.sqrt(WHOLE_BITS * (1 - kept * kept)) + 1))
+
+
 def most_flips(percent: int = PERCENT - MARGIN) -> int:
     """XOR population count that a pair of this similarity is expected to have: a pair with more is no candidate."""
     differing = BANDS * ROWS * (1 - percent / 100)
@@ -116,14 +133,14 @@ def class_of(shingles: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls, bands, sketch) of each row; the last three are null without shingles."""
+    """(doc_id, n_shingles, cls, bands, sketch, whole) of each row; all from cls on are null without shingles."""
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "n_shingles", "cls", "bands", "sketch"]
+    names = ["doc_id", "n_shingles", "cls", "bands", "sketch", "whole"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, classes, bands, sketches = [], [], [], []
+            sizes, classes, bands, sketches, wholes = [], [], [], [], []
             for text in batch.column("_text").to_pylist():
                 found = shingles_of(text, hashes, shingle)
                 sizes.append(len(found))
@@ -131,10 +148,11 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text
                 own = signature(found) if len(found) else (None, None)
                 bands.append(None if own[0] is None else own[0].view(np.int64))
                 sketches.append(None if own[1] is None else own[1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=names)
+                wholes.append(parity(found).view(np.int64) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64()))], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(work, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(work, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>, sketch array<long>, whole array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -149,24 +167,40 @@ def full_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(work, "cls binary, shingles array<long>")
 
 
+def shared_size(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def across(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block that lie in different components and pass the bound on sizes and the sketch."""
-    own, comp, size = group["side"].to_numpy(), group["comp"].to_numpy(), group["n_shingles"].to_numpy()
-    names = group["cls"].to_numpy()
-    code = pd.factorize(comp)[0]
-    bits = np.stack(group["sketch"].to_numpy()).view(U)
-    most, mirrored = most_flips(), own.max() != own.min()
+    """Links between the components of a block, no more than join them. Pairs meet the bound on sizes and both
+    sketches before their sets do, and only while their components aren't joined."""
+    side, size, names, sets = (group[c].to_numpy() for c in ("side", "n_shingles", "cls", "shingles"))
+    code = pd.factorize(group["comp"])[0]
+    root = np.arange(code.max() + 1)  # of each component; all are kept flat
+    sketch = np.stack(group["sketch"].to_numpy()).view(U)
+    whole = np.stack(group["whole"].to_numpy()).view(U)
+    most, mirrored = most_flips(), side.max() != side.min()
     a, b = [], []
     for i in range(len(group)):
         rest = slice(i + 1, None)
-        ok = (code[rest] != code[i]) & (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))
+        ok = (root[code[rest]] != root[code[i]]) & (100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i]))
         if mirrored:  # two blocks meet: pairs inside one block are the task of its own
-            ok &= own[rest] != own[i]
+            ok &= side[rest] != side[i]
         at = np.flatnonzero(ok) + i + 1
         if len(at):
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= most]
-            a += [names[i]] * len(at)
-            b += list(names[at])
+            at = at[np.bitwise_count(sketch[at] ^ sketch[i]).sum(axis=1) <= most]
+        if len(at):
+            at = at[np.bitwise_count(whole[at] ^ whole[i]).sum(axis=1) <= most_whole_flips(size[at] + size[i])]
+        for j in at:
+            one, other = root[code[i]], root[code[j]]
+            if one == other:
+                continue
+            both = shared_size(sets[i], sets[j])
+            if 100 * both >= PERCENT * (size[i] + size[j] - both):
+                root[root == other] = one
+                a.append(names[i])
+                b.append(names[j])
     return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
 
 
@@ -181,7 +215,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     signs = stored(signed(docs, shingle, id_col, text_col), "signs")
-    classes = signs.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = signs.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
     classes = stored(classes, "classes")
     slots = classes.select("cls", F.explode("bands").alias("band"))
     full = slots.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -202,14 +236,14 @@ def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", t
     stars = stored(confirmed(close, sets), "stars")
     first = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
 
-    placed = members.where("members > 2").join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = members.where("members > 2").join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(classes.select("cls", "n_shingles"), "cls")
+    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n_shingles").alias("n")).where("low != high").select("band", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     rest = placed.join(split, "band").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(brief, "cls")
-    rest = rest.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cls", "comp", "n_shingles", "sketch")
-    crossing = rest.groupBy("band", "low", "high").applyInPandas(across, "a binary, b binary")
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(close, ["a", "b"], "left_anti")
-    links = stars.union(confirmed(stored(crossing, "crossing"), sets))
+    full = rest.join(classes.select("cls", "sketch", "whole"), "cls").join(sets, "cls")
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cls", "comp", "n_shingles", "sketch", "whole", "shingles")
+    crossing = full.groupBy("band", "low", "high").applyInPandas(across, "a binary, b binary")
+    links = stars.union(stored(crossing, "crossing"))
 
     labels = components(links).select(F.col("node").alias("cls"), "label")
     homes = classes.select("cls", "first_doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
