@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CJK = r"一-鿿"
 #: Full-width forms and their half-width ones: a rule, not a list.
 WIDE, NARROW = "　" + "".join(map(chr, range(0xFF01, 0xFF5F))), " " + "".join(map(chr, range(0x21, 0x7F)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC, which Spark has no function for."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
