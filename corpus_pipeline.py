@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: The vocabulary file of the last stage; a parameter, as the file isn't part of the library.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Documents whose language is less sure than this are rejected.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
