@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import library, records, search, tasks  # noqa: F401
+from tessera.plans import answers, library, records, search, tasks  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
