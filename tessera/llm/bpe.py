@@ -33,6 +33,20 @@ FIRST = 0x4E00
 #: Bytes to their code points; a bytes string decoded as Latin-1 and translated is its mapped form.
 MAPPED = {b: FIRST + b for b in range(256)}
 
+# Letters and digits younger than Unicode 16, which the rank file's library doesn't know as such.
+YOUNG = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF "
+    "10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F "
+    "12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 "
+    "18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E "
+    "2CEA2-2CEAD 323B0-33479 3D000-3FC3F "
+)
+
+
+#: A code point that is no letter, digit or space in any version of Unicode.
+NEITHER = "\uFDD0"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -70,6 +84,8 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=serialised(self.ranks))
         self.pattern = regex.compile(pattern)
+        ends = [[int(x, 16) for x in part.split("-")] for part in YOUNG.split()]
+        self.young = regex.compile("[" + "".join(f"{chr(e[0])}-{chr(e[-1])}" for e in ends) + "]")
         self.known: dict[str, list[int]] = {}
 
     def learn(self, parts: set[str]) -> dict[str, list[int]]:
@@ -85,8 +101,13 @@ class Codec:
             found[part] = ids
         return found
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or not self.young.search(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self.young.sub(NEITHER, text))]
+
     def encode(self, text: str) -> list[int]:
-        parts = self.pattern.findall(text)
+        parts = self.split(text)
         known = self.known
         if fresh := {p for p in parts if p not in known}:
             found = self.learn(fresh)

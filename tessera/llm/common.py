@@ -67,11 +67,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared storage, by Hadoop's file system, so that any scheme works."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and that nothing reads any more, whatever the storage is."""
+    for df in tables:
+        jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

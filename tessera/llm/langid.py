@@ -32,8 +32,8 @@ ORDERS = (5, 4, 3, 2, 1)
 WORD_ENTRIES, GRAM_ENTRIES = 200_000, 60_000
 #: Distinct entries that a task holds before it sends them on.
 HELD = 300_000
-#: Words outside the table whose scores a worker remembers.
-REMEMBERED = 200_000
+#: Words outside the table whose scores a worker remembers, and the most scores of theirs over all languages.
+REMEMBERED, REMEMBERED_SCORES = 200_000, 4_000_000
 
 
 @dataclass
@@ -126,8 +126,8 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         index, matrix = model.tables[0]
-        self.base = len(index)
-        self.rows = np.vstack([matrix, np.zeros((REMEMBERED, len(model.langs)), np.float32)])
+        self.base, self.room = len(index), max(1000, min(REMEMBERED, REMEMBERED_SCORES // max(1, len(model.langs))))
+        self.rows = np.vstack([matrix, np.zeros((self.room, len(model.langs)), np.float32)])
         self.index, self.unseen = dict(index), {}
 
     def backoff(self, word: str) -> np.ndarray:
@@ -148,9 +148,9 @@ class Scorer:
             return UNDETERMINED, 0.0
         total = np.zeros(len(self.model.langs))
         known, unseen = self.index, self.unseen
-        for start in range(0, len(words), REMEMBERED // 2):
-            part = words[start : start + REMEMBERED // 2]
-            if len(unseen) > REMEMBERED // 2:
+        for start in range(0, len(words), self.room // 2):
+            part = words[start : start + self.room // 2]
+            if len(unseen) > self.room // 2:
                 unseen.clear()
             at = [i if (i := known.get(w)) is not None else (j if (j := unseen.get(w)) is not None else self.row(w)) for w in part]
             total += self.rows[at].sum(axis=0, dtype=np.float64)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, stored
+from tessera.llm.common import bounded_batches, removed, stored
 from tessera.llm.components import components
 
 SHINGLE = 4
@@ -243,9 +243,9 @@ def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", t
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cls", "comp", "n_shingles", "sketch", "whole", "shingles")
     crossing = full.groupBy("band", "low", "high").applyInPandas(across, "a binary, b binary")
-    links = stars.union(stored(crossing, "crossing"))
-
-    labels = components(links).select(F.col("node").alias("cls"), "label")
+    crossing = stored(crossing, "crossing")
+    labels = components(stars.union(crossing)).select(F.col("node").alias("cls"), "label")
+    removed(members, close, sets, stars, crossing)  # the labels are checkpointed
     homes = classes.select("cls", "first_doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = homes.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     homes = homes.join(lowest, "label").select("cls", "component_id")

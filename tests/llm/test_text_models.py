@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -40,6 +41,15 @@ def test_bpe_is_the_rank_files_library(spark, documents):
     assert bpe.encoded(documents.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_splits_any_code_points_as_the_library():
+    own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(4)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "the ", " ", "1", "ß", "\n", "'s", chr(rng.randrange(0x20, 0xD7FF)), chr(rng.randrange(0xE000, 0x110000)), "\u0558", "\U00011de3"]) for _ in range(12))
+        assert own.encode(text) == library.encode_ordinary(text)
+
+
 def test_codec_remembers_no_more_than_its_bound(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
