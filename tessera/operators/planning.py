@@ -23,7 +23,7 @@ def today(todos: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     Items that are active or completed today count; of them only root tasks enter the completion.
     """
     on = items.where((F.col("plan_date") == day(as_of)) & F.col("status").isin("active", "completed")).select(F.col("todo_id").alias("id"), "status")
-    rows = listed(todos.join(on, "id")).join(roots(todos).select("id", "depth"), "id")
+    rows = listed(todos.join(on, "id")).join(roots(todos, on).select("id", "depth"), "id")
     done = F.col("is_done") | (F.col("status") == "completed")
     mine = Window.partitionBy("user_id")
     is_root = F.col("parent_id").isNull()

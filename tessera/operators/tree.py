@@ -11,19 +11,20 @@ MAX_DEPTH = 3
 LAST_ORDER = 2_147_483_648
 
 
-def closure(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(nodes: DataFrame, max_depth: int = MAX_DEPTH, of: DataFrame | None = None) -> DataFrame:
     """(id, ancestor, distance) with each node as its own ancestor at distance 0.
 
-    A missing parent ends a chain. Each level is one equi-join on the parent.
+    A missing parent ends a chain. Each level is one equi-join on the parent; ``of`` restricts the nodes that
+    chains start from, so that a few nodes don't cost the closure of all.
     """
     edges = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
-    level = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    start = nodes if of is None else nodes.join(of.select("id"), "id", "left_semi")
+    level = start.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"), F.col("parent_id").alias("next"))
     found = level
     for depth in range(1, max_depth + 1):
-        up = level.join(edges, level["ancestor"] == edges["_id"]).where("_up is not null").select("id", F.col("_up").alias("ancestor"))
-        level = up.join(edges.select(F.col("_id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", F.lit(depth).alias("distance"))
+        level = level.where("next is not null").join(edges, F.col("next") == F.col("_id")).select("id", F.col("_id").alias("ancestor"), F.lit(depth).alias("distance"), F.col("_up").alias("next"))
         found = found.union(level)
-    return found
+    return found.drop("next")
 
 
 def corrupt(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -37,9 +38,9 @@ def corrupt(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return missing.union(cycles).union(long)
 
 
-def roots(nodes: DataFrame) -> DataFrame:
-    """(id, root, depth) of each node."""
-    return closure(nodes).groupBy("id").agg(F.max_by("ancestor", "distance").alias("root"), F.max("distance").cast("long").alias("depth"))
+def roots(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(id, root, depth) of each node, or of the nodes asked for."""
+    return closure(nodes, of=of).groupBy("id").agg(F.max_by("ancestor", "distance").alias("root"), F.max("distance").cast("long").alias("depth"))
 
 
 def metadata(nodes: DataFrame) -> DataFrame:
