@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, removed, stored
 from tessera.llm.components import components
 
-SHINGLE = 4
+#: Words of a shingle where the caller names no other number.
+SHINGLE = 5
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: A link needs 100 * intersection >= PERCENT * union.

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, hilbert, html_cut, kneser_ney, langid, mixture, near_dup, oracles, quality, warc, winnow
 from tessera.llm.common import crc_of_id, table
 
+#: Words of a shingle that the near-duplicate query asks for.
+OP1_SHINGLE = 4
 #: The vocabulary file; a parameter of the operator.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.linked(table(spark, sf_dir, "documents"))
+    return near_dup.linked(table(spark, sf_dir, "documents"), shingle=OP1_SHINGLE)
 
 
 def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

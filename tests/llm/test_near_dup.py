@@ -30,7 +30,7 @@ def brute(docs):
 
 
 def same(spark, docs, schema="doc_id long, text string"):
-    rows = near_dup.linked(spark.createDataFrame(docs, schema)).collect()
+    rows = near_dup.linked(spark.createDataFrame(docs, schema), shingle=4).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == brute(docs)
 
 
@@ -63,6 +63,16 @@ def test_repeated_rows_null_ids_and_other_columns(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_five_words_unless_another_number_is_asked_for(spark):
+    words = [f"w{i}" for i in range(40)]
+    edited = [*words[:20], "other", *words[21:]]  # 33 of 41 shingles of four words are shared, 31 of 41 of five
+    rows = [(1, " ".join(words)), (2, " ".join(edited))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    of = lambda **how: {r["doc_id"]: (r["n_shingles"], r["kept"]) for r in near_dup.linked(docs, **how).collect()}
+    assert of(shingle=4) == {1: (37, True), 2: (37, False)}
+    assert of() == {1: (36, True), 2: (36, True)}
+
+
 def test_empty_table(spark):
     assert near_dup.linked(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
