@@ -15,6 +15,7 @@ again. Without training rows all probabilities are 1. Surplus columns are ignore
 
 from __future__ import annotations
 
+import math
 import os
 import posixpath
 import tempfile
@@ -39,8 +40,11 @@ CHUNK = 4_000_000
 #: Tokens that a worker scores at a time.
 SCORED = 1_000_000
 REMEMBERED = 400_000
-#: Shards over which the bigrams of one predicted word are spread, so that a hot word makes no hot shard.
-SPREAD = 8
+#: The bigrams of one predicted word are spread over at least so many shards, and over one shard in so many: a word
+#: that makes a third of all bigrams thus adds at most about three times its fair share to a shard.
+SPREAD, SPREAD_ONE_IN = 8, 8
+#: Bytes of training text for each shard, so that a shard fits in a task at any size of the corpus.
+SHARD_BYTES = 64 << 20
 #: Counts below this take one byte in a file; larger ones lie in a list of exceptions.
 ESCAPE = 255
 STEP, SALT = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
@@ -58,7 +62,8 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def pair_shard(before: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
-    spread = mixed(before ^ STEP) % U(SPREAD) * U(max(1, shards // SPREAD))
+    places = max(SPREAD, shards // SPREAD_ONE_IN)
+    spread = mixed(before ^ STEP) % U(places) * U(max(1, shards // places))
     return ((mixed(word) % U(shards) + spread) % U(shards)).astype(np.int64)
 
 
@@ -241,7 +246,9 @@ def fitted(train: DataFrame, *, text_col: str = "text", shards: int | None = Non
     """Counts all rows of ``train``. The driver gets a row of numbers for each shard."""
     spark = train.sparkSession
     bounded_batches(spark)
-    shards = shards or max(8, shuffle_partitions(spark))
+    if not shards:
+        size = train.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        shards = max(8, shuffle_partitions(spark), math.ceil(size / SHARD_BYTES))
     base = fresh_path(spark, "kneser-ney")
     chunks = counted(train.select(F.col(text_col).alias("_text")), shards)
     pairs = chunks.groupBy("shard").applyInArrow(merged_pairs(base, shards), SENT_SQL)
