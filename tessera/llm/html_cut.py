@@ -45,7 +45,8 @@ FEATURES = ("bias", "in_content", "in_boiler", "boiler_name", "content_name", "l
 #: Weights that the fit starts from and is drawn to, as log odds of being content.
 PRIOR = (-0.8, 5.0, -7.0, -8.0, 1.0, -3.0, 0.5, 1.0, -0.4, 0.4, 0.3, -1.0, -4.0)
 PULL = 4.0
-FIT_PAGES = 400
+#: The fit's sample: pages, kinds of blocks (equal feature rows are one kind), and the most that one kind counts.
+FIT_PAGES, FIT_KINDS, KIND_WEIGHT = 400, 50_000, 20
 #: Smoothness: of neighbours in page order, by the share of their path that they have in common, and of siblings.
 NEAR, SIBLING = 0.35, 0.25
 MOST_ODDS = 12.0
@@ -297,8 +298,8 @@ def fitted(pages: DataFrame, html_col: str = "html") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([[float(v) for v in f] for f, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.int32())], names=["x", "y"])
 
     # Equal feature rows are counted together, in order, so that a long page weighs no more memory than its kinds of blocks.
-    rows = sample.mapInArrow(work, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").limit(50_000).toArrow().to_pylist()
-    return refined([r["x"] for r in rows for _ in range(min(r["count"], 20))], [r["y"] for r in rows for _ in range(min(r["count"], 20))])
+    rows = sample.mapInArrow(work, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").limit(FIT_KINDS).toArrow().to_pylist()
+    return refined([r["x"] for r in rows for _ in range(min(r["count"], KIND_WEIGHT))], [r["y"] for r in rows for _ in range(min(r["count"], KIND_WEIGHT))])
 
 
 def extracted(pages: DataFrame, weights: np.ndarray, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
