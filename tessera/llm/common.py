@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Bytes of one Arrow batch sent to a Python worker, so that long texts cannot make a batch large.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

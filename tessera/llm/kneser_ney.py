@@ -39,7 +39,7 @@ U = np.uint64
 CHUNK = 4_000_000
 #: Tokens that a worker scores at a time.
 SCORED = 1_000_000
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: The bigrams of one predicted word are spread over at least so many shards, and over one shard in so many: a word
 #: that makes a third of all bigrams thus adds at most about three times its fair share to a shard.
 SPREAD, SPREAD_ONE_IN = 8, 8

@@ -31,9 +31,9 @@ ORDERS = (5, 4, 3, 2, 1)
 #: Sizes of the model, over all languages: entries of the word table and of each n-gram table.
 WORD_ENTRIES, GRAM_ENTRIES = 200_000, 60_000
 #: Distinct entries that a task holds before it sends them on.
-HELD = 300_000
+HELD = 100_000
 #: Words outside the table whose scores a worker remembers, and the most scores of theirs over all languages.
-REMEMBERED, REMEMBERED_SCORES = 200_000, 4_000_000
+REMEMBERED, REMEMBERED_SCORES = 100_000, 4_000_000
 
 
 @dataclass
@@ -55,9 +55,10 @@ def counted(docs: DataFrame, of: str) -> DataFrame:
     schema = "lang string, kind int, entry string, n long"
 
     def sent(held: dict[tuple[str, int], Counter]) -> pa.RecordBatch:
-        rows = [(lang, kind, entry, n) for (lang, kind), found in held.items() for entry, n in found.items()]
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=names)
+        langs = pa.array([lang for (lang, _), found in held.items() for _ in found], pa.string())
+        kinds = pa.array([kind for (_, kind), found in held.items() for _ in found], pa.int32())
+        entries = pa.array([entry for found in held.values() for entry in found], pa.string())
+        return pa.RecordBatch.from_arrays([langs, kinds, entries, pa.array([n for found in held.values() for n in found.values()], pa.int64())], names=names)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], Counter] = {}

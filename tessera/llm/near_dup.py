@@ -44,7 +44,7 @@ WHOLE_BITS = 2048
 #: Shingles of a bucket's members that one side of a block holds.
 BLOCK_SHINGLES = 1_000_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 U = np.uint64
 _rng = np.random.default_rng(7)
