@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -92,3 +93,32 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_components_of_chains_with_names_in_no_order(spark):
+    """Lower labels must not have to walk along a chain: union-find is the judge."""
+    rng = random.Random(11)
+    numbers = rng.sample(range(10**9), 3000)
+    digests = [hashlib.md5(str(i).encode()).digest() for i in range(3000)]
+    for names, kind in ((numbers, "long"), (digests, "binary")):
+        # One chain of two thousand nodes, one of a thousand, and a tree over some of the second.
+        pairs = [*zip(names[:2000], names[1:2000]), *zip(names[2000:], names[2001:]), *((names[2000 + i], names[2000 + i // 3]) for i in range(1, 900, 7))]
+        parent = {n: n for n in names}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in pairs:
+            low, high = sorted((find(x), find(y)))
+            parent[high] = low
+        rng.shuffle(pairs)
+        got = {r["node"]: r["label"] for r in components(spark.createDataFrame(pairs, f"a {kind}, b {kind}")).collect()}
+        assert {bytes(n) if kind == "binary" else n: bytes(v) if kind == "binary" else v for n, v in got.items()} == {n: find(n) for n in names}
+
+
+def test_components_of_no_edges_and_null_ends(spark):
+    edges = spark.createDataFrame([(1, None), (None, 2), (3, 3)], "a long, b long")
+    assert components(edges).collect() == []
+    assert components(edges.union(spark.createDataFrame([(9, 4), (4, 9), (7, 9)], edges.schema))).orderBy("node").collect() == [(4, 4), (7, 4), (9, 4)]
