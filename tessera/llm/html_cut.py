@@ -31,7 +31,7 @@ from tessera.llm.common import bounded_batches
 # Names that HTML gives a meaning.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style noscript template textarea iframe svg math head title object canvas video audio select".split())
+RAW = frozenset("script style noscript template textarea iframe svg math title object canvas video audio select".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -39,6 +39,8 @@ BOILER_WORDS = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|banner|pr
 CONTENT_WORDS = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|main|story|body|text|prose)(?:$|[-_\s\d])")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
+#: Elements of RAW that hold characters and no tags: the first end tag of their own ends them, whatever stands before it.
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in "script style noscript textarea iframe title".split()}
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 FEATURES = ("bias", "in_content", "in_boiler", "boiler_name", "content_name", "link_share", "heading", "paragraph", "item", "log_words", "sentence", "copyright", "header")
@@ -96,7 +98,8 @@ def blocks_of(page: str) -> list[Block]:
             links += len(text)
 
     at = 0
-    for m in TOKEN.finditer(page):
+    endless: set[str] = set()  # elements of ENDS that no end tag follows any more
+    while m := TOKEN.search(page, at):
         if m.start() > at and skip is None:
             say(page[at : m.start()])
         at = m.end()
@@ -104,6 +107,12 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         tag, closing = name.lower(), bool(m[1])
+        # In a skipped element only code is sure to end at its own tag: an unclosed title of a drawing ends with the drawing.
+        if tag in ENDS and (skip is None or tag in ("script", "style")) and not closing and not m[3].endswith("/") and tag not in endless:
+            if end := ENDS[tag].search(page, at):
+                at = end.start()
+                continue
+            endless.add(tag)
         if skip is not None:
             if closing and tag == skip:
                 skip = None
@@ -112,6 +121,10 @@ def blocks_of(page: str) -> list[Block]:
             if not closing and not m[3].endswith("/"):
                 skip = tag
             continue
+        if tag == "head":
+            # Both its tags may be left out, and what may not stand in it ends it: what may gives no text by itself.
+            flush()
+            continue
         if tag == "a":
             link = 0 if closing else 1
             continue

@@ -111,3 +111,15 @@ def test_odd_pages(spark):
     texts = {r["page_id"]: r["text"] for r in html_cut.extracted(odd, weights).collect()}
     assert texts == {1: "", 2: "", 3: "", 4: "cut off & so on here", 5: "", 6: "", 7: "deep"}
     assert html_cut.extracted(odd.limit(0), html_cut.fitted(odd.limit(0))).collect() == []
+
+
+def test_raw_elements_end_at_their_own_end_tag():
+    """Scripts that look like tags or comments, and a head without an end tag, take nothing of the page with them."""
+    said = "<article><p>The story goes on.</p></article>"
+    text = lambda page: html_cut.main_text(page, html_cut.np.array(html_cut.PRIOR))
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", "<script>var s='<!--';</script>", "<SCRIPT>if(a<b && c='\"')</Script\n>", "<script>x='</scripts>'; y='<p>no</p>'</script>", "<style>a:before{content:'<!--'}</style>", "<title>a <b c</title>", "<textarea><!-- </textarea>", "<canvas><script>i<n</script></canvas>", "<svg><title>no</svg>"):
+        assert text(raw + said) == text(said + raw) == text(said + raw + "<script>i<n;") == "The story goes on.", raw
+    assert text("<svg><title>no</svg>" + said + "<svg><title>no</title></svg>") == "The story goes on."
+    body = "<p>The words of a page that has no article, one after another.</p>"
+    for head in ("<head><title>t</title><body>", "<head><title>t</title><meta name=a><style>p{}</style><div>", "<head><title>t</title></head><body>", "<head><script>i<n</script>"):
+        assert [b.text for b in html_cut.blocks_of(head + body)] == ["The words of a page that has no article, one after another."], head
