@@ -1,25 +1,36 @@
 """Main-text extraction by a minimum cut over a page's blocks.
 
-A page becomes a row of text blocks. A logistic classifier over markup and text features gives each block costs
-for being content or boilerplate, which become capacities to the two terminals. Neighbours in page order, and
-blocks of the same parent, are joined by smoothness edges. The maximum flow's cut labels the blocks.
-
-The classifier starts from fixed weights and is refined on blocks that semantic markup labels, from a bounded
-number of pages. A node whose terminal capacity outweighs all its edges has its label already, so it is folded
+A page becomes a row of text blocks that hang on a tree of elements. A logistic classifier over what a block says and
+how it is set (length, links, sentences, kind of element) gives it costs for being content or boilerplate, which
+become capacities to the two terminals. Markup is no feature of the classifier. Each element that HTML, a role or a
+name marks as article, menu, header, footer, notice, form and so on is a node of its own, a section, with a terminal
+capacity of its own; blocks hang on their nearest section, and sections on the section around them. Neighbours in
+page order are joined by their distance in the tree, and so are the blocks of one parent. The maximum flow's cut
+labels blocks and sections together, so markup and neighbours change a block's label only through edges.
+
+A section that holds most of the page's text, and all that marks its article, is a wrapper: what its name, or its
+tag, says of it doesn't count.
+
+The classifier is learned from blocks that sections label, on a bounded number of blocks of a bounded number of
+pages; the strength of the edges is the one, of a few, at which the cut without any section's capacity agrees best
+with those labels. A node whose terminal capacity outweighs all its edges has its label already, so it is folded
 into its neighbours' terminals before the flow is computed; this leaves the cut as it is.
 
-Null, empty and unparsable pages have no text; scripts, styles, comments and unfinished tags never count. Rows
-are independent: repeated rows and null ids give repeated results. Surplus columns are ignored.
+Elements end by HTML's rules where end tags are left out. Time and memory are in proportion to the page. Null, empty
+and unparsable pages have no text; scripts, styles, comments and unfinished tags never count. Text that only stands in
+for an element (of drawings, players, templates, lists of choices) is left out if that element has an end tag; one
+that is never closed takes nothing of the page with it. Rows are independent: repeated rows and null ids give
+repeated results. Surplus columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
+from array import array
 from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,64 +40,117 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches
 
 # Names that HTML gives a meaning.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title object canvas video audio select".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that hold characters and no tags: only their own end tag ends them.
+RAW = frozenset("script style textarea iframe title noembed noframes xmp".split())
+#: Elements whose text stands in for something else.
+SILENT = frozenset("svg math object canvas video audio select datalist template noscript".split())
+FOREIGN = frozenset("svg math".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
-ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-BOILER_WORDS = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|nav\w*|menu\w*|sidebar|side|breadcrumbs?|footer|header|masthead|comments?|disqus|replies|reply|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|copyright|legal|skip)(?:$|[-_\s\d])")
-CONTENT_WORDS = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|main|story|body|text|prose)(?:$|[-_\s\d])")
+BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+CONTENT_ROLES = frozenset("main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre search section summary table ul".split()) | HEADINGS
+#: Elements whose end tags may be left out, by group; a start tag ends the group's innermost open one, unless an
+#: element of the second list stands between.
+MEMBERS = {"p": "p", "li": "li", "dd": "dd dt", "cell": "td th", "row": "tr", "rows": "thead tbody tfoot caption colgroup", "option": "option optgroup", "heading": "h1 h2 h3 h4 h5 h6"}
+BOUNDS = {"p": "table td th caption button object template", "li": "ul ol menu", "dd": "dl", "cell": "table", "row": "table", "rows": "table", "option": "select datalist", "heading": "div section article table td th li"}
+#: Words of class names, ids and roles that tell of boilerplate and of content.
+BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored cookie cookies consent gdpr notice notices alert alerts "
+    "nav navbar navigation menu menus sidebar side breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond "
+    "share sharing social related recommended recommendations subscribe subscription newsletter signup login popup modal overlay widget widgets "
+    "toolbar pagination pager copyright legal skip".split()
+)
+CONTENT_WORDS = frozenset("article content post entry main story body text prose".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S)
-#: Elements of RAW that hold characters and no tags: the first end tag of their own ends them, whatever stands before it.
-ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in "script style noscript textarea iframe title".split()}
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAME_WORD = re.compile(r"[a-z]+")
+SENTENCE_END = frozenset(".!?:;\"'”»…。！？")
+ITEM_TAGS = frozenset("li td th dd dt label legend summary figcaption option caption".split())
 
-FEATURES = ("bias", "in_content", "in_boiler", "boiler_name", "content_name", "link_share", "heading", "paragraph", "item", "log_words", "sentence", "copyright", "header")
+FEATURES = ("bias", "log_words", "link_share", "sentence", "clauses", "heading", "paragraph", "item", "copyright", "parent_links")
 #: Weights that the fit starts from and is drawn to, as log odds of being content.
-PRIOR = (-0.8, 5.0, -7.0, -8.0, 1.0, -3.0, 0.5, 1.0, -0.4, 0.4, 0.3, -1.0, -4.0)
+PRIOR = (-2.2, 0.9, -3.0, 1.0, 0.5, 1.2, 0.8, -0.8, -3.0, -2.0)
 PULL = 4.0
-#: The fit's sample: pages, kinds of blocks (equal feature rows are one kind), and the most that one kind counts.
-FIT_PAGES, FIT_KINDS, KIND_WEIGHT = 400, 50_000, 20
-#: Smoothness: of neighbours in page order, by the share of their path that they have in common, and of siblings.
-NEAR, SIBLING = 0.35, 0.25
-MOST_ODDS = 12.0
+#: The fit's sample: pages, the first by a hash of their html, and evenly spread blocks of each.
+FIT_PAGES, FIT_BLOCKS = 400, 200
+#: Smoothness of two blocks next to each other, over their distance in the tree, and of blocks of one parent; the fit
+#: multiplies both by one of STRENGTHS.
+NEAR, SIBLING = 0.5, 0.3
+STRENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0)
+#: Most log odds that a block has of its own.
+MOST_ODDS = 4.0
+#: Log odds of sections, and how strongly blocks and inner sections hang on them.
+SECTION_ODDS = {"boiler": -12.0, "named": -10.0, "content": 8.0, "hinted": 1.0}
+SECTION_HOLD = {"boiler": 8.0, "named": 6.0, "content": 4.5, "hinted": 1.0}
+#: A section with more of the page's text than this may be a wrapper.
+WRAPPER = 0.5
 
 
 @dataclass(slots=True)
-class Block:
-    text: str
-    link: int
-    path: tuple[int, ...]
-    tag: str
-    content: bool
-    boiler: bool
-    boiler_name: bool
-    content_name: bool
-    header: bool
-
-
-def names_of(attributes: str) -> str:
-    return " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)).lower() if attributes and "=" in attributes else ""
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order. Tags may be unclosed, misnested or cut off."""
-    blocks: list[Block] = []
-    # An open element: tag, number, and whether it or what it stands in is content, boiler, boiler or content by name, a header.
-    stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("", 0, False, False, False, False, False)]
+class Page:
+    """Blocks in page order, each with its element, and elements with their parents. Element 0 is the page; parents
+    come before their children."""
+
+    texts: list[str] = field(default_factory=list)
+    links: list[int] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
+    parent: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    names: dict[int, tuple[str, str]] = field(default_factory=dict)  # role, and the words of the other names
+    closed: set[int] = field(default_factory=set)  # elements of SILENT that have an end
+
+
+def grouped(names: dict[str, str]) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for group, tags in names.items():
+        for tag in tags.split():
+            found.setdefault(tag, []).append(group)
+    return found
+
+
+GROUPS_OF, BOUNDS_OF = grouped(MEMBERS), grouped(BOUNDS)
+#: What a start tag ends: the outermost group first.
+ENDED_BY = {tag: groups for tag in {*ENDS_PARAGRAPH, *GROUPS_OF} if (groups := (["p"] if tag in ENDS_PARAGRAPH else []) + (["row"] if tag in ("thead", "tbody", "tfoot") else []) + GROUPS_OF.get(tag, []))}
+
+
+def names_of(attributes: str) -> tuple[str, str]:
+    role, words = "", []
+    for name, *values in ATTRIBUTE.findall(attributes):
+        value = "".join(values).lower()
+        if name.lower() == "role":
+            role = value.strip()
+        else:
+            words.append(value)
+    return role, " ".join(words)
+
+
+def parsed(source: str) -> Page:
+    """The page's blocks and elements. Tags may be left out, misnested or cut off."""
+    page = Page()
+    texts, links_of, at_of, parent, depth, tag_of = page.texts, page.links, page.at, page.parent, page.depth, page.tag
+    stack = [0]
+    open_tags: dict[str, int] = {}
+    #: Of each group the places in the stack of its open elements, and of its bounds as negative numbers.
+    places: dict[str, list[int]] = {group: [] for group in MEMBERS}
     parts: list[str] = []
-    link = links = number = 0
-    skip: str | None = None
+    link, links, foreign = False, 0, 0
+    endless: set[str] = set()  # elements of RAW that no end tag follows any more
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag, _, *flags = stack[-1]
-                blocks.append(Block(text, links, tuple(e[1] for e in stack), tag, *flags))
+                texts.append(text)
+                links_of.append(links)
+                at_of.append(stack[-1])
             parts.clear()
         links = 0
 
@@ -97,81 +161,257 @@ def blocks_of(page: str) -> list[Block]:
         if link:
             links += len(text)
 
-    at = 0
-    endless: set[str] = set()  # elements of ENDS that no end tag follows any more
-    while m := TOKEN.search(page, at):
-        if m.start() > at and skip is None:
-            say(page[at : m.start()])
+    def pop_to(size: int) -> None:
+        nonlocal link, foreign
+        while len(stack) > size:
+            tag = tag_of[stack.pop()]
+            open_tags[tag] -= 1
+            foreign -= tag in FOREIGN
+            for group in GROUPS_OF.get(tag, ()):
+                places[group].pop()
+            for group in BOUNDS_OF.get(tag, ()):
+                places[group].pop()
+        link = False
+
+    at, search = 0, TOKEN.search
+    while m := search(source, at):
+        if m.start() > at:
+            say(source[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
-        tag, closing = name.lower(), bool(m[1])
-        # In a skipped element only code is sure to end at its own tag: an unclosed title of a drawing ends with the drawing.
-        if tag in ENDS and (skip is None or tag in ("script", "style")) and not closing and not m[3].endswith("/") and tag not in endless:
-            if end := ENDS[tag].search(page, at):
-                at = end.start()
-                continue
-            endless.add(tag)
-        if skip is not None:
-            if closing and tag == skip:
-                skip = None
-            continue
-        if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                skip = tag
-            continue
-        if tag == "head":
-            # Both its tags may be left out, and what may not stand in it ends it: what may gives no text by itself.
-            flush()
+        tag, closing = name.lower(), m[1] == "/"
+        if tag in INLINE:
+            if tag == "a":
+                link = not closing
             continue
-        if tag == "a":
-            link = 0 if closing else 1
+        raw = tag in RAW and (not foreign or tag in ("script", "style"))  # in a drawing a title is like any element
+        if raw and not closing:
+            end = None if tag in endless else ENDS[tag].search(source, at)
+            if end:
+                at = end.start()
+            else:
+                endless.add(tag)
+                # Code without an end runs to the end of the page; other text without an end runs to the next tag.
+                at = len(source) if tag in ("script", "style") or (start := source.find("<", at)) < 0 else start
             continue
-        if tag in INLINE:
+        if raw or tag in ("html", "head", "body"):
+            flush()  # the tags of these three may be left out, and say nothing of the text by themselves
             continue
         flush()
         if tag in VOID:
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    link = 0
-                    break
+            if open_tags.get(tag):
+                size = len(stack) - 1
+                while tag_of[stack[size]] != tag:
+                    size -= 1
+                if tag in SILENT:
+                    page.closed.add(stack[size])
+                pop_to(size)
+            elif tag in HEADINGS and places["heading"] and places["heading"][-1] > 0:
+                pop_to(places["heading"][-1])  # any heading's end tag ends the open one
+            continue
+        if foreign and tag in ENDS_PARAGRAPH:
+            size = len(stack)
+            while foreign:  # what can't stand in a drawing ends it
+                size -= 1
+                if tag_of[stack[size]] in FOREIGN:
+                    page.closed.add(stack[size])
+                    pop_to(size)
+        for group in ENDED_BY.get(tag, ()):
+            if places[group] and places[group][-1] > 0:
+                pop_to(places[group][-1])
+        if m[3].endswith("/") and foreign:
             continue
-        if tag in ENDS_PARAGRAPH and stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li":
-            stack.pop()
-        number += 1
-        _, _, content, boiler, boiler_name, content_name, header = stack[-1]
-        names = names_of(m[3])
-        if not m[3].endswith("/"):
-            stack.append((tag, number, content or tag in CONTENT_TAGS or "main" in names.split(), boiler or tag in BOILER_TAGS, boiler_name or bool(names and tag not in ("html", "body") and BOILER_WORDS.search(names)), content_name or bool(names and CONTENT_WORDS.search(names)), header or tag == "header" and not content))
-    if skip is None and at < len(page):
-        say(page[at:])
+        number = len(parent)
+        parent.append(stack[-1])
+        depth.append(depth[stack[-1]] + 1)
+        tag_of.append(tag)
+        if m[3] and "=" in m[3]:
+            role, words = names_of(m[3])
+            if role or words:
+                page.names[number] = role, words
+        for group in GROUPS_OF.get(tag, ()):
+            places[group].append(len(stack))
+        for group in BOUNDS_OF.get(tag, ()):
+            places[group].append(-len(stack))
+        stack.append(number)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
+        foreign += tag in FOREIGN
+    if at < len(source):
+        say(source[at:])
     flush()
-    return blocks
-
-
-def features_of(block: Block) -> list[float]:
-    n, text = len(block.text), block.text
-    return [1.0, block.content, block.boiler, block.boiler_name, block.content_name, min(1.0, block.link / n), block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), block.tag == "p", block.tag in ("li", "td", "dd"), math.log1p(text.count(" ") + 1), text[-1] in ".!?:;\"'”»…", "©" in text, block.header]
-
-
-def weak_label(block: Block) -> int | None:
-    """What semantic markup alone says of a block: 1 content, 0 boilerplate, None nothing."""
-    if block.boiler or block.boiler_name or block.header:
-        return 0
-    return 1 if block.content else None
-
-
-def refined(rows: list[list[float]], labels: list[int]) -> np.ndarray:
+    return heard(page)
+
+
+def heard(page: Page) -> Page:
+    """The page without the blocks of closed elements of SILENT."""
+    if page.closed:
+        silent = [False] * len(page.parent)
+        for e in range(1, len(page.parent)):
+            silent[e] = silent[page.parent[e]] or e in page.closed
+        kept = [i for i, e in enumerate(page.at) if not silent[e]]
+        for column in ("texts", "links", "at"):
+            old = getattr(page, column)
+            setattr(page, column, [old[i] for i in kept])
+    return page
+
+
+def kind_of(page: Page, e: int) -> str | None:
+    """What an element's tag, role and names say of it."""
+    tag = page.tag[e]
+    role, names = page.names.get(e, ("", ""))
+    words = set(NAME_WORD.findall(names))
+    boiler, content = bool(words & BOILER_WORDS), bool(words & CONTENT_WORDS)
+    if tag in BOILER_TAGS or role in BOILER_ROLES:
+        return "boiler"
+    if tag in CONTENT_TAGS or role in CONTENT_ROLES:
+        return "named" if boiler and not content else "content"
+    if tag == "header":
+        return "header"
+    if boiler != content:
+        return "named" if boiler else "hinted"
+    return None
+
+
+def sections_of(page: Page) -> tuple[list[int], list[str], list[int], list[int]]:
+    """Sections: their elements, kinds, and the sections around them (-1: none); and the nearest section of each element."""
+    elements, kinds, around, nearest = [], [], [], [-1] * len(page.parent)
+    content = [False] * len(page.parent)
+    spoken = page.names
+    for e in range(1, len(page.parent)):
+        up = page.parent[e]
+        nearest[e], content[e] = nearest[up], content[up]
+        tag = page.tag[e]
+        if e not in spoken and tag not in BOILER_TAGS and tag not in CONTENT_TAGS and tag != "header":
+            continue
+        kind = kind_of(page, e)
+        if kind == "header":  # of an article, a header holds its title
+            kind = None if content[up] else "boiler"
+        if kind:
+            content[e] = content[up] or kind == "content"
+            around.append(nearest[up])
+            nearest[e] = len(elements)
+            elements.append(e)
+            kinds.append(kind)
+    return elements, kinds, around, nearest
+
+
+def unwrapped(page: Page, sections: tuple[list[int], list[str], list[int], list[int]]) -> list[str | None]:
+    """The sections' kinds; None for what would be boilerplate but wraps the page's text."""
+    elements, kinds, around, nearest = sections
+    size = [0] * len(elements)
+    # What marks the page's article: article and main elements, or else names, or else first-level headings.
+    marks = [0] * len(elements)
+    every = 0
+    for mark in ("content", "hinted"):
+        if not every and (every := kinds.count(mark)):
+            marks = [int(k == mark) for k in kinds]
+    if not every:
+        for e in [e for e, tag in enumerate(page.tag) if tag == "h1"]:
+            every += 1
+            if nearest[e] >= 0:
+                marks[nearest[e]] += 1
+    for text, e in zip(page.texts, page.at, strict=True):
+        if nearest[e] >= 0:
+            size[nearest[e]] += len(text)
+    for s in range(len(elements) - 1, -1, -1):
+        if around[s] >= 0:
+            size[around[s]] += size[s]
+            marks[around[s]] += marks[s]
+    whole = sum(map(len, page.texts))
+    wraps = [k in ("boiler", "named") and n > WRAPPER * whole and a == every for k, n, a in zip(kinds, size, marks, strict=True)]
+    return [None if w else k for k, w in zip(kinds, wraps, strict=True)]
+
+
+def features_of(page: Page) -> np.ndarray:
+    """A row of FEATURES for each block."""
+    texts, n = page.texts, len(page.texts)
+    x = np.ones((n, len(FEATURES)))
+    size = np.fromiter(map(len, texts), np.float64, n)
+    words = np.fromiter((t.count(" ") for t in texts), np.float64, n) + 1
+    links = np.array(page.links, np.float64)
+    at = np.array(page.at, np.int64)
+    up = np.array(page.parent, np.int64)[at]
+    tags = [page.tag[e] for e in page.at]
+    chars_up, links_up = np.bincount(up, size, len(page.parent)), np.bincount(up, links, len(page.parent))
+    x[:, 1] = np.log1p(words)
+    x[:, 2] = np.minimum(1.0, links / size)
+    x[:, 3] = np.fromiter((t[-1] in SENTENCE_END for t in texts), np.float64, n)
+    x[:, 4] = np.minimum(1.0, np.fromiter((t.count(",") + t.count(". ") + t.count("，") + t.count("。") for t in texts), np.float64, n) / 3)
+    x[:, 5] = np.fromiter((t in HEADINGS for t in tags), np.float64, n)
+    x[:, 6] = np.fromiter((t in ("p", "blockquote", "pre") for t in tags), np.float64, n)
+    x[:, 7] = np.fromiter((t in ITEM_TAGS for t in tags), np.float64, n)
+    x[:, 8] = np.fromiter(("©" in t for t in texts), np.float64, n)
+    x[:, 9] = np.minimum(1.0, links_up[up] / np.maximum(chars_up[up], 1))
+    return x
+
+
+def smoothness(page: Page, strength: float) -> tuple[array, array, array]:
+    """Edges between blocks: ends and capacities."""
+    parent, depth, at = page.parent, page.depth, page.at
+    left, right, room, last = array("q"), array("q"), array("d"), {}
+    for i, e in enumerate(at):
+        if i:
+            a, b, steps = at[i - 1], e, 0
+            while a != b:  # steps sum to no more than twice the elements: the page is walked once
+                if depth[a] >= depth[b]:
+                    a = parent[a]
+                else:
+                    b = parent[b]
+                steps += 1
+            left.append(i - 1)
+            right.append(i)
+            room.append(strength * NEAR * 2 / max(2, steps))
+        before = last.get(parent[e])
+        if before is not None and before != i - 1:
+            left.append(before)
+            right.append(i)
+            room.append(strength * SIBLING)
+        last[parent[e]] = i
+    return left, right, room
+
+
+def labels_of(page: Page, kinds: list[str | None], nearest: list[int]) -> np.ndarray:
+    """What sections alone say of each block: 1 content, 0 boilerplate, -1 nothing."""
+    says = {"content": 1, "boiler": 0, "named": 0}
+    return np.array([says.get(kinds[nearest[e]], -1) if nearest[e] >= 0 else -1 for e in page.at], np.int64)
+
+
+def cut_of(page: Page, weights: np.ndarray, strength: float, marked: bool = True) -> list[bool]:
+    """Which blocks are content. marked: whether sections have terminal capacities."""
+    n = len(page.texts)
+    odds = np.clip(features_of(page) @ weights, -MOST_ODDS, MOST_ODDS)
+    left, right, room = smoothness(page, strength)
+    sections = sections_of(page)
+    elements, _, around, nearest = sections
+    kinds = unwrapped(page, sections)
+    if marked and elements:
+        blocks = [0] * len(elements)
+        for i, e in enumerate(page.at):
+            if (s := nearest[e]) >= 0 and kinds[s]:
+                blocks[s] += 1
+                left.append(i)
+                right.append(n + s)
+                room.append(SECTION_HOLD[kinds[s]])
+        # A section speaks for each of its blocks, so many doubtful ones don't outweigh it.
+        odds = np.concatenate([odds, [SECTION_ODDS.get(k, 0.0) * max(1, b) for k, b in zip(kinds, blocks, strict=True)]])
+        for s, t in enumerate(around):
+            if t >= 0 and kinds[s]:
+                left.append(n + s)
+                right.append(n + t)
+                # Boilerplate holds what it encloses; an article doesn't hold the menus in it.
+                held = kinds[t] in ("boiler", "named") and kinds[s] != "boiler"
+                room.append(2 * SECTION_HOLD[kinds[t]] * max(1, blocks[s]) if held else SECTION_HOLD["hinted"])
+    return minimum_cut(odds, left, right, room)[:n]
+
+
+def refined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression, drawn to the prior weights, by Newton's method."""
-    w = np.array(PRIOR)
-    if not rows:
-        return w
-    x, y, prior = np.array(rows, float), np.array(labels, float), np.array(PRIOR)
-    for _ in range(25):
+    w = prior = np.array(PRIOR)
+    for _ in range(25 if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + PULL * np.eye(len(w)), x.T @ (p - y) + PULL * (w - prior))
         w = w - step
@@ -180,34 +420,40 @@ def refined(rows: list[list[float]], labels: list[int]) -> np.ndarray:
     return w
 
 
-def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
-    edges: dict[tuple[int, int], float] = {}
-    last: dict[tuple[int, ...], int] = {}
-    for i, b in enumerate(blocks):
-        if i:
-            a = blocks[i - 1].path
-            common = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            edges[i - 1, i] = NEAR * common / max(len(a), len(b.path))
-        parent = b.path[:-1] or b.path
-        if (before := last.get(parent)) is not None:
-            edges[before, i] = edges.get((before, i), 0.0) + SIBLING
-        last[parent] = i
-    return edges
-
-
-def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Which nodes are on the source's side. odds: capacity from the source if positive, else to the sink."""
+def minimum_cut(odds: Sequence[float], left: Sequence[int], right: Sequence[int], room: Sequence[float]) -> list[bool]:
+    """Which nodes are on the source's side. odds: capacity from the source if positive, else to the sink. An edge
+    joins a left node to a right one, with its room both ways."""
+    n = len(odds)
+    odds = np.array(odds, np.float64)
+    i, j, c = np.array(left, np.int64), np.array(right, np.int64), np.array(room, np.float64)
+    side = np.zeros(n, np.int8)
+    # Whole arrays first, while they decide many nodes at a time; then node by node.
+    while True:
+        weight = np.bincount(i, c, n) + np.bincount(j, c, n)
+        new = (side == 0) & (np.abs(odds) >= weight)
+        side[new] = np.where(odds[new] >= 0, 1, -1)
+        for one, other in ((i, j), (j, i)):
+            pushes = new[one] & (side[other] == 0)
+            odds += np.bincount(other[pushes], c[pushes] * side[one[pushes]], n)
+        open_edges = (side[i] == 0) & (side[j] == 0)
+        i, j, c = i[open_edges], j[open_edges], c[open_edges]
+        if new.sum() < 100:
+            break
+    rest = np.flatnonzero(side == 0)
+    if len(rest):
+        place = np.zeros(n, np.int64)
+        place[rest] = np.arange(len(rest))
+        side[rest] = np.where(folded(odds[rest].tolist(), place[i].tolist(), place[j].tolist(), c.tolist()), 1, -1)
+    return (side > 0).tolist()
+
+
+def folded(odds: list[float], left: list[int], right: list[int], room: list[float]) -> list[bool]:
+    """The cut, after nodes whose capacity outweighs their edges have become part of their neighbours' terminals."""
     n = len(odds)
-    odds = list(odds)
     near: list[dict[int, float]] = [{} for _ in range(n)]
-    for (i, j), c in edges.items():
-        if c > 0:
-            near[i][j] = near[i].get(j, 0.0) + c
-            near[j][i] = near[j].get(i, 0.0) + c
+    for i, j, c in zip(left, right, room, strict=True):
+        near[i][j] = near[i].get(j, 0.0) + c
+        near[j][i] = near[j].get(i, 0.0) + c
     side: list[bool | None] = [None] * n
     weight = [sum(x.values()) for x in near]
     ready = deque(i for i in range(n) if abs(odds[i]) >= weight[i])
@@ -292,39 +538,72 @@ def flow_cut(nodes: list[int], odds: list[float], near: list[dict[int, float]],
     return [reached[k] >= 0 for k in range(len(nodes))]
 
 
-def main_text(page: str | None, weights: np.ndarray) -> str:
-    blocks = blocks_of(page) if page else []
-    if not blocks:
+@dataclass
+class Classifier:
+    weights: np.ndarray
+    strength: float = 1.0
+
+
+def main_text(source: str | None, fit: Classifier) -> str:
+    page = parsed(source) if source else Page()
+    if not page.texts:
         return ""
-    odds = np.clip(np.array([features_of(b) for b in blocks], float) @ weights, -MOST_ODDS, MOST_ODDS).tolist()
-    return " ".join(b.text for b, kept in zip(blocks, minimum_cut(odds, edges_of(blocks)), strict=True) if kept)
+    return " ".join(t for t, kept in zip(page.texts, cut_of(page, fit.weights, fit.strength), strict=True) if kept)
 
 
-def fitted(pages: DataFrame, html_col: str = "html") -> np.ndarray:
-    """The classifier's weights, refined on FIT_PAGES pages, the first by a hash of their html."""
-    bounded_batches(pages.sparkSession)
+def labelled(source: str) -> tuple[Page, np.ndarray]:
+    page = parsed(source)
+    sections = sections_of(page)
+    return page, labels_of(page, unwrapped(page, sections), sections[3])
+
+
+def fitted(pages: DataFrame, html_col: str = "html") -> Classifier:
+    """Weights and strength of edges from FIT_PAGES pages; the driver gets FIT_BLOCKS blocks of each at most."""
+    spark = pages.sparkSession
+    bounded_batches(spark)
     sample = pages.select(F.col(html_col).alias("html")).where("html is not null").orderBy(F.xxhash64("html"), "html").limit(FIT_PAGES)
+    names = ["page", "x", "y"]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source in batch.column("html").to_pylist():
+                page, y = labelled(source)
+                told = np.flatnonzero(y >= 0)
+                told = told[:: max(1, -(-len(told) // FIT_BLOCKS))]
+                x = features_of(page)[told] if len(told) else np.empty((0, len(FEATURES)))
+                yield pa.RecordBatch.from_arrays([pa.array([len(page.texts)] * len(told), pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y[told], pa.int32())], names=names)
+
+    # In order, so that sums of floating point numbers don't depend on how rows were dealt to tasks.
+    rows = sample.mapInArrow(blocks, "page long, x array<double>, y int").orderBy(*names).toArrow()
+    x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
+    weights = refined(x, rows["y"].to_numpy().astype(np.float64))
+    own = weights.tolist()
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.array(own)
         for batch in batches:
-            found = [(features_of(b), label) for t in batch.column("html").to_pylist() for b in blocks_of(t) if (label := weak_label(b)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([[float(v) for v in f] for f, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.int32())], names=["x", "y"])
+            wrong = np.zeros(len(STRENGTHS), np.int64)
+            for source in batch.column("html").to_pylist():
+                page, y = labelled(source)
+                if (y >= 0).any():
+                    wrong += [int((np.array(cut_of(page, w, s, marked=False)) != (y == 1))[y >= 0].sum()) for s in STRENGTHS]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(STRENGTHS)), pa.int32()), pa.array(wrong)], names=["strength", "wrong"])
 
-    # Equal feature rows are counted together, in order, so that a long page weighs no more memory than its kinds of blocks.
-    rows = sample.mapInArrow(work, "x array<double>, y int").groupBy("x", "y").count().orderBy("x", "y").limit(FIT_KINDS).toArrow().to_pylist()
-    return refined([r["x"] for r in rows for _ in range(min(r["count"], KIND_WEIGHT))], [r["y"] for r in rows for _ in range(min(r["count"], KIND_WEIGHT))])
+    found = {r["strength"]: r["wrong"] for r in sample.mapInArrow(errors, "strength int, wrong long").groupBy("strength").sum("wrong").toDF("strength", "wrong").collect()}
+    return Classifier(weights, STRENGTHS[min(found, key=lambda s: (found[s], abs(STRENGTHS[s] - 1), s))] if found and len(x) else 1.0)
 
 
-def extracted(pages: DataFrame, weights: np.ndarray, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def extracted(pages: DataFrame, fit: Classifier, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns of ``keep``, then text and n_chars."""
     bounded_batches(pages.sparkSession)
-    own = [float(w) for w in weights]
+    own, strength = [float(w) for w in fit.weights], fit.strength
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.array(own)
+        w = Classifier(np.array(own), strength)
         for batch in batches:
             texts = [main_text(t, w) for t in batch.column("_html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+            columns = [*[batch.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "n_chars"])
 
     kinds = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
     return pages.select(*keep, pages[html_col].alias("_html")).mapInArrow(work, f"{kinds}text string, n_chars long")
