@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve through metadata, by DataFrame functions only.
 
-Source, language and size are each quantised at their quantiles, the cell's index along a Hilbert curve is found
+Source, language and size are each quantised at their quantiles (strings in the order of whole strings), the cell's index along a Hilbert curve is found
 by a state table, and the rows, sorted by that index, are cut into runs of equal bytes. Neighbours on the curve
 are neighbours in every dimension, so the shards' ranges of each dimension stay narrow and files can be pruned.
 
@@ -62,29 +62,36 @@ def curve_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("index")), step, lambda at: at["index"])
 
 
-def string_key(c: Column) -> Column:
-    """The first seven bytes of a string as a number, in the order of the bytes."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
-
-
-def below(bounds: list[int], value: Column) -> Column:
+def below(bounds: list, value: Column) -> Column:
     """How many of the bounds lie below a value."""
-    return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]).cast("array<bigint>"), lambda b: b < value))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < value)) if bounds else F.lit(0)
 
 
-def quantised(df: DataFrame, columns: tuple[str, ...], bits: int = BITS) -> dict[str, Column]:
-    """Cells of each column at its quantiles; the driver gets 2**bits - 1 bounds of each column."""
-    cells = 1 << bits
+def number_cells(df: DataFrame, column: str, cells: int) -> Column:
+    """A number's cell: which of its quantiles it lies between. The driver gets cells - 1 bounds."""
     shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
-    bounds = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in columns]).first()
-    return {c: below(bounds[c] or [], F.col(c)) for c in columns}
+    return below(df.agg(F.percentile_approx(column, shares, 10_000)).first()[0] or [], F.col(column))
+
+
+def string_cells(df: DataFrame, column: str, cells: int) -> Column:
+    """A string's cell: the quantile of the middle of its rows, in the order of whole strings. Distinct values are
+    ranked with a distributed sort; the driver gets the last value of each cell. Nulls take cell 0."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = running(counts, [column], {"_before": "_rows"})
+    whole = df.count()
+    cell = F.expr(f"(_before + (_rows - 1) div 2) * {cells} div {max(1, whole)}")
+    ends = sorted((r[1], r[0]) for r in placed.groupBy(cell.alias("_cell")).agg(F.max(column)).collect())
+    if not ends:
+        return F.lit(0)
+    at = F.get(F.array(*[F.lit(c).cast("int") for _, c in ends]), below([v for v, _ in ends[:-1]], F.col(column)))
+    return F.when(F.col(column).isNull(), F.lit(0)).otherwise(at)
 
 
 def sharded(docs: DataFrame, *, shards: int = SHARDS, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = settled(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), string_key(F.col(source_col)).alias("source_key"), string_key(F.col(lang_col)).alias("lang_key")))
-    cells = quantised(rows, DIMENSIONS, bits)
+    rows = settled(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.col(source_col).cast("string").alias("source_key"), F.col(lang_col).cast("string").alias("lang_key")))
+    cells = {c: (number_cells if c == "size" else string_cells)(rows, c, 1 << bits) for c in DIMENSIONS}
     placed = rows.withColumns({f"{c}_cell": cell for c, cell in cells.items()})
     placed = placed.select("doc_id", "size", "text_crc32", curve_index([F.col(f"{c}_cell") for c in DIMENSIONS], bits).alias("curve"))
     ordered = running(placed, ["curve", "text_crc32", "doc_id", "size"], {"before": "size"})

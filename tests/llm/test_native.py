@@ -66,6 +66,38 @@ def test_sharding_odd_rows(spark):
     assert hilbert.sharded(odd(spark).limit(0)).collect() == []
 
 
+def test_strings_are_placed_by_their_whole_order(spark):
+    """Values that share any prefix lie in cells of their own; cells follow the middle of a value's rows."""
+    values = [None] * 4 + ["https://a"] * 10 + ["https://z"] * 10 + ["forum_de"] * 3 + ["forum_dx"] * 9 + ["x" * 500 + "1"] * 7 + ["x" * 500 + "2"] * 7 + ["é"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").repartition(5)
+    got = {r["v"]: r["c"] for r in rows.select("v", hilbert.string_cells(rows, "v", 32).alias("c")).distinct().collect()}
+    before, want = 0, {None: 0}
+    for v in sorted({v for v in values if v is not None}, key=lambda v: v.encode()):
+        n = values.count(v)
+        want[v] = (before + (n - 1) // 2) * 32 // len(values)
+        before += n
+    assert got == want and got["https://a"] != got["https://z"] and got["forum_de"] != got["forum_dx"]
+
+
+def test_shards_prune(spark, documents):
+    """A file is read for a value if it lies in the file's range: fewer files than if rows were dealt at random."""
+    metadata = {r["doc_id"]: r for r in documents.collect()}
+    shard = {r["doc_id"]: r["shard"] for r in hilbert.sharded(documents).collect()}
+    dealt = {i: zlib.crc32(str(i).encode()) % 8 for i in shard}
+
+    def read(of, key):
+        ranges = {}
+        for i, s in of.items():
+            v = key(metadata[i])
+            low, high = ranges.get(s, (v, v))
+            ranges[s] = min(low, v), max(high, v)
+        return sum(low <= key(r) <= high for r in metadata.values() for low, high in ranges.values()) / len(metadata)
+
+    keys = (lambda r: r["source"] or "", lambda r: r["lang"] or "", lambda r: len((r["text"] or "").encode()))
+    own, random = ([read(of, key) for key in keys] for of in (shard, dealt))
+    assert all(a < b for a, b in zip(own, random, strict=True)) and sum(own) < 0.75 * sum(random)
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}

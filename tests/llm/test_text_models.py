@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, kneser_ney, langid, quality
 
@@ -68,15 +70,73 @@ def test_language_on_held_out_documents(spark, documents):
     assert got[1] == got[2] == got[3] == got[6] == "und" and got[4] in model.langs
 
 
-def test_language_backs_off_to_shorter_grams(spark):
+def brute_language(train, texts):
+    """The method by its definition: every learned word, else the mean over the longest learned n-grams."""
+    find = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+    counts, totals = defaultdict(lambda: defaultdict(Counter)), defaultdict(Counter)
+    for lang, text in train:
+        for w in find(text) if lang is not None else []:
+            for kind, parts in ((0, [w]), *((n, langid.grams(w, n)) for n in langid.ORDERS)):
+                for part in parts:
+                    counts[kind][part][lang] += 1
+                    totals[kind][lang] += 1
+    langs = sorted(totals[0])
+    vector = lambda kind, part: [math.log((counts[kind][part][lang] or 0.5) / (totals[kind][lang] + 1)) for lang in langs]
+
+    def of(w):
+        if w in counts[0]:
+            return vector(0, w)
+        for n in langid.ORDERS:
+            if hit := [vector(n, g) for g in langid.grams(w, n) if g in counts[n]]:
+                return [sum(c) / len(hit) for c in zip(*hit, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for text in texts:
+        words = find(text)
+        if not words or not langs:
+            out.append(("und", 0.0, []))
+            continue
+        sums = [sum(c) for c in zip(*map(of, words), strict=True)]
+        best = max(sums)
+        out.append((langs[sums.index(best)], 1 / sum(math.exp(s - best) for s in sums), sums))
+    return out
+
+
+@pytest.mark.parametrize("table_words", [200_000, 300, 0])
+def test_language_against_brute_force(spark, documents, table_words):
+    """All words and n-grams count, whatever the size of the table that workers hold."""
+    train = [(r["lang"], r["text"]) for r in documents.where("doc_id % 3 = 0").collect()]
+    more = [("en", "naïve naïve coöperate"), ("hi", "नमस्ते दुनिया नमस्ते"), (None, "unlabelled words"), ("zz", None)]
+    learned = spark.createDataFrame([*train, *more], "lang string, text string")
+    model = langid.fitted(learned, table_words=table_words)
+    assert (len(model.table) > 300) == (table_words == 200_000)
+    texts = [r["text"] for r in documents.collect()] + ["½ ² ①", "नमस्ते", "दुनि", "qqqqq zzzz", "日本", "", None, "12 ½ x", "𐐀𐐁 Ⅷ", "a\u0301a"]
+    rows = langid.predicted(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    want = brute_language([*train, *more], texts)
+    assert len(rows) == len(texts)
+    for r in rows:
+        lang, score, sums = want[r["doc_id"]]
+        close = sum(abs(s - max(sums)) < 1e-4 * (1 + abs(s)) for s in sums) > 1 if sums else False
+        assert (r["lang_pred"] == lang or close) and abs(r["score"] - score) < 1e-3 + (0.5 if close else 0)
+    assert {r["doc_id"]: r["lang_pred"] for r in rows}[len(documents.collect())] == "und"
+
+
+def test_language_words_are_letters_with_marks():
+    assert langid.words_of("½ ² ① 12_x ⅷ") == ["x"] and langid.words_of("नमस्ते दुनिया") == ["नमस्ते", "दुनिया"]
+    assert langid.words_of("A1b É\u0301c 日本x 𐐀𐐁") == ["a", "b", "é\u0301c", "日本x", "𐐨𐐩"]
+    for text in ("Die größte Straße, naïve l'été 3e ½ x²y", "abc déf", "١٢ عربى"):
+        assert langid.words_of(text) == regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower())
+
+
+def test_language_of_nothing_learned(spark):
     train = spark.createDataFrame([("aa", "zuvoz zuvoz kaka"), ("bb", "mirim mirim lolo"), (None, "mirim"), ("cc", None)], "lang string, text string")
     model = langid.fitted(train)
     assert model.langs == ["aa", "bb"]
-    scorer = langid.Scorer(model)
-    assert scorer.score("zuvot")[0] == "aa" and scorer.score("imiri")[0] == "bb"
-    assert scorer.score("ZUVOZ")[0] == "aa"
-    empty = langid.fitted(train.limit(0))
-    assert langid.Scorer(empty).score("any")[0] == "und"
+    of = lambda m, *texts: [r["lang_pred"] for r in langid.predicted(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), m).orderBy("doc_id").collect()]
+    assert of(model, "zuvot", "imiri", "ZUVOZ") == ["aa", "bb", "aa"]
+    assert of(langid.fitted(train.limit(0)), "any") == ["und"]
+    assert langid.predicted(train.select(F.lit(1).alias("doc_id"), "text").limit(0), model).collect() == []
 
 
 def brute_counts(text):
