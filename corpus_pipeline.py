@@ -33,9 +33,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those whose language stays unsure."""
     model = langid.fitted(docs)
+    # The verdict is one on the text, so texts stay where they are and only the rejected ones' digests are sent.
+    digest = F.sha1(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    found = langid.predicted(docs.select(digest.alias("digest"), "text"), model, keep=("digest",))
+    rejected = found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_SCORE)).select("digest").distinct()
     rows, at = numbered(docs)
-    found = langid.predicted(rows, model, keep=tuple(at.values()), text_col=at["text"])
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*at.values()).toDF(*docs.columns)
+    own = rows.withColumn("digest", F.sha1(F.coalesce(F.col(at["text"]), F.lit("")).cast("binary")))
+    return own.join(rejected, "digest", "left_anti").select(*at.values()).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
