@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, with_text
+from tessera.llm.common import bounded_batches, stored, with_text
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -147,61 +147,76 @@ def grown(x: np.ndarray) -> Forest:
     return Forest(feature, value, mean_path(min(TREE_ROWS, len(x))) or 1.0, math.inf)
 
 
-def measured(docs: DataFrame, keep: tuple[str, ...], forest: Forest | None, text_col: str = "text") -> DataFrame:
-    """The columns of ``keep``, the base counts, and the features (no forest) or base_failed, anomaly and kept."""
+def counted(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """The columns of ``keep``, the base counts, base_failed and the features of each row, written once: texts are read
+    and counted no more than that."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # a fixed number of trees and nodes
-    named = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} long" for c in COUNTS]])
-    extra = "base_failed boolean, features array<double>" if forest is None else "base_failed boolean, anomaly double, kept boolean"
-    names = [*keep, *COUNTS, *(["base_failed", "features"] if forest is None else ["base_failed", "anomaly", "kept"])]
-
+    kinds = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} long" for c in COUNTS]])
+    names = [*keep, *COUNTS, "base_failed", "features"]
     rows, name = with_text(docs, keep, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             counts = np.array([counts_of(t) for t in batch.column(name).to_pylist()], np.int64)
-            x = features_of(counts)
             arrays = [*[batch.column(c) for c in keep], *[pa.array(counts[:, i]) for i in range(len(COUNTS))]]
-            if own is None:
-                arrays += [pa.array(base_failed(counts)), pa.array(x.tolist(), pa.list_(pa.float64()))]
-            else:
-                failed = base_failed(counts)
-                score = own.scores(x)
-                arrays += [pa.array(failed), pa.array(score), pa.array(~failed & (score < own.threshold))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(base_failed(counts)), pa.array(features_of(counts).tolist(), pa.list_(pa.float64()))], names=names)
+
+    return stored(rows.mapInArrow(work, f"{kinds}, base_failed boolean, features array<double>"), "quality-counts")
+
+
+def judged(stats: DataFrame, forest: Forest) -> DataFrame:
+    """The rows of counted(), with anomaly and kept in place of the features."""
+    shared = stats.sparkSession.sparkContext.broadcast(forest)  # a fixed number of trees and nodes
+    keep = [c for c in stats.columns if c != "features"]
+    kinds = ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                score = own.scores(matrix(batch.column("features")))
+                passed = ~batch.column("base_failed").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score), pa.array(passed & (score < own.threshold))], names=[*keep, "anomaly", "kept"])
+
+    return stats.mapInArrow(work, f"{kinds}, anomaly double, kept boolean")
 
-    return rows.mapInArrow(work, f"{named}, {extra}")
 
+def matrix(features: pa.Array) -> np.ndarray:
+    return features.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
-def fitted(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> Forest:
+
+def fitted(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id") -> Forest:
     """Grows the forest on a bounded sample of labelled rows and sets the threshold on all labelled rows; both among
-    the rows that pass the base rule, as only those await a verdict."""
+    the rows of counted() that pass the base rule, as only those await a verdict."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("_id is not null and quality is not null")
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col(text_col).alias("text")).join(known, "_id")
-    stats = measured(rows, ("_id", "quality"), None).where("not base_failed").select("_id", "quality", "features").persist()
+    rows = stats.where("not base_failed").select(F.col(id_col).alias("_id"), "features").join(known, "_id")
+    rows = stored(rows.select("_id", "quality", "features"), "quality-labelled")
     few = (F.col("quality") == 1) | (F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(POOR_ONE_IN)) == 0)
-    sample = stats.where(few).orderBy(F.xxhash64("_id"), "_id", "features").limit(FIT_ROWS).select("features").toArrow()["features"].to_pylist()
+    sample = rows.where(few).orderBy(F.xxhash64("_id"), "_id", "features").limit(FIT_ROWS).select("features").toArrow()["features"].to_pylist()
     if not sample:
-        stats.unpersist()
         return Forest(np.empty((0, 1), np.int64), np.empty((0, 1)), 1.0, math.inf)
     forest = grown(np.array(sample))
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                score = shared.value.scores(np.array(batch.column("features").to_pylist()))
+                score = shared.value.scores(matrix(batch.column("features")))
                 yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(np.floor(score * 2000).astype(np.int64))], names=["quality", "at"])
 
-    cells = stats.select("quality", "features").mapInArrow(work, "quality int, at long").groupBy("quality", "at").count().collect()
-    stats.unpersist()
+    cells = rows.select("quality", "features").mapInArrow(work, "quality int, at long").groupBy("quality", "at").count().collect()
     forest.threshold = calibrated([(r["at"] / 2000, r["quality"], r["count"]) for r in cells])
     return forest
 
 
+def measured(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``keep``, the base counts, base_failed, anomaly and kept of each row. ``keep`` holds the id."""
+    stats = counted(docs, keep, text_col)
+    return judged(stats, fitted(stats, labels, id_col=id_col))
+
+
 def calibrated(cells: list[tuple[float, int, int]], good_loss: float = GOOD_LOSS) -> float:
     """The score at or above which rows are rejected: the one that tells most poor rows from good ones, among those
     that reject no more than ``good_loss`` of the good."""

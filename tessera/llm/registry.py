@@ -22,9 +22,7 @@ def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    forest = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    return quality.measured(docs, ("doc_id",), forest)
+    return quality.measured(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_word_first(spark: SparkSession, sf_dir: str) -> DataFrame:
