@@ -2,7 +2,8 @@
 
 An archive starts with a skippable frame that holds the dictionary; after it, each record is one frame of its
 own. Readers load the dictionary, decode frame by frame, and validate the headers, the lengths and the digest of
-each record. Archives roll over at a bounded size and lie in the shared folder. A task writes under a name of its
+each record. A revisit names the length of the payload that it stands for, so that no record has to be looked up to
+read another. Archives roll over at a bounded size and lie in the shared folder. A task writes under a name of its
 own attempt and hands on only the names of finished archives, so that lost tasks leave nothing that is read.
 
 Payloads are UTF-8; null is empty. Among equal payloads of at least ``least`` bytes the largest page id is the
@@ -40,6 +41,8 @@ ARCHIVE_BYTES = 16 << 20
 LEVEL = 3
 READ_BYTES = 1 << 20
 VERSION = b"WARC/1.1"
+#: An extension field of revisits: bytes of the payload that they stand for.
+LENGTH = b"WARC-Payload-Length"
 NEEDED = (b"warc-type", b"warc-record-id", b"warc-date", b"content-length", b"warc-payload-digest")
 DATE = b"2024-01-01T00:00:00Z"  # records of a rewrite carry a fixed date, so that reruns agree
 
@@ -69,7 +72,7 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
         head += line(b"WARC-Target-URI", re.sub(r"[\s\x00-\x1f]+", "%20", url).encode("utf-8", "surrogatepass"))
     head += line(b"WARC-Payload-Digest", b"sha1:" + digest.encode())
     if kind == "revisit":
-        head += line(b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest") + line(b"WARC-Refers-To", known(refers_to))
+        head += line(b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest") + line(b"WARC-Refers-To", known(refers_to)) + line(LENGTH, str(len(payload)).encode())
     return head + line(b"Content-Length", str(len(block)).encode()) + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -95,6 +98,8 @@ def parsed(raw: bytes) -> tuple[dict[bytes, bytes], bytes]:
         raise InvalidArchive("payload digest differs")
     if headers[b"warc-type"] not in (b"response", b"revisit") or (headers[b"warc-type"] == b"revisit") != (b"warc-refers-to" in headers):
         raise InvalidArchive(f"record type {headers[b'warc-type']!r}")
+    if headers[b"warc-type"] == b"revisit" and (block or not headers.get(LENGTH.lower(), b"").isdigit()):
+        raise InvalidArchive("a revisit without the length of its payload, or with a block of its own")
     return headers, block
 
 
@@ -198,7 +203,7 @@ def written(rows: DataFrame, base: str, dictionary: bytes, archive_bytes: int =
 
 
 def read(archives: DataFrame, base: str) -> DataFrame:
-    """(page_id, record_type, digest, refers_to, payload_bytes) of each record; a revisit's bytes are null here."""
+    """(page_id, record_type, payload_digest, refers_to, payload_bytes) of each record."""
     names = ["page_id", "record_type", "payload_digest", "refers_to", "payload_bytes"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +216,7 @@ def read(archives: DataFrame, base: str) -> DataFrame:
                     for headers, block in records_in(stream):
                         kind = headers[b"warc-type"].decode()
                         refers = number(headers[b"warc-refers-to"]) if kind == "revisit" else None
-                        found.append((number(headers[b"warc-record-id"]), kind, headers[b"warc-payload-digest"].removeprefix(b"sha1:").decode(), refers, len(block) if kind == "response" else None))
+                        found.append((number(headers[b"warc-record-id"]), kind, headers[b"warc-payload-digest"].removeprefix(b"sha1:").decode(), refers, len(block) if kind == "response" else int(headers[LENGTH.lower()])))
                 if len(found) != records:
                     raise InvalidArchive(f"{path}: {len(found)} of {records} records")
                 columns = list(zip(*found, strict=True))
@@ -237,6 +242,4 @@ def archived(pages: DataFrame, *, least: int = 0, html_col: str = "html", archiv
 def round_trip(pages: DataFrame, *, least: int = 0, html_col: str = "html") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each page, from the archives read back."""
     archives, base = archived(pages, least=least, html_col=html_col)
-    found = read(archives.repartition(max(1, archives.count())), base)
-    first = found.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("whole"))
-    return found.join(first, "payload_digest", "left").select("page_id", F.coalesce("payload_bytes", "whole").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return read(archives.repartition(max(1, archives.count())), base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

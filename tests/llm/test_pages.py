@@ -67,6 +67,10 @@ def test_reader_validates_frames_and_records():
     raw = archive([], packed) + archive([good], warc.trained(sample))[8 + len(warc.trained(sample)) :]
     assert len(read(raw)) == 1
     bad = [good.replace(b"payload\r\n\r\n", b"paYload\r\n\r\n"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good.replace(b"WARC-Date", b"WARC-Type"), good[:-1], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"response", b"resource")]
+    revisit = warc.record("revisit", 2, "http://a/", b"payload", warc.digest_of(b"payload"), 1)
+    (headers, block), = read(archive([revisit]))
+    assert block == b"" and headers[b"warc-payload-length"] == b"7" and headers[b"warc-refers-to"].startswith(b"<urn:page:1:")
+    bad += [revisit.replace(b"Payload-Length: 7", b"Payload-Length: x"), revisit.replace(b"WARC-Payload-Length: 7\r\n", b"")]
     for record in bad:
         with pytest.raises(warc.InvalidArchive):
             read(archive([record]))
