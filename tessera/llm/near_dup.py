@@ -5,11 +5,13 @@ BANDS * ROWS MinHash samples: bands of them give candidate buckets, and all of t
 bitmap, the odd sketch, whose XOR population count estimates high similarities. Only pairs that pass the sketch
 and a bound on sizes are confirmed, on full sets of 64-bit shingle hashes.
 
-A bucket never emits all its pairs. First each member meets the bucket's hub, the member that shares most
-buckets. Then only buckets whose members still lie in several components compare members across components, in
-blocks of bounded size that hold the full sets: sketches first, then, for what passes and isn't connected yet,
-the sets themselves. A block emits no more links than join its components. Every link of a bucket is thus
-confirmed or implied by confirmed ones. A pair at the threshold of 0.8 misses all buckets with probability (1 - 0.8^4)^32 < 1e-7.
+A bucket never emits all its pairs. In HUB_ROUNDS rounds each member meets the bucket's hub, a member of another
+component that shares most buckets with others; each round is linear in the members. What is left are buckets whose
+members still lie in several components. Their members are compared across components in blocks of bounded size that
+hold sketches only, no sets. A block takes the pairs that pass for links and emits no more of them than would join its
+components; these are confirmed on full sets. Only where one of them fails are all passing pairs between components
+emitted and confirmed. Every link of a bucket is thus confirmed or implied by confirmed ones. A pair at the threshold
+of 0.8 misses all buckets with probability (1 - 0.8^4)^32 < 1e-7.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows with a null id take no part: they get no
 component and are kept. Repeated rows are copies of one another with the same id, so all of them are kept or
@@ -20,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,8 +44,10 @@ PERCENT = 80
 MARGIN = 20
 #: Bits of the parity bitmap of a whole set, whose XOR counts the shingles in which two sets differ.
 WHOLE_BITS = 2048
-#: Shingles of a bucket's members that one side of a block holds.
-BLOCK_SHINGLES = 1_000_000
+#: Rounds in which the members of a bucket meet a hub.
+HUB_ROUNDS = 2
+#: Members of a bucket that one side of a block holds: some 340 bytes each.
+BLOCK_MEMBERS = 20_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 100_000
 
@@ -168,15 +173,10 @@ def full_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(work, "cls binary, shingles array<long>")
 
 
-def shared_size(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.sort(np.concatenate([a, b]), kind="stable")
-    return int((both[1:] == both[:-1]).sum())
-
-
-def across(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components of a block, no more than join them. Pairs meet the bound on sizes and both
-    sketches before their sets do, and only while their components aren't joined."""
-    side, size, names, sets = (group[c].to_numpy() for c in ("side", "n_shingles", "cls", "shingles"))
+def across(group: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
+    """Pairs between the components of a block that meet the bound on sizes and both sketches: all of them, or as many
+    as join the components if each of them is a link."""
+    side, size, names = (group[c].to_numpy() for c in ("side", "n_shingles", "cls"))
     code = pd.factorize(group["comp"])[0]
     root = np.arange(code.max() + 1)  # of each component; all are kept flat
     sketch = np.stack(group["sketch"].to_numpy()).view(U)
@@ -197,12 +197,34 @@ def across(group: pd.DataFrame) -> pd.DataFrame:
             one, other = root[code[i]], root[code[j]]
             if one == other:
                 continue
-            both = shared_size(sets[i], sets[j])
-            if 100 * both >= PERCENT * (size[i] + size[j] - both):
+            if not all_pairs:
                 root[root == other] = one
-                a.append(names[i])
-                b.append(names[j])
-    return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
+            a.append(i)
+            b.append(j)
+    return pd.DataFrame({"band": group["band"].to_numpy()[a], "a": names[a], "b": names[b]}, columns=["band", "a", "b"])
+
+
+def compared(placed: DataFrame, brief: DataFrame, all_pairs: bool) -> DataFrame:
+    """(band, a, b): pairs of across(), of buckets (band, cls, comp) whose members lie in several components."""
+    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+    split = stored(split.select("band", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "split")
+    rest = placed.join(split, "band").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rest = rest.join(brief, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cls", "comp", "n_shingles", "sketch", "whole")
+    return rest.groupBy("band", "low", "high").applyInPandas(lambda g: across(g, all_pairs), "band long, a binary, b binary")
+
+
+def close(pairs: DataFrame, brief: DataFrame) -> DataFrame:
+    """Pairs that meet the bound on sizes and the odd sketches."""
+    left = brief.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
+    right = brief.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
+    flips = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    return stored(both.where(flips <= most_flips()).select("a", "b"), "close")
+
+
+def unioned(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,35 +240,43 @@ def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", t
     signs = stored(signed(docs, shingle, id_col, text_col), "signs")
     classes = signs.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
     classes = stored(classes, "classes")
+    # What a hot bucket meets in a join is a table and no aggregate, so that Spark can split the bucket.
     slots = classes.select("cls", F.explode("bands").alias("band"))
-    full = slots.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = stored(slots.join(full, "band"), "members")
-    # The hub of a bucket: the member whose buckets hold most members.
-    shared = members.groupBy("cls").agg(F.sum("members").alias("shared"))
-    hubs = members.join(shared, "cls").groupBy("band").agg(F.max(F.struct("shared", "cls")).alias("hub")).select("band", F.col("hub.cls").alias("hub"))
-    to_hub = members.join(hubs, "band").where("cls != hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    brief = classes.select("cls", "n_shingles", "sketch")
-    left = brief.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ka"))
-    right = brief.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("kb"))
-    flips = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = to_hub.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).where(flips <= most_flips()).select("a", "b")
-    close = stored(close, "close")
-
-    in_buckets = shared.join(classes, "cls").select("first_doc")
-    sets = stored(full_sets(docs.join(in_buckets.withColumnRenamed("first_doc", id_col), id_col, "left_semi"), shingle, id_col, text_col).dropDuplicates(["cls"]), "sets")
-    stars = stored(confirmed(close, sets), "stars")
-    first = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
-
-    placed = members.where("members > 2").join(first, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(classes.select("cls", "n_shingles"), "cls")
-    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n_shingles").alias("n")).where("low != high").select("band", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    rest = placed.join(split, "band").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    full = rest.join(classes.select("cls", "sketch", "whole"), "cls").join(sets, "cls")
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    full = full.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cls", "comp", "n_shingles", "sketch", "whole", "shingles")
-    crossing = full.groupBy("band", "low", "high").applyInPandas(across, "a binary, b binary")
-    crossing = stored(crossing, "crossing")
-    labels = components(stars.union(crossing)).select(F.col("node").alias("cls"), "label")
-    removed(members, close, sets, stars, crossing)  # the labels are checkpointed
+    full = stored(slots.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
+    members = slots.join(full, "band")
+    members = stored(members, "members")
+    # A class's weight as a hub: how many members its buckets hold.
+    shared = stored(members.groupBy("cls").agg(F.sum("members").alias("shared")), "shared")
+    brief = classes.select("cls", "n_shingles", "sketch", "whole")
+    sets = stored(full_sets(docs.join(shared.join(classes, "cls").select(F.col("first_doc").alias(id_col)), id_col, "left_semi"), shingle, id_col, text_col).dropDuplicates(["cls"]), "sets")
+
+    links, labels = [], None
+    # In the first round each class is a component of its own, and the heaviest member is the hub.
+    placed = members.select("band", "cls", F.col("cls").alias("comp"), F.lit(False).alias("met"))
+    for _ in range(HUB_ROUNDS):
+        weight = F.struct(~F.col("met"), F.col("shared"), F.col("cls"), F.col("comp"))
+        hubs = stored(placed.join(shared, "cls").groupBy("band").agg(F.max(weight).alias("hub")).select("band", F.col("hub.cls").alias("hub"), F.col("hub.comp").alias("hub_comp")), "hubs")
+        to_hub = placed.join(hubs, "band").where("comp != hub_comp").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+        links.append(stored(confirmed(close(to_hub, brief), sets), "links"))
+        labels = components(unioned(links)).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
+        # Only buckets of more members than the hub's component has go on, with the hub's component marked as met.
+        known = members.where("members > 2").select("band", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        of_hub = hubs.join(labels.withColumnRenamed("cls", "hub"), "hub", "left").select("band", F.coalesce("comp", "hub").alias("hub_comp"))
+        known = known.join(of_hub, "band").select("band", "cls", "comp", (F.col("comp") == F.col("hub_comp")).alias("met"))
+        split = stored(known.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band"), "split")
+        placed = stored(known.join(split, "band"), "placed")
+
+    seen = stored(compared(placed.select("band", "cls", "comp"), brief, False), "seen")
+    pairs = stored(seen.select("a", "b").distinct(), "pairs")
+    links.append(stored(confirmed(pairs, sets), "links"))
+    failed = seen.join(links[-1], ["a", "b"], "left_anti").select("band").distinct()
+    failed = stored(failed, "failed")
+    if not failed.isEmpty():
+        labels = components(unioned(links)).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
+        again = placed.select("band", "cls").join(failed, "band", "left_semi").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        links.append(stored(confirmed(compared(again, brief, True).select("a", "b").distinct(), sets), "links"))
+    labels = components(unioned(links)).select(F.col("node").alias("cls"), "label")
+    removed(full, members, shared, sets, placed, seen, pairs, failed, *links)  # the labels are checkpointed
     homes = classes.select("cls", "first_doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = homes.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     homes = homes.join(lowest, "label").select("cls", "component_id")
