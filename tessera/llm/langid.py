@@ -185,6 +185,7 @@ def backed_off(unseen: DataFrame, model: Model) -> DataFrame:
         learned = model.words.select(F.explode("counts").alias("c"), F.explode(grams_column(F.col("entry"), order)).alias("gram"))
         learned = learned.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "c.lang").agg(F.sum("c.n").alias("n"))
         vectors = learned.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("counts")).select("gram", model.vector(order, F.col("counts")).alias("v"))
+        vectors = stored(vectors, "language-vectors")  # as a table, so that Spark can split an ending that many words share
         means = F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(len(model.langs))])
         hit = stored(asked.join(vectors, "gram").groupBy("word").agg(means.alias("v")), "language-grams")
         found.append(hit)
