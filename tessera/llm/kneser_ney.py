@@ -1,16 +1,21 @@
 """Interpolated modified Kneser-Ney bigrams, counted by Spark and kept as sorted hash arrays.
 
-Tasks count the bigrams of their texts in bounded chunks and send them, packed, to shards by hash. A shard merges
-its chunks and writes one file: sorted 64-bit bigram hashes and their counts. What it knows of single words goes
-on, packed, to word shards: counts, distinct predecessors (the lower order's continuation counts), and how many
-followers were seen once, twice, and more often (the back-off weights). Word shards write sorted files too.
-Scoring maps the files into memory and looks up sorted needles; no task or driver holds the model.
+Tasks cut their texts into chunks of bounded size and send the distinct bigrams of each, with their counts in training
+texts, to shards by hash. A shard merges what it gets, writes one file of sorted 64-bit bigram hashes and counts, maps
+it into memory, and answers each chunk's bigrams from it. What it knows of single words goes on to word shards:
+counts, distinct predecessors (the lower order's continuation counts), and how many followers were seen once, twice,
+and more often (the back-off weights). Word shards write sorted files too and answer each chunk's words from them.
+The answers to a chunk become two small files, in the order of the chunk's sorted hashes. Tasks then read the texts
+once more, chunk by chunk, map the two files of the chunk, and score its texts. So a task opens the files of one shard
+or of one chunk, whatever the size of the model, and the driver gets two rows of global numbers.
 
 Every word of the text and one end are predicted; the first is preceded by a start. The lower order is
 interpolated with the uniform distribution over the vocabulary and one unknown word, so every text has a score.
 
-Null, empty and blank texts are the end alone. Null ids never train and are not held out. Repeated rows count
-again. Without training rows all probabilities are 1. Surplus columns are ignored.
+The table is read twice and must give the same rows in the same order both times, as files and checkpoints do; if the
+answers don't fit a chunk, the task fails. Null, empty and blank texts are the end alone. Rows whose training flag is
+null are scored and don't train. Repeated rows count again. Without training rows all probabilities are 1. Surplus
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import os
 import posixpath
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from urllib.parse import urlsplit
@@ -29,21 +34,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, fresh_path, shuffle_partitions
+from tessera.llm.common import bounded_batches, fresh_path, removed, shuffle_partitions, stored
 
 U = np.uint64
-#: Tokens of a chunk that a task counts at a time.
-CHUNK = 4_000_000
-#: Tokens that a worker scores at a time.
-SCORED = 1_000_000
+#: Tokens of a chunk that a task counts or scores at a time.
+CHUNK = 3_000_000
 REMEMBERED = 100_000
-#: The bigrams of one predicted word are spread over at least so many shards, and over one shard in so many: a word
-#: that makes a third of all bigrams thus adds at most about three times its fair share to a shard.
+#: The bigrams that follow one word are spread over at least so many shards, and over one shard in so many: a word
+#: before a third of all bigrams thus adds at most about three times its fair share to a shard.
 SPREAD, SPREAD_ONE_IN = 8, 8
-#: Bytes of training text for each shard, so that a shard fits in a task at any size of the corpus.
+#: Bytes of text for each shard, so that a shard fits in a task at any size of the corpus.
 SHARD_BYTES = 64 << 20
 #: Counts below this take one byte in a file; larger ones lie in a list of exceptions.
 ESCAPE = 255
@@ -63,8 +67,8 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def pair_shard(before: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
     places = max(SPREAD, shards // SPREAD_ONE_IN)
-    spread = mixed(before ^ STEP) % U(places) * U(max(1, shards // places))
-    return ((mixed(word) % U(shards) + spread) % U(shards)).astype(np.int64)
+    spread = mixed(word ^ STEP) % U(places) * U(max(1, shards // places))
+    return ((mixed(before) % U(shards) + spread) % U(shards)).astype(np.int64)
 
 
 def word_shard(word: np.ndarray, shards: int) -> np.ndarray:
@@ -104,51 +108,116 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 def split(part: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that has rows, with the rows' places."""
     order = np.argsort(part, kind="stable")
-    at = runs(part[order])
-    for start, stop in zip(at, [*at[1:], len(part)], strict=True):
-        yield int(part[order[start]]), order[start:stop]
+    for shard, own in slices(part[order]):
+        yield shard, order[own]
 
 
-#: Packed rows on their way. kind 0: bigrams as before, word, count. kind 1: words as word, count, predecessors,
-#: followers seen once, twice, and more often. kind 2: the name of a file of bigrams and its counts of counts.
-SENT = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("path", pa.string()), ("facts", pa.list_(pa.int64()))])
-SENT_SQL = "kind int, shard long, keys binary, values binary, path string, facts array<long>"
+#: Packed rows on their way. ``to`` is a shard, or a chunk where answers go. Kinds: PAIRS a chunk's bigrams; WORDS a
+#: chunk's words; SEEN, FOLLOWED what a shard of bigrams knows of words; PAIR_ANSWERS, WORD_ANSWERS a shard's answers
+#: to a chunk; PAIR_FACTS, WORD_FACTS sums for the global numbers; DONE a file that was written.
+PAIRS, WORDS, SEEN, FOLLOWED, PAIR_ANSWERS, WORD_ANSWERS, PAIR_FACTS, WORD_FACTS, DONE = range(9)
+SENT = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("source", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("facts", pa.list_(pa.int64()))])
+SENT_SQL = "kind int, to long, source long, keys binary, values binary, facts array<long>"
+#: Chunks that a task may have.
+TASK_CHUNKS = 1 << 24
 
 
 def sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(SENT.names, r, strict=True)) for r in rows], SENT)
 
 
-def counted(texts: DataFrame, shards: int) -> DataFrame:
-    """Packed bigram counts of chunks of the texts."""
+def bytes_of(counts: np.ndarray) -> bytes:
+    """Counts, mostly small: a byte each, and the places and values of large ones."""
+    large = np.flatnonzero(counts >= ESCAPE)
+    return np.int64(len(large)).tobytes() + large.astype(np.int64).tobytes() + counts[large].astype(np.int64).tobytes() + np.minimum(counts, ESCAPE).astype(np.uint8).tobytes()
+
+
+def counts_in(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    large, values = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
+    counts = np.frombuffer(raw, np.uint8, -1, 8 + 16 * n).astype(np.int64)
+    counts[large] = values
+    return counts
 
-    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
-        before = np.concatenate([t[:-1] for t in held])
-        word = np.concatenate([t[1:] for t in held])
-        key = pair_hash(before, word)
-        order = np.argsort(key)
-        at = runs(key[order])
-        first, count = order[at], np.diff(np.r_[at, len(key)]).astype(np.uint32)
-        before, word = before[first], word[first]
-        rows = []
-        for shard, own in split(pair_shard(before, word, shards), shards):
-            own = own[np.argsort(before[own], kind="stable")]  # equal neighbours pack well
-            rows.append((0, shard, before[own].tobytes() + word[own].tobytes(), count[own].tobytes(), None, None))
-        return sent(rows)
+
+@dataclass
+class Chunk:
+    """The distinct bigrams and words of some texts, in an order that only depends on the texts and the shards."""
+
+    lengths: np.ndarray  # tokens of each text
+    before: np.ndarray  # of each distinct bigram, in the order in which shards get them
+    word: np.ndarray
+    count: np.ndarray  # in training texts
+    pair_at: np.ndarray  # of each token its bigram
+    pair_slices: list[tuple[int, slice]]
+    names: np.ndarray  # distinct words, in the order in which word shards get them
+    name_slices: list[tuple[int, slice]]
+
+
+def chunk_of(texts: list[np.ndarray], trains: list[bool], shards: int) -> Chunk:
+    before = np.concatenate([t[:-1] for t in texts])
+    word = np.concatenate([t[1:] for t in texts])
+    lengths = np.array([len(t) - 1 for t in texts])
+    order = np.argsort(key := pair_hash(before, word))
+    at = runs(key[order])
+    run_of = np.empty(len(key), np.int64)
+    run_of[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(key)]))
+    count = np.add.reduceat(np.repeat(np.array(trains, np.int64), lengths)[order], at)
+    first = order[at]
+    before, word = before[first], word[first]
+    del key, order
+    part = pair_shard(before, word, shards)
+    place = np.lexsort((before, part))  # equal words before pack well
+    back = np.empty(len(place), np.int64)
+    back[place] = np.arange(len(place))
+    names = np.unique(np.concatenate([before, word]))
+    home = word_shard(names, shards)
+    by_home = np.argsort(home, kind="stable")
+    return Chunk(lengths, before[place], word[place], count[place], back[run_of], slices(part[place]), names[by_home], slices(home[by_home]))
+
+
+def slices(part: np.ndarray) -> list[tuple[int, slice]]:
+    """Each shard of a sorted list, with its slice."""
+    at = runs(part)
+    return [(int(part[i]), slice(i, j)) for i, j in zip(at, [*at[1:], len(part)][: len(at)], strict=True)]
+
+
+def chunks_in(batches: Iterator[pa.RecordBatch], keep: Sequence[str], shards: int) -> Iterator[tuple[int, list[pa.RecordBatch], Chunk]]:
+    """The chunks of a task's texts: number, columns of ``keep``, and content. Only rows and their order decide."""
+    number, hashes = TaskContext.get().partitionId() * TASK_CHUNKS, WordHashes()
+    rows, texts, trains, size = [], [], [], 0
+    for batch in batches:
+        start, columns = 0, batch.select(list(keep))
+        for i, (text, train) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_train").to_pylist(), strict=True)):
+            texts.append(tokens_of(text, hashes))
+            trains.append(bool(train))
+            size += len(texts[-1])
+            if size >= CHUNK:
+                rows.append(columns.slice(start, i + 1 - start))
+                yield number, rows, chunk_of(texts, trains, shards)
+                rows, texts, trains, size, start, number = [], [], [], 0, i + 1, number + 1
+        if start < batch.num_rows:
+            rows.append(columns.slice(start))
+    if texts:
+        yield number, rows, chunk_of(texts, trains, shards)
+
+
+def asked(docs: DataFrame, shards: int) -> DataFrame:
+    """Packed bigrams and words of each chunk."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
-        for batch in batches:
-            for text in batch.column("_text").to_pylist():
-                held.append(tokens_of(text, hashes))
-                size += len(held[-1])
-                if size >= CHUNK:
-                    yield packed(held)
-                    held, size = [], 0
-        if held:
-            yield packed(held)
+        for number, _, chunk in chunks_in(batches, (), shards):
+            rows = []
+            for shard, own in chunk.pair_slices:
+                before, word, count = chunk.before[own], chunk.word[own], chunk.count[own]
+                at = runs(before)
+                keys = np.int64(len(at)).tobytes() + before[at].tobytes() + np.diff(np.r_[at, len(before)]).astype(np.uint32).tobytes() + word.tobytes()
+                rows.append((PAIRS, shard, number, keys, bytes_of(count), None))
+            rows += [(WORDS, shard, number, chunk.names[own].tobytes(), None, None) for shard, own in chunk.name_slices]
+            del chunk
+            yield sent(rows)
 
-    return texts.mapInArrow(work, SENT_SQL)
+    return docs.mapInArrow(work, SENT_SQL)
 
 
 @lru_cache(maxsize=8)
@@ -156,79 +225,176 @@ def opened(base: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(base) if urlsplit(base).scheme else (pyarrow.fs.LocalFileSystem(), base)
 
 
-def saved(base: str, label: str, shard: int, arrays: list[np.ndarray]) -> str:
-    """Writes arrays one after another, under a name of its own for each attempt; returns the name."""
+def saved(base: str, name: str, parts: Sequence[np.ndarray | bytes]) -> None:
+    """Writes parts one after another. Every attempt writes the same, under a name of its own until it is whole."""
     files, root = opened(base)
     files.create_dir(root, recursive=True)
-    name = f"{label}-{shard}-{uuid.uuid4().hex}"
-    with files.open_output_stream(posixpath.join(root, name)) as out:
-        for a in arrays:
-            out.write(np.ascontiguousarray(a).data.cast("B") if a.size else b"")
-    return name
+    own = posixpath.join(root, f"{name}-{uuid.uuid4().hex}")
+    with files.open_output_stream(own) as out:
+        for p in parts:
+            out.write(p if isinstance(p, bytes) else np.ascontiguousarray(p).data.cast("B") if p.size else b"")
+    files.move(own, posixpath.join(root, name))
+
+
+def mapped(base: str, name: str) -> np.ndarray:
+    """A file mapped into memory. From storage that is no folder it is fetched first, to a file without a name."""
+    files, root = opened(base)
+    path = posixpath.join(root, name)
+    if isinstance(files, pyarrow.fs.LocalFileSystem):
+        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.empty(0, np.uint8)
+    with tempfile.NamedTemporaryFile() as own, files.open_input_stream(path) as source:
+        while part := source.read(1 << 20):
+            own.write(part)
+        own.flush()
+        return np.memmap(own.name, np.uint8, "r") if os.path.getsize(own.name) else np.empty(0, np.uint8)
 
 
-def merged_pairs(base: str, shards: int):
-    """Merges a shard's bigrams, writes them, and passes on what it knows of words."""
+def cut(raw: np.ndarray, *parts: tuple[type, int]) -> list[np.ndarray]:
+    found, at = [], 0
+    for kind, n in parts:
+        size = np.dtype(kind).itemsize * n
+        found.append(raw[at : at + size].view(kind))
+        at += size
+    return found
+
+
+def pairs_in(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    befores, times = np.frombuffer(raw, U, n, 8), np.frombuffer(raw, np.uint32, n, 8 + 8 * n)
+    return np.repeat(befores, times), np.frombuffer(raw, U, -1, 8 + 12 * n)
+
+
+def found_in(keys: np.ndarray, needles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of needles among sorted keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(needles), np.int64), np.zeros(len(needles), bool)
+    place = np.minimum(np.searchsorted(keys, needles), len(keys) - 1)
+    return place, keys[place] == needles
+
+
+def pair_shard_work(base: str, shards: int) -> Callable[[pa.Table], pa.Table]:
+    """Merges a shard's bigrams, writes them, answers the chunks, and passes on what it knows of words."""
 
     def work(group: pa.Table) -> pa.Table:
-        shard = group["shard"][0].as_py()
-        befores, words, counts = [], [], []
-        for keys, values in zip(group["keys"], group["values"], strict=True):
-            both = np.frombuffer(keys.as_py(), U)
-            befores.append(both[: len(both) // 2])
-            words.append(both[len(both) // 2 :])
-            counts.append(np.frombuffer(values.as_py(), np.uint32))
+        if group["kind"][0].as_py() != PAIRS:
+            return group.select(SENT.names)
+        shard = group["to"][0].as_py()
+        keys, befores, words, counts = [], [], [], []
+        for raw, values in zip(group["keys"], group["values"], strict=True):
+            before, word = pairs_in(raw.as_py())
+            count = counts_in(values.as_py())
+            learned = count > 0  # others only ask
+            befores.append(before[learned])
+            words.append(word[learned])
+            counts.append(count[learned])
         before, word, count = map(np.concatenate, (befores, words, counts))
+        del befores, words, counts
         key = pair_hash(before, word)
         order = np.argsort(key)
         at = runs(key[order])
-        total = np.add.reduceat(count[order].astype(np.int64), at)
+        total = np.add.reduceat(count[order], at) if len(at) else count
         key, before, word = key[order[at]], before[order[at]], word[order[at]]
+        del order
         large = np.flatnonzero(total >= ESCAPE)
-        path = saved(base, "pairs", shard, [key, large.astype(np.int64), total[large], np.minimum(total, ESCAPE).astype(np.uint8)])
-        rows = [(2, shard, None, None, path, [len(key), len(large), *[int((total == j).sum()) for j in (1, 2, 3, 4)]])]
-        one = np.ones(len(key), np.int64)
-        none = np.zeros(len(key), np.int64)
-        times = [(total == 1).astype(np.int64), (total == 2).astype(np.int64), (total >= 3).astype(np.int64)]
-        seen, *values = summed(np.r_[word, before], np.r_[total, none], np.r_[one, none], *[np.r_[none, t] for t in times])
-        values = np.stack(values)
-        for to, own in split(word_shard(seen, shards), shards):
-            own_values = values[:, own]
-            rows.append((1, to, seen[own].tobytes(), own_values.astype(np.int64 if own_values.max() >= 2**31 else np.int32).tobytes(), None, None))
+        saved(base, f"pairs-{shard}", [key, large.astype(np.int64), total[large], np.minimum(total, ESCAPE).astype(np.uint8)])
+        keys, large, values, small = cut(mapped(base, f"pairs-{shard}"), (U, len(key)), (np.int64, len(large)), (np.int64, len(large)), (np.uint8, len(key)))
+        del key
+        rows = [(PAIR_FACTS, shard, None, None, None, [int((total == j).sum()) for j in (1, 2, 3, 4)])]
+        for raw, chunk in zip(group["keys"], group["source"], strict=True):
+            place, hit = found_in(keys, pair_hash(*pairs_in(raw.as_py())))
+            answer = np.where(hit, small[place], 0).astype(np.int64) if len(keys) else np.zeros(len(place), np.int64)
+            if (many := answer == ESCAPE).any():
+                answer[many] = values[np.searchsorted(large, place[many])]
+            rows.append((PAIR_ANSWERS, chunk.as_py(), shard, None, bytes_of(answer), None))
+        names, *stats = summed(word, total, np.ones(len(word), np.int64))
+        rows += knowledge(SEEN, names, stats, shards)
+        names, *stats = summed(before, *[(total == 1).astype(np.int64), (total == 2).astype(np.int64), (total >= 3).astype(np.int64)])
+        rows += knowledge(FOLLOWED, names, stats, shards)
         return pa.Table.from_batches([sent(rows)])
 
     return work
 
 
-def merged_words(base: str):
-    """Merges a shard's words and writes them; names of files pass through."""
+def knowledge(kind: int, names: np.ndarray, stats: list[np.ndarray], shards: int) -> list[tuple]:
+    rows, stats = [], np.stack(stats)
+    for to, own in split(word_shard(names, shards), shards):
+        values = stats[:, own]
+        rows.append((kind, to, None, names[own].tobytes(), values.astype(np.int64 if values.max() >= 2**31 else np.int32).tobytes(), None))
+    return rows
+
+
+#: What word shards know of a word: count, predecessors, followers seen once, twice, and more often.
+STATS = {SEEN: (0, 1), FOLLOWED: (2, 3, 4)}
+
+
+def word_shard_work(base: str) -> Callable[[pa.Table], pa.Table]:
+    """Merges a shard's words, writes them and answers the chunks. Answers of the other shards, that are to one chunk,
+    become its file; sums pass through."""
 
     def work(group: pa.Table) -> pa.Table:
-        if group["kind"][0].as_py() == 2:
+        kind = group["kind"][0].as_py()
+        if kind == PAIR_ANSWERS:
+            return answered(base, "p", group)
+        if kind == PAIR_FACTS:
             return group.select(SENT.names)
-        keys = [np.frombuffer(x.as_py(), U) for x in group["keys"]]
-        values = [np.frombuffer(x.as_py(), np.int32 if len(x.as_py()) == 20 * len(k) else np.int64).reshape(5, -1).astype(np.int64) for k, x in zip(keys, group["values"], strict=True)]
+        shard = group["to"][0].as_py()
+        keys, values = [np.empty(0, U)], [np.empty((5, 0), np.int64)]
+        for kind, raw, packed in zip(group["kind"].to_pylist(), group["keys"], group["values"], strict=True):
+            if kind in STATS:
+                keys.append(np.frombuffer(raw.as_py(), U))
+                n, width = len(keys[-1]), len(STATS[kind])
+                values.append(np.zeros((5, n), np.int64))
+                values[-1][STATS[kind], :] = np.frombuffer(packed.as_py(), np.int32 if len(packed.as_py()) == 4 * n * width else np.int64).reshape(width, n)
         key, *stats = summed(np.concatenate(keys), *np.concatenate(values, axis=1))
+        del keys, values
         count, predecessors = stats[:2]
-        shard = group["shard"][0].as_py()
-        path = saved(base, "words", shard, [key, count, *[s.astype(np.uint32) for s in stats[1:]]])
-        facts = [len(key), int(count.sum()), int((count > 0).sum()), int(predecessors.sum()), *[int((predecessors == j).sum()) for j in (1, 2, 3, 4)]]
-        return pa.Table.from_batches([sent([(3, shard, None, None, path, facts)])])
+        facts = [int(count.sum()), int((count > 0).sum()), int(predecessors.sum()), *[int((predecessors == j).sum()) for j in (1, 2, 3, 4)], 0]
+        saved(base, f"words-{shard}", [key, *stats])
+        own, *stats = cut(mapped(base, f"words-{shard}"), (U, len(key)), *[(np.int64, len(key))] * 5)
+        place, hit = found_in(own, np.array([END]))
+        facts[-1] = int(stats[0][place[0]]) if hit[0] else 0  # each text that was learned has one end
+        rows = [(WORD_FACTS, shard, None, None, None, facts)]
+        for kind, raw, chunk in zip(group["kind"].to_pylist(), group["keys"], group["source"], strict=True):
+            if kind == WORDS:
+                place, hit = found_in(own, np.frombuffer(raw.as_py(), U))
+                answer = [np.where(hit, s[place], 0) if len(own) else np.zeros(len(place), np.int64) for s in stats]
+                packed = list(map(bytes_of, answer))
+                rows.append((WORD_ANSWERS, chunk.as_py(), shard, None, np.array([len(x) for x in packed], np.int64).tobytes() + b"".join(packed), None))
+        return pa.Table.from_batches([sent(rows)])
+
+    return work
+
+
+def answered(base: str, label: str, group: pa.Table) -> pa.Table:
+    """Writes the answers to a chunk, in the order of the shards that they are from."""
+    chunk, order = group["to"][0].as_py(), np.argsort(group["source"].to_numpy())
+    answers = [group["values"][int(i)].as_py() for i in order]
+    saved(base, f"{label}-{chunk}", [np.array([len(answers), *map(len, answers)], np.int64), *answers])
+    return pa.Table.from_batches([sent([(DONE, chunk, None, None, None, None)])])
+
+
+def answers_in(base: str, label: str, chunk: int) -> list[bytes]:
+    raw = mapped(base, f"{label}-{chunk}")
+    n = int(raw[:8].view(np.int64)[0])
+    ends = np.cumsum(raw[8 : 8 + 8 * n].view(np.int64)) + 8 * (n + 1)
+    return [raw[i:j].tobytes() for i, j in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
+
+
+def answers_work(base: str) -> Callable[[pa.Table], pa.Table]:
+    def work(group: pa.Table) -> pa.Table:
+        return answered(base, "w", group) if group["kind"][0].as_py() == WORD_ANSWERS else group.select(SENT.names)
 
     return work
 
 
 @dataclass
-class Model:
-    """Where the files lie, and the few global numbers."""
+class Numbers:
+    """The global numbers of the model."""
 
-    base: str
-    shards: int
-    pairs: dict[int, tuple[str, int, int]]  # shard: file, bigrams, exceptions
-    words: dict[int, tuple[str, int]]
     tokens: int
     vocabulary: int
     types: int
+    starts: int
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_backoff: float
@@ -242,140 +408,75 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.0), float(j)) for j in (1, 2, 3))
 
 
-def fitted(train: DataFrame, *, text_col: str = "text", shards: int | None = None) -> Model:
-    """Counts all rows of ``train``. The driver gets a row of numbers for each shard."""
-    spark = train.sparkSession
+def numbers_of(pair_facts: list[int], word_facts: list[int]) -> Numbers:
+    tokens, vocabulary, types, *n, starts = word_facts
+    three = discounts(n)
+    spare = three[0] * n[0] + three[1] * n[1] + three[2] * (vocabulary - n[0] - n[1])
+    return Numbers(tokens, vocabulary, types, starts, discounts(pair_facts), three, spare / types if types else 1.0)
+
+
+def answered_chunks(docs: DataFrame, shards: int) -> tuple[str, Numbers]:
+    """Counts the training rows and answers every chunk; returns the folder of the files and the global numbers."""
+    spark = docs.sparkSession
+    base = fresh_path(spark, "kneser-ney")
+    whole = lambda kind: F.when(F.col("kind").isin(SEEN, FOLLOWED), F.lit(WORDS)).otherwise(F.col(kind))
+    pairs = asked(docs, shards).groupBy("kind", "to").applyInArrow(pair_shard_work(base, shards), SENT_SQL)
+    words = pairs.withColumn("goes", whole("kind")).groupBy("goes", "to").applyInArrow(lambda g: word_shard_work(base)(g.drop_columns(["goes"])), SENT_SQL)
+    done = words.groupBy("kind", "to").applyInArrow(answers_work(base), SENT_SQL)
+    # Written once, and with it the files; each is named by what it holds, so repeated attempts change nothing.
+    listed = stored(done.select("kind", "facts"), "kneser-ney-facts")
+    sums = {r["kind"]: [r[f"f{i}"] for i in range(8)] for r in listed.where("facts is not null").groupBy("kind").agg(*[F.sum(F.get("facts", F.lit(i))).alias(f"f{i}") for i in range(8)]).collect()}
+    removed(listed)
+    return base, numbers_of(sums.get(PAIR_FACTS, [0] * 8)[:4], sums.get(WORD_FACTS, [0] * 8))
+
+
+def scores_of(chunk: Chunk, m: Numbers, pair: np.ndarray, stats: np.ndarray) -> list[np.ndarray]:
+    """Of each text of a chunk its tokens, known tokens, base score and score. pair: counts of the chunk's bigrams;
+    stats: rows as in STATS, a column for each of the chunk's words."""
+    if len(pair) != len(chunk.before) or stats.shape[1] != len(chunk.names):
+        raise ValueError("the table gave other rows, or in another order, when it was read again")
+    order = np.argsort(chunk.names)
+    count, predecessors, once, twice, more = stats[:, order]
+    names = chunk.names[order]
+    of_before, of_word = np.searchsorted(names, chunk.before), np.searchsorted(names, chunk.word)
+    d = np.array([0.0, *m.pair_discounts])
+    e = np.array([0.0, *m.word_discounts])
+    uniform = 1 / (m.vocabulary + 1)
+    lower = (predecessors - e[np.minimum(predecessors, 3)]) / m.types + m.word_backoff * uniform if m.types else np.full(len(names), uniform)
+    weight = d[1] * once + d[2] * twice + d[3] * more
+    # A start is never predicted and so has no count of its own: it precedes one token of each text.
+    total = np.maximum(np.where(names == START, m.starts, count), 1)
+    seen = (once + twice + more)[of_before] > 0
+    p = np.where(seen, (pair - d[np.minimum(pair, 3)] + weight[of_before] * lower[of_word]) / total[of_before], lower[of_word])
+    base = np.log10((count[of_word] + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
+    starts = np.r_[0, np.cumsum(chunk.lengths)[:-1]]
+    per_token = ((count[of_word] > 0).astype(np.int64), base, np.log10(p))
+    return [chunk.lengths, *[np.add.reduceat(x[chunk.pair_at], starts) for x in per_token]]
+
+
+def scored(docs: DataFrame, train: Column, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", shards: int | None = None) -> DataFrame:
+    """The columns of ``keep``, then n_tokens, n_known, train_tokens, base_score, score and perplexity of each row of
+    ``docs``, by the model of those rows for which ``train`` is true."""
+    spark = docs.sparkSession
     bounded_batches(spark)
     if not shards:
-        size = train.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
         shards = max(8, shuffle_partitions(spark), math.ceil(size / SHARD_BYTES))
-    base = fresh_path(spark, "kneser-ney")
-    chunks = counted(train.select(F.col(text_col).alias("_text")), shards)
-    pairs = chunks.groupBy("shard").applyInArrow(merged_pairs(base, shards), SENT_SQL)
-    # Each list of files is written once, so that files of repeated attempts are never named.
-    listed = f"{base}-list"
-    pairs.groupBy("kind", "shard").applyInArrow(merged_words(base), SENT_SQL).select("kind", "shard", "path", "facts").write.parquet(listed)
-    rows = spark.read.parquet(listed).collect()
-    of = lambda kind: [r for r in rows if r["kind"] == kind]
-    total = lambda kind, i: sum(r["facts"][i] for r in of(kind))
-    word_counts = [total(3, i) for i in (4, 5, 6, 7)]
-    types, three = total(3, 3), discounts(word_counts)
-    seen_more = total(3, 2) - word_counts[0] - word_counts[1]
-    left = (three[0] * word_counts[0] + three[1] * word_counts[1] + three[2] * seen_more) / types if types else 1.0
-    return Model(base, shards, {r["shard"]: (r["path"], *r["facts"][:2]) for r in of(2)}, {r["shard"]: (r["path"], r["facts"][0]) for r in of(3)}, total(3, 1), total(3, 2), types, discounts([total(2, i) for i in (2, 3, 4, 5)]), three, left)
-
-
-def mapped(base: str, name: str) -> np.ndarray:
-    """A file mapped into memory. From storage that is no folder it is fetched first, to a file without a name."""
-    files, root = opened(base)
-    path = posixpath.join(root, name)
-    if isinstance(files, pyarrow.fs.LocalFileSystem):
-        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.empty(0, np.uint8)
-    with tempfile.NamedTemporaryFile() as own, files.open_input_stream(path) as source:
-        while part := source.read(1 << 20):
-            own.write(part)
-        own.flush()
-        return np.memmap(own.name, np.uint8, "r") if os.path.getsize(own.name) else np.empty(0, np.uint8)
-
-
-def cut(raw: np.ndarray, *parts: tuple[type, int]) -> list[np.ndarray]:
-    found, at = [], 0
-    for kind, n in parts:
-        size = np.dtype(kind).itemsize * n
-        found.append(raw[at : at + size].view(kind))
-        at += size
-    return found
-
-
-class Lookup:
-    """The model as a worker sees it."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.pairs = {s: cut(mapped(model.base, p), (U, n), (np.int64, e), (np.int64, e), (np.uint8, n)) for s, (p, n, e) in model.pairs.items()}
-        self.words = {s: cut(mapped(model.base, p), (U, n), (np.int64, n), *[(np.uint32, n)] * 4) for s, (p, n) in model.words.items()}
-        self.starts = int(self.word_stats(np.array([END]))[0, 0])  # texts that were learned: each has one end
-
-    def pair_counts(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(word), np.int64)
-        key, part = pair_hash(before, word), pair_shard(before, word, self.model.shards)
-        order = np.lexsort((key, part))
-        at = runs(part[order])
-        for start, stop in zip(at, [*at[1:], len(part)], strict=True):
-            if arrays := self.pairs.get(int(part[order[start]])):
-                keys, large, values, small = arrays
-                own = order[start:stop]
-                place = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
-                count = np.where(keys[place] == key[own], small[place], 0).astype(np.int64)
-                if len(large) and (many := count == ESCAPE).any():
-                    count[many] = values[np.searchsorted(large, place[many])]
-                found[own] = count
-        return found
-
-    def word_stats(self, word: np.ndarray) -> np.ndarray:
-        """Rows: count, predecessors, followers seen once, twice, and more often. Columns: the words, sorted and distinct."""
-        found = np.zeros((5, len(word)), np.int64)
-        for shard, own in split(word_shard(word, self.model.shards), self.model.shards):
-            if arrays := self.words.get(shard):
-                keys, *stats = arrays
-                place = np.minimum(np.searchsorted(keys, word[own]), len(keys) - 1)
-                hit = keys[place] == word[own]
-                for i, s in enumerate(stats):
-                    found[i, own] = np.where(hit, s[place], 0)
-        return found
-
-    def scores(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """For each text its tokens, known tokens, base score and score."""
-        m = self.model
-        before, word = np.concatenate([t[:-1] for t in texts]), np.concatenate([t[1:] for t in texts])
-        names, at = np.unique(np.r_[word, before], return_inverse=True)
-        count, predecessors, once, twice, more = self.word_stats(names)
-        d = np.array([0.0, *m.pair_discounts])
-        e = np.array([0.0, *m.word_discounts])
-        uniform = 1 / (m.vocabulary + 1)
-        lower = (predecessors - e[np.minimum(predecessors, 3)]) / m.types + m.word_backoff * uniform if m.types else np.full(len(names), uniform)
-        followed = once + twice + more
-        weight = d[1] * once + d[2] * twice + d[3] * more
-        of_word, of_before = at[: len(word)], at[len(word) :]
-        # A start is never predicted and so has no count of its own: it precedes one token of each text.
-        total = count.copy()
-        total[names == START] = self.starts
-        pair = self.pair_counts(before, word)
-        whole = np.maximum(total[of_before], 1)
-        seen = followed[of_before] > 0
-        p = np.where(seen, (pair - d[np.minimum(pair, 3)]) / whole + weight[of_before] / whole * lower[of_word], lower[of_word])
-        known = count[of_word]
-        base = np.log10((known + 0.5) / (m.tokens + 0.5 * (m.vocabulary + 1)))
-        starts = np.r_[0, np.cumsum([len(t) - 1 for t in texts])[:-1]]
-        return [np.array([len(t) - 1 for t in texts]), *[np.add.reduceat(x, starts) for x in ((known > 0).astype(np.int64), base, np.log10(p))]]
-
-
-@lru_cache(maxsize=1)
-def lookup(key: str, shared) -> Lookup:
-    return Lookup(shared.value)
-
-
-def scored(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of ``keep``, then n_tokens, n_known, train_tokens, base_score, score and perplexity."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # names of files and a few numbers
-    base, train_tokens = model.base, model.tokens
+    rows = docs.select(*keep, docs[text_col].alias("_text"), train.alias("_train"))
+    base, numbers = answered_chunks(rows, shards)
     named = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = lookup(base, shared), WordHashes()
-        for batch in batches:
-            found, held, size = [], [], 0
-            texts = batch.column("_text").to_pylist()
-            for i, text in enumerate(texts):
-                held.append(tokens_of(text, hashes))
-                size += len(held[-1])
-                if size >= SCORED or i == len(texts) - 1:
-                    found.append(own.scores(held))
-                    held, size = [], 0
-            if found:
-                n, known, base_score, score = map(np.concatenate, zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n), pa.array(known), pa.array(np.full(len(n), train_tokens)), pa.array(base_score), pa.array(score), pa.array(10.0 ** np.minimum(-score / n, 300))], names=[*keep, *named])
-
-    return docs.select(*keep, docs[text_col].alias("_text")).mapInArrow(work, f"{kinds}n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+        for number, kept, chunk in chunks_in(batches, keep, shards):
+            pair = np.concatenate([counts_in(raw) for raw in answers_in(base, "p", number)])
+            parts = []
+            for raw in answers_in(base, "w", number):
+                ends = np.cumsum(np.frombuffer(raw, np.int64, 5)) + 40
+                parts.append(np.stack([counts_in(raw[i:j]) for i, j in zip([40, *ends[:-1]], ends, strict=True)]))
+            n, known, base_score, score = scores_of(chunk, numbers, pair, np.concatenate(parts, axis=1))
+            own = pa.Table.from_batches(kept) if keep else None
+            columns = [pa.array(n), pa.array(known), pa.array(np.full(len(n), numbers.tokens)), pa.array(base_score), pa.array(score), pa.array(10.0 ** np.minimum(-score / n, 300))]
+            yield from pa.table([*[own[c] for c in keep], *columns], names=[*keep, *named]).to_batches()
+
+    return rows.mapInArrow(work, f"{kinds}n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

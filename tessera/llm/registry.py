@@ -55,9 +55,9 @@ def op8_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneser_ney.fitted(docs.where(crc_of_id(F.col("doc_id"), 5) != 1))
     held_out = F.coalesce(crc_of_id(F.col("doc_id"), 5) == 1, F.lit(False))
-    return kneser_ney.scored(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    train = F.coalesce(crc_of_id(F.col("doc_id"), 5) != 1, F.lit(False))
+    return kneser_ney.scored(docs.withColumn("held_out", held_out), train, keep=("doc_id", "held_out"))
 
 
 def op10_golden_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

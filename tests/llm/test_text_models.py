@@ -150,8 +150,7 @@ def brute_counts(text):
 
 def test_quality_counts_and_verdicts(spark, documents):
     labels = spark.read.parquet(f"{D}/labels.parquet")
-    forest = quality.fitted(documents, labels)
-    rows = quality.measured(documents, ("doc_id", "text"), forest).collect()
+    rows = quality.measured(documents, labels, ("doc_id", "text")).collect()
     assert len(rows) == documents.count()
     for r in rows:
         want = brute_counts(r["text"])
@@ -161,10 +160,40 @@ def test_quality_counts_and_verdicts(spark, documents):
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
     passing = [r for r in rows if r["doc_id"] in good and not r["base_failed"]]
     assert sum(r["kept"] for r in passing) >= 0.97 * len(passing)
-    for r in quality.measured(odd(spark), ("doc_id", "text"), forest).collect():
+    forest = quality.fitted(quality.counted(documents, ("doc_id",)), labels)
+    brute = [brute_score(forest, x) for x in quality.counted(documents, ("doc_id",)).orderBy("doc_id").select("features").toArrow()["features"].to_pylist()]
+    got = sorted(rows, key=lambda r: r["doc_id"])
+    assert all(abs(r["anomaly"] - b) < 1e-9 and r["kept"] == (not r["base_failed"] and b < forest.threshold) for r, b in zip(got, brute, strict=True))
+    clash = odd(spark)
+    for r in quality.judged(quality.counted(clash.drop("kept"), ("doc_id", "text")), forest).collect():
         assert tuple(r[c] for c in quality.COUNTS) == brute_counts(r["text"])
-    none = quality.fitted(documents, labels.limit(0))
-    assert all(r["kept"] != r["base_failed"] for r in quality.measured(documents, ("doc_id",), none).collect())
+    assert quality.measured(clash, labels).count() == clash.count()
+    assert all(r["kept"] != r["base_failed"] for r in quality.measured(documents, labels.limit(0)).collect())
+    assert quality.measured(documents.limit(0), labels).collect() == []
+
+
+def brute_score(forest, x):
+    """The score by its definition: a walk down each tree, then two to the power of minus the mean path over its norm."""
+    paths = []
+    for feature, value in zip(forest.feature, forest.value, strict=True):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + 1 + (x[feature[node]] >= value[node])
+        paths.append(value[node])
+    return 2 ** (-sum(paths) / len(paths) / forest.norm)
+
+
+def test_threshold_against_every_other(spark, documents):
+    """No other score that loses as few good rows tells more poor rows from good ones."""
+    rng = random.Random(2)
+    for _ in range(50):
+        cells = [(round(rng.random(), 2), rng.random() < 0.8, rng.randint(1, 9)) for _ in range(40)]
+        cells = [(s, int(q), n) for s, q, n in cells]
+        good, poor = (sum(n for _, q, n in cells if q == k) for k in (1, 0))
+        share = lambda at, k, whole: sum(n for s, q, n in cells if q == k and s >= at) / whole  # noqa: B023, E731
+        gains = {at: share(at, 0, poor) - share(at, 1, good) for at, _, _ in cells if share(at, 1, good) <= 0.1}
+        found = quality.calibrated(cells, 0.1)
+        assert max([0, *gains.values()]) <= (gains[found] if found < math.inf else 0) + 1e-12
 
 
 def test_repeats_without_overflow(monkeypatch):
@@ -217,24 +246,34 @@ def test_kneser_ney_against_brute_force(spark, documents, monkeypatch, chunk):
     train = [r["text"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
     p, count, score = brute_model(train)
     assert abs(sum(p(b"the", w) for w in count) + p(b"the", b"<unseen>") - 1) < 1e-9
-    model = kneser_ney.fitted(documents.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1"), shards=5)
-    for d in (documents, odd(spark)):
-        texts = Counter((r["doc_id"], r["text"]) for r in d.collect())
-        by_id = {i: t for i, t in texts}
-        for r in kneser_ney.scored(d, model).collect():
-            want = score(by_id[r["doc_id"]])
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
-            assert abs(r["base_score"] - want[3]) < 1e-6 and abs(r["score"] - want[4]) < 1e-6
+    own = documents.select("doc_id", "text", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1").alias("learn"))
+    more = odd(spark).select((F.col("doc_id") + 10**9).alias("doc_id"), "text", F.lit(None).cast("boolean").alias("learn"))
+    whole = own.union(more)
+    by_id = {r["doc_id"]: r["text"] for r in whole.collect()}
+    got = kneser_ney.scored(whole.withColumn("score", F.lit("clash")), F.col("learn"), shards=5).collect()
+    assert len(got) == whole.count()
+    for r in got:
+        want = score(by_id[r["doc_id"]])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[:3]
+        assert abs(r["base_score"] - want[3]) < 1e-6 and abs(r["score"] - want[4]) < 1e-6
 
 
 def test_kneser_ney_without_training_rows(spark, documents):
-    model = kneser_ney.fitted(documents.limit(0))
-    assert all(r["score"] == 0 and r["n_known"] == 0 for r in kneser_ney.scored(documents.limit(5), model).collect())
+    rows = kneser_ney.scored(documents.limit(5), F.lit(False)).collect()
+    assert len(rows) == 5 and all(r["score"] == 0 and r["n_known"] == 0 for r in rows)
+    assert kneser_ney.scored(documents.limit(0), F.lit(True)).collect() == []
 
 
 def test_large_counts_are_exceptions(spark):
     rows = spark.createDataFrame([("a b " * 400,), ("c d",)], "text string")
     _, _, score = brute_model(["a b " * 400, "c d"])
-    model = kneser_ney.fitted(rows, shards=3)
-    for r in kneser_ney.scored(rows, model, keep=("text",)).collect():
+    for r in kneser_ney.scored(rows, F.lit(True), keep=("text",), shards=3).collect():
         assert abs(r["score"] - score(r["text"])[4]) < 1e-6
+
+
+def test_kneser_ney_refuses_other_rows_than_it_answered():
+    texts = [kneser_ney.tokens_of("a b c", kneser_ney.WordHashes())]
+    chunk = kneser_ney.chunk_of(texts, [True], 2)
+    numbers = kneser_ney.numbers_of([0] * 4, [0] * 8)
+    with pytest.raises(ValueError, match="another order"):
+        kneser_ney.scores_of(chunk, numbers, kneser_ney.np.zeros(3, int), kneser_ney.np.zeros((5, len(chunk.names)), int))
