@@ -30,23 +30,31 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def with_digest(docs: DataFrame) -> DataFrame:
+    """Of each row the id, the text and the text's digest. Verdicts are on texts, so texts stay where they are, and only
+    the digests of the rejected ones are sent to them."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", "text", F.sha1(text.cast("binary")).alias("digest"))
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose texts aren't among the rejected ones."""
+    rows, at = numbered(docs)
+    own = rows.withColumn("digest", F.sha1(F.coalesce(F.col(at["text"]), F.lit("")).cast("binary")))
+    return own.join(rejected.select("digest").distinct(), "digest", "left_anti").select(*at.values()).toDF(*docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those whose language stays unsure."""
     model = langid.fitted(docs)
-    # The verdict is one on the text, so texts stay where they are and only the rejected ones' digests are sent.
-    digest = F.sha1(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    found = langid.predicted(docs.select(digest.alias("digest"), "text"), model, keep=("digest",))
-    rejected = found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_SCORE)).select("digest").distinct()
-    rows, at = numbered(docs)
-    own = rows.withColumn("digest", F.sha1(F.coalesce(F.col(at["text"]), F.lit("")).cast("binary")))
-    return own.join(rejected, "digest", "left_anti").select(*at.values()).toDF(*docs.columns)
+    found = langid.predicted(with_digest(docs).select("digest", "text"), model, keep=("digest",))
+    return without(docs, found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_SCORE)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rule or that the isolation forest finds anomalous."""
-    forest = quality.fitted(docs, table(spark, sf_dir, "labels"))
-    rows, at = numbered(docs)
-    return quality.measured(rows, tuple(at.values()), forest, at["text"]).where("kept").select(*at.values()).toDF(*docs.columns)
+    rows = with_digest(docs).select("doc_id", "digest", "text")
+    return without(docs, quality.measured(rows, table(spark, sf_dir, "labels"), ("doc_id", "digest")).where("not kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
