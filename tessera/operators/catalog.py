@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.sources.storage import settled
 
 
 def sources(entries: DataFrame, todos: DataFrame, pages: DataFrame) -> DataFrame:
@@ -16,16 +20,58 @@ def sources(entries: DataFrame, todos: DataFrame, pages: DataFrame) -> DataFrame
     return e.unionByName(t).unionByName(p)
 
 
-def filtered(catalog: DataFrame, providers: list[str], tags: list[str], contains: str, answerable: bool) -> DataFrame:
-    """The conjunction of a plan's filters, case-folded; an empty filter passes (P5)."""
-    rows = catalog
-    if providers:
-        rows = rows.where(F.col("provider").isin(*providers))
-    if tags:
-        rows = rows.where(F.lower("tag").isin(*[t.lower() for t in tags]))
-    if contains:
-        rows = rows.where(F.contains(F.lower("title"), F.lit(contains.lower())))
-    return rows.where("answerable") if answerable else rows
+@dataclass(frozen=True)
+class Plan:
+    """The filters of a retrieval plan; an empty one passes everything."""
+
+    providers: tuple[str, ...] = ()
+    kinds: tuple[str, ...] = ()
+    tags: tuple[str, ...] = ()
+    breadcrumb: str = ""
+    todo_status: str = ""
+    named_source: str = ""
+    start: str = ""
+    end: str = ""
+    answer_context: bool = False
+
+
+def in_dates(at: Column, start: str, end: str) -> Column:
+    """Whether a day, as text, lies between two, both included (P6). Without bounds all pass, with bounds no day fails."""
+    if not start and not end:
+        return F.lit(True)
+    day = F.substring(F.coalesce(at, F.lit("")), 1, 10)
+    ok = day != ""
+    if start:
+        ok &= day >= start[:10]
+    return ok & (day <= end[:10]) if end else ok
+
+
+def filtered(refs: DataFrame, plan: Plan) -> DataFrame:
+    """References that meet all filters of a plan, case-folded (P5), the first of each user's key; blank keys all stay.
+
+    refs: (user_id, n, key, provider, kind, title, tags, breadcrumb, todo_status, at, answerable); n orders them.
+    A reference needs all tags that the plan names.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    rows = refs.where(in_dates(F.col("at"), plan.start, plan.end))
+    if plan.providers:
+        rows = rows.where(F.col("provider").isin(*plan.providers))
+    if plan.kinds:
+        rows = rows.where(F.col("kind").isin(*plan.kinds))
+    if plan.tags:
+        wanted = F.array(*[F.lit(x.lower()) for x in plan.tags])
+        rows = rows.where(F.size(F.array_except(wanted, F.transform("tags", F.lower))) == 0)
+    if plan.breadcrumb:
+        rows = rows.where(F.contains(low("breadcrumb"), F.lit(plan.breadcrumb.lower())))
+    if plan.todo_status:
+        rows = rows.where((F.col("kind") == "todo") & (F.col("todo_status") == plan.todo_status))
+    if plan.named_source:
+        needle = F.lit(plan.named_source.lower())
+        rows = rows.where(F.contains(F.concat(low("title"), F.lit("\n"), low("breadcrumb")), needle))
+    if plan.answer_context:
+        rows = rows.where("answerable")
+    nth = F.row_number().over(Window.partitionBy("user_id", "key").orderBy("n"))
+    return rows.withColumn("_nth", nth).where("_nth = 1 or coalesce(key, '') = ''").drop("_nth")
 
 
 def discovered(catalog: DataFrame, topic: str, terms: list[str], offset: int, limit: int) -> DataFrame:
@@ -45,33 +91,57 @@ def group_counts(catalog: DataFrame) -> DataFrame:
     return catalog.select("user_id", F.explode(parts).alias("p")).groupBy("user_id", "p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sync_rollup(pages: DataFrame) -> DataFrame:
-    """A connection's status from its pages' (A15): failed without any success, then syncing, partial, ready."""
-    has = lambda *s: F.bool_or(F.col("sync_status").isin(*s))
-    status = F.when(has("failed") & ~has("indexed", "partial"), "failed").when(has("syncing", "pending"), "syncing").when(has("partial", "failed"), "partial").otherwise("ready")
-    return pages.groupBy("host").agg(status.alias("status"), F.count(F.lit(1)).alias("pages"))
-
+def sync_rollup(connections: DataFrame, pages: DataFrame) -> DataFrame:
+    """The sync status of each connection from its pages that aren't deleted (A15): failed without any success, then
+    syncing, then partial, else ready. A connection that must sign in again keeps the status that it has.
 
-def breadcrumbs(pages: DataFrame, chars: int = 1024, depth: int = 8) -> DataFrame:
-    """Titles from the root to a page (T16). Levels are bounded, and a page met before ends the chain."""
+    connections: (host, status, sync_status); pages: (host, sync_status).
+    """
+    has = lambda *s: F.bool_or(F.col("sync_status").isin(*s))
+    flags = pages.where("sync_status <> 'deleted'").groupBy("host").agg(
+        has("failed").alias("failed"),
+        has("indexed", "partial").alias("usable"),
+        has("pending", "processing").alias("open"),
+        has("partial", "failed", "permission_lost").alias("flawed"),
+        F.count(F.lit(1)).alias("pages"),
+    )
+    rows = connections.join(flags, "host", "left")
+    status = F.when(F.col("failed") & ~F.col("usable"), "failed").when(F.col("open"), "syncing").when(F.col("flawed"), "partial").otherwise("ready")
+    kept = F.when(F.col("status") == "reauth_required", F.col("sync_status")).otherwise(status)
+    return rows.select("host", kept.alias("sync_status"), F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+def breadcrumbs(pages: DataFrame, chars: int = 1024) -> DataFrame:
+    """Titles from the root to a page (T16), whatever the depth: levels go on until none is left. A page met before,
+    or one that isn't there, ends the chain."""
     up = pages.select(F.col("id").alias("_id"), F.col("parent_id").alias("_next"), F.col("title").alias("_title"))
     rows = pages.select("id", F.col("parent_id").alias("next"), F.array("title").alias("titles"), F.array("id").alias("seen"))
-    done = None
-    for _ in range(depth):
-        ends = rows.where("next is null").select("id", "titles")
-        done = ends if done is None else done.union(ends)
-        met = rows.where("next is not null").join(up, F.col("next") == F.col("_id"), "left")
+    done = []
+    while True:
+        done.append(rows.where("next is null").select("id", "titles"))
+        rows = rows.where("next is not null")
+        if rows.isEmpty():
+            whole = reduce(DataFrame.union, done)
+            return whole.select("id", F.substring(F.array_join("titles", " / "), 1, chars).alias("breadcrumb"))
+        met = rows.join(up, F.col("next") == F.col("_id"), "left")
         stop = F.col("_id").isNull() | F.array_contains("seen", F.col("_id"))
-        rows = met.select("id", F.when(~stop, F.col("_next")).alias("next"), F.when(stop, F.col("titles")).otherwise(F.concat(F.array("_title"), "titles")).alias("titles"), F.when(stop, F.col("seen")).otherwise(F.array_append("seen", F.col("_id"))).alias("seen"))
-    return done.union(rows.select("id", "titles")).select("id", F.substring(F.array_join("titles", " / "), 1, chars).alias("breadcrumb"))
+        on = lambda here, there: F.when(stop, here).otherwise(there)  # noqa: E731, B023
+        titles = on(F.col("titles"), F.concat(F.array("_title"), "titles"))
+        seen = on(F.col("seen"), F.array_append("seen", F.col("_id")))
+        rows = settled(met.select("id", F.when(~stop, F.col("_next")).alias("next"), titles.alias("titles"), seen.alias("seen")))
 
 
-def owned_subtree(entries: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:
-    """Entries under the starts that belong to the start's user."""
+def owned_subtree(entries: DataFrame, starts: DataFrame) -> DataFrame:
+    """Entries under the starts that belong to the start's user (T15), level by level until none is new."""
     level = starts.select("id", F.col("id").alias("start"), "user_id", F.lit(0).cast("long").alias("distance"))
-    found = level
     below = entries.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"), F.col("user_id").alias("_user"))
-    for d in range(1, depth + 1):
-        level = level.join(below, (F.col("id") == F.col("_up")) & (F.col("user_id") == F.col("_user"))).select(F.col("_id").alias("id"), "start", "user_id", F.lit(d).cast("long").alias("distance"))
-        found = found.union(level)
-    return found.select("start", "id", "distance")
+    found, d = [level], 0
+    while True:
+        d += 1
+        near = (F.col("id") == F.col("_up")) & (F.col("user_id") == F.col("_user"))
+        met = level.join(below, near).select(F.col("_id").alias("id"), "start", "user_id", F.lit(d).cast("long").alias("distance"))
+        known = reduce(DataFrame.union, found).select("start", "id")
+        level = settled(met.join(known, ["start", "id"], "left_anti"))
+        if level.isEmpty():
+            return reduce(DataFrame.union, found).select("start", "id", "distance")
+        found.append(level)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -44,25 +46,90 @@ def discovery_groups(spark, d):
     return c.group_counts(catalog_of(spark, d))
 
 
-@query("SELECT * FROM catalog WHERE provider IN ('record', 'page') AND lower(tag) IN ('src1', 'en') AND contains(lower(title), 'the') AND answerable", CATALOG)
+REFS = """refs AS (
+ SELECT user_id, id * 4 + k AS n, 'entry:' || CAST(id AS VARCHAR) AS key, 'record' AS provider, 'record' AS kind,
+   substr(trim(split_part(content, chr(10), 1), ' '), 1, 120) AS title, list_filter([label_code, upper(lang), 'note'], lambda x: x IS NOT NULL) AS tags,
+   coalesce(label_code, '') || ' / ' || coalesce(lang, '') AS breadcrumb, NULL AS todo_status, strftime(created_at, '%Y-%m-%d') AS at, true AS answerable
+ FROM entries, (VALUES (0), (1)) v(k) WHERE k = 0 OR id % 10 = 0
+ UNION ALL SELECT user_id, id * 4 + 2, 'todo:' || CAST(id AS VARCHAR), 'record', 'todo', content, [priority], 'Tasks', CASE WHEN is_done THEN 'done' ELSE 'open' END, strftime(created_on, '%Y-%m-%d'), true FROM todos
+ UNION ALL SELECT user_id, id * 4 + 3, CASE WHEN id % 11 = 0 THEN '' ELSE 'page:' || CAST(id AS VARCHAR) END, 'page', CASE WHEN parent_id IS NULL THEN 'page' ELSE 'database_row' END, title, [lang, 'web'], host || ' / ' || title, NULL,
+   CASE WHEN id % 5 <> 0 THEN strftime(DATE '2024-01-01' + CAST(id % 60 AS INTEGER), '%Y-%m-%d') END, sync_status IN ('indexed', 'partial') FROM site_pages)"""
+
+
+def references(spark, d):
+    """References as a retrieval plan sees them; one entry in ten is listed twice, and some pages have no key."""
+    entries, todos, pages = t.entries(spark, d), t.todos(spark, d), t.pages(spark, d)
+    again = F.explode(F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k")
+    e = entries.select("*", again).select(
+        "user_id", (F.col("id") * 4 + F.col("k")).alias("n"), F.concat(F.lit("entry:"), F.col("id").cast("string")).alias("key"), F.lit("record").alias("provider"), F.lit("record").alias("kind"),
+        tx.title(F.col("content")).alias("title"), F.array_compact(F.array("label_code", F.upper("lang"), F.lit("note"))).alias("tags"),
+        F.concat(F.coalesce("label_code", F.lit("")), F.lit(" / "), F.coalesce("lang", F.lit(""))).alias("breadcrumb"),
+        F.lit(None).cast("string").alias("todo_status"), F.date_format("created_at", "yyyy-MM-dd").alias("at"), F.lit(True).alias("answerable"),
+    )
+    o = todos.select(
+        "user_id", (F.col("id") * 4 + 2).alias("n"), F.concat(F.lit("todo:"), F.col("id").cast("string")).alias("key"), F.lit("record").alias("provider"), F.lit("todo").alias("kind"), F.col("content").alias("title"), F.array("priority").alias("tags"),
+        F.lit("Tasks").alias("breadcrumb"), F.when(F.col("is_done"), "done").otherwise("open").alias("todo_status"), F.date_format("created_on", "yyyy-MM-dd").alias("at"), F.lit(True).alias("answerable"),
+    )
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 60).cast("int")), "yyyy-MM-dd")
+    p = pages.select(
+        "user_id", (F.col("id") * 4 + 3).alias("n"), F.when(F.col("id") % 11 == 0, "").otherwise(F.concat(F.lit("page:"), F.col("id").cast("string"))).alias("key"), F.lit("page").alias("provider"),
+        F.when(F.col("parent_id").isNull(), "page").otherwise("database_row").alias("kind"), "title", F.array("lang", F.lit("web")).alias("tags"), F.concat("host", F.lit(" / "), "title").alias("breadcrumb"),
+        F.lit(None).cast("string").alias("todo_status"), F.when(F.col("id") % 5 != 0, day).alias("at"), F.col("sync_status").isin("indexed", "partial").alias("answerable"),
+    )
+    return e.unionByName(o).unionByName(p)
+
+
+PLANS = {
+    0: c.Plan(providers=("record",), tags=("SRC1", "en")),
+    1: c.Plan(providers=("page",), tags=("web",), breadcrumb="Example.COM", start="2024-01-10", end="2024-02-05", answer_context=True),
+    2: c.Plan(todo_status="open", tags=("p0",)),
+    3: c.Plan(kinds=("record", "page"), named_source="The", end="2024-01-31"),
+}
+
+
+@query(
+    """SELECT plan, user_id, n, key, title FROM (
+ SELECT 0 AS plan, * FROM refs WHERE provider = 'record' AND len(list_filter(tags, lambda x: lower(x) = 'src1')) > 0 AND len(list_filter(tags, lambda x: lower(x) = 'en')) > 0
+ UNION ALL SELECT 1, * FROM refs WHERE provider = 'page' AND breadcrumb ILIKE '%example.com%' AND ("at" BETWEEN '2024-01-10' AND '2024-02-05') AND answerable
+ UNION ALL SELECT 2, * FROM refs WHERE kind = 'todo' AND todo_status = 'open' AND list_contains(tags, 'P0')
+ UNION ALL SELECT 3, * FROM refs WHERE kind IN ('record', 'page') AND (title ILIKE '%the%' OR breadcrumb ILIKE '%the%') AND "at" <= '2024-01-31')
+ QUALIFY row_number() OVER (PARTITION BY plan, user_id, key ORDER BY n) = 1 OR coalesce(key, '') = ''""",
+    REFS,
+)
 def plan_filter(spark, d):
-    return c.filtered(catalog_of(spark, d), ["record", "page"], ["SRC1", "en"], "The", True)
+    rows = references(spark, d)
+    parts = [c.filtered(rows, plan).select(F.lit(i).alias("plan"), "user_id", "n", "key", "title") for i, plan in PLANS.items()]
+    return reduce(lambda a, b: a.union(b), parts)
+
 
+CONNECTIONS = """page_states AS (SELECT host, CASE WHEN id % 13 = 3 THEN 'permission_lost' WHEN sync_status = 'syncing' THEN 'processing' ELSE sync_status END AS sync_status FROM site_pages WHERE id % 3 <> 0 OR id % 6 = 4),
+connections AS (SELECT DISTINCT host, CASE WHEN length(host) % 5 = 0 THEN 'reauth_required' ELSE 'connected' END AS status, 'syncing' AS sync_status FROM site_pages)"""
 
-@query("SELECT host, CASE WHEN bool_or(sync_status = 'failed') AND NOT bool_or(sync_status IN ('indexed', 'partial')) THEN 'failed' WHEN bool_or(sync_status IN ('syncing', 'pending')) THEN 'syncing' WHEN bool_or(sync_status IN ('partial', 'failed')) THEN 'partial' ELSE 'ready' END AS status, count(*) AS pages FROM site_pages GROUP BY host")
+
+@query(
+    """SELECT c.host, CASE WHEN c.status = 'reauth_required' THEN c.sync_status
+  WHEN (SELECT count(*) FROM page_states p WHERE p.host = c.host AND p.sync_status = 'failed') > 0 AND (SELECT count(*) FROM page_states p WHERE p.host = c.host AND p.sync_status IN ('indexed', 'partial')) = 0 THEN 'failed'
+  WHEN EXISTS (SELECT 1 FROM page_states p WHERE p.host = c.host AND p.sync_status IN ('pending', 'processing')) THEN 'syncing'
+  WHEN EXISTS (SELECT 1 FROM page_states p WHERE p.host = c.host AND p.sync_status IN ('partial', 'failed', 'permission_lost')) THEN 'partial' ELSE 'ready' END AS sync_status,
+  (SELECT count(*) FROM page_states p WHERE p.host = c.host AND p.sync_status <> 'deleted') AS pages FROM connections c""",
+    CONNECTIONS,
+)
 def page_sync_rollup(spark, d):
-    return c.sync_rollup(t.pages(spark, d))
+    pages = t.pages(spark, d)
+    states = pages.where("id % 3 <> 0 or id % 6 = 4").selectExpr("host", "case when id % 13 = 3 then 'permission_lost' when sync_status = 'syncing' then 'processing' else sync_status end as sync_status")
+    known = pages.select("host").distinct().selectExpr("host", "case when length(host) % 5 = 0 then 'reauth_required' else 'connected' end as status", "'syncing' as sync_status")
+    return c.sync_rollup(known, states)
 
 
-@query("SELECT a.id, substr(concat_ws(' / ', d.title, c.title, b.title, a.title), 1, 1024) AS breadcrumb FROM site_pages a LEFT JOIN site_pages b ON b.id = a.parent_id LEFT JOIN site_pages c ON c.id = b.parent_id LEFT JOIN site_pages d ON d.id = c.parent_id")
+@query("SELECT id, breadcrumb FROM (SELECT id, substr(path, 1, 1024) AS breadcrumb, row_number() OVER (PARTITION BY id ORDER BY steps DESC) AS n FROM chain) WHERE n = 1", "chain AS (WITH RECURSIVE up(id, next, path, steps) AS (SELECT id, parent_id, title, 0 FROM site_pages UNION ALL SELECT up.id, p.parent_id, p.title || ' / ' || up.path, steps + 1 FROM up JOIN site_pages p ON p.id = up.next) SELECT * FROM up)")
 def breadcrumbs(spark, d):
     return c.breadcrumbs(t.pages(spark, d))
 
 
-@query("SELECT id AS start, id, 0 AS distance FROM entries WHERE parent_id IS NULL UNION ALL SELECT s.id, e.id, 1 FROM entries s JOIN entries e ON e.parent_id = s.id AND e.user_id = s.user_id WHERE s.parent_id IS NULL")
+@query("SELECT * FROM below", "below AS (WITH RECURSIVE sub(start, id, user_id, distance) AS (SELECT id, id, user_id, 0 FROM entries WHERE parent_id IS NULL UNION ALL SELECT sub.start, e.id, e.user_id, distance + 1 FROM sub JOIN entries e ON e.parent_id = sub.id AND e.user_id = sub.user_id) SELECT start, id, distance FROM sub)")
 def entry_subtree(spark, d):
     e = t.entries(spark, d)
-    return c.owned_subtree(e, e.where("parent_id is null"), depth=3)
+    return c.owned_subtree(e, e.where("parent_id is null"))
 
 
 @query(
