@@ -20,6 +20,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import posixpath
@@ -38,15 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, fresh_path, removed, shuffle_partitions, stored
+from tessera.llm.common import bounded_batches, fresh_path, removed, settled, shuffle_partitions, stored
 
 U = np.uint64
 #: Tokens of a chunk that a task counts or scores at a time.
 CHUNK = 3_000_000
 REMEMBERED = 100_000
-#: The bigrams that follow one word are spread over at least so many shards, and over one shard in so many: a word
-#: before a third of all bigrams thus adds at most about three times its fair share to a shard.
-SPREAD, SPREAD_ONE_IN = 8, 8
+#: A word that makes more than one in so many tokens of a shard's share has its bigrams spread over at least so many
+#: shards, and over one shard in so many. Which words do is told from some rows: it places rows and changes no result.
+HEAVY_ONE_IN, SPREAD, SPREAD_ONE_IN = 8, 8, 8
+HEAVY_ROWS, HEAVY_WORDS = 1_000, 4_096
 #: Bytes of text for each shard, so that a shard fits in a task at any size of the corpus.
 SHARD_BYTES = 64 << 20
 #: Counts below this take one byte in a file; larger ones lie in a list of exceptions.
@@ -65,10 +67,14 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before * STEP + mixed(word ^ SALT))
 
 
-def pair_shard(before: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
+def pair_shard(before: np.ndarray, word: np.ndarray, shards: int, heavy: np.ndarray) -> np.ndarray:
+    """By the first word, so that it is sent once for all that follow it; heavy words, sorted, by the second too."""
+    home = mixed(before) % U(shards)
+    many = found_in(heavy, before)[1]
     places = max(SPREAD, shards // SPREAD_ONE_IN)
-    spread = mixed(word ^ STEP) % U(places) * U(max(1, shards // places))
-    return ((mixed(before) % U(shards) + spread) % U(shards)).astype(np.int64)
+    spread = mixed(word[many] ^ STEP) % U(places) * U(max(1, shards // places))
+    home[many] = (home[many] + spread) % U(shards)
+    return home.astype(np.int64)
 
 
 def word_shard(word: np.ndarray, shards: int) -> np.ndarray:
@@ -154,7 +160,7 @@ class Chunk:
     name_slices: list[tuple[int, slice]]
 
 
-def chunk_of(texts: list[np.ndarray], trains: list[bool], shards: int) -> Chunk:
+def chunk_of(texts: list[np.ndarray], trains: list[bool], shards: int, heavy: np.ndarray) -> Chunk:
     before = np.concatenate([t[:-1] for t in texts])
     word = np.concatenate([t[1:] for t in texts])
     lengths = np.array([len(t) - 1 for t in texts])
@@ -166,7 +172,7 @@ def chunk_of(texts: list[np.ndarray], trains: list[bool], shards: int) -> Chunk:
     first = order[at]
     before, word = before[first], word[first]
     del key, order
-    part = pair_shard(before, word, shards)
+    part = pair_shard(before, word, shards, heavy)
     place = np.lexsort((before, part))  # equal words before pack well
     back = np.empty(len(place), np.int64)
     back[place] = np.arange(len(place))
@@ -182,7 +188,7 @@ def slices(part: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(part[i]), slice(i, j)) for i, j in zip(at, [*at[1:], len(part)][: len(at)], strict=True)]
 
 
-def chunks_in(batches: Iterator[pa.RecordBatch], keep: Sequence[str], shards: int) -> Iterator[tuple[int, list[pa.RecordBatch], Chunk]]:
+def chunks_in(batches: Iterator[pa.RecordBatch], keep: Sequence[str], shards: int, heavy: np.ndarray) -> Iterator[tuple[int, list[pa.RecordBatch], Chunk]]:
     """The chunks of a task's texts: number, columns of ``keep``, and content. Only rows and their order decide."""
     number, hashes = TaskContext.get().partitionId() * TASK_CHUNKS, WordHashes()
     rows, texts, trains, size = [], [], [], 0
@@ -194,19 +200,35 @@ def chunks_in(batches: Iterator[pa.RecordBatch], keep: Sequence[str], shards: in
             size += len(texts[-1])
             if size >= CHUNK:
                 rows.append(columns.slice(start, i + 1 - start))
-                yield number, rows, chunk_of(texts, trains, shards)
+                yield number, rows, chunk_of(texts, trains, shards, heavy)
                 rows, texts, trains, size, start, number = [], [], [], 0, i + 1, number + 1
         if start < batch.num_rows:
             rows.append(columns.slice(start))
     if texts:
-        yield number, rows, chunk_of(texts, trains, shards)
+        yield number, rows, chunk_of(texts, trains, shards, heavy)
 
 
-def asked(docs: DataFrame, shards: int) -> DataFrame:
+def heavy_words(docs: DataFrame, shards: int) -> np.ndarray:
+    """Sorted hashes of words that are too frequent for one shard."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for text in batch.column("_text").to_pylist():
+                word, n = np.unique(tokens_of(text, hashes)[:-1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    counts = settled(docs.select("_text").limit(HEAVY_ROWS).mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = counts.where(F.col("n") * HEAVY_ONE_IN * shards > whole).orderBy(F.desc("n"), "word").limit(HEAVY_WORDS).toArrow()
+    return np.sort(rows["word"].to_numpy().astype(np.int64).view(U))
+
+
+def asked(docs: DataFrame, shards: int, heavy: np.ndarray) -> DataFrame:
     """Packed bigrams and words of each chunk."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, chunk in chunks_in(batches, (), shards):
+        for number, _, chunk in chunks_in(batches, (), shards, heavy):
             rows = []
             for shard, own in chunk.pair_slices:
                 before, word, count = chunk.before[own], chunk.word[own], chunk.count[own]
@@ -249,6 +271,13 @@ def mapped(base: str, name: str) -> np.ndarray:
         return np.memmap(own.name, np.uint8, "r") if os.path.getsize(own.name) else np.empty(0, np.uint8)
 
 
+def dropped(base: str, name: str) -> None:
+    """Deletes a file, which stays readable where it is mapped; another attempt may have done so."""
+    files, root = opened(base)
+    with contextlib.suppress(FileNotFoundError):
+        files.delete_file(posixpath.join(root, name))
+
+
 def cut(raw: np.ndarray, *parts: tuple[type, int]) -> list[np.ndarray]:
     found, at = [], 0
     for kind, n in parts:
@@ -272,7 +301,7 @@ def found_in(keys: np.ndarray, needles: np.ndarray) -> tuple[np.ndarray, np.ndar
     return place, keys[place] == needles
 
 
-def pair_shard_work(base: str, shards: int) -> Callable[[pa.Table], pa.Table]:
+def pair_shard_work(base: str, shards: int, kept: bool) -> Callable[[pa.Table], pa.Table]:
     """Merges a shard's bigrams, writes them, answers the chunks, and passes on what it knows of words."""
 
     def work(group: pa.Table) -> pa.Table:
@@ -306,6 +335,8 @@ def pair_shard_work(base: str, shards: int) -> Callable[[pa.Table], pa.Table]:
             if (many := answer == ESCAPE).any():
                 answer[many] = values[np.searchsorted(large, place[many])]
             rows.append((PAIR_ANSWERS, chunk.as_py(), shard, None, bytes_of(answer), None))
+        if not kept:  # all that is asked of the shard is answered
+            dropped(base, f"pairs-{shard}")
         names, *stats = summed(word, total, np.ones(len(word), np.int64))
         rows += knowledge(SEEN, names, stats, shards)
         names, *stats = summed(before, *[(total == 1).astype(np.int64), (total == 2).astype(np.int64), (total >= 3).astype(np.int64)])
@@ -327,7 +358,7 @@ def knowledge(kind: int, names: np.ndarray, stats: list[np.ndarray], shards: int
 STATS = {SEEN: (0, 1), FOLLOWED: (2, 3, 4)}
 
 
-def word_shard_work(base: str) -> Callable[[pa.Table], pa.Table]:
+def word_shard_work(base: str, kept: bool) -> Callable[[pa.Table], pa.Table]:
     """Merges a shard's words, writes them and answers the chunks. Answers of the other shards, that are to one chunk,
     become its file; sums pass through."""
 
@@ -360,6 +391,8 @@ def word_shard_work(base: str) -> Callable[[pa.Table], pa.Table]:
                 answer = [np.where(hit, s[place], 0) if len(own) else np.zeros(len(place), np.int64) for s in stats]
                 packed = list(map(bytes_of, answer))
                 rows.append((WORD_ANSWERS, chunk.as_py(), shard, None, np.array([len(x) for x in packed], np.int64).tobytes() + b"".join(packed), None))
+        if not kept:
+            dropped(base, f"words-{shard}")
         return pa.Table.from_batches([sent(rows)])
 
     return work
@@ -415,13 +448,13 @@ def numbers_of(pair_facts: list[int], word_facts: list[int]) -> Numbers:
     return Numbers(tokens, vocabulary, types, starts, discounts(pair_facts), three, spare / types if types else 1.0)
 
 
-def answered_chunks(docs: DataFrame, shards: int) -> tuple[str, Numbers]:
+def answered_chunks(docs: DataFrame, shards: int, heavy: np.ndarray, kept: bool) -> tuple[str, Numbers]:
     """Counts the training rows and answers every chunk; returns the folder of the files and the global numbers."""
     spark = docs.sparkSession
     base = fresh_path(spark, "kneser-ney")
     whole = lambda kind: F.when(F.col("kind").isin(SEEN, FOLLOWED), F.lit(WORDS)).otherwise(F.col(kind))
-    pairs = asked(docs, shards).groupBy("kind", "to").applyInArrow(pair_shard_work(base, shards), SENT_SQL)
-    words = pairs.withColumn("goes", whole("kind")).groupBy("goes", "to").applyInArrow(lambda g: word_shard_work(base)(g.drop_columns(["goes"])), SENT_SQL)
+    pairs = asked(docs, shards, heavy).groupBy("kind", "to").applyInArrow(pair_shard_work(base, shards, kept), SENT_SQL)
+    words = pairs.withColumn("goes", whole("kind")).groupBy("goes", "to").applyInArrow(lambda g: word_shard_work(base, kept)(g.drop_columns(["goes"])), SENT_SQL)
     done = words.groupBy("kind", "to").applyInArrow(answers_work(base), SENT_SQL)
     # Written once, and with it the files; each is named by what it holds, so repeated attempts change nothing.
     listed = stored(done.select("kind", "facts"), "kneser-ney-facts")
@@ -454,21 +487,22 @@ def scores_of(chunk: Chunk, m: Numbers, pair: np.ndarray, stats: np.ndarray) ->
     return [chunk.lengths, *[np.add.reduceat(x[chunk.pair_at], starts) for x in per_token]]
 
 
-def scored(docs: DataFrame, train: Column, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", shards: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, train: Column, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", shards: int | None = None, keep_model: bool = False) -> DataFrame:
     """The columns of ``keep``, then n_tokens, n_known, train_tokens, base_score, score and perplexity of each row of
-    ``docs``, by the model of those rows for which ``train`` is true."""
+    ``docs``, by the model of those rows for which ``train`` is true. keep_model leaves the shards' files in their folder."""
     spark = docs.sparkSession
     bounded_batches(spark)
     if not shards:
         size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
         shards = max(8, shuffle_partitions(spark), math.ceil(size / SHARD_BYTES))
     rows = docs.select(*keep, docs[text_col].alias("_text"), train.alias("_train"))
-    base, numbers = answered_chunks(rows, shards)
+    heavy = heavy_words(rows, shards)
+    base, numbers = answered_chunks(rows, shards, heavy, keep_model)
     named = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, kept, chunk in chunks_in(batches, keep, shards):
+        for number, kept, chunk in chunks_in(batches, keep, shards, heavy):
             pair = np.concatenate([counts_in(raw) for raw in answers_in(base, "p", number)])
             parts = []
             for raw in answers_in(base, "w", number):

@@ -273,7 +273,7 @@ def test_large_counts_are_exceptions(spark):
 
 def test_kneser_ney_refuses_other_rows_than_it_answered():
     texts = [kneser_ney.tokens_of("a b c", kneser_ney.WordHashes())]
-    chunk = kneser_ney.chunk_of(texts, [True], 2)
+    chunk = kneser_ney.chunk_of(texts, [True], 2, kneser_ney.np.empty(0, kneser_ney.U))
     numbers = kneser_ney.numbers_of([0] * 4, [0] * 8)
     with pytest.raises(ValueError, match="another order"):
         kneser_ney.scores_of(chunk, numbers, kneser_ney.np.zeros(3, int), kneser_ney.np.zeros((5, len(chunk.names)), int))
