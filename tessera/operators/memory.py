@@ -6,28 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+# What negates a memory, and what doesn't count when two are compared.
+NEGATIONS = ("不", "不要", "不能", "避免", "禁止", "不再", "无需", "别")
+PUNCTUATION = r"[\s，。！？、；：,.!?;:'\"“”‘’（）()【】\[\]{}<>《》\-_/\\|`~]+"
+
+
+def stripped(text: Column, most: int = 2000) -> Column:
+    """A memory without blanks, punctuation and case, from its first so many characters."""
+    clean = F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, most)
+    return F.regexp_replace(F.lower(clean), PUNCTUATION, "")
+
+
+def plain(text: Column) -> Column:
+    """A stripped memory without its negations."""
+    return F.regexp_replace(text, "|".join(sorted(NEGATIONS, key=len, reverse=True)), "")
 
 
 def bigrams(text: Column) -> Column:
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    return F.array_distinct(grams)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
 
 
-def repeats(candidates: DataFrame, memories: DataFrame, least: float = 0.82, chars: int = 8) -> DataFrame:
-    """What new memories repeat among a user's others of a type (R43): equal, one in the other, or alike in bigrams.
+def repeats(candidates: DataFrame, memories: DataFrame, least: float = 0.82, conflict: float = 0.68, chars: int = 8, most: int = 5) -> DataFrame:
+    """What new memories repeat, or contradict, among a user's others of a type.
 
-    The candidates are a stated set; each meets the memories of its own user and type alone.
+    A duplicate is equal, contains the other or is contained, or is alike in bigrams. Of the others, one is a conflict
+    if just one of both has a negation and they are alike, or contained, without it. The first few of each candidate
+    are told. The candidates are a stated set; each meets the memories of its own user and type alone.
     """
-    said = lambda rows: rows.select("user_id", "type", "id", stripped(F.col("content")).alias("s")).withColumn("b", bigrams(F.col("s")))
+
+    def said(rows: DataFrame) -> DataFrame:
+        own = rows.select("user_id", "type", "id", stripped(F.col("content")).alias("s")).where("s <> ''").withColumn("p", plain(F.col("s")))
+        return own.withColumns({"b": bigrams(F.col("s")), "pb": bigrams(F.col("p"))})
+
+    def alike(text: str, grams: str) -> tuple[Column, Column]:
+        one, other = F.col(f"n.{text}"), F.col(f"o.{text}")
+        inside = (F.least(F.length(one), F.length(other)) >= chars) & (F.contains(one, other) | F.contains(other, one))
+        both, size = F.size(F.array_intersect(f"n.{grams}", f"o.{grams}")), F.size(F.array_union(f"n.{grams}", f"o.{grams}"))
+        return inside, F.when(size > 0, both / size).otherwise(0.0)
+
     new, old = said(candidates).alias("n"), said(memories).alias("o")
     pairs = new.join(old, (F.col("o.user_id") == F.col("n.user_id")) & (F.col("o.type") == F.col("n.type")) & (F.col("o.id") != F.col("n.id")))
-    both = F.size(F.array_intersect("o.b", "n.b"))
-    jaccard = both / (F.size("o.b") + F.size("n.b") - both)
-    inside = (F.least(F.length("o.s"), F.length("n.s")) >= chars) & (F.contains("o.s", F.col("n.s")) | F.contains("n.s", F.col("o.s")))
-    kind = F.when(F.col("o.s") == F.col("n.s"), "equal").when(inside, "contained").when(jaccard >= least, "similar")
-    return pairs.select(F.col("n.id").alias("candidate"), F.col("o.id").alias("memory"), kind.alias("kind"), F.round(jaccard, 6).alias("similarity")).where("kind is not null")
+    (inside, similar), (plain_inside, plain_similar) = alike("s", "b"), alike("p", "pb")
+    same = F.col("n.s") == F.col("o.s")
+    repeat = same | inside | (similar >= least)
+    turned = (F.col("n.s") != F.col("n.p")) != (F.col("o.s") != F.col("o.p"))
+    kind = F.when(repeat, "possible_duplicate").when(turned & (plain_inside | (plain_similar >= conflict)), "possible_conflict")
+    value = F.when(same, 1.0).when(repeat, similar).otherwise(plain_similar)
+    found = pairs.select(F.col("n.id").alias("candidate"), F.col("o.id").alias("memory"), kind.alias("kind"), F.round(value, 4).alias("similarity")).where("kind is not null")
+    nth = F.row_number().over(Window.partitionBy("candidate").orderBy("memory"))
+    return found.withColumn("_n", nth).where(F.col("_n") <= most).drop("_n")
 
 
 def merged(memories: DataFrame, chars: int = 2000) -> DataFrame:

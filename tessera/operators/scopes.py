@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.tree import closure, task_order
+from tessera.operators.tree import closure
+from tessera.sources.storage import settled
 
 
 def page_kinds(pages: DataFrame) -> DataFrame:
@@ -102,10 +103,22 @@ def positions_filled(rows: DataFrame) -> DataFrame:
 
 
 def snapshot_lists(todos: DataFrame, open_n: int = 12, done_n: int = 5) -> DataFrame:
-    """Each user's first open tasks and newest finished ones (O2)."""
-    n = F.row_number().over(Window.partitionBy("user_id", "is_done").orderBy(*task_order()))
-    rows = todos.withColumn("rank", n.cast("long"))
-    return rows.where(F.when(F.col("is_done"), F.col("rank") <= done_n).otherwise(F.col("rank") <= open_n)).select("user_id", "is_done", "rank", "id")
+    """Each user's first open tasks and newest finished ones, tasks without a parent only (O2).
+
+    Open ones go by priority, whose name must be exact (others count as the last), then by due day, none last, then
+    the newest first; finished ones by when they were finished, unknown last.
+    """
+    names = F.array(*[F.lit(f"P{i}") for i in range(5)])
+    priority = F.coalesce(F.nullif(F.array_position(names, F.col("priority")), F.lit(0)), F.lit(5))
+    to_do = [priority, F.asc_nulls_last("due_date"), F.desc_nulls_last("created_on"), "id"]
+    finished = [F.desc_nulls_last("completed_on"), "id"]
+    roots = todos.where("parent_id is null")
+
+    def first(rows: DataFrame, order: list, n: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+        return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n).select("user_id", "is_done", "rank", "id")
+
+    return first(roots.where("not is_done"), to_do, open_n).union(first(roots.where("is_done"), finished, done_n))
 
 
 def plans_validated(plans: DataFrame, operations: list[str], providers: list[str]) -> DataFrame:
@@ -131,14 +144,31 @@ def decisions_checked(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.select("todo_id", code.alias("code"))
 
 
-def context(candidates: DataFrame, caps: dict[str, int], total: int = 18) -> DataFrame:
-    """A context by sources (R36): a seat for each bucket's first, then buckets in order up to their caps, then what
-    was left over, up to a total; of repeated keys the first row counts."""
-    order = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(i)) for i, b in enumerate(caps)], F.lit(len(caps)))
-    cap = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(n)) for b, n in caps.items()], F.lit(0))
-    first = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(order, "rank"))
-    rows = candidates.withColumn("order", order).withColumn("nth", first).where("nth = 1")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "bucket").orderBy("rank", "key")))
-    part = F.when(F.col("n") == 1, 0).when(F.col("n") <= cap, 1).otherwise(2)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(part, "order", "n"))
-    return rows.withColumn("position", place.cast("long")).where(F.col("position") <= total).select("query_id", "position", "bucket", "key")
+def context(candidates: DataFrame, caps: dict[str, int], total: int = 18, seats: tuple[str, ...] = ("dense", "keyword", "attachment")) -> DataFrame:
+    """A context by sources (R36): a seat for the first of each bucket of ``seats``, then buckets in order, each up to
+    its cap, up to a total. No bucket ever exceeds its cap; a key counts where it is taken first."""
+    nth = F.row_number().over(Window.partitionBy("query_id", "bucket").orderBy("rank", "key"))
+    rows = settled(candidates.where(F.col("bucket").isin(*caps)).withColumn("n", nth))
+    taken = None
+
+    def next_of(bucket: str, n: int, part: int) -> None:
+        """Takes a bucket's first n rows whose keys aren't taken yet; its seat counts for its cap."""
+        nonlocal taken
+        own = rows.where(F.col("bucket") == bucket)
+        if taken is not None:
+            own = own.join(taken.select("query_id", "key"), ["query_id", "key"], "left_anti")
+            seated = taken.where((F.col("bucket") == bucket)).groupBy("query_id").agg(F.count(F.lit(1)).alias("seated"))
+            own = own.join(seated, "query_id", "left")
+        else:
+            own = own.withColumn("seated", F.lit(0))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("n"))
+        own = own.withColumn("n", place).where(F.col("n") <= n - F.coalesce("seated", F.lit(0)))
+        own = own.select("query_id", "key", "bucket", F.lit(part).alias("part"), "n")
+        taken = settled(own if taken is None else taken.union(own))  # or each step would repeat all before it
+
+    for i, bucket in enumerate(seats):
+        next_of(bucket, min(1, caps.get(bucket, 0)), i)
+    for i, (bucket, cap) in enumerate(caps.items()):
+        next_of(bucket, cap, len(seats) + i)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "n"))
+    return taken.withColumn("position", place.cast("long")).where(F.col("position") <= total).select("query_id", "position", "bucket", "key")

@@ -184,16 +184,24 @@ def memories(spark, d):
     return t.table(spark, d, "conversations").selectExpr("conv_id * 1000 + turn as id", "conv_id % 8 as user_id", "role as type", "text as content", "(turn % 10) / 10.0D as confidence")
 
 
+NOTES = "memories AS (SELECT doc_id AS id, doc_id % 2 AS user_id, coalesce(lang, '') AS type, substr(coalesce(text, ''), 1, 200) AS content FROM documents)"
+SAID = "CASE WHEN id % 3 = 0 THEN '不要 ' ELSE '' END || content"
+
+
 @query(
-    """SELECT candidate, memory, kind, similarity FROM (SELECT n.id AS candidate, o.id AS memory, round(len(list_intersect(n.b, o.b)) / (len(n.b) + len(o.b) - len(list_intersect(n.b, o.b)))::DOUBLE, 6) AS similarity,
- CASE WHEN n.s = o.s THEN 'equal' WHEN least(length(n.s), length(o.s)) >= 8 AND (contains(n.s, o.s) OR contains(o.s, n.s)) THEN 'contained' WHEN len(list_intersect(n.b, o.b)) / (len(n.b) + len(o.b) - len(list_intersect(n.b, o.b)))::DOUBLE >= 0.5 THEN 'similar' END AS kind
-FROM said n JOIN said o ON n.user_id = o.user_id AND n.type = o.type AND n.id <> o.id WHERE n.id % 100 = 0) WHERE kind IS NOT NULL""",
-    MEMORIES,
-    "said AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(s), 2)), lambda i: substr(s, i, 2))) AS b FROM (SELECT *, regexp_replace(lower(content), '[^\\p{L}\\p{N}]+', '', 'g') AS s FROM memories))",
+    """SELECT candidate, memory, kind, similarity FROM (SELECT *, CASE WHEN s = os OR inside OR sim >= 0.82 THEN 'possible_duplicate' WHEN (s <> p) <> (os <> op) AND (pinside OR psim >= 0.68) THEN 'possible_conflict' END AS kind,
+   round(CASE WHEN s = os THEN 1.0 WHEN inside OR sim >= 0.82 THEN sim ELSE psim END, 4) AS similarity
+ FROM (SELECT n.id AS candidate, o.id AS memory, n.s, o.s AS os, n.p, o.p AS op, least(length(n.s), length(o.s)) >= 8 AND (contains(n.s, o.s) OR contains(o.s, n.s)) AS inside, least(length(n.p), length(o.p)) >= 8 AND (contains(n.p, o.p) OR contains(o.p, n.p)) AS pinside,
+   len(list_intersect(n.b, o.b)) / len(list_distinct(n.b || o.b))::DOUBLE AS sim, len(list_intersect(n.pb, o.pb)) / len(list_distinct(n.pb || o.pb))::DOUBLE AS psim
+  FROM said n JOIN said o ON n.user_id = o.user_id AND n.type = o.type AND n.id <> o.id WHERE n.id % 100 = 0 AND n.s <> '' AND o.s <> ''))
+ WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY memory) <= 5""",
+    NOTES,
+    rf"""said AS (SELECT *, list_distinct(list_transform(range(1, greatest(length(s), 2)), lambda i: substr(s, i, 2))) AS b, list_distinct(list_transform(range(1, greatest(length(p), 2)), lambda i: substr(p, i, 2))) AS pb
+ FROM (SELECT *, regexp_replace(s, '不要|不能|不再|避免|禁止|无需|不|别', '', 'g') AS p FROM (SELECT id, user_id, type, regexp_replace(lower(substr(trim(regexp_replace({SAID}, '\s+', ' ', 'g'), ' '), 1, 2000)), '[\s，。！？、；：,.!?;:''"“”‘’（）()【】\[\]{{}}<>《》\-_/\\|`~]+', '', 'g') AS s FROM memories)))""",
 )
 def memory_duplicates(spark, d):
-    rows = memories(spark, d)
-    return m.repeats(rows.where("id % 100 = 0"), rows, least=0.5)
+    rows = t.table(spark, d, "documents").selectExpr("doc_id as id", "doc_id % 2 as user_id", "coalesce(lang, '') as type", "concat(if(doc_id % 3 = 0, '不要 ', ''), substring(coalesce(text, ''), 1, 200)) as content")
+    return m.repeats(rows.where("id % 100 = 0"), rows)
 
 
 @query(
@@ -250,14 +258,17 @@ def latency_percentiles(spark, d):
     return ev.percentiles(t.jobs(spark, d).select(F.col("event_type").alias("retriever"), F.col("value").alias("ms")))
 
 
-SETTINGS = ev.grid([10, 30, 60, 90, 120], [(1.0, w) for w in (0.3, 0.5, 0.7, 0.9, 1.0, 1.2, 1.5)])
+SETTINGS = ev.grid([10, 30, 60, 90, 120], [(1.0, w) for w in (0.0, 0.3, 0.5, 0.7, 0.9, 1.0, 1.2, 1.5)])
 GRID = (
     CASES,
     LISTS,
     "settings AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {k}, {a}::DOUBLE, {b}::DOUBLE)" for i, k, a, b in SETTINGS) + ") v(config, c, w0, w1))",
     "tried AS (SELECT case_id, retriever, row_number() OVER (PARTITION BY case_id, retriever ORDER BY score DESC, key) AS rank, key FROM (SELECT query_id AS case_id, CAST(config AS VARCHAR) AS retriever, key, round(sum(CASE WHEN list_idx = 0 THEN w0 ELSE w1 END / (c + rank)), 9) AS score FROM l, settings WHERE list_idx < 2 GROUP BY ALL) WHERE score > 0 QUALIFY rank <= 10)",
     *metric_tables(10, "tried", "t_"),
-    "scores AS (SELECT CAST(retriever AS INTEGER) AS config, round(avg(mrr), 5) AS mrr, round(avg(ndcg), 5) AS ndcg, round(avg(recall), 5) AS recall, count(*) AS cases FROM t_metrics GROUP BY retriever)",
+    "lone AS (SELECT case_id, 'vector' AS retriever, rank, key FROM ranked WHERE retriever = 'keyword')",  # the first list
+    *metric_tables(10, "lone", "v_"),
+    """scores AS (SELECT CAST(t.retriever AS INTEGER) AS config, round(avg(t.mrr), 5) AS mrr, round(avg(t.ndcg), 5) AS ndcg, round(avg(t.recall), 5) AS recall,
+      count(*) FILTER (t.mrr + 1e-9 < v.mrr) AS regressions, count(*) AS cases FROM t_metrics t LEFT JOIN v_metrics v USING (case_id) GROUP BY t.retriever)""",
 )
 
 
@@ -271,20 +282,36 @@ def rrf_grid_search(spark, d):
     return scored_grid(spark, d)
 
 
-@query("SELECT s.config, s.mrr, s.ndcg, s.recall, s.recall >= b.recall - 0.05 AND s.mrr >= b.mrr - 0.05 AS passes FROM scores s, (SELECT * FROM scores WHERE config = 0) b", *GRID)
+@query(
+    """SELECT config, reasons, CASE WHEN reasons = '' THEN row_number() OVER (PARTITION BY reasons = '' ORDER BY mrr DESC, ndcg DESC, regressions, simple DESC, abs(c - 60), name) END AS position,
+ config IS NOT DISTINCT FROM (SELECT config FROM judged WHERE reasons = '' AND abs(mrr - (SELECT mrr FROM judged WHERE reasons = '' ORDER BY mrr DESC, ndcg DESC LIMIT 1)) <= 0.01
+   AND abs(ndcg - (SELECT ndcg FROM judged WHERE reasons = '' ORDER BY mrr DESC, ndcg DESC LIMIT 1)) <= 0.01 ORDER BY regressions, simple DESC, abs(c - 60), name LIMIT 1) AS selected FROM judged""",
+    *GRID,
+    r"""judged AS (SELECT *, concat_ws(',', CASE WHEN w1 <= 0 THEN 'degenerate_keyword_weight_zero' END, CASE WHEN mrr IS NULL OR recall IS NULL THEN 'missing_metrics' END,
+   CASE WHEN recall < (SELECT round(avg(recall), 5) FROM v_metrics) - 0.05 - 1e-12 THEN 'recall@10_below_vector_gate' END, CASE WHEN mrr < (SELECT round(avg(mrr), 5) FROM v_metrics) - 0.05 - 1e-12 THEN 'mrr@10_below_vector_gate' END) AS reasons
+ FROM (SELECT *, CAST(round(w0 * 40 + (1 - least(w1, 1)) * 20 + 10 / (1 + abs(c - 60))) AS INTEGER) AS simple, 'rrf_k' || CAST(c AS VARCHAR) || '_d' || regexp_replace(CAST(w0 AS VARCHAR), '\.0$', '') || '_kw' || regexp_replace(CAST(w1 AS VARCHAR), '\.0$', '') AS name FROM settings) LEFT JOIN scores USING (config))""",
+)
 def config_selection(spark, d):
-    return ev.chosen(scored_grid(spark, d), baseline=0)
+    ranked, qrels = cases(spark, d)
+    return ev.chosen(ev.grid_search(ranked, qrels, SETTINGS), ev.baseline(ranked, qrels), SETTINGS)
 
 
 @query(
-    """SELECT case_id, CASE WHEN NOT hk AND NOT hv AND NOT hh THEN 'all_miss' WHEN hh AND NOT hk AND NOT hv THEN 'hybrid_only' WHEN NOT hh AND (hk OR hv) THEN 'fusion_lost' WHEN mh < greatest(mk, mv) THEN 'fusion_demoted' ELSE 'ok' END AS failure
-FROM (SELECT case_id, coalesce(bool_or(hit) FILTER (retriever = 'keyword'), false) AS hk, coalesce(bool_or(hit) FILTER (retriever = 'vector'), false) AS hv, coalesce(bool_or(hit) FILTER (retriever = 'hybrid'), false) AS hh,
- coalesce(max(mrr) FILTER (retriever = 'keyword'), 0) AS mk, coalesce(max(mrr) FILTER (retriever = 'vector'), 0) AS mv, coalesce(max(mrr) FILTER (retriever = 'hybrid'), 0) AS mh FROM metrics GROUP BY case_id)""",
-    CASES,
-    *metric_tables(5),
+    """SELECT case_id, CASE WHEN case_id % 9 = 8 THEN 'unsupported_comparison' WHEN case_id % 10 = 7 THEN NULL
+ WHEN NOT list_contains(hits, 'keyword') AND NOT list_contains(hits, 'vector') AND NOT list_contains(hits, 'hybrid') THEN 'all_retrievers_missed'
+ WHEN NOT list_contains(hits, 'hybrid') THEN CASE WHEN len(hits) > 1 THEN 'fusion_regression' ELSE hits[1] || '_only_hit' END
+ WHEN (SELECT coalesce(max(mrr), 0) FROM metrics m WHERE m.case_id = c.case_id AND retriever = 'hybrid') + 1e-9 < (SELECT coalesce(max(mrr), 0) FROM metrics m WHERE m.case_id = c.case_id AND retriever IN ('keyword', 'vector')) THEN 'rank_regression'
+ WHEN NOT EXISTS (SELECT 1 FROM qrels q WHERE q.case_id = c.case_id AND split_part(q.key, ':', 1) = split_part((SELECT key FROM g WHERE g.case_id = c.case_id AND retriever = 'hybrid' AND rank <= 3 AND key IN (SELECT key FROM qrels q WHERE q.case_id = c.case_id) ORDER BY rank LIMIT 1), ':', 1)
+   AND relevance = (SELECT max(relevance) FROM qrels q WHERE q.case_id = c.case_id)) THEN 'wrong_source' END AS failure
+FROM (SELECT case_id, coalesce(list(retriever) FILTER (hit AND retriever IN ('keyword', 'vector', 'hybrid')), []) AS hits FROM metrics GROUP BY case_id) c""",
+    CASES.replace("rank, key FROM rankings)", "rank, substr(key, 6) AS key FROM rankings)").replace("SELECT query_id AS case_id, key, CAST", "SELECT query_id AS case_id, substr(key, 6) AS key, CAST"),
+    *metric_tables(3),
 )
 def failure_classification(spark, d):
-    return ev.failures(ev.metrics(*cases(spark, d), k=5))
+    ranked, qrels = (rows.withColumn("key", F.expr("substring(key, 6)")) for rows in cases(spark, d))
+    known = ranked.select("case_id").distinct().selectExpr("case_id", "case_id % 9 <> 8 as comparable", "case_id % 10 <> 7 as answerable")
+    hybrid = ev.ranked_with_gain(ranked.where("retriever = 'hybrid'"), qrels)
+    return ev.failures(known, ev.metrics(ranked, qrels, k=3), hybrid, qrels, k=3)
 
 
 @query("SELECT case_id, retriever, mrr FROM (SELECT *, max(mrr) OVER (PARTITION BY case_id) AS best FROM metrics) WHERE mrr >= best - 1e-12", CASES, *metric_tables(10))

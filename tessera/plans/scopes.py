@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import admission, planning, retrieval
+from tessera.operators import planning, retrieval
 from tessera.operators import scopes as sc
-from tessera.plans import search
+from tessera.plans import search, tasks  # noqa: F401  (its SQL is part of ours)
 from tessera.plans.records import CATALOG, catalog_of
 from tessera.plans.registry import ORACLES, query
-from tessera.plans.tasks import ORDER
 from tessera.sources import tables as t
 
 CLOCK = t.ENTRY_CLOCK
@@ -100,7 +99,10 @@ def position_backfill(spark, d):
     return sc.positions_filled(t.todos(spark, d).withColumnRenamed("user_id", "group"))
 
 
-@query(f"SELECT user_id, is_done, rank, id FROM (SELECT user_id, is_done, id, row_number() OVER (PARTITION BY user_id, is_done ORDER BY {ORDER}, id) AS rank FROM todos) WHERE rank <= CASE WHEN is_done THEN 5 ELSE 12 END")
+@query(
+    """SELECT user_id, false AS is_done, rank, id FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN priority IN ('P0', 'P1', 'P2', 'P3') THEN priority ELSE 'P4' END, coalesce(due_date, DATE '9999-12-31'), created_on DESC, id) AS rank FROM todos WHERE parent_id IS NULL AND NOT is_done) WHERE rank <= 12
+UNION ALL SELECT user_id, true, rank, id FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(completed_on, DATE '0001-01-01') DESC, id) AS rank FROM todos WHERE parent_id IS NULL AND is_done) WHERE rank <= 5"""
+)
 def todo_snapshot(spark, d):
     return sc.snapshot_lists(t.todos(spark, d))
 
@@ -121,16 +123,24 @@ def plan_decisions(spark, d):
     return sc.decisions_checked(pick(3, "keep").union(pick(12, "keep")).union(pick(24, "drop")), planning.urgent_candidates(todos, t.plan_items(spark, d), t.TASK_DAY))
 
 
-CAPS = {"dense": 14, "fused": 6, "keyword": 4, "attachment": 8}
+CAPS = {"dense": 14, "keyword": 4, "attachment": 8, "other": 18}
+CONTEXT = (
+    "offer AS (SELECT query_id, (['dense', 'keyword', 'attachment', 'other'])[list_idx + 1] AS bucket, key, min(rank) AS rank FROM rankings GROUP BY ALL)",
+    "d1 AS (SELECT *, 1 AS place FROM (SELECT query_id, bucket, key, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS n FROM offer WHERE bucket = 'dense') WHERE n <= 1)",
+    "k1 AS (SELECT *, 2 AS place FROM (SELECT query_id, bucket, key, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS n FROM offer o WHERE bucket = 'keyword' AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.query_id = o.query_id AND x.key = o.key)) WHERE n <= 1)",
+    "s2 AS (SELECT * FROM d1 UNION ALL SELECT * FROM k1)",
+    "a1 AS (SELECT *, 3 AS place FROM (SELECT query_id, bucket, key, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS n FROM offer o WHERE bucket = 'attachment' AND NOT EXISTS (SELECT 1 FROM s2 x WHERE x.query_id = o.query_id AND x.key = o.key)) WHERE n <= 1)",
+    "s3 AS (SELECT * FROM s2 UNION ALL SELECT * FROM a1)",
+    *[
+        f"s{4 + i} AS (SELECT * FROM s{3 + i} UNION ALL SELECT *, {4 + i} FROM (SELECT query_id, bucket, key, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, key) AS n FROM offer o WHERE bucket = '{b}' AND NOT EXISTS (SELECT 1 FROM s{3 + i} x WHERE x.query_id = o.query_id AND x.key = o.key)) f WHERE n <= {cap} - (SELECT count(*) FROM s3 x WHERE x.query_id = f.query_id AND x.bucket = '{b}'))"
+        for i, (b, cap) in enumerate(CAPS.items())
+    ],
+)
 
 
-@query(
-    """SELECT query_id, position, bucket, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 THEN 0 WHEN n <= cap THEN 1 ELSE 2 END, o, n) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY rank, key) AS n
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY o, rank) AS nth FROM (SELECT *, CASE bucket WHEN 'dense' THEN 0 WHEN 'fused' THEN 1 WHEN 'keyword' THEN 2 ELSE 3 END AS o, CASE bucket WHEN 'dense' THEN 14 WHEN 'fused' THEN 6 WHEN 'keyword' THEN 4 ELSE 8 END AS cap FROM h)) WHERE nth = 1)) WHERE position <= 18""",
-    search.BUCKETS,
-)
+@query("SELECT query_id, position, bucket, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, n) AS position FROM s7) WHERE position <= 18", *CONTEXT)
 def source_context(spark, d):
-    bucket = F.element_at(F.array(*[F.lit(b) for b in admission.QUOTAS]), F.col("list_idx") + 1)
+    bucket = F.element_at(F.array(*[F.lit(b) for b in CAPS]), F.col("list_idx") + 1)
     return sc.context(t.rankings(spark, d).groupBy("query_id", bucket.alias("bucket"), "key").agg(F.min("rank").alias("rank")), CAPS)
 
 
