@@ -1,9 +1,11 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import hilbert, mixture, winnow
@@ -146,17 +148,22 @@ def test_mix_of_nothing(spark):
     assert [r["taken"] for r in mixture.mixed(blank).collect()] == [0, 0]
 
 
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+
+
+def brute_tokens(text):
+    return [t for w in WORD.findall(text) for t in (list(w) if len(w) > 32 or UNSPACED.search(w) else [w])]
+
+
 def brute_print(spark, texts, k=5, w=8):
-    """Winnowing by its definition, on the same hashes."""
-    words = {t: WORD.findall(t) for t in texts}
-    grams = sorted({tuple(ws[i : i + k]) for ws in words.values() for i in range(max(1, len(ws) - k + 1)) if ws})
-    # The same hash of a gram: of the words' hashes, missing ones skipped.
-    n = max(map(len, grams), default=0)
-    rows = spark.createDataFrame([(list(g),) for g in grams], "g array<string>").select("g", F.pmod(F.xxhash64(*[F.when(F.size("g") > j, F.xxhash64(F.get("g", F.lit(j)))) for j in range(n)]), F.lit(1 << 32)).alias("h")).collect()
-    value = {tuple(r["g"]): r["h"] for r in rows}
+    """Winnowing by its definition: every k-gram hashed anew from its tokens' hashes, every window searched."""
+    tokens = {t: brute_tokens(t) for t in texts}
+    every = sorted({x for ts in tokens.values() for x in ts})
+    of = {r["t"]: r["h"] for r in spark.createDataFrame([(x,) for x in every], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(winnow.PRIME)).alias("h")).collect()}
+    value = lambda gram: sum(of[x] * pow(winnow.BASE, len(gram) - 1 - i) for i, x in enumerate(gram)) % winnow.PRIME
     out = {}
-    for t, ws in words.items():
-        hs = [value[tuple(ws[i : i + k])] for i in range(max(1, len(ws) - k + 1))] if ws else []
+    for t, ws in tokens.items():
+        hs = [value(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))] if ws else []
         picked = []
         for i in range(max(1, len(hs) - w + 1)) if hs else []:
             window = range(i, min(i + w, len(hs)))
@@ -182,6 +189,30 @@ def test_winnowing_against_brute_force(spark, documents):
     assert winnow.fingerprinted(odd(spark).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("k", "w"), [(5, 8), (3, 5), (1, 1), (2, 6)])
+def test_prints_of_all_scripts_and_sizes(spark, k, w):
+    texts = ["", "one", "日本語の文章には空白がありません。" * 9, "ภาษาไทย " * 30, "x" * 400, "mixed 日本 words and " + "ab" * 40, "a a a a a a a a a a a a", *(" ".join(f"w{i % 37}" for i in range(n)) for n in (1, 4, 5, 6, 11, 12, 13, 67, 68, 69, 133, 500))]
+    want = brute_print(spark, set(texts), k, w)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in rows.select("text", winnow.written(winnow.chosen(F.col("text"), k, w)).alias("p")).collect():
+        assert r["p"] == want[r["text"]][0], r["text"][:40]
+
+
+def test_neighbours_across_buckets(spark, monkeypatch):
+    """Ids that repeat, that are null, and many of them: each row is followed by the next, the last by the first."""
+    monkeypatch.setattr(winnow, "BUCKET_BYTES", 40)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 5, 5, 5, rng.randrange(-50, 50)]), f"t{i}") for i in range(300)]
+    for part in (rows, rows[:1], [(None, "a"), (None, "b")], [(7, "a")] * 5):
+        df = spark.createDataFrame(part, "i long, t string").repartition(3)
+        tie = {r["t"]: r["h"] for r in df.select("t", F.xxhash64("t").alias("h")).collect()}
+        order = sorted(part, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]], r[1]), reverse=True)
+        want = sorted((str(a[0]), a[1], order[(j + 1) % len(order)][1]) for j, a in enumerate(order))
+        got = sorted((str(r["i"]), r["t"], r["next_x"]) for r in winnow.followed(df, {"x": F.col("t")}, "i", "t").collect())
+        assert got == want
+        assert len(part) < 100 or winnow.bucketed(df, "i", "t").where("i = 5").select("_bucket").distinct().count() > 3
+
+
 def test_shared_passages_are_found(spark):
     passage = " ".join(f"p{i}" for i in range(winnow.GRAM + winnow.WINDOW - 1))
     docs = spark.createDataFrame([(i, f"{' '.join(f'{i}x{j}' for j in range(30))} {passage} tail{i}") for i in range(2)], "doc_id long, text string")
