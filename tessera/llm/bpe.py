@@ -14,7 +14,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -24,10 +24,10 @@ from sentencepiece import sentencepiece_model_pb2
 
 from tessera.llm.common import bounded_batches
 
-#: Pre-tokens whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 200_000
-#: Longer pre-tokens are not remembered.
-REMEMBERED_LENGTH = 64
+#: Pre-tokens that a worker remembers, and their characters in all; the memory is emptied when full.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 4_000_000
+#: Characters of the texts that are encoded together.
+GROUP_CHARS = 500_000
 #: First code point of the 256 that stand for bytes: letters without special meaning to the library.
 FIRST = 0x4E00
 #: Bytes to their code points; a bytes string decoded as Latin-1 and translated is its mapped form.
@@ -86,42 +86,76 @@ class Codec:
         self.pattern = regex.compile(pattern)
         ends = [[int(x, 16) for x in part.split("-")] for part in YOUNG.split()]
         self.young = regex.compile("[" + "".join(f"{chr(e[0])}-{chr(e[-1])}" for e in ends) + "]")
-        self.known: dict[str, list[int]] = {}
-
-    def learn(self, parts: set[str]) -> dict[str, list[int]]:
-        """Ids of distinct pre-tokens. One that is a token itself is that token, as in the rank file's library."""
-        found, rest = {}, []
+        #: Of each remembered pre-token its ids, the same as text, and the bytes that they stand for.
+        self.ids: dict[str, list[int]] = {}
+        self.texts: dict[str, str] = {}
+        self.plain: dict[str, bytes] = {}
+        self.size = 0
+
+    def learn(self, parts: set[str]) -> None:
+        """Remembers distinct pre-tokens. One that is a token itself is that token, as in the rank file's library."""
+        rest = []
         for part in parts:
             rank = self.ranks.get(part.encode())
             if rank is None:
                 rest.append(part)
             else:
-                found[part] = [rank]
-        for part, ids in zip(rest, self.pieces.encode([mapped(p.encode()) for p in rest], out_type=int, num_threads=1), strict=True):
-            found[part] = ids
-        return found
+                self.ids[part], self.texts[part], self.plain[part] = [rank], str(rank), self.tokens[rank]
+        if rest:
+            found = self.pieces.encode([p.encode().decode("latin-1").translate(MAPPED) for p in rest], out_type=int, num_threads=1)
+            for part, ids in zip(rest, found, strict=True):
+                self.ids[part], self.texts[part] = ids, ",".join(map(str, ids))
+                self.plain[part] = b"".join(map(self.tokens.__getitem__, ids))
+        self.size += sum(map(len, parts))
 
     def split(self, text: str) -> list[str]:
         if text.isascii() or not self.young.search(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(self.young.sub(NEITHER, text))]
 
+    def known(self, texts: list[str]) -> list[list[str]]:
+        """The texts' pre-tokens, all of them remembered. The memory is emptied when full, but never of these. The library
+        takes long for a call and little for a pre-token, so many texts are looked at before it is called."""
+        parts = list(map(self.split, texts))
+        needed = set().union(*parts)
+        if fresh := needed.difference(self.ids):
+            if len(self.ids) + len(fresh) > REMEMBERED or self.size > REMEMBERED_CHARS:
+                for memory in (self.ids, self.texts, self.plain):
+                    memory.clear()
+                self.size, fresh = 0, needed
+            self.learn(fresh)
+        return parts
+
+    def ids_of(self, parts: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.ids.__getitem__, parts)))
+
     def encode(self, text: str) -> list[int]:
-        parts = self.split(text)
-        known = self.known
-        if fresh := {p for p in parts if p not in known}:
-            found = self.learn(fresh)
-            if len(known) + len(found) > REMEMBERED:
-                known.clear()
-                found |= self.learn({p for p in parts if p not in found})
-            known.update({p: ids for p, ids in found.items() if len(p) <= REMEMBERED_LENGTH})
-            return [i for p in parts for i in (found.get(p) or known[p])]
-        return [i for p in parts for i in known[p]]
+        return self.ids_of(self.known([text])[0])
+
+    def digests(self, parts: list[str]) -> tuple[int, str, str]:
+        """How many ids, the digest of their decimals joined by commas, and that of the bytes decoded from them. Both are
+        put together from what each pre-token's ids are as text and as bytes."""
+        ids = ",".join(map(self.texts.__getitem__, parts))
+        plain = b"".join(map(self.plain.__getitem__, parts))
+        return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of GROUP_CHARS characters or one text."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
@@ -139,13 +173,14 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         own = codec(path, pattern)
         for batch in batches:
             n, shas, plain, every = [], [], [], []
-            for text in batch.column("_text").to_pylist():
-                ids = own.encode(text or "")
-                n.append(len(ids))
-                shas.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                plain.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                if with_ids:
-                    every.append(pa.array(ids, pa.int32()))
+            for texts in grouped([t or "" for t in batch.column("_text").to_pylist()]):
+                for parts in own.known(texts):
+                    count, sha, decoded = own.digests(parts)
+                    n.append(count)
+                    shas.append(sha)
+                    plain.append(decoded)
+                    if with_ids:
+                        every.append(pa.array(own.ids_of(parts), pa.int32()))
             arrays = [batch.column(c) for c in columns]
             if with_ids:
                 offsets = pa.array([0, *accumulate(n)], pa.int32())

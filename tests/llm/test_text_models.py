@@ -57,7 +57,9 @@ def test_codec_remembers_no_more_than_its_bound(monkeypatch):
     own = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     text = " ".join(f"word{i} the" for i in range(50))
     assert own.encode(text) == own.encode(text) and own.decode(own.encode(text)) == text.encode()
-    assert len(own.known) <= 200
+    assert own.encode("other words") and len(own.ids) <= 5  # and never more than what one group of texts needs
+    assert own.digests(own.known([text])[0])[1] == hashlib.sha256(",".join(map(str, own.encode(text))).encode()).hexdigest()
+    assert [len(g) for g in bpe.grouped(["a" * 300_000, "b", "", "c" * 600_000, "d"])] == [3, 1, 1]
 
 
 def test_language_on_held_out_documents(spark, documents):
