@@ -7,10 +7,11 @@ and a bound on sizes are confirmed, on full sets of 64-bit shingle hashes.
 
 A bucket never emits all its pairs. In HUB_ROUNDS rounds each member meets the bucket's hub, a member of another
 component that shares most buckets with others; each round is linear in the members. What is left are buckets whose
-members still lie in several components. Their members are compared across components in blocks of bounded size that
-hold sketches only, no sets. A block takes the pairs that pass for links and emits no more of them than would join its
-components; these are confirmed on full sets. Only where one of them fails are all passing pairs between components
-emitted and confirmed. Every link of a bucket is thus confirmed or implied by confirmed ones. A pair at the threshold
+members still lie in several components. Their members are compared across components in blocks of bounded size, first
+by sketches alone: a block takes the pairs that pass for links and emits no more of them than would join its
+components; these are confirmed on full sets. Only buckets in which one of them fails are compared once more, in
+blocks that hold the full sets and confirm what passes, until their components are joined. Every link of a bucket is
+thus confirmed or implied by confirmed ones. A pair at the threshold
 of 0.8 misses all buckets with probability (1 - 0.8^4)^32 < 1e-7.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows with a null id take no part: they get no
@@ -46,8 +47,8 @@ MARGIN = 20
 WHOLE_BITS = 2048
 #: Rounds in which the members of a bucket meet a hub.
 HUB_ROUNDS = 2
-#: Members of a bucket that one side of a block holds: some 340 bytes each.
-BLOCK_MEMBERS = 20_000
+#: Members of a bucket that one side of a block holds, some 340 bytes each; and shingles, where it holds full sets.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 20_000, 1_000_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 100_000
 
@@ -173,10 +174,16 @@ def full_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(work, "cls binary, shingles array<long>")
 
 
-def across(group: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
-    """Pairs between the components of a block that meet the bound on sizes and both sketches: all of them, or as many
-    as join the components if each of them is a link."""
+def shared_size(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def across(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs between the components of a block, no more than join them. They meet the bound on sizes and both sketches;
+    where the block holds sets they are confirmed on them, else each that passes is taken for a link."""
     side, size, names = (group[c].to_numpy() for c in ("side", "n_shingles", "cls"))
+    sets = group["shingles"].to_numpy() if "shingles" in group else None
     code = pd.factorize(group["comp"])[0]
     root = np.arange(code.max() + 1)  # of each component; all are kept flat
     sketch = np.stack(group["sketch"].to_numpy()).view(U)
@@ -197,21 +204,29 @@ def across(group: pd.DataFrame, all_pairs: bool) -> pd.DataFrame:
             one, other = root[code[i]], root[code[j]]
             if one == other:
                 continue
-            if not all_pairs:
-                root[root == other] = one
+            if sets is not None:
+                both = shared_size(sets[i], sets[j])
+                if 100 * both < PERCENT * (size[i] + size[j] - both):
+                    continue
+            root[root == other] = one
             a.append(i)
             b.append(j)
     return pd.DataFrame({"band": group["band"].to_numpy()[a], "a": names[a], "b": names[b]}, columns=["band", "a", "b"])
 
 
-def compared(placed: DataFrame, brief: DataFrame, all_pairs: bool) -> DataFrame:
+def compared(placed: DataFrame, brief: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """(band, a, b): pairs of across(), of buckets (band, cls, comp) whose members lie in several components."""
-    split = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-    split = stored(split.select("band", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("blocks")), "split")
-    rest = placed.join(split, "band").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rest = rest.join(brief, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "cls", "comp", "n_shingles", "sketch", "whole")
-    return rest.groupBy("band", "low", "high").applyInPandas(lambda g: across(g, all_pairs), "band long, a binary, b binary")
+    rows = stored(placed.join(brief.select("cls", "n_shingles"), "cls"), "sized")
+    load = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES) if sets is not None else F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)
+    split = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), load.cast("int").alias("blocks")).where("low != high")
+    rest = rows.join(stored(split.select("band", "blocks"), "split"), "band").withColumn("side", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rest = rest.drop("n_shingles").join(brief, "cls")
+    if sets is not None:
+        rest = rest.join(sets, "cls")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["side", "cls", "comp", "n_shingles", "sketch", "whole", *(["shingles"] if sets is not None else [])]
+    rest = rest.select("band", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), *columns)
+    return rest.groupBy("band", "low", "high").applyInPandas(across, "band long, a binary, b binary")
 
 
 def close(pairs: DataFrame, brief: DataFrame) -> DataFrame:
@@ -262,11 +277,11 @@ def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", t
         # Only buckets of more members than the hub's component has go on, with the hub's component marked as met.
         known = members.where("members > 2").select("band", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         of_hub = hubs.join(labels.withColumnRenamed("cls", "hub"), "hub", "left").select("band", F.coalesce("comp", "hub").alias("hub_comp"))
-        known = known.join(of_hub, "band").select("band", "cls", "comp", (F.col("comp") == F.col("hub_comp")).alias("met"))
+        known = stored(known.join(of_hub, "band").select("band", "cls", "comp", (F.col("comp") == F.col("hub_comp")).alias("met")), "known")
         split = stored(known.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band"), "split")
         placed = stored(known.join(split, "band"), "placed")
 
-    seen = stored(compared(placed.select("band", "cls", "comp"), brief, False), "seen")
+    seen = stored(compared(placed.select("band", "cls", "comp"), brief), "seen")
     pairs = stored(seen.select("a", "b").distinct(), "pairs")
     links.append(stored(confirmed(pairs, sets), "links"))
     failed = seen.join(links[-1], ["a", "b"], "left_anti").select("band").distinct()
@@ -274,7 +289,7 @@ def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", t
     if not failed.isEmpty():
         labels = components(unioned(links)).select(F.col("node").alias("cls"), F.col("label").alias("comp"))
         again = placed.select("band", "cls").join(failed, "band", "left_semi").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        links.append(stored(confirmed(compared(again, brief, True).select("a", "b").distinct(), sets), "links"))
+        links.append(stored(compared(again, brief, sets).select("a", "b").distinct(), "links"))
     labels = components(unioned(links)).select(F.col("node").alias("cls"), "label")
     removed(full, members, shared, sets, placed, seen, pairs, failed, *links)  # the labels are checkpointed
     homes = classes.select("cls", "first_doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
