@@ -161,21 +161,24 @@ class Chunk:
 
 
 def chunk_of(texts: list[np.ndarray], trains: list[bool], shards: int, heavy: np.ndarray) -> Chunk:
-    before = np.concatenate([t[:-1] for t in texts])
-    word = np.concatenate([t[1:] for t in texts])
     lengths = np.array([len(t) - 1 for t in texts])
-    order = np.argsort(key := pair_hash(before, word))
-    at = runs(key[order])
-    run_of = np.empty(len(key), np.int64)
-    run_of[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(key)]))
-    count = np.add.reduceat(np.repeat(np.array(trains, np.int64), lengths)[order], at)
+    before, word = np.concatenate([t[:-1] for t in texts]), np.concatenate([t[1:] for t in texts])
+    texts.clear()  # what was read is copied: a chunk's memory counts
+    key = pair_hash(before, word)
+    order = np.argsort(key)
+    key = key[order]
+    at = runs(key)
+    run_of = np.empty(len(key), np.int32)  # a chunk has fewer tokens than that
+    run_of[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.r_[at, len(key)]))
+    del key
+    count = np.add.reduceat(np.repeat(np.array(trains, bool), lengths)[order].astype(np.int64), at)
     first = order[at]
+    del order
     before, word = before[first], word[first]
-    del key, order
     part = pair_shard(before, word, shards, heavy)
     place = np.lexsort((before, part))  # equal words before pack well
-    back = np.empty(len(place), np.int64)
-    back[place] = np.arange(len(place))
+    back = np.empty(len(place), np.int32)
+    back[place] = np.arange(len(place), dtype=np.int32)
     names = np.unique(np.concatenate([before, word]))
     home = word_shard(names, shards)
     by_home = np.argsort(home, kind="stable")
