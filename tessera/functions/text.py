@@ -67,6 +67,77 @@ def title(text: Column, chars: int = 120) -> Column:
     return F.substring(F.trim(F.split_part(text, F.lit("\n"), F.lit(1))), 1, chars)
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def first_line(text: Column) -> Column:
+    return stripped(F.split_part(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(1)))
+
+
+def body(text: Column) -> Column:
+    """A text without the first occurrence of its first line."""
+    head, whole = first_line(text), F.coalesce(text, F.lit(""))
+    at = F.call_function("instr", whole, head)
+    rest = F.concat(F.substring(whole, F.lit(1), at - 1), F.substring(whole, at + F.length(head), F.length(whole)))
+    return stripped(F.when(head == "", whole).otherwise(rest))
+
+
+def snippet(text: Column, chars: int = 260) -> Column:
+    return F.substring(body(text), 1, chars)
+
+
+def embedding_body(text: Column) -> Column:
+    """A text without any occurrence of its first line."""
+    head, whole = first_line(text), F.coalesce(text, F.lit(""))
+    return stripped(F.when(head == "", whole).otherwise(F.replace(whole, head, F.lit(""))))
+
+
+def public_title(text: Column, chars: int = 120) -> Column:
+    """A title for readers: blanks as one, never a record's number, and the default word if nothing is left."""
+    clean = stripped(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    hidden = stripped(F.regexp_replace(clean, r"记录\s*#\s*\d+", "记录"))
+    return F.substring(F.when(hidden == "", "记录").otherwise(hidden), 1, chars)
+
+
+def vector_from(text: Column, levels: int = 5) -> Column:
+    """A vector from JSON that may be JSON in a string several times over; null if it isn't one."""
+    found, value = [], F.try_parse_json(text)
+    for _ in range(levels):
+        found.append(F.try_variant_get(value, "$", "array<double>"))
+        value = F.try_parse_json(F.try_variant_get(value, "$", "string"))
+    return F.coalesce(*found)
+
+
+def json_in(text: Column) -> Column:
+    """The JSON in a model's answer: the whole, what a fence holds, or from the first brace to the last; else null."""
+    whole = stripped(F.coalesce(text, F.lit("")))
+    fence = stripped(F.regexp_extract(whole, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    braces = F.regexp_extract(whole, r"(?s)(\{.*\})", 1)
+    good = lambda c: F.when((c != "") & F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(good(whole), F.when(fence != "", good(fence)).otherwise(good(braces)))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences, each with its end mark."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[。！？!?])\s*|\n+"), stripped), lambda x: x != "")
+
+
+def shortened(text: Column, chars: int) -> Column:
+    """A text cut to a length, the last character an ellipsis if something was cut."""
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat(F.substring(text, 1, chars - 1), F.lit("…")))
+
+
+def normalised(text: Column) -> Column:
+    """A query in compatible form, lower case and single blanks."""
+    return stripped(F.regexp_replace(F.lower(compatible(F.coalesce(text, F.lit("")))), r"\s+", " "))
+
+
+def segment(budget: int = 1400, anchors: int = 5, gap: int = 3) -> int:
+    """Characters of each of the windows spread over a text."""
+    return max(80, (budget - (anchors - 1) * gap) // anchors)
+
+
 def occurrences(text: Column, term: Column) -> Column:
     """Occurrences that don't overlap."""
     return ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("long")
@@ -109,7 +180,7 @@ def head_mid_tail(text: Column, budget: int = 2400) -> Column:
 
 def anchors(text: Column, budget: int = 1400, anchors: int = 5, gap: int = 3) -> Column:
     """Starts of equal windows spread over a text, from its first to its last."""
-    size = max(80, (budget - (anchors - 1) * gap) // anchors)
+    size = segment(budget, anchors, gap)
     last = F.greatest(F.length(text) - size, F.lit(0))
     return F.transform(F.sequence(F.lit(0), F.lit(anchors - 1)), lambda i: F.floor(last * i / (anchors - 1)).cast("long"))
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
+from tessera.operators.folds import folded
+
 
 def topic(tokens: Column, dropped: list[str]) -> Column:
     """A canonical topic: tokens of two characters or more that are no operator words, sorted, by a bar."""
@@ -12,18 +15,76 @@ def topic(tokens: Column, dropped: list[str]) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(kept)), "|")
 
 
-def first_window(text: Column, terms: Column, around: int = 180) -> Column:
-    """The text around the first place where any of the terms occurs; null without one."""
+def hit_windows(text: Column, terms: list[str], around: int = 180, most: int = 3) -> Column:
+    """The text around places where terms occur, first ones first, as long as they don't overlap (R12). Without any
+    place the text's opening; none of an empty text."""
+    low = F.lower(text)
+
+    def next_place(start: Column) -> Column:
+        """The first place at or after a place, counted from 0, or null."""
+        places = [F.nullif(F.call_function("locate", F.lit(t), low, (start + 1).cast("int")), F.lit(0)) for t in terms]
+        return F.array_min(F.array_compact(F.array(*places))) - 1
+
+    found, at = [], next_place(F.lit(0))
+    for _ in range(most):
+        begin, end = F.greatest(at - around, F.lit(0)), F.least(at + around, F.length(text))
+        found.append(F.when(at.isNotNull(), F.substring(text, begin + 1, end - begin)))
+        at = next_place(end + around)
+    opening = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(F.substring(text, 1, 2 * around)))
+    return F.when(found[0].isNull(), opening).otherwise(F.array_compact(F.array(*found)))
+
+
+def term_hits(text: Column, terms: list[str]) -> Column:
+    """How many of the terms occur."""
     low = F.lower(text)
-    places = F.filter(F.transform(terms, lambda t: F.call_function("instr", low, t)), lambda p: p > 0)
-    start = F.greatest(F.array_min(places) - around, F.lit(1))
-    return F.when(F.size(places) > 0, F.substring(text, start, F.array_min(places) + around - start))
+    return sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
+
+
+def judge_evidence(rows: DataFrame, terms: list[str], budget: int = 1400, whole: int = 400, opening: int = 160, most: int = 3) -> DataFrame:
+    """What a judge is shown of a candidate (R14), within a budget of 1200 to 1600 characters.
+
+    A short text is shown whole. A long one that only a vector search found, with none of the terms, is shown in equal
+    segments spread over it. Any other is shown by its opening and windows around the terms. rows: (id, title, text,
+    dense). Terms of one character don't count.
+    """
+    budget = min(1600, max(1200, budget))
+    terms = list(dict.fromkeys(t.strip().lower() for t in terms if len(t.strip()) > 1))
+    bound = rows.select("id", "dense", tx.public_title(F.col("title")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    bound = bound.withColumn("both", F.concat_ws("\n", "title", "text")).withColumn("size", F.length("text"))
+    bound = bound.withColumns({"title_hits": term_hits(F.col("title"), terms), "body_hits": term_hits(F.col("text"), terms)})
+    counted = sum((tx.occurrences(F.lower("both"), F.lit(t)) for t in terms), F.lit(0))
+    mode = (
+        F.when((F.col("size") > 0) & (F.col("size") <= whole), "short_full_body")
+        .when((F.col("title_hits") + F.col("body_hits") == 0) & F.col("dense") & (F.col("size") > whole), "dense_stratified_segments")
+        .otherwise("title_opening_windows")
+    )
+    starts = tx.anchors(F.col("text"), budget)
+    length = tx.segment(budget)
+    segments = F.array_join(F.transform(starts, lambda s: F.substring(F.col("text"), s.cast("int") + 1, F.lit(length))), " … ")
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    parts = F.concat(F.array(strip(F.substring("text", 1, opening))), F.transform(hit_windows(F.col("both"), terms, most=most), strip))
+    joined = F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), " … ")
+    shown = F.when(F.col("mode") == "short_full_body", F.col("text")).when(F.col("mode") == "dense_stratified_segments", segments).otherwise(joined)
+    rows = bound.withColumn("mode", mode).withColumn("shown", shown)
+    part = F.least(F.length("evidence"), F.col("size")) / F.col("size")
+    share = F.when((F.col("mode") == "short_full_body") | (F.col("size") == 0), 1.0).when(F.col("mode") == "dense_stratified_segments", tx.covered(starts, F.col("size"), length)).otherwise(F.round(part, 4))
+    return rows.withColumn("evidence", F.substring("shown", 1, budget)).select("id", "mode", "title_hits", "body_hits", counted.cast("long").alias("term_hits"), share.alias("coverage"), F.col("evidence"))
+
+
+def relevance_reason(title_hit: Column, body_hit: Column, hits: Column, coverage: Column) -> Column:
+    """What a reader is told of why a candidate is relevant (F20). The wordings are fixed values."""
+    return (
+        F.when(title_hit, "标题直接命中检索主题")
+        .when(body_hit & (hits >= 2), "正文多处涉及检索主题")
+        .when(body_hit, "正文包含相关内容")
+        .when(coverage >= 0.5, "内容较完整地覆盖检索主题")
+        .otherwise("内容与检索主题相关")
+    )
 
 
-def evidence(text: Column, terms: Column, whole: int = 400, opening: int = 160) -> Column:
-    """A short text whole, else its opening and the window of the first term."""
-    window = first_window(text, terms)
-    return F.when(F.length(text) <= whole, text).otherwise(F.concat_ws("\n...\n", F.substring(text, 1, opening), window))
+def strength(title_hit: Column, hits: Column, coverage: Column) -> Column:
+    """Orders candidates of one level: title hits, then term hits up to 32, then coverage."""
+    return F.struct(title_hit.cast("int").alias("title"), F.least(hits, F.lit(32)).alias("hits"), coverage.alias("coverage"))
 
 
 def body(header: Column, text: Column, chars: int = 4000) -> Column:
@@ -48,35 +109,32 @@ def citations(answers: DataFrame, sources: Column) -> DataFrame:
 def packed_groups(units: DataFrame, most: int = 6000, extra: int = 16) -> DataFrame:
     """Units in order, packed into groups that hold no more than a number of characters.
 
-    A group takes units until the next would not fit; a unit too long for any is a group of its own. A query's
-    units are folded as one array: they are the few candidates of one prompt.
+    A group takes units until the next would not fit; a unit too long for any is a group of its own.
     """
-    folded = units.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "size"))).alias("xs"))
-    start = F.struct(F.array().cast("array<struct<id:bigint,grp:bigint>>").alias("done"), F.lit(0).cast("long").alias("grp"), F.lit(0).cast("long").alias("used"))
 
-    def step(s: Column, x: Column) -> Column:
-        need = x["size"] + extra
-        fresh = (s["used"] > 0) & (s["used"] + need > most)
-        grp = s["grp"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(F.array_append(s["done"], F.struct(x["id"].alias("id"), grp.alias("grp"))).alias("done"), grp.alias("grp"), F.when(fresh, need).otherwise(s["used"] + need).alias("used"))
+    def step(held: tuple[int, int], row: dict) -> tuple[tuple[int, int], dict]:
+        group, used = held
+        need = row["size"] + extra
+        group, used = (group + 1, need) if used and used + need > most else (group, used + need)
+        return (group, used), {"query_id": row["query_id"], "id": row["id"], "group": group}
 
-    return folded.select("query_id", F.explode(F.aggregate("xs", start, step, lambda s: s["done"])).alias("r")).select("query_id", F.col("r.id").alias("id"), F.col("r.grp").alias("group"))
+    return folded(units.select("query_id", "rank", "id", "size"), ["query_id"], ["rank", "id"], lambda: (0, 0), step, "query_id long, id long, `group` long")
 
 
 def skipping_budget(units: DataFrame, most: int = 16_000, count: int = 20) -> DataFrame:
     """Units in order while they fit; one that doesn't fit is skipped and later ones still get their chance.
 
-    Reserved units come first, and the result keeps the input order. A query's units are folded as one array.
+    Reserved units come first, and the result keeps the input order.
     """
-    folded = units.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("reserved")).alias("later"), "rank", "id", "size"))).alias("xs"))
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("long").alias("used"))
 
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["used"] + x["size"] <= most) & (F.size(s["done"]) < count)
-        return F.when(fits, F.struct(F.array_append(s["done"], x["id"]).alias("done"), (s["used"] + x["size"]).alias("used"))).otherwise(s)
+    def step(held: tuple[int, int], row: dict) -> tuple[tuple[int, int], dict | None]:
+        n, used = held
+        if n >= count or used + row["size"] > most:
+            return held, None
+        return (n + 1, used + row["size"]), {k: row[k] for k in ("query_id", "rank", "id", "size")}
 
-    kept = folded.select("query_id", F.explode(F.aggregate("xs", start, step, lambda s: s["done"])).alias("id"))
-    return units.join(kept, ["query_id", "id"], "left_semi").select("query_id", "rank", "id", "size")
+    rows = units.select("query_id", "rank", "id", "size", (~F.col("reserved")).alias("later"))
+    return folded(rows, ["query_id"], ["later", "rank", "id"], lambda: (0, 0), step, "query_id long, rank long, id long, size long")
 
 
 def best_attempts(pairs: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def owned_subtree(entries: DataFrame, starts: DataFrame) -> DataFrame:
         near = (F.col("id") == F.col("_up")) & (F.col("user_id") == F.col("_user"))
         met = level.join(below, near).select(F.col("_id").alias("id"), "start", "user_id", F.lit(d).cast("long").alias("distance"))
         known = reduce(DataFrame.union, found).select("start", "id")
-        level = settled(met.join(known, ["start", "id"], "left_anti"))
+        level = settled(met.join(known, ["start", "id"], "left_anti").select(*level.columns))
         if level.isEmpty():
             return reduce(DataFrame.union, found).select("start", "id", "distance")
         found.append(level)

@@ -1,10 +1,14 @@
-"""Job queues, outbox, claims: batch transitions."""
+"""Job queues, outbox, claims: batch transitions."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import folded
+
 
 def clock(value: str) -> Column:
     return F.expr(f"timestamp_ntz'{value}'")
@@ -56,23 +60,82 @@ def claims(requests: DataFrame, lease_seconds: int = 120) -> DataFrame:
 
     requests: (key, at, id, hash, fails, seconds). A new key is acquired. While its lease runs and it isn't done,
     a repeat is in progress; another hash conflicts; a repeat of a finished claim replays it; a failed or expired
-    one is taken over. A key's requests are folded in one array: keys are single turns, so these stay short.
+    one is taken over.
+    """
+    lease = timedelta(seconds=lease_seconds)
+
+    def step(held: tuple | None, row: dict) -> tuple[tuple, dict]:
+        at = row["at"]
+        if held is None:
+            outcome = "acquired"
+        else:
+            kind, until, ready, failed = held
+            if kind != row["hash"]:
+                outcome = "conflict"
+            elif ready <= at:
+                outcome = "take_over" if failed else "replay"
+            else:
+                outcome = "in_progress" if at < until else "take_over"
+        if outcome in ("acquired", "take_over"):
+            held = row["hash"], at + lease, at + timedelta(seconds=row["seconds"]), row["fails"]
+        return held, {"key": row["key"], "id": row["id"], "outcome": outcome}
+
+    return folded(requests.select("key", "at", "id", "hash", "fails", "seconds"), ["key"], ["at", "id"], lambda: None, step, "key string, id long, outcome string")
+
+
+def renewals(beats: DataFrame, claimed: DataFrame, lease_seconds: int = 120) -> DataFrame:
+    """Whether each heartbeat keeps its claim (Q2): just one claimed row of its owner, whose lease it extends; all else
+    is lost. beats: (key, id, owner, at); claimed: (key, owner, status, lease_until)."""
+    own = claimed.where("status = 'claimed'").groupBy("key", "owner").agg(F.count(F.lit(1)).alias("rows"))
+    found = beats.join(own, ["key", "owner"], "left").withColumn("renewed", F.coalesce(F.col("rows") == 1, F.lit(False)))
+    until = F.when(F.col("renewed"), F.timestamp_add("SECOND", F.lit(lease_seconds), F.col("at")))
+    return found.select("key", "id", "renewed", until.alias("lease_until"))
+
+
+def completed(jobs: DataFrame, now: str, attempts: int = 3) -> DataFrame:
+    """What becomes of jobs after processing (Q6): done ones stay; a job without its attachment is cancelled, one whose
+    attachment is indexed succeeds, a failed attachment ends it, and all others wait for a retry while attempts last.
+
+    jobs: (id, status, attempts, attachment_status); a null attachment_status means that there is none.
     """
-    item = F.struct("at", "id", "hash", "fails", "seconds")
-    folded = requests.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    t0 = F.lit(None).cast("timestamp_ntz")
-    out = "array<struct<id:bigint,outcome:string>>"
-    start = F.struct(F.array().cast(out).alias("done"), F.lit(None).cast("string").alias("hash"), t0.alias("until"), t0.alias("ready"), F.lit(False).alias("failed"))
-
-    def step(s: Column, x: Column) -> Column:
-        ready = F.timestamp_add("SECOND", x["seconds"], x["at"])
-        until = F.timestamp_add("SECOND", F.lit(lease_seconds), x["at"])
-        outcome = F.when(s["hash"].isNull(), "acquired").when(s["hash"] != x["hash"], "conflict").when(~s["failed"] & (s["ready"] <= x["at"]), "replay").when(s["failed"] & (s["ready"] <= x["at"]), "take_over").when(x["at"] < s["until"], "in_progress").otherwise("take_over")
-        takes = outcome.isin("acquired", "take_over")
-        done = F.array_append(s["done"], F.struct(x["id"].alias("id"), outcome.alias("outcome")))
-        return F.struct(done.alias("done"), F.when(takes, x["hash"]).otherwise(s["hash"]).alias("hash"), F.when(takes, until).otherwise(s["until"]).alias("until"), F.when(takes, ready).otherwise(s["ready"]).alias("ready"), F.when(takes, x["fails"]).otherwise(s["failed"]).alias("failed"))
-
-    return folded.select("key", F.explode(F.aggregate("xs", start, step, lambda s: s["done"])).alias("r")).select("key", "r.id", "r.outcome")
+    wait = F.least(F.lit(30), F.pow(F.lit(2), F.greatest("attempts", F.lit(1)))).cast("int")
+    left = F.coalesce("attempts", F.lit(0)) < attempts
+    state = F.col("attachment_status")
+    outcome = (
+        F.when(F.col("status").isin("succeeded", "cancelled"), "noop")
+        .when(state.isNull(), "cancelled")
+        .when(state == "indexed", "succeeded")
+        .when((state == "failed") | ~left, "failed")
+        .otherwise("pending")
+    )
+    at = F.when(F.col("outcome") == "pending", F.timestamp_add("MINUTE", wait, clock(now)))
+    return jobs.withColumn("outcome", outcome).select("id", "outcome", at.alias("available_at"))
+
+
+def enqueued(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Which requests become jobs (Q7): not those whose event has a job, nor those like a job that is still open; of
+    equal requests the first. requests: (id, event_id, connection_id, job_type, page_id); jobs: the same and status."""
+    same = lambda *columns: [F.col(f"r.{c}").eqNullSafe(F.col(f"j.{c}")) for c in columns]
+    kind = ("connection_id", "job_type", "page_id")
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    known = jobs.where("event_id is not null").select("event_id").distinct().alias("j")
+    fresh = requests.alias("r").join(known, F.col("r.event_id") == F.col("j.event_id"), "left_anti")
+    fresh = fresh.withColumn("n", F.when(F.col("event_id").isNotNull(), first("event_id")).otherwise(1)).where("n = 1").drop("n")
+    open_jobs = jobs.where(F.col("status").isin("pending", "processing", "retry")).select(*kind).distinct().alias("j")
+    alone = fresh.alias("r").join(open_jobs, same(*kind), "left_anti")
+    return alone.withColumn("n", first(*kind)).where("n = 1").select("id", "event_id", *kind)
+
+
+def finalised(results: DataFrame, jobs: DataFrame, now: str, attempts: int = 6) -> DataFrame:
+    """A worker's result counts only while it owns the job's lease (Q7): then the job succeeds, is retried after a wait
+    that doubles, or fails for good. results: (id, owner, ok); jobs: (id, owner, status, lease_until, attempts)."""
+    own = jobs.select("id", F.col("owner").alias("_owner"), "status", "lease_until", "attempts")
+    rows = results.join(own, "id", "left")
+    held = F.coalesce((F.col("_owner") == F.col("owner")) & (F.col("status") == "processing") & (F.col("lease_until") > clock(now)), F.lit(False))
+    wait = F.least(F.lit(300.0), 15 * F.pow(F.lit(2), F.greatest(F.col("attempts") - 1, F.lit(0)))).cast("int")
+    outcome = F.when(~held, "lost").when(F.col("ok"), "succeeded").when(F.col("attempts") < attempts, "retry").otherwise("failed")
+    at = F.when(F.col("outcome") == "retry", F.timestamp_add("SECOND", wait, clock(now)))
+    return rows.withColumn("outcome", outcome).select("id", "owner", "outcome", at.alias("available_at"))
 
 
 def manual_syncs(requests: DataFrame, seconds: int = 60) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import folded
+
 #: What is taken out of page text: addresses, links, ids.
 PRIVATE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|https?://[^\s<]+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
@@ -51,17 +53,16 @@ def turns_checked(events: DataFrame) -> DataFrame:
 def versions(confirms: DataFrame) -> DataFrame:
     """Append-only versions of source sets (Q13). A confirmation counts if it is based on the current version.
 
-    confirms: (session_id, at, id, base). A session's confirmations are folded in order; they are few.
+    confirms: (session_id, at, id, base).
     """
-    folded = confirms.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "id", "base"))).alias("xs"))
-    start = F.struct(F.array().cast("array<struct<id:bigint,outcome:string,version:bigint>>").alias("done"), F.lit(0).cast("long").alias("now"))
 
-    def step(s, x):
-        ok = x["base"] == s["now"]
-        now = s["now"] + F.when(ok, 1).otherwise(0)
-        return F.struct(F.array_append(s["done"], F.struct(x["id"].alias("id"), F.when(ok, "confirmed").otherwise("conflict").alias("outcome"), now.alias("version"))).alias("done"), now.alias("now"))
+    def step(now: int, row: dict) -> tuple[int, dict]:
+        ok = row["base"] == now
+        outcome = "confirmed" if ok else "conflict"
+        return now + ok, {"session_id": row["session_id"], "id": row["id"], "outcome": outcome, "version": now + ok}
 
-    return folded.select("session_id", F.explode(F.aggregate("xs", start, step, lambda s: s["done"])).alias("r")).select("session_id", "r.id", "r.outcome", "r.version")
+    rows = confirms.select(F.col("session_id").cast("long").alias("session_id"), "at", "id", F.col("base").cast("long").alias("base"))
+    return folded(rows, ["session_id"], ["at", "id"], lambda: 0, step, "session_id long, id long, outcome string, version long")
 
 
 def keyed_union(first: DataFrame, second: DataFrame) -> DataFrame:

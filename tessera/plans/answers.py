@@ -20,17 +20,16 @@ def topic_terms(spark, d):
     return t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), a.topic(tx.tokens(F.col("text")), STOP).alias("topic"))
 
 
-WINDOW = "(SELECT id, content, (SELECT min(p) FROM (SELECT unnest([instr(lower(content), 'the'), instr(lower(content), 'nicht'), instr(lower(content), 'pour')]) AS p) WHERE p > 0) AS f FROM entries)"
+WINDOW = "(SELECT id, content, lower(content) AS low, (SELECT min(p) FROM (SELECT unnest([instr(lower(content), 'the'), instr(lower(content), 'nicht'), instr(lower(content), 'pour')]) AS p) WHERE p > 0) - 1 AS f FROM entries)"
 
 
-@query(f"SELECT id, substr(content, greatest(f - 180, 1), f + 180 - greatest(f - 180, 1)) AS \"window\" FROM {WINDOW}")
+@query(
+    f"""SELECT id, CASE WHEN f IS NULL THEN substr(content, 1, 360) ELSE substr(content, greatest(f - 180, 0) + 1, least(f + 180, length(content)) - greatest(f - 180, 0)) END AS "window", f IS NOT NULL AND
+ (instr(substr(low, e), 'the') > 0 OR instr(substr(low, e), 'nicht') > 0 OR instr(substr(low, e), 'pour') > 0) AS more FROM (SELECT *, least(f + 180, length(content)) + 181 AS e FROM {WINDOW})"""
+)
 def term_windows(spark, d):
-    return t.entries(spark, d).select("id", a.first_window(F.col("content"), TERM_COLUMN()).alias("window"))
-
-
-@query(f"SELECT id, sha256(CASE WHEN length(content) <= 400 THEN content ELSE concat_ws(chr(10) || '...' || chr(10), substr(content, 1, 160), substr(content, greatest(f - 180, 1), f + 180 - greatest(f - 180, 1))) END) AS digest FROM {WINDOW}")
-def judge_evidence(spark, d):
-    return t.entries(spark, d).select("id", F.sha2(a.evidence(F.col("content"), TERM_COLUMN()), 256).alias("digest"))
+    found = a.hit_windows(F.col("content"), TERMS)
+    return t.entries(spark, d).select("id", F.get(found, F.lit(0)).alias("window"), (F.size(found) > 1).alias("more"))
 
 
 @query("SELECT id, substr('[record] ' || label_code || chr(10) || content, 1, 4000) AS body FROM entries")
@@ -57,15 +56,31 @@ def citation_check(spark, d):
     return a.citations(texts, F.col("query_id") % 10)
 
 
-@query()
+UNITS = "units AS (SELECT query_id, idx AS rank, doc_id AS id, doc_id * 17 % 1500 AS size, channel = 'lexical' AS reserved FROM rankings)"
+
+
+@query(
+    'SELECT query_id, id, grp AS "group" FROM packed',
+    UNITS,
+    """packed AS (WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS n FROM units),
+  f(query_id, n, id, grp, used) AS (SELECT query_id, n, id, 0, size + 16 FROM u WHERE n = 1
+   UNION ALL SELECT u.query_id, u.n, u.id, CASE WHEN f.used + u.size + 16 > 6000 THEN f.grp + 1 ELSE f.grp END, CASE WHEN f.used + u.size + 16 > 6000 THEN u.size + 16 ELSE f.used + u.size + 16 END FROM f JOIN u ON u.query_id = f.query_id AND u.n = f.n + 1) SELECT * FROM f)""",
+)
 def packed_groups(spark, d):
-    """Units packed into groups of characters (F28); a fold, compared with a plain loop in the tests."""
+    """Units packed into groups of characters."""
     return a.packed_groups(t.rankings(spark, d).selectExpr("query_id", "idx as rank", "doc_id as id", "doc_id * 17 % 1500 as size"))
 
 
-@query()
+@query(
+    "SELECT query_id, rank, id, size FROM fitted WHERE taken",
+    UNITS,
+    """fitted AS (WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT reserved, rank, id) AS n FROM units),
+  f(query_id, n, rank, id, size, used, many, taken) AS (SELECT query_id, n, rank, id, size, size, 1, true FROM u WHERE n = 1
+   UNION ALL SELECT u.query_id, u.n, u.rank, u.id, u.size, f.used + CASE WHEN f.many < 20 AND f.used + u.size <= 16000 THEN u.size ELSE 0 END, f.many + CASE WHEN f.many < 20 AND f.used + u.size <= 16000 THEN 1 ELSE 0 END, f.many < 20 AND f.used + u.size <= 16000
+   FROM f JOIN u ON u.query_id = f.query_id AND u.n = f.n + 1) SELECT * FROM f)""",
+)
 def context_budget(spark, d):
-    """Units that fit a budget, oversized ones skipped (R38); a fold, compared with a plain loop in the tests."""
+    """Units that fit a budget, oversized ones skipped."""
     return a.skipping_budget(t.rankings(spark, d).selectExpr("query_id", "idx as rank", "doc_id as id", "doc_id * 17 % 1500 as size", "channel = 'lexical' as reserved"))
 
 
@@ -133,9 +148,12 @@ def qrel_cleaning(spark, d):
     return a.qrels_cleaned(t.rankings(spark, d).selectExpr("query_id as case_id", "key", "cast(doc_id % 5 as int) as relevance", "case when doc_id % 8 = 0 then 'page' else 'note' end as source_type"))
 
 
-@query()
+@query(
+    r"""SELECT id, length(clean) AS chars, sha256(substr(clean, 1, 2097152)) AS content_hash, length(clean) > 2097152 AS partial FROM (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+ '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|https?://[^\s<]+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', '', 'g'), '\s+', ' ', 'g'), ' ') AS clean FROM site_pages)""".replace("\\\\", "\\")
+)
 def page_texts(spark, d):
-    """Page text without private parts (S11); the expressions of the two SQL engines differ in white space classes."""
+    """Page text without private parts."""
     return s.page_texts(t.pages(spark, d))
 
 
@@ -172,9 +190,14 @@ def turn_check(spark, d):
     return s.turns_checked(rows.select(F.expr("user_id div 3").alias("request"), F.col("created_at").alias("at"), "id", event.alias("event")))
 
 
-@query()
+@query(
+    "SELECT session_id, id, CASE WHEN ok THEN 'confirmed' ELSE 'conflict' END AS outcome, now AS version FROM versions",
+    """versions AS (WITH RECURSIVE r AS (SELECT user_id AS session_id, id, id % 3 AS base, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS n FROM jobs),
+  f(session_id, n, id, now, ok) AS (SELECT session_id, n, id, CASE WHEN base = 0 THEN 1 ELSE 0 END, base = 0 FROM r WHERE n = 1
+   UNION ALL SELECT r.session_id, r.n, r.id, CASE WHEN base = now THEN now + 1 ELSE now END, base = now FROM f JOIN r ON r.session_id = f.session_id AND r.n = f.n + 1) SELECT * FROM f)""",
+)
 def source_set_versions(spark, d):
-    """Confirmations folded into versions (Q13); compared with a plain loop in the tests."""
+    """Confirmations folded into versions (Q13)."""
     return s.versions(t.jobs(spark, d).selectExpr("user_id as session_id", "created_at as at", "id", "cast(id % 3 as bigint) as base"))
 
 

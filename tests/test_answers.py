@@ -79,12 +79,35 @@ def test_snapshots_of_another_model_are_absent(spark, tmp_path):
     assert sync.restored(spark, str(tmp_path / "s"), "model-2").count() == 0
 
 
-def test_windows_and_evidence(spark):
-    df = spark.createDataFrame([("x" * 300 + "Needle" + "y" * 300,), ("none here",)], "t string")
-    terms = F.array(F.lit("needle"))
-    got = [r[0] for r in df.select(answers.first_window(F.col("t"), terms, 10)).collect()]
-    assert got[0].lower().find("needle") == 10 and got[1] is None
-    assert df.select(answers.evidence(F.col("t"), terms)).collect()[1][0] == "none here"
+def windows_of(text, terms, around=10, most=3):
+    """The rule as a loop: all places of the terms in order, windows that don't overlap."""
+    places = sorted(m.start() for t in terms for m in re.finditer(re.escape(t), text.lower()))
+    if not places:
+        return [text[: 2 * around]] if text else []
+    found, used = [], []
+    for p in places:
+        start, end = max(0, p - around), min(len(text), p + around)
+        if all(end <= a or start >= b for a, b in used):
+            used.append((start, end))
+            found.append(text[start:end])
+    return found[:most]
+
+
+def test_windows_follow_a_plain_loop(spark):
+    texts = ["x" * 300 + "Needle" + "y" * 300, "none here", "", "needle thread needle", "a needle " * 20 + "thread", "thread" + "." * 25 + "Needle" + "." * 19 + "thread" + "." * 30 + "needle" + "." * 40 + "thread"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(answers.hit_windows(F.col("t"), ["needle", "thread"], 10)).collect()]
+    assert got == [windows_of(t, ["needle", "thread"]) for t in texts]
+
+
+def test_evidence_modes_and_budget(spark):
+    long = "word, " * 400
+    rows = [(1, "T", "short text", True), (2, "T", long, True), (3, "T", long, False), (4, "Needle", long + "needle " * 3, True), (5, None, None, True), (6, "  记录 # 12 ", "", False)]
+    got = {r["id"]: r for r in answers.judge_evidence(spark.createDataFrame(rows, "id long, title string, text string, dense boolean"), ["needle", "x"]).collect()}
+    assert [got[i]["mode"] for i in range(1, 7)] == ["short_full_body", "dense_stratified_segments", "title_opening_windows", "title_opening_windows", "title_opening_windows", "title_opening_windows"]
+    assert got[1]["evidence"] == "short text" and all(len(r["evidence"]) <= 1400 for r in got.values())
+    assert (got[4]["title_hits"], got[4]["body_hits"], got[4]["term_hits"]) == (1, 1, 4) and got[2]["term_hits"] == 0
+    assert got[5]["evidence"] == "记录" == got[6]["evidence"]
 
 
 def test_attempts_with_ties(spark):

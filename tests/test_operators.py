@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import admission, catalog, evaluation, fusion, memory, planning, quality, queues, tree
+from tessera.operators import admission, catalog, evaluation, families, fusion, memory, planning, quality, queues, scopes, tree
 from tessera.streaming import events
 
 TODO = "id long, parent_id long, user_id long, sort_order long, content string, priority string, is_urgent boolean, is_done boolean, due_date date, created_on date, completed_on date"
@@ -149,10 +149,105 @@ def test_two_passes_and_a_third(spark):
     assert one == {"x": True, "y": False, "z": True} and every == {"x": True, "y": True, "z": True}
 
 
-def test_memories_that_repeat(spark):
-    rows = spark.createDataFrame([(1, 1, "goal", "Run a marathon!"), (2, 1, "goal", "run a MARATHON"), (3, 1, "goal", "I want to run a marathon this year"), (4, 2, "goal", "run a marathon"), (5, 1, "fact", "run a marathon")], "id long, user_id long, type string, content string")
-    got = {(r["memory"], r["kind"]) for r in memory.repeats(rows.where("id = 1"), rows).collect()}
-    assert got == {(2, "equal"), (3, "contained")}
+def test_memories_that_repeat_or_contradict(spark):
+    rows = [(1, "I like green tea!"), (2, "i like GREEN tea"), (3, "Well, I like green tea a lot"), (4, "别 I like green tea"), (5, "coffee"), (6, "，。"), (7, "不要 I drink so much coffee"), (8, "I drink much coffee")]
+    df = spark.createDataFrame([(1, "fact", i, t) for i, t in rows], "user_id int, type string, id int, content string")
+    got = lambda i, **how: {(r["memory"], r["kind"], r["similarity"]) for r in memory.repeats(df.where(f"id = {i}"), df, **how).collect()}
+    assert {(m, k) for m, k, _ in got(1)} == {(2, "possible_duplicate"), (3, "possible_duplicate"), (4, "possible_duplicate")}
+    assert (2, "possible_duplicate", 1.0) in got(1) and len(got(1, most=1)) == 1
+    assert {(m, k) for m, k, _ in got(7)} == {(8, "possible_conflict")} and got(6) == set() == got(5)
+
+
+def test_failures_name_the_first_rule_that_holds(spark):
+    cases = spark.createDataFrame([(i, i != 1, i != 2) for i in range(1, 10)], "case_id long, comparable boolean, answerable boolean")
+    hit = {3: "", 4: "k", 5: "v", 6: "kv", 7: "kvh", 8: "kvh", 9: "kvh"}
+    mrr = {(7, "h"): 0.5, (7, "v"): 0.5 + 1e-8, (9, "h"): 0.5, (9, "v"): 0.5 + 1e-10}
+    names = {"k": "keyword", "v": "vector", "h": "hybrid"}
+    per = [(c, names[r], r in on, mrr.get((c, r), 0.5 if r in on else 0.0)) for c, on in hit.items() for r in "kvh"]
+    per_case = spark.createDataFrame(per, "case_id long, retriever string, hit boolean, mrr double")
+    hybrid = spark.createDataFrame([(c, 1, "note:1") for c in (7, 8, 9)], "case_id long, rank long, key string")
+    qrels = spark.createDataFrame([(8, "note:1", 1), (8, "page:2", 3), (9, "note:1", 2)], "case_id long, key string, relevance int")
+    got = {r["case_id"]: r["failure"] for r in evaluation.failures(cases, per_case, hybrid, qrels).collect()}
+    assert got == {1: "unsupported_comparison", 2: None, 3: "all_retrievers_missed", 4: "keyword_only_hit", 5: "vector_only_hit", 6: "fusion_regression", 7: "rank_regression", 8: "wrong_source", 9: None}
+
+
+def test_setting_is_chosen_among_near_ties(spark):
+    settings = evaluation.grid([10, 60], [(1.0, 0.0), (1.0, 0.5), (1.0, 0.9)])
+    scores = [(0, 0.9, 0.9, 0.9, 0), (1, 0.700, 0.60, 0.8, 3), (2, 0.705, 0.60, 0.8, 3), (3, 0.9, 0.9, 0.9, 0), (4, 0.701, 0.595, 0.8, 3), (5, 0.2, 0.2, 0.8, 0)]
+    frame = spark.createDataFrame(scores, "config int, mrr double, ndcg double, recall double, regressions long")
+    vector = spark.createDataFrame([(0.7, 0.8)], "b_mrr double, b_recall double")
+    got = {r["config"]: r for r in evaluation.chosen(frame, vector, settings).collect()}
+    assert got[0]["reasons"] == got[3]["reasons"] == "degenerate_keyword_weight_zero" and got[5]["reasons"] == "mrr@10_below_vector_gate"
+    assert [c for c, r in got.items() if r["selected"]] == [4] and got[2]["position"] == 1
+    none = evaluation.chosen(frame.where("config in (0, 3)"), vector, settings).collect()
+    assert not any(r["selected"] for r in none) and "missing_metrics" in {r["reasons"] for r in none}
+
+
+def test_context_never_exceeds_a_cap(spark):
+    rows = [(1, "dense", f"d{i}", i) for i in range(3)] + [(1, "keyword", f"k{i}", i) for i in range(9)] + [(1, "keyword", "d0", -1), (1, "other", "d1", 0), (1, "other", "o", 1)]
+    got = scopes.context(spark.createDataFrame(rows, "query_id long, bucket string, key string, rank long"), {"dense": 14, "keyword": 4, "attachment": 8, "other": 18}).orderBy("position").collect()
+    assert [r["key"] for r in got] == ["d0", "k0", "d1", "d2", "k1", "k2", "k3", "o"]
+
+
+def test_snapshots_hold_root_tasks_in_their_order(spark):
+    rows = [todo(1, priority="p0"), todo(2, priority="P1"), todo(3, 2, priority="P0"), todo(4, priority="P1", due=DAY), todo(5, urgent=True, priority="P4"), todo(6, done=True), todo(7, done=True, completed=DAY)]
+    got = scopes.snapshot_lists(spark.createDataFrame(rows, TODO)).orderBy("is_done", "rank").collect()
+    assert [r["id"] for r in got] == [4, 2, 1, 5, 7, 6]
+
+
+def test_plans_filter_by_all_of_their_tags(spark):
+    schema = "user_id int, n int, key string, provider string, kind string, title string, tags array<string>, breadcrumb string, todo_status string, at string, answerable boolean"
+    row = lambda n, key="k", **k: tuple({"user_id": 1, "n": n, "key": key, "provider": "record", "kind": "record", "title": "A Title", "tags": ["Red", "BLUE"], "breadcrumb": "Home / Work", "todo_status": None, "at": "2024-01-05T10:00", "answerable": True, **k}.values())
+    refs = spark.createDataFrame([row(1), row(2), row(3, "b", tags=["red"]), row(4, "c", kind="todo", todo_status="open", at=None), row(5, "", answerable=False), row(6, "")], schema)
+    got = lambda **k: [r["n"] for r in catalog.filtered(refs, catalog.Plan(**k)).orderBy("n").collect()]
+    assert got() == [1, 3, 4, 5, 6] and got(tags=("red", "Blue")) == [1, 4, 5, 6] and got(tags=("blue", "green")) == []
+    assert got(start="2024-01-05", end="2024-01-05") == [1, 3, 5, 6] and got(end="2024-01-04") == []
+    assert got(todo_status="open") == [4] and got(named_source="work") == [1, 3, 4, 5, 6] and got(breadcrumb="HOME", answer_context=True) == [1, 3, 4, 6]
+
+
+def test_paths_and_subtrees_of_any_depth(spark):
+    chain = [(i, i - 1 if i else None, 1, f"t{i}") for i in range(13)] + [(20, 21, 1, "a"), (21, 20, 1, "b"), (30, 99, 1, "lost"), (40, 12, 2, "other")]
+    pages = spark.createDataFrame(chain, "id long, parent_id long, user_id long, title string")
+    got = {r["id"]: r["breadcrumb"] for r in catalog.breadcrumbs(pages).collect()}
+    assert got[12] == " / ".join(f"t{i}" for i in range(13)) and got[30] == "lost" and got[20] == "b / a" and len(got) == len(chain)
+    below = catalog.owned_subtree(pages, pages.where("id in (0, 20)")).collect()
+    assert {(r["start"], r["id"], r["distance"]) for r in below} == {(0, i, i) for i in range(13)} | {(20, 20, 0), (20, 21, 1)}
+
+
+def test_rollup_leaves_connections_without_a_login_alone(spark):
+    hosts = spark.createDataFrame([(h, "reauth_required" if h == "e" else "connected", "old") for h in "abcdef"], "host string, status string, sync_status string")
+    states = {"a": ["failed"], "b": ["failed", "indexed", "deleted"], "c": ["permission_lost"], "d": ["deleted"], "e": ["failed"], "f": ["processing", "failed", "partial"]}
+    pages = spark.createDataFrame([(h, s) for h, ss in states.items() for s in ss], "host string, sync_status string")
+    got = {r["host"]: (r["sync_status"], r["pages"]) for r in catalog.sync_rollup(hosts, pages).collect()}
+    assert got == {"a": ("failed", 1), "b": ("partial", 2), "c": ("partial", 1), "d": ("ready", 0), "e": ("old", 1), "f": ("syncing", 3)}
+
+
+def test_record_families_are_as_deep_as_they_are(spark):
+    at = datetime(2024, 1, 1)
+    rows = [(i, i - 1 if i else None, 1, at) for i in range(12)] + [(50, 0, 1, datetime(2023, 1, 1)), (51, 0, 2, at), (60, 61, 1, at), (61, 60, 1, at)]
+    found = families.record_families(spark.createDataFrame(rows, "id long, parent_id long, user_id long, created_at timestamp_ntz")).collect()
+    assert {r["id"]: (r["root"], r["depth"]) for r in found} == {**{i: (0, i) for i in range(12)}, 50: (0, 1), 51: (51, 0)}
+    assert [r["id"] for r in sorted(found, key=lambda r: r["path"]) if r["root"] == 0] == [0, 50, *range(1, 12)]
+
+
+def test_small_text_rules(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(tx.body(F.lit(" T \nbody T"))) == "body T" and one(tx.embedding_body(F.lit("T\nbody T x"))) == "body  x" and one(tx.body(F.lit(None).cast("string"))) == ""
+    assert [one(tx.public_title(F.lit(x))) for x in ("", " a\n b ", "记录 #12", "x 记录#9")] == ["记录", "a b", "记录", "x 记录"]
+    assert [one(tx.vector_from(F.lit(x))) for x in ("[1, 2]", '"[1, 2]"', '"\\"[1]\\""', "no", '{"a": 1}')] == [[1.0, 2.0], [1.0, 2.0], [1.0], None, None]
+    assert [one(tx.json_in(F.lit(x))) for x in ('{"a":1}', "so ```json\n{}\n``` ok", 'is {"a": {"b": 2}} it', "none", "{bad")] == ['{"a":1}', "{}", '{"a": {"b": 2}}', None, None]
+    assert one(tx.sentences(F.lit("One! Two？三。four\nfive"))) == ["One!", "Two？", "三。", "four", "five"]
+    assert one(tx.shortened(F.lit("abcdef"), 4)) == "abc…" and one(tx.normalised(F.lit(" ＡＢｃ  ﬁ "))) == "abc fi"
+
+
+def test_leases_and_jobs(spark):
+    claimed = spark.createDataFrame([("a", "w1", "claimed"), ("b", "w1", "done"), ("c", "w1", "claimed"), ("c", "w1", "claimed")], "key string, owner string, status string")
+    beats = spark.createDataFrame([("a", 1, "w1", datetime(2024, 1, 1)), ("a", 2, "w2", None), ("b", 3, "w1", None), ("c", 4, "w1", None), ("z", 5, "w1", None)], "key string, id int, owner string, at timestamp_ntz")
+    got = {r["id"]: r["renewed"] for r in queues.renewals(beats, claimed).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: False}
+    asked = spark.createDataFrame([(1, "e1", 1, "s", None), (2, "e1", 1, "t", None), (3, None, 1, "s", None), (4, None, 2, "s", 5), (5, "old", 3, "s", 1), (6, None, 9, "s", None)], "id int, event_id string, connection_id int, job_type string, page_id int")
+    had = spark.createDataFrame([("old", 8, "x", None, "succeeded"), (None, 9, "s", None, "retry"), (None, 2, "s", 5, "failed")], "event_id string, connection_id int, job_type string, page_id int, status string")
+    assert {r["id"] for r in queues.enqueued(asked, had).collect()} == {1, 4}
 
 
 def test_fingerprints_keep_nulls_and_sort_keys(spark):
