@@ -197,5 +197,5 @@ def covered(starts: Column, length: Column, size: int) -> Column:
 
 
 def of_class(text: Column, kept: str) -> Column:
-    """Characters of a class."""
-    return F.length(F.regexp_replace(text, f"[^{kept}]", "")).cast("long")
+    """Characters of a class: what is gone when its runs are taken out."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{kept}]+", ""))).cast("long")

@@ -22,7 +22,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
+def unit(a: Column) -> Column:
+    """The vector at unit length; zero stays zero."""
+    return F.element_at(F.transform(F.array(a), lambda t: F.element_at(F.transform(F.array(norm(t)), lambda n: F.when(n > 0, F.transform(t, lambda x: x / n)).otherwise(t)), 1)), 1)
+
+
 def combined(a: Column, b: Column, of_a: float, of_b: float) -> Column:
     """The unit vector along a weighted sum; zero stays zero."""
-    total = F.zip_with(a, b, lambda x, y: x * of_a + y * of_b)
-    return F.element_at(F.transform(F.array(total), lambda t: F.element_at(F.transform(F.array(norm(t)), lambda n: F.when(n > 0, F.transform(t, lambda x: x / n)).otherwise(t)), 1)), 1)
+    return unit(F.zip_with(a, b, lambda x, y: x * of_a + y * of_b))

@@ -1,41 +1,167 @@
-"""Statistics, profile and verdict of extracted text."""
+"""Statistics, profile and verdict of extracted text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import of_class
 
-#: Thresholds of the verdict.
+# Classes of characters, as they stand between brackets.
+CJK = "一-鿿"
+LATIN = r"\p{IsLatin}&&\p{L}"
+CODE_SYMBOLS = r"{}\[\]()<>=;*/|&@#%$_\\\"'`~+\-"
+NOISE = r"\p{Cc}\p{Cf}\p{Co}\p{Cs}\p{Cn}�&&[^\t\n\r]"
+#: Latin letters whose base is a vowel: a rule, not a list.
+VOWELS = "".join(c for c in map(chr, [*range(0x41, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0] in "aeiouAEIOU")
+MOJIBAKE = "Ã[\u0080-¿À-ÿ ]|â€|Â[  ]"
+
+# Thresholds of profiles, gates and scores.
+RATIO_CHARS, STRUCTURE_CHARS = 20, 40
+PRIMARY, MINOR = 0.45, 0.12
+CODE_SYMBOLS_LEAST, CODE_ALNUM_LEAST, CODE_SIGNALS, CODE_LINES = 0.06, 0.30, 2, 2
+PROFILE_LEAST, SCORE_LEAST, CONFIDENCE = 0.35, 0.55, 0.55
 LEAST_PRINTABLE, MOST_NOISE = 0.85, 0.12
+UNUSABLE_CONFIDENCE, LOW_CONFIDENCE = 0.20, 0.35
+CJK_UNUSABLE, CJK_LEAST, CJK_LOW = 0.05, 3, 0.15
+LATIN_UNUSABLE, LATIN_COVERAGE, MIXED_COVERAGE, CODE_COVERAGE = 0.35, 0.55, 0.50, 0.45
+VOWELS_LEAST, SPACES_LEAST, LONGEST_TOKENS, UNIQUE_MOST = 0.18, 0.04, 18.0, 0.55
+DIVERSITY_LEAST, DIVERSITY_TOKENS = 0.15, 8
 
 
 def statistics(texts: DataFrame) -> DataFrame:
-    """Counts of character classes, tokens and their diversity (F5) of (id, text)."""
+    """Counts of character classes and of tokens, and signs of structure (F5) of (id, text); a null text is empty."""
+    text = F.col("text")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = texts.withColumn("words", words)
+    rows = texts.withColumn("text", F.coalesce(text, F.lit(""))).withColumn("words", words)
+    count = lambda kept: of_class(text, kept)
+    has = lambda *marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(text, m))
+    both = lambda a, b: F.contains(text, F.lit(a)) & F.contains(text, F.lit(b))
+    lines = F.greatest(F.lit(1), count("\n") + F.when(F.size("words") > 0, 1).otherwise(0)).cast("long")
+    near = text.rlike("[A-Za-z_]{2,}") & text.rlike("[0-9]") & has("{", "}", "[", "]", "(", ")", "=")
+    signals = [
+        (lines >= CODE_LINES) | text.rlike(r"(?m)^[ \t]+\S"),
+        both("(", ")") | both("{", "}") | both("[", "]"),
+        text.rlike("=|<=|>="),
+        text.rlike(r"[A-Za-z_][A-Za-z0-9_]*[0-9]|[0-9][A-Za-z_]") | near,
+        has(";") | (text.rlike(r"""(?m)^\s*["'A-Za-z_][^:\n]{0,40}:\s*""") & has("{", "}")),
+    ]
     return rows.select(
         "id",
-        F.length("text").cast("long").alias("chars"),
-        of_class(F.col("text"), "一-鿿").alias("cjk"),
-        of_class(F.col("text"), "a-zA-ZÀ-ÖØ-öø-ÿ").alias("latin"),
-        of_class(F.col("text"), "0-9").alias("digits"),
-        of_class(F.col("text"), r"{}()\[\];=<>#*$%&|").alias("symbols"),
-        of_class(F.col("text"), "�").alias("broken"),
-        of_class(F.lower("text"), "aeiouyäöüáéíóúàèìòùâêîôûë").alias("vowels"),
+        F.length(text).cast("long").alias("chars"),
+        count(CJK).alias("cjk"),
+        count(LATIN).alias("latin"),
+        count("0-9").alias("digits"),
+        count(CODE_SYMBOLS).alias("symbols"),
+        count(NOISE).alias("noise"),
+        count("�").alias("broken"),
+        count(VOWELS).alias("vowels"),
+        count(r"\s  - 　").alias("spaces"),
+        lines.alias("lines"),
         F.size("words").cast("long").alias("tokens"),
-        F.size(F.array_distinct("words")).cast("long").alias("distinct_tokens"),
+        F.size(F.array_distinct(F.transform("words", F.lower))).cast("long").alias("distinct_tokens"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("token_chars"),
+        # More letters than this have too few different ones to matter, so these aren't taken apart.
+        F.when(F.length(text) <= 4000, F.size(F.array_distinct(F.filter(F.split(F.lower(text), ""), lambda c: c.rlike(f"[{LATIN}]"))))).otherwise(0).cast("long").alias("unique_latin"),
+        text.rlike(MOJIBAKE).alias("mojibake"),
+        sum((s.cast("int") for s in signals), F.lit(0)).alias("signals"),
+    )
+
+
+def share(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(0.0)
+
+
+def garbage() -> Column:
+    """Whether text in Latin letters lacks the structure of a language."""
+    latin = F.greatest(F.col("latin"), F.lit(1))
+    vowels, alone = share(F.col("vowels"), F.col("latin")), F.col("cjk") == 0
+    unlike = (
+        (vowels < VOWELS_LEAST)
+        | ((share(F.col("spaces"), F.col("chars")) < SPACES_LEAST) & (F.col("lines") < 2))
+        | (share(F.col("token_chars"), F.col("tokens")) > LONGEST_TOKENS)
+        | ((F.col("tokens") >= DIVERSITY_TOKENS) & (share(F.col("distinct_tokens"), F.col("tokens")) < DIVERSITY_LEAST) & alone)
+        | ((F.col("unique_latin") / latin >= UNIQUE_MOST) & (vowels < VOWELS_LEAST + 0.05) & alone)
     )
+    return (F.col("latin") >= RATIO_CHARS) & (F.col("mojibake") | ((F.col("chars") >= STRUCTURE_CHARS) & unlike))
 
 
 def verdicts(stats: DataFrame) -> DataFrame:
-    """Profile and verdict by ordered gates (F6-F8): the first failing gate names the reason and caps the score."""
-    n = F.greatest(F.col("chars"), F.lit(1))
-    cjk, latin, symbols, noise = F.col("cjk") / n, F.col("latin") / n, F.col("symbols") / n, F.col("broken") / n
-    vowels = F.col("vowels") / F.greatest(F.col("latin"), F.lit(1))
-    profile = F.when(F.col("chars") == 0, "empty").when(symbols > 0.08, "code_like").when(cjk >= 0.3, "cjk_primary").when((latin >= 0.5) & (cjk >= 0.05), "mixed").when(latin >= 0.5, "latin_primary").otherwise("unknown")
-    reason = F.when(F.col("chars") == 0, "empty").when(noise > MOST_NOISE, "noise").when((profile == "latin_primary") & (F.col("latin") >= 20) & ((vowels < 0.15) | (vowels > 0.8)), "garbage").when((profile == "unknown") & (F.col("chars") >= 20), "unknown_profile").otherwise("ok")
-    base = (0.5 * F.least(latin + cjk, F.lit(1.0)) + 0.3 * F.least(F.col("distinct_tokens") / F.greatest(F.col("tokens"), F.lit(1)), F.lit(1.0)) + 0.2) * F.greatest(F.lit(0.0), 1 - 4 * noise)
-    score = F.when(reason == "ok", F.greatest(base, F.lit(0.55))).otherwise(F.least(base, F.lit(0.4)))
-    return stats.select("id", profile.alias("profile"), reason.alias("reason"), F.round(score, 6).alias("score"), (reason == "ok").alias("search_eligible"))
+    """Profile, verdict and score by ordered gates (F6-F8): the first gate that a text fails names the reason and caps
+    the score; only texts that pass them all may be searched.
+
+    stats: as from statistics(), with confidence (0 to 1 or null) and run (succeeded, empty, failed, unavailable, disabled).
+    """
+    chars, meant = F.col("chars"), F.greatest(F.col("cjk") + F.col("latin") + F.col("digits") + F.col("symbols"), F.lit(1))
+    of_meant = {c: F.col(c) / meant for c in ("cjk", "latin", "digits", "symbols")}
+    of_all = {c: share(F.col(c), chars) for c in ("cjk", "latin", "digits", "symbols", "noise")}
+    cjk, latin = of_meant["cjk"], of_meant["latin"]
+    alnum = of_all["latin"] + of_all["digits"]
+    code = (F.col("signals") >= CODE_SIGNALS) & (of_all["symbols"] >= CODE_SYMBOLS_LEAST) & (alnum >= CODE_ALNUM_LEAST) & (cjk < MINOR)
+    told = lambda name, sure: F.struct(F.lit(name).alias("profile"), F.least(F.lit(1.0), sure).alias("sure"))
+    kinds = (
+        F.when(chars == 0, told("unknown", F.lit(0.0)))
+        .when(code, told("code_like", 0.40 + 0.10 * F.col("signals") + of_all["symbols"] + 0.15 * F.least(F.lit(1.0), alnum)))
+        .when((cjk >= PRIMARY) & (latin < MINOR), told("cjk_primary", 0.5 + cjk))
+        .when((latin >= PRIMARY) & (cjk < MINOR) & garbage(), told("unknown", F.lit(0.25)))
+        .when((latin >= PRIMARY) & (cjk < MINOR), told("latin_primary", 0.5 + latin))
+        .when((cjk >= MINOR) & (latin >= MINOR), told("mixed", 0.4 + cjk + latin))
+        .when(cjk >= MINOR, told("cjk_primary", 0.4 + cjk))
+        .when((latin >= MINOR) & garbage(), told("unknown", F.lit(0.2)))
+        .when(latin >= MINOR, told("latin_primary", 0.4 + latin))
+        .when((of_meant["digits"] + of_meant["symbols"] >= 0.5) & (F.col("signals") >= CODE_SIGNALS), told("code_like", F.lit(0.4)))
+        .otherwise(told("unknown", F.lit(0.15)))
+    )
+    rows = stats.withColumn("_kind", kinds).withColumns({"profile": F.col("_kind.profile"), "sure": F.col("_kind.sure"), "garbage": garbage()})
+    profile, known = F.col("profile"), F.col("confidence")
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(known, F.lit(CONFIDENCE))))
+    coverage = F.col("cjk") + F.col("latin") + F.col("digits") + F.col("symbols")
+    coverage = coverage / F.greatest(chars, F.lit(1))
+    vowels, spaces = share(F.col("vowels"), F.col("latin")), share(F.col("spaces"), chars)
+    structure = F.when(F.col("garbage"), 0.0).otherwise(0.5 * F.least(F.lit(1.0), vowels / 0.35) + 0.5 * F.least(F.lit(1.0), spaces / 0.12))
+    base = (
+        F.when(profile == "cjk_primary", 0.55 * of_all["cjk"] + 0.25 * sure + 0.20 * coverage)
+        .when(profile == "latin_primary", 0.40 * of_all["latin"] + 0.25 * sure + 0.20 * structure + 0.15 * coverage)
+        .when(profile == "mixed", 0.50 * (cjk + latin + of_meant["digits"]) + 0.30 * sure + 0.20 * coverage)
+        .when(profile == "code_like", 0.35 * F.least(F.lit(1.0), of_all["symbols"] / 0.15) + 0.35 * (latin + of_meant["digits"]) + 0.20 * sure + 0.10 * F.least(F.lit(1.0), F.col("lines") / 4.0))
+        .otherwise(0.25 * coverage + 0.25 * sure + 0.10 * F.when(chars > 0, 1 - of_all["noise"]).otherwise(0.0))
+    )
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * F.greatest(F.lit(0.0), 1 - 4 * of_all["noise"])))
+    doubtful = F.coalesce(known < LOW_CONFIDENCE, F.lit(False))
+    some, whole = chars >= RATIO_CHARS, chars >= STRUCTURE_CHARS
+    of = lambda name: profile == name
+    gates = [
+        (F.col("run").isin("disabled", "unavailable", "failed"), F.concat(F.lit("runtime_"), F.col("run")), "unknown", 0.0),
+        ((F.col("run") == "empty") | (chars == 0), "empty_text", "empty", 0.0),
+        ((F.col("broken") > 0) | F.col("mojibake") | (F.col("noise") > 0), "mojibake_or_disallowed_unicode", "unusable", 0.15),
+        ((1 - of_all["noise"] < LEAST_PRINTABLE) | (of_all["noise"] > MOST_NOISE), "high_noise_or_nonprintable", "unusable", 0.1),
+        (F.coalesce(known < UNUSABLE_CONFIDENCE, F.lit(False)), "confidence_unusable", "unusable", 0.2),
+        (of("cjk_primary") & whole & (of_all["cjk"] < CJK_UNUSABLE), "cjk_ratio_below_floor", "unusable", 0.15),
+        (of("cjk_primary") & some & (F.col("cjk") < CJK_LEAST), "cjk_count_below_floor", "unusable", 0.15),
+        (of("latin_primary") & F.col("garbage"), "latin_garbage_structure", "unusable", 0.12),
+        (of("latin_primary") & some & (latin < LATIN_UNUSABLE), "latin_coverage_below_floor", "unusable", 0.15),
+        (of("unknown") & (F.col("garbage") | ((of_all["latin"] > 0.5) & (F.col("cjk") == 0))), "unknown_latin_untrusted", "unusable", 0.15),
+        (of("unknown") & doubtful, "unknown_low_confidence", "low_quality", 0.3),
+        (doubtful, "confidence_below_threshold", "low_quality", 0.35),
+        (of("cjk_primary") & whole & (of_all["cjk"] < CJK_LOW), "cjk_ratio_low", "low_quality", 0.35),
+        (of("latin_primary") & whole & (latin < LATIN_COVERAGE), "latin_coverage_low", "low_quality", 0.4),
+        (of("mixed") & some & (1 - of_meant["symbols"] < MIXED_COVERAGE), "mixed_coverage_low", "low_quality", 0.4),
+        (of("code_like") & some & (1 - cjk < CODE_COVERAGE), "code_coverage_low", "low_quality", 0.4),
+        (of("unknown") & (F.col("sure") < PROFILE_LEAST), "unknown_needs_review", "low_quality", 0.35),
+    ]
+    at = F.coalesce(*[F.when(failed, F.struct(F.lit(reason).alias("reason") if isinstance(reason, str) else reason.alias("reason"), F.lit(status).alias("status"), F.lit(cap).alias("cap"))) for failed, reason, status, cap in gates])
+    ok = F.struct(F.lit("ok").alias("reason"), F.lit("ok").alias("status"), F.lit(1.0).alias("cap"))
+    rows = rows.withColumn("_score", score).withColumn("_gate", F.coalesce(at, ok))
+    passed = F.col("_gate.status") == "ok"
+    final = F.when(passed, F.greatest("_score", F.lit(SCORE_LEAST))).otherwise(F.least("_score", F.col("_gate.cap")))
+    shown = F.when(F.col("_gate.reason").isin("empty_text", "high_noise_or_nonprintable", "latin_garbage_structure"), "unknown").otherwise(profile)
+    return rows.select("id", shown.alias("profile"), F.col("_gate.status").alias("status"), F.col("_gate.reason").alias("reason"), F.round(final, 4).alias("score"), passed.alias("search_eligible"))
+
+
+def chunk_eligible(ocr: Column, flag: Column, searchable: Column, status: Column, text: Column) -> Column:
+    """Whether a chunk may be searched (P11): one that was read from an image by its flags, the first that is known,
+    else by its verdict; any other if it has text."""
+    verdict = F.coalesce(flag, searchable, F.coalesce(F.nullif(F.trim(status), F.lit("")) == "ok", F.lit(False)))
+    return F.when(ocr, verdict).otherwise(F.trim(F.coalesce(text, F.lit(""))) != "")

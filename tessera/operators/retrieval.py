@@ -1,16 +1,18 @@
 """Dense and lexical search for many queries at once.
 
-The queries are a stated set of bounded size, so they are broadcast; rows are scored where they lie, and only each
+The queries are a stated set, broadcast in blocks of a bounded number; rows are scored where they lie, and only each
 partition's best rows of a query are shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.functions.vectors import combined, cosine, dot, norm
+from tessera.functions.vectors import combined, cosine, dot, norm, unit
 
 LEAST = 0.35
 
@@ -20,9 +22,18 @@ def best(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 10_000
+
+
 def met(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every row with every query of the stated set, which is small by definition."""
-    return rows.join(F.broadcast(queries), F.lit(True))
+    """Every row with every query of the stated set. The queries are counted first: a block of them is broadcast, and
+    more than one block meet the rows one after another."""
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return rows.join(F.broadcast(queries), F.lit(True))
+    of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.union, [rows.join(F.broadcast(queries.where(of == i)), F.lit(True)) for i in range(blocks)])
 
 
 def by_score(score: str = "score") -> list[Column]:
@@ -50,11 +61,13 @@ def entry_dense_fallback(queries: DataFrame, vectors: DataFrame, k: int = 10, le
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 30, least: float = LEAST, skip_own: bool = False) -> DataFrame:
-    """Cosine search (R17-R20). A zero query finds nothing; a zero row counts as one of norm 1, so scores 0."""
-    rows = met(queries.where(norm(F.col("query_vector")) > 0), vectors.select("id", F.col("content_vector").alias("v")))
+    """Cosine search (R17-R20). A zero query finds nothing; a zero row scores 0. Vectors are brought to unit length once
+    each, before they meet, so a pair costs one product."""
+    asked = queries.where(norm(F.col("query_vector")) > 0).select("query_id", unit(F.col("query_vector")).alias("q"))
+    rows = met(asked, vectors.select("id", unit(F.col("content_vector")).alias("v")))
     if skip_own:
         rows = rows.where("id <> query_id")
-    scored = rows.select("query_id", "id", F.round(cosine(F.col("v"), F.col("query_vector")), 6).alias("score")).where(F.col("score") >= least)
+    scored = rows.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")).where(F.col("score") >= least)
     return best(scored, k, *by_score()).select("query_id", "rank", "id", "score")
 
 

@@ -34,7 +34,7 @@ def database_catalog(spark, d):
     e, todos = t.entries(spark, d), t.todos(spark, d).where("parent_id is null")
     counts = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("entries"))
     tasks = todos.groupBy("user_id").agg(F.count(F.lit(1)).alias("root_todos"), F.count_if(~F.col("is_done")).alias("open_root_todos"))
-    has = e.join(t.vectors(spark, d).select("id"), "id").groupBy("user_id").agg(F.count(F.lit(1)).alias("vectors"))
+    has = e.join(t.content_vectors(spark, d).select("id"), "id").groupBy("user_id").agg(F.count(F.lit(1)).alias("vectors"))
     return counts.join(tasks, "user_id", "left").join(has, "user_id", "left").na.fill(0)
 
 
@@ -81,7 +81,7 @@ def entry_parent_context(spark, d):
 
 @query("SELECT id, user_id FROM entries WHERE id NOT IN (SELECT id FROM vectors)")
 def entries_missing_embeddings(spark, d):
-    return a.without_vectors(t.entries(spark, d), t.vectors(spark, d))
+    return a.without_vectors(t.entries(spark, d), t.content_vectors(spark, d))
 
 
 @query("SELECT session_id, turn, role, length(content) AS chars FROM messages m WHERE turn = (SELECT max(turn) FROM messages x WHERE x.session_id = m.session_id)")

@@ -29,7 +29,7 @@ closure AS (
 vectors AS (
   SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS content_vector, CAST(coalesce(n.embedding, e.embedding) AS DOUBLE[]) AS title_vector, e.label
   FROM embeddings e LEFT JOIN embeddings n ON n.vec_id = e.vec_id + 1),
-query_vectors AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector, label AS query_label FROM embeddings WHERE vec_id < 8),
+query_vectors AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector, label AS query_label FROM embeddings WHERE vec_id % 100 = 0),
 messages AS (SELECT conv_id AS session_id, turn, role, text AS content, conv_id % 8 AS user_id FROM conversations),
 site_pages AS (
   SELECT page_id AS id, CASE WHEN page_id % 4 <> 0 THEN page_id - 1 END AS parent_id, page_id % 8 AS user_id, url,
@@ -44,7 +44,7 @@ jobs AS (
   FROM events),
 term_queries AS (
   SELECT item_id AS query_id, list(w ORDER BY p) AS terms FROM (
-    SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9äöüßéèêçàáíóúñ]+'), lambda w: length(w) >= 4)[1:3]) AS w, generate_subscripts(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9äöüßéèêçàáíóúñ]+'), lambda w: length(w) >= 4)[1:3], 1) AS p FROM benchmark WHERE item_id < 6) GROUP BY item_id, w)
+    SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9äöüßéèêçàáíóúñ]+'), lambda w: length(w) >= 4)[1:3]) AS w, generate_subscripts(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9äöüßéèêçàáíóúñ]+'), lambda w: length(w) >= 4)[1:3], 1) AS p FROM benchmark WHERE item_id % 100 = 0) GROUP BY item_id, w)
   GROUP BY item_id),
 rankings AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, list_idx ORDER BY draw, doc_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY draw, doc_id) AS idx FROM (

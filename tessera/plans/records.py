@@ -157,24 +157,74 @@ def stratified_windows(spark, d):
     return t.entries(spark, d).select("id", F.array_join(F.transform(starts, lambda x: x.cast("string")), ",").alias("starts"))
 
 
-CLASS = lambda k, x="content": f"length(regexp_replace({x}, '[^{k}]', '', 'g'))"
-STATS = f"""stats AS (SELECT id, length(content) AS chars, {CLASS('一-鿿')} AS cjk, {CLASS('a-zA-ZÀ-ÖØ-öø-ÿ')} AS latin, {CLASS('0-9')} AS digits, {CLASS('{}()' + chr(92) + '[' + chr(92) + '];=<>#*$%&|')} AS symbols, {CLASS('�')} AS broken,
- {CLASS('aeiouyäöüáéíóúàèìòùâêîôûë', 'lower(content)')} AS vowels, len(ws) AS tokens, len(list_distinct(ws)) AS distinct_tokens FROM (SELECT id, content, list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '') AS ws FROM entries))"""
+CLASS = lambda k, x="x": f"length({x}) - length(regexp_replace({x}, '[{k}]+', '', 'g'))"
+SIGNAL = lambda *parts: " + ".join(f"CAST({p} AS INTEGER)" for p in parts)
+BOTH = lambda a, b: f"(contains(x, '{a}') AND contains(x, '{b}'))"
+MOJIBAKE = "Ã[\\x{80}-\\x{bf}À-ÿ ]|â€|Â[\\x{a0} ]"
+SYMBOLS = r"{}\[\]()<>=;*/|&@#%$_\\\"''`~+\-"
+#: Every fifth text gets something that a gate looks for.
+SPOILED = "CASE id % 25 WHEN 0 THEN content || chr(65533) WHEN 5 THEN '漢字仮名' || substr(content, 1, 30) WHEN 10 THEN 'if (a1 == b) { c[2] = d; }' || chr(10) || ' e += f2;' WHEN 15 THEN repeat('bcdf ghjk ', 9) WHEN 20 THEN 'Ã© ' || content ELSE content END"
+STATS = (
+    f"spoiled AS (SELECT id, {SPOILED} AS x FROM entries)",
+    f"""stats AS (SELECT *, greatest(1, length(x) - length(replace(x, chr(10), '')) + CASE WHEN tokens > 0 THEN 1 ELSE 0 END) AS lines FROM (
+ SELECT id, x, length(x) AS chars, {CLASS('一-鿿')} AS cjk, {CLASS('\\p{Latin}')} AS latin, {CLASS('0-9')} AS digits, {CLASS(SYMBOLS)} AS symbols,
+  {CLASS('\\p{Cc}\\p{Cf}\\p{Co}\\x{FFFD}')} - ({CLASS('\\t\\n\\r')}) AS noise, {CLASS('�')} AS broken, {CLASS(quality.VOWELS)} AS vowels, {CLASS('\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}')} AS spaces,
+  len(ws) AS tokens, len(list_distinct(list_transform(ws, lambda w: lower(w)))) AS distinct_tokens, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS token_chars,
+  CASE WHEN length(x) <= 4000 THEN len(list_distinct(list_filter(string_split(lower(x), ''), lambda c: regexp_matches(c, '\\p{{Latin}}')))) ELSE 0 END AS unique_latin,
+  regexp_matches(x, '{MOJIBAKE}') AS mojibake
+ FROM (SELECT id, x, list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '') AS ws FROM spoiled)))""",
+    f"""shown_stats AS (SELECT * EXCLUDE (x), {SIGNAL("(lines >= 2 OR regexp_matches(x, '(?m)^[ \\t]+\\S'))", f"({BOTH('(', ')')} OR {BOTH('{', '}')} OR {BOTH('[', ']')})", "contains(x, '=')",
+    "(regexp_matches(x, '[A-Za-z_][A-Za-z0-9_]*[0-9]|[0-9][A-Za-z_]') OR (regexp_matches(x, '[A-Za-z_]{2,}') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[{}\\[\\]()=]')))",
+    "(contains(x, ';') OR (regexp_matches(x, '(?m)^\\s*[\"''A-Za-z_][^:\\n]{0,40}:\\s*') AND regexp_matches(x, '[{}]')))")} AS signals FROM stats)""",
+)
+
+
+def spoiled(spark, d):
+    text = F.expr("case id % 25 when 0 then concat(content, '�') when 5 then concat('漢字仮名', substring(content, 1, 30)) when 10 then 'if (a1 == b) { c[2] = d; }\n e += f2;' when 15 then repeat('bcdf ghjk ', 9) when 20 then concat('Ã© ', content) else content end")
+    return t.entries(spark, d).select("id", text.alias("text"))
 
 
-@query("SELECT * FROM stats", STATS)
+@query("SELECT * FROM shown_stats", *STATS)
 def text_stats(spark, d):
-    return quality.statistics(t.entries(spark, d).select("id", F.col("content").alias("text")))
+    return quality.statistics(spoiled(spark, d))
 
 
 @query(
-    """SELECT id, profile, reason, round(CASE WHEN reason = 'ok' THEN greatest(base, 0.55) ELSE least(base, 0.4) END, 6) AS score, reason = 'ok' AS search_eligible FROM (SELECT *, CASE WHEN chars = 0 THEN 'empty' WHEN noise > 0.12 THEN 'noise' WHEN profile = 'latin_primary' AND latin >= 20 AND (v < 0.15 OR v > 0.8) THEN 'garbage' WHEN profile = 'unknown' AND chars >= 20 THEN 'unknown_profile' ELSE 'ok' END AS reason
-FROM (SELECT *, CASE WHEN chars = 0 THEN 'empty' WHEN symbols / n > 0.08 THEN 'code_like' WHEN cjk / n >= 0.3 THEN 'cjk_primary' WHEN latin / n >= 0.5 AND cjk / n >= 0.05 THEN 'mixed' WHEN latin / n >= 0.5 THEN 'latin_primary' ELSE 'unknown' END AS profile, broken / n AS noise, vowels / greatest(latin, 1)::DOUBLE AS v,
- (0.5::DOUBLE * least(latin / n + cjk / n, 1) + 0.3::DOUBLE * least(distinct_tokens / greatest(tokens, 1)::DOUBLE, 1) + 0.2::DOUBLE) * greatest(0, 1 - 4 * broken / n) AS base FROM (SELECT *, greatest(chars, 1)::DOUBLE AS n FROM stats)))""",
-    STATS,
+    """SELECT id, CASE WHEN reason IN ('empty_text', 'high_noise_or_nonprintable', 'latin_garbage_structure') THEN 'unknown' ELSE profile END AS profile, status, reason, round(CASE WHEN status = 'ok' THEN greatest(score, 0.55) ELSE least(score, cap) END, 4) AS score, status = 'ok' AS search_eligible
+FROM (SELECT *, split_part(gate, '|', 1) AS reason, split_part(gate, '|', 2) AS status, CAST(split_part(gate, '|', 3) AS DOUBLE) AS cap FROM (SELECT *, CASE
+  WHEN run IN ('disabled', 'unavailable', 'failed') THEN 'runtime_' || run || '|unknown|0' WHEN run = 'empty' OR chars = 0 THEN 'empty_text|empty|0'
+  WHEN broken > 0 OR mojibake OR noise > 0 THEN 'mojibake_or_disallowed_unicode|unusable|0.15' WHEN noise / n > 0.12 THEN 'high_noise_or_nonprintable|unusable|0.1'
+  WHEN conf < 0.2 THEN 'confidence_unusable|unusable|0.2'
+  WHEN profile = 'cjk_primary' AND chars >= 40 AND cjk / n < 0.05 THEN 'cjk_ratio_below_floor|unusable|0.15' WHEN profile = 'cjk_primary' AND chars >= 20 AND cjk < 3 THEN 'cjk_count_below_floor|unusable|0.15'
+  WHEN profile = 'latin_primary' AND junk THEN 'latin_garbage_structure|unusable|0.12' WHEN profile = 'latin_primary' AND chars >= 20 AND l < 0.35 THEN 'latin_coverage_below_floor|unusable|0.15'
+  WHEN profile = 'unknown' AND (junk OR (latin / n > 0.5 AND cjk = 0)) THEN 'unknown_latin_untrusted|unusable|0.15' WHEN profile = 'unknown' AND conf < 0.35 THEN 'unknown_low_confidence|low_quality|0.3'
+  WHEN conf < 0.35 THEN 'confidence_below_threshold|low_quality|0.35' WHEN profile = 'cjk_primary' AND chars >= 40 AND cjk / n < 0.15 THEN 'cjk_ratio_low|low_quality|0.35'
+  WHEN profile = 'latin_primary' AND chars >= 40 AND l < 0.55 THEN 'latin_coverage_low|low_quality|0.4' WHEN profile = 'mixed' AND chars >= 20 AND (cjk + latin + digits) / m < 0.5 THEN 'mixed_coverage_low|low_quality|0.4'
+  WHEN profile = 'code_like' AND chars >= 20 AND (latin + digits + symbols) / m < 0.45 THEN 'code_coverage_low|low_quality|0.4' WHEN profile = 'unknown' AND sure < 0.35 THEN 'unknown_needs_review|low_quality|0.35' ELSE 'ok|ok|1' END AS gate,
+  greatest(0, least(1, greatest(0, 1 - 4 * noise / n) * CASE profile WHEN 'cjk_primary' THEN 0.55 * cjk / n + 0.25 * p + 0.20 * cover
+   WHEN 'latin_primary' THEN 0.40 * latin / n + 0.25 * p + 0.20 * CASE WHEN junk THEN 0 ELSE 0.5 * least(1, v / 0.35) + 0.5 * least(1, spaces / n / 0.12) END + 0.15 * cover
+   WHEN 'mixed' THEN 0.50 * (cjk + latin + digits) / m + 0.30 * p + 0.20 * cover WHEN 'code_like' THEN 0.35 * least(1, symbols / n / 0.15) + 0.35 * (latin + digits) / m + 0.20 * p + 0.10 * least(1, lines / 4.0::DOUBLE)
+   ELSE 0.25 * cover + 0.25 * p + 0.10 * CASE WHEN chars > 0 THEN 1 - noise / n ELSE 0 END END)) AS score FROM profiled))""",
+    *STATS,
+    """measured AS (SELECT *, greatest(chars, 1)::DOUBLE AS n, greatest(cjk + latin + digits + symbols, 1)::DOUBLE AS m, vowels / greatest(latin, 1)::DOUBLE AS v, CASE WHEN id % 4 = 0 THEN (id % 13) / 12.0::DOUBLE END AS conf,
+   CASE WHEN id % 17 = 3 THEN 'failed' WHEN id % 17 = 4 THEN 'empty' ELSE 'succeeded' END AS run FROM shown_stats)""",
+    """judged_stats AS (SELECT *, cjk / m AS c, latin / m AS l, coalesce(conf, 0.55::DOUBLE) AS p, (cjk + latin + digits + symbols) / n AS cover, latin >= 20 AND (mojibake OR chars >= 40 AND (v < 0.18 OR spaces / n < 0.04 AND lines < 2 OR token_chars / greatest(tokens, 1)::DOUBLE > 18
+    OR tokens >= 8 AND distinct_tokens / tokens::DOUBLE < 0.15 AND cjk = 0 OR unique_latin / greatest(latin, 1)::DOUBLE >= 0.55 AND v < 0.23 AND cjk = 0)) AS junk FROM measured)""",
+    """profiled AS (SELECT *, split_part(k, '|', 1) AS profile, CAST(split_part(k, '|', 2) AS DOUBLE) AS sure FROM (SELECT *, CASE WHEN chars = 0 THEN 'unknown|0'
+    WHEN signals >= 2 AND symbols / n >= 0.06 AND (latin + digits) / n >= 0.30 AND c < 0.12 THEN 'code_like|1' WHEN c >= 0.45 AND l < 0.12 THEN 'cjk_primary|1' WHEN l >= 0.45 AND c < 0.12 AND junk THEN 'unknown|0.25' WHEN l >= 0.45 AND c < 0.12 THEN 'latin_primary|1'
+    WHEN c >= 0.12 AND l >= 0.12 THEN 'mixed|1' WHEN c >= 0.12 THEN 'cjk_primary|1' WHEN l >= 0.12 AND junk THEN 'unknown|0.2' WHEN l >= 0.12 THEN 'latin_primary|1' WHEN (digits + symbols) / m >= 0.5 AND signals >= 2 THEN 'code_like|0.4' ELSE 'unknown|0.15' END AS k FROM judged_stats))""",
 )
 def quality_verdict(spark, d):
-    return quality.verdicts(quality.statistics(t.entries(spark, d).select("id", F.col("content").alias("text"))))
+    rows = quality.statistics(spoiled(spark, d))
+    confidence = F.expr("case when id % 4 = 0 then (id % 13) / 12.0D end")
+    run = F.expr("case when id % 17 = 3 then 'failed' when id % 17 = 4 then 'empty' else 'succeeded' end")
+    return quality.verdicts(rows.withColumns({"confidence": confidence, "run": run}))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN id % 5 > 1 WHEN id % 7 < 4 THEN id % 7 < 2 ELSE id % 11 < 5 END ELSE id % 9 <> 0 END AS eligible FROM entries")
+def chunk_eligibility(spark, d):
+    ocr, flag, searchable = F.expr("id % 2 = 0"), F.expr("case when id % 3 = 0 then id % 5 > 1 end"), F.expr("case when id % 7 < 4 then id % 7 < 2 end")
+    return t.entries(spark, d).select("id", quality.chunk_eligible(ocr, flag, searchable, F.expr("case when id % 11 < 5 then ' ok ' when id % 11 < 8 then 'low' else '' end"), F.expr("case when id % 9 = 0 then '  ' else 'x' end")).alias("eligible"))
 
 
 MEMORIES = "memories AS (SELECT conv_id * 1000 + turn AS id, conv_id % 8 AS user_id, role AS type, text AS content, (turn % 10) / 10.0::DOUBLE AS confidence FROM conversations)"

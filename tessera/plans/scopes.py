@@ -61,7 +61,7 @@ def summary_merge(spark, d):
     f"hit AS (SELECT query_id, {search.RANKED} AS rank, id FROM dense WHERE score >= 0.35 QUALIFY rank <= 30)",
 )
 def vector_recent_merge(spark, d):
-    queries, vectors = t.query_vectors(spark, d), t.vectors(spark, d)
+    queries, vectors = t.query_vectors(spark, d), t.content_vectors(spark, d)
     recent = retrieval.best(retrieval.met(queries.select("query_id"), vectors.select("id")), 12, F.desc("id"))
     return sc.with_recent(retrieval.dense(queries, vectors), recent, 12)
 

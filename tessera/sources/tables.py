@@ -59,16 +59,20 @@ def plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.groupBy("todo_id", "plan_date").agg(F.min("status").alias("status")).withColumn("id", F.expr("todo_id * 100000 + datediff(plan_date, date'1990-01-01')"))
 
 
+def content_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("content_vector"), "label")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry vectors: each has a content vector, and the vector of the next id for its title."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("content_vector"), "label")
+    rows = content_vectors(spark, sf_dir)
     titles = rows.select((F.col("id") - 1).alias("id"), F.col("content_vector").alias("title_vector"))
     return rows.join(titles, "id", "left").withColumn("title_vector", F.coalesce("title_vector", "content_vector"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
-    """The stated query set: a fixed number of vectors, so it may be broadcast."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector"), F.col("label").alias("query_label"))
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("query_vector"), F.col("label").alias("query_label"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +107,10 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def term_queries(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
-    """The stated query set for lexical search: the first words of the first benchmark passages."""
+def term_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set for lexical search: the first words of each passage whose id is divisible by 100."""
     words = "filter(split(lower(text), '[^a-z0-9äöüßéèêçàáíóúñ]+'), w -> length(w) >= 4)"
-    return table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).selectExpr("item_id as query_id", f"array_distinct(slice({words}, 1, 3)) as terms")
+    return table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").selectExpr("item_id as query_id", f"array_distinct(slice({words}, 1, 3)) as terms")
 
 
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import admission, catalog, evaluation, families, fusion, memory, planning, quality, queues, scopes, tree
+from tessera.operators import admission, catalog, evaluation, families, fusion, memory, planning, quality, queues, retrieval, scopes, tree
 from tessera.streaming import events
 
 TODO = "id long, parent_id long, user_id long, sort_order long, content string, priority string, is_urgent boolean, is_done boolean, due_date date, created_on date, completed_on date"
@@ -110,11 +110,27 @@ def test_covered_share(spark):
     assert [r[0] for r in df.select(tx.covered(F.col("s"), F.col("n"), 4)).collect()] == [0.9, 0.0]
 
 
-def test_quality_profiles(spark):
-    texts = ["", "中文内容测试文字", "if (a) { b[1] = c; } while (x) { y(); }", "plain latin words with vowels here", "bcd fgh jkl mnp qrs tvw xz bcd fgh", "�" * 5 + "abc"]
+def test_quality_gates(spark):
+    plain = "The plain words of a text that has vowels, and spaces between its words. "
+    texts = ["", "中文内容测试文字", "if (a) {\n b[1] = c; } while (x) { y(); }", plain, "bcd fgh jkl mnp qrs tvw xz bcd fgh jkl mnp qrs", "abc�", plain + "Ã©", plain + "\u200b", plain * 2, "12 34", plain + "中文内容测试文字中文内容测试文字中文内容测试文字", None]
+    sure = [None, None, None, None, None, None, None, None, 0.3, None, None, None]
     stats = quality.statistics(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
-    got = {r["id"]: (r["profile"], r["reason"]) for r in quality.verdicts(stats).collect()}
-    assert got[0] == ("empty", "empty") and got[1][0] == "cjk_primary" and got[2][0] == "code_like" and got[3] == ("latin_primary", "ok") and got[4][1] == "garbage" and got[5][1] == "noise"
+    known = spark.createDataFrame([(i, c, "failed" if i == 10 else "succeeded") for i, c in enumerate(sure)], "id long, confidence double, run string")
+    got = {r["id"]: r for r in quality.verdicts(stats.join(known, "id")).collect()}
+    reasons = {i: r["reason"] for i, r in got.items()}
+    assert reasons[0] == reasons[11] == "empty_text" and reasons[10] == "runtime_failed" and reasons[1] == reasons[2] == reasons[3] == "ok"
+    assert reasons[4] == "unknown_latin_untrusted" and reasons[8] == "confidence_below_threshold" and reasons[9] == "unknown_needs_review"
+    assert reasons[5] == reasons[6] == reasons[7] == "mojibake_or_disallowed_unicode"
+    assert got[1]["profile"] == "cjk_primary" and got[2]["profile"] == "code_like" and got[3]["profile"] == "latin_primary" and got[10]["profile"] == "mixed"
+    assert all(r["search_eligible"] == (r["status"] == "ok") and (r["score"] >= 0.55) == r["search_eligible"] for r in got.values())
+
+
+def test_queries_beyond_one_block(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(30)], "id long, content_vector array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(25)] + [(99, [0.0, 0.0])], "query_id long, query_vector array<double>")
+    whole = sorted(map(tuple, retrieval.dense(asked, rows).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, retrieval.dense(asked, rows).collect())) == whole and 99 not in {r[0] for r in whole}
 
 
 def test_breadcrumbs_stop_at_cycles_and_missing_parents(spark):
