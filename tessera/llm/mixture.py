@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import n_words_of, running, settled
@@ -26,6 +26,8 @@ SHARE, CAP = 1.5, 2
 #: Words of a block.
 BLOCK_WORDS = 2048
 SEED = 11
+#: Sources that are broadcast to the points of the schedule, a hundred bytes each; more meet them by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -51,7 +53,8 @@ def golden_step(slots: int) -> int:
 
 
 def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, sid, block, limit): in each slot the first ``limit`` words of a source's block are taken."""
+    """(slot, sid, block, turn, limit): in each slot the first ``limit`` words of a source's block are taken; turn says how
+    often the block was taken before."""
     whole, rest = F.expr("case when source_size > 0 then words div source_size else 0 end"), F.expr("case when source_size > 0 then words % source_size else 0 end")
     plan = sources.withColumn("words", F.round("target").cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("whole", whole).withColumn("rest", rest)
     plan = plan.withColumn("slots", F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / block))
@@ -62,17 +65,20 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     # Sources and points meet in cells of the point range. Intervals are disjoint, so there are no more rows than sources and cells.
     width = max(1, count // max(1, rows))
     held = plan.where("slots > 0").withColumn("cell", F.explode(F.sequence(F.expr(f"first div {width}"), F.expr(f"(first + slots - 1) div {width}"))))
+    # Few sources are broadcast; many have as many cells, with as many points each.
+    held = F.broadcast(held) if rows <= BROADCAST_SOURCES else held
     met = points.withColumn("cell", F.expr(f"point div {width}")).join(held, "cell").where("point >= first and point < first + slots")
     ranked = running(met.select("slot", "sid", "source_size", "blocks", "whole", "rest"), ["slot"], {}, by=["sid"])
     at, turn = F.expr("rank % blocks"), F.expr("rank div blocks")
     length = F.least(F.lit(block), F.col("source_size") - at * block)
     limit = F.when(turn < F.col("whole"), length).otherwise(F.least(length, F.col("rest") - at * block))
-    return ranked.select("slot", "sid", at.alias("block"), limit.alias("limit"))
+    return ranked.select("slot", "sid", at.alias("block"), turn.alias("turn"), limit.alias("limit"))
 
 
-def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_source: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row; ``taken`` counts repeats. With with_source also the
-    source and a hash of the text, which tell apart rows that share an id."""
+def spans(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: (slot, turn, source, doc_id, begin, words), and what is known of the document. In each slot, in
+    order, ``words`` words of a document are taken from its word ``begin``, counted from 0. A document that is never
+    taken has one row without a slot. sid and rank tell rows of docs apart, text_hash their texts."""
     rows = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash")))
     sources = settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     slots = schedule(sources, block)
@@ -80,9 +86,26 @@ def mixed(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float =
     known = rows.join(of_source, F.col("source").eqNullSafe(F.col("_source"))).select("sid", "doc_id", "source", "size", "text_hash", "source_size", "target", F.xxhash64("doc_id", F.lit(SEED)).alias("_order"))
     stream = running(known, ["_order", "doc_id", "size", "text_hash"], {"start": "size"}, by=["sid"])
     pieces = stream.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))))
-    met = pieces.join(slots.select("sid", "block", "limit"), ["sid", "block"], "left")
+    met = pieces.join(slots, ["sid", "block"], "left")
     begin, end = F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), F.least(F.col("start") + F.col("size") - F.col("block") * block, F.col("limit"))
-    part = F.coalesce(F.greatest(end - begin, F.lit(0)), F.lit(0))
+    part = F.when(F.col("limit").isNull(), F.lit(0)).otherwise(F.greatest(end - begin, F.lit(0)))
+    taken = part > 0
+    return met.select("sid", "rank", "doc_id", "source", "text_hash", "size", "source_size", "target", F.when(taken, F.col("slot")).alias("slot"), F.when(taken, F.col("turn")).alias("turn"), F.when(taken, F.col("block") * block + begin - F.col("start")).alias("begin"), part.cast("long").alias("words"))
+
+
+def mixed(docs: DataFrame, **how: object) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of each row; ``taken`` counts repeats. ``how`` is as of spans()."""
     # A row is known by its source and rank: ids may repeat.
-    found = met.groupBy("sid", "rank", "doc_id", "source", "text_hash", "size", "source_size", "target").agg(F.sum(F.when(F.col("limit").isNull(), F.lit(0)).otherwise(part)).cast("long").alias("taken"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", *(["source", "text_hash"] if with_source else []))
+    found = spans(docs, **how).groupBy("sid", "rank", "doc_id", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def copies(docs: DataFrame, **how: object) -> DataFrame:
+    """(doc_id, text_hash, source, slot): a row for each whole copy of a document that the mix takes, to the nearest
+    number, at the slot in which the copy begins."""
+    keys = ["sid", "rank", "doc_id", "text_hash", "source", "size"]
+    turns = spans(docs, **how).groupBy(*keys, "turn").agg(F.min("slot").alias("slot"), F.sum("words").alias("words"))
+    whole = Window.partitionBy(*keys)
+    times = F.floor(F.sum("words").over(whole) / F.greatest(F.col("size"), F.lit(1)) + 0.5)
+    nth = F.row_number().over(whole.orderBy(F.asc_nulls_last("slot")))
+    return turns.withColumn("_times", times).withColumn("_nth", nth).where("_nth <= _times and slot is not null").select("doc_id", "text_hash", "source", "slot")

@@ -5,7 +5,6 @@ import re
 import zlib
 
 import pytest
-import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import hilbert, mixture, winnow
@@ -121,16 +120,40 @@ def test_mix_meets_targets(spark, documents, block):
         for r in texts:
             sizes[r["source"]] = sizes.get(r["source"], 0) + len(WORD.findall(r["text"] or ""))
         want = brute_targets(sizes)
-        got = mixture.mixed(docs, block=block, with_source=True).collect()
-        assert len(got) == len(texts)
-        taken = dict.fromkeys(sizes, 0)
-        for r in got:
-            assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]]
-            assert math.isclose(r["target"], want[r["source"]], abs_tol=1e-6)
-            taken[r["source"]] += r["taken"]
-        assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+        rows = mixture.spans(docs, block=block).collect()
+        taken, of_row = dict.fromkeys(sizes, 0), {}
+        for r in rows:
+            assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], want[r["source"]], abs_tol=1e-6)
+            assert r["slot"] is None or 0 <= r["begin"] and r["begin"] + r["words"] <= r["size"]
+            taken[r["source"]] += r["words"]
+            of_row[r["sid"], r["rank"]] = of_row.get((r["sid"], r["rank"]), 0) + r["words"]
+            assert of_row[r["sid"], r["rank"]] <= 2 * r["size"]
+        assert len(of_row) == len(texts) and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+        # A slot holds one block of one source: its spans don't overlap and aren't longer than a block.
+        slots = {}
+        for r in rows:
+            if r["slot"] is not None:
+                slots.setdefault(r["slot"], []).append(r)
+        assert all(len({r["source"] for r in own}) == 1 and sum(r["words"] for r in own) <= block for own in slots.values())
+        got = mixture.mixed(docs, block=block).collect()
+        assert sorted(r["taken"] for r in got) == sorted(of_row.values())
         key = lambda rows: sorted(map(str, rows))
-        assert key(got) == key(mixture.mixed(docs.repartition(3), block=block, with_source=True).collect())
+        assert key(got) == key(mixture.mixed(docs.repartition(3), block=block).collect())
+        # Copies: as many as the words make, each where its turn begins.
+        size = {(r["sid"], r["rank"]): r["size"] for r in rows}
+        assert mixture.copies(docs, block=block).count() == sum(math.floor(n / size[k] + 0.5) for k, n in of_row.items() if size[k])
+
+
+def test_mix_is_interleaved(spark, documents):
+    """In each stretch of the schedule every source has its share: the slots' order matters, not just their numbers."""
+    rows = sorted((r["slot"], r["source"], r["words"]) for r in mixture.spans(documents, block=256).collect() if r["slot"] is not None)
+    whole, total = {}, sum(r[2] for r in rows)
+    for _, s, n in rows:
+        whole[s] = whole.get(s, 0) + n
+    so_far, seen = {}, 0
+    for _, s, n in rows:
+        so_far[s], seen = so_far.get(s, 0) + n, seen + n
+        assert all(abs(so_far.get(x, 0) / total - whole[x] / total * seen / total) < 0.05 for x in whole)
 
 
 def test_schedule_is_spread_evenly(spark):
@@ -148,7 +171,7 @@ def test_mix_of_nothing(spark):
     assert [r["taken"] for r in mixture.mixed(blank).collect()] == [0, 0]
 
 
-UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
+UNSPACED = re.compile("[\u0e00-\u0eff\u0f00-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def brute_tokens(text):
@@ -191,7 +214,7 @@ def test_winnowing_against_brute_force(spark, documents):
 
 @pytest.mark.parametrize(("k", "w"), [(5, 8), (3, 5), (1, 1), (2, 6)])
 def test_prints_of_all_scripts_and_sizes(spark, k, w):
-    texts = ["", "one", "日本語の文章には空白がありません。" * 9, "ภาษาไทย " * 30, "x" * 400, "mixed 日本 words and " + "ab" * 40, "a a a a a a a a a a a a", *(" ".join(f"w{i % 37}" for i in range(n)) for n in (1, 4, 5, 6, 11, 12, 13, 67, 68, 69, 133, 500))]
+    texts = ["", "one", "𠀀𠀁 rare", "日本語の文章には空白がありません。" * 9, "ภาษาไทย " * 30, "x" * 400, "mixed 日本 words and " + "ab" * 40, "a a a a a a a a a a a a", *(" ".join(f"w{i % 37}" for i in range(n)) for n in (1, 4, 5, 6, 11, 12, 13, 67, 68, 69, 133, 500))]
     want = brute_print(spark, set(texts), k, w)
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     for r in rows.select("text", winnow.written(winnow.chosen(F.col("text"), k, w)).alias("p")).collect():

@@ -6,11 +6,11 @@ from tessera.llm import near_dup
 from tessera.llm.components import components
 
 
-def brute(docs):
+def brute(docs, k=4):
     sets = {}
     for i, text in docs:
         words = (text or "").encode().lower().split()
-        sets[i] = {tuple(words[j : j + 4]) for j in range(len(words) - 3)} if len(words) >= 4 else ({tuple(words)} if words else set())
+        sets[i] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
     holders = defaultdict(list)
     parent = {i: i for i in sets}
 
@@ -78,6 +78,42 @@ def test_empty_table(spark):
     assert near_dup.linked(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_sketches_lose_no_pair_at_the_threshold():
+    """Pairs at exactly 0.8, of many sizes: all pass both sketches and share a band."""
+    rng = near_dup.np.random.default_rng(4)
+    lost = 0
+    for n in (9, 18, 45, 90, 180, 450, 900):
+        for _ in range(150):
+            whole = rng.integers(0, 2**64, n * 10 // 9, dtype=near_dup.U)
+            shared, rest = whole[: n * 8 // 9], whole[n * 8 // 9 :]
+            a, b = (near_dup.np.unique(near_dup.np.concatenate([shared, part])) for part in (rest[: len(rest) // 2], rest[len(rest) // 2 :]))
+            both = len(near_dup.np.intersect1d(a, b))
+            if 100 * both < near_dup.PERCENT * (len(a) + len(b) - both):
+                continue
+            (bands_a, sketch_a), (bands_b, sketch_b) = near_dup.signature(a), near_dup.signature(b)
+            flips = int(near_dup.np.bitwise_count(sketch_a ^ sketch_b).sum())
+            whole_flips = int(near_dup.np.bitwise_count(near_dup.parity(a) ^ near_dup.parity(b)).sum())
+            lost += not (flips <= near_dup.most_flips() and whole_flips <= near_dup.most_whole_flips(near_dup.np.array(len(a) + len(b))) and (bands_a == bands_b).any())
+    assert lost == 0
+
+
+def test_hard_buckets_against_brute_force(spark, monkeypatch):
+    """Clusters whose members are near the threshold of one another, in blocks of a few members: hubs leave several
+    components, and some pairs that pass the sketches fail."""
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 900)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(90)]
+    docs = []
+    for i in range(220):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            own[rng.randrange(len(own))] = word()
+        docs.append((i, " ".join(own)))
+    same(spark, docs)
+
+
 def test_sketch_estimates_high_similarity():
     hashes = near_dup.WordHashes()
     text = [f"w{i}" for i in range(600)]
