@@ -67,18 +67,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it whole, to the nearest number of times; 0 drops it."""
+    """The mix in the order of its slots: each document as often as the mix takes it whole, to the nearest number of
+    times (0 drops it), each copy where its words begin."""
     rows, at = numbered(docs)
     doc, text = at["doc_id"], at["text"]
-    taken = mixture.mixed(rows, id_col=doc, text_col=text, source_col=at["source"], with_source=True)
+    plan = mixture.copies(rows, id_col=doc, text_col=text, source_col=at["source"])
     # Rows with the same id and text are numbered on both sides; equal ones among them can take each other's place.
-    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys[:2]).orderBy(keys[2]))
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    plan = taken.select("doc_id", "text_hash", nth("doc_id", "text_hash", "source").alias("nth"), times.alias("times")).where("times > 0")
-    own = rows.withColumn("hash", F.xxhash64(text))
-    own = own.withColumn("place", nth(doc, "hash", at["source"]))
-    met = own.join(plan, F.col(doc).eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")) & (F.col("place") == F.col("nth")))
-    return met.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*at.values()).toDF(*docs.columns)
+    plan = plan.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("slot")) - 1)
+    own = rows.withColumn("hash", F.xxhash64(text)).withColumn("nth", F.row_number().over(Window.partitionBy(doc, "hash", at["source"]).orderBy(F.lit(0))))
+    twins = own.groupBy(F.col(doc).alias("_doc"), F.col("hash").alias("_hash"), F.col(at["source"]).alias("_source")).agg(F.count(F.lit(1)).alias("twins"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    plan = plan.join(twins, same("doc_id", "_doc") & same("text_hash", "_hash") & same("source", "_source"))
+    place = plan.select("doc_id", "text_hash", F.col("source").alias("_of"), (F.col("i") % F.col("twins") + 1).alias("turn"), "slot")
+    met = own.join(place, same(doc, "doc_id") & same("hash", "text_hash") & same(at["source"], "_of") & (F.col("nth") == F.col("turn")))
+    return met.orderBy("slot").select(*at.values()).toDF(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
