@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, mixture, near_dup, quality
@@ -33,15 +33,20 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def with_digest(docs: DataFrame) -> DataFrame:
     """Of each row the id, the text and the text's digest. Verdicts are on texts, so texts stay where they are, and only
     the digests of the rejected ones are sent to them."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", "text", F.sha1(text.cast("binary")).alias("digest"))
+    return docs.select("doc_id", "text", digest_of("text").alias("digest"))
+
+
+def digest_of(text: str) -> Column:
+    return F.unhex(F.sha1(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows whose texts aren't among the rejected ones."""
     rows, at = numbered(docs)
-    own = rows.withColumn("digest", F.sha1(F.coalesce(F.col(at["text"]), F.lit("")).cast("binary")))
-    return own.join(rejected.select("digest").distinct(), "digest", "left_anti").select(*at.values()).toDF(*docs.columns)
+    # As a table, whose size Spark knows: it is broadcast if it is small, else Spark can split what many rows share.
+    known = stored(rejected.select("digest").distinct(), "rejected")
+    own = rows.withColumn("digest", digest_of(at["text"]))
+    return own.join(known, "digest", "left_anti").select(*at.values()).toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
