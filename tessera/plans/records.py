@@ -463,26 +463,27 @@ def manual_sync_window(spark, d):
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def ext_tumbling(spark, d):
-    return st.tumbling(st.source(spark, d)).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return st.finished(st.tumbling(st.stream(spark, d)), mode="complete").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT strftime(date_trunc('hour', ts) - i * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY ALL")
 def ext_sliding(spark, d):
-    return st.sliding(st.source(spark, d)).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+    return st.finished(st.sliding(st.stream(spark, d)), mode="complete").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
 
 
 @query(
     "SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, CAST(epoch_us(max(ts)) + 1800000000 AS BIGINT) AS end_us, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s"
 )
 def ext_session(spark, d):
-    rows = st.session_windows(st.source(spark, d))
+    rows = st.finished(st.session_windows(st.stream(spark, d)), mode="complete")
     return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query("SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type")
 def stream_dedupe(spark, d):
-    """First events of each user and type on a stream with a watermark beyond its span, counted (Q10)."""
-    rows = st.finished(st.once(st.stream(spark, d), ["user_id", "event_type"], late="3650 days").select("user_id", "event_type"))
+    """First events of each user and type on a stream, counted (Q10). The watermark covers the span of the table, as its
+    events come in no order."""
+    rows = st.finished(st.once(st.stream(spark, d), ["user_id", "event_type"], late="62 days").select("user_id", "event_type"))
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -491,3 +492,14 @@ def stream_counts(spark, d):
     """Counts by window kept by a stream in complete mode, summed over windows."""
     rows = st.finished(st.tumbling(st.stream(spark, d)), mode="complete")
     return rows.groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "SELECT event_id, outcome FROM streamed",
+    """streamed AS (WITH RECURSIVE r AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS sec, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+  f(user_id, event_type, n, event_id, outcome, until) AS (SELECT user_id, event_type, n, event_id, 'acquired', sec + 86400 FROM r WHERE n = 1
+   UNION ALL SELECT r.user_id, r.event_type, r.n, r.event_id, CASE WHEN r.sec < f.until THEN 'in_progress' ELSE 'take_over' END, CASE WHEN r.sec < f.until THEN f.until ELSE r.sec + 86400 END FROM f JOIN r ON r.user_id = f.user_id AND r.event_type = f.event_type AND r.n = f.n + 1) SELECT * FROM f)""",
+)
+def stream_claims(spark, d):
+    """Claims kept in the state of a stream (Q1): one for each user and type of event, a day long."""
+    return st.finished(st.claimed(st.stream(spark, d, files_per_trigger=1000), lease_seconds=86_400))

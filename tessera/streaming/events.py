@@ -6,8 +6,6 @@ or a batch DataFrame alike, except where it says so.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.sources.storage import fresh_path
+
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 LATE = "1 hour"
 
@@ -69,8 +69,7 @@ def claimed(events: DataFrame, lease_seconds: int = 120) -> DataFrame:
 def finished(rows: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns its last result, written as Parquet by each batch."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-stream-')}"
-    out, marks = f"{base}/stream-{uuid.uuid4().hex}", f"{base}/marks-{uuid.uuid4().hex}"
+    out, marks = fresh_path(spark, "stream"), fresh_path(spark, "marks")
 
     def save(batch: DataFrame, epoch: int) -> None:
         # A batch that runs again after a failure overwrites its own folder.
@@ -78,7 +77,7 @@ def finished(rows: DataFrame, mode: str = "append") -> DataFrame:
 
     query = rows.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
