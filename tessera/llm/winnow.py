@@ -30,8 +30,9 @@ PRIME, BASE = (1 << 31) - 1, 1_000_003
 #: K-grams over which a hash rolls before it starts anew, so that no long array is built step by step.
 ROLL = 64
 LONG_WORD = 32
-#: Scripts that are written without spaces.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+# Code points of scripts that are written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, Chinese,
+# Japanese).
+UNSPACED = r"[\u0E00-\u0EFF\u0F00-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3021-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
 #: Positions take the low bits of a packed value, counted from the right so that the least is the rightmost.
 PLACE_BITS = 31
 LAST_PLACE = (1 << PLACE_BITS) - 1
@@ -47,8 +48,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def tokens_of(text: Column) -> Column:
     """Words, and in their place the characters of those that are long or of a script without spaces."""
     apart = lambda w: F.when((F.length(w) > LONG_WORD) | w.rlike(UNSPACED), F.split(w, "")).otherwise(F.array(w))
-    some = text.rlike(f"{UNSPACED}|[^\\x20\\x09-\\x0D]{{{LONG_WORD + 1},}}")
-    return F.when(some, F.filter(F.flatten(F.transform(words_of(text), apart)), lambda c: c != "")).otherwise(words_of(text))
+    # Most texts are told apart from the others by their sizes alone.
+    unspaced = (F.octet_length(text) > F.length(text)) & text.rlike(UNSPACED)
+
+    def of(words: Column) -> Column:
+        some = F.when(F.exists(words, lambda w: F.length(w) > LONG_WORD), True).otherwise(unspaced)
+        return F.when(some, F.filter(F.flatten(F.transform(words, apart)), lambda c: c != "")).otherwise(words)
+
+    return let(words_of(text), of)
 
 
 def rolled(hashes: Column, k: int) -> Column:
