@@ -43,18 +43,34 @@ def clusters(entries: DataFrame, labels: int = 12, examples_of: int = 4, example
     return top.join(shown, ["user_id", "label_code"], "left").select("user_id", "label_code", "n", "rank", F.when(F.col("rank") <= examples_of, F.col("newest")).alias("newest"))
 
 
-def lexicon_hits(entries: DataFrame, terms: list[str], clock: str, days: int = 30, k: int = 10) -> DataFrame:
+def searched(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries with what terms are looked up in, as ``hay``: content, label code and label name."""
+    named = entries.join(labels.select(F.col("code").alias("label_code"), F.col("name").alias("_name")), "label_code", "left")
+    return named.withColumn("hay", F.lower(F.concat_ws("\n", "content", "label_code", "_name"))).drop("_name")
+
+
+def lexicon_hits(entries: DataFrame, labels: DataFrame, terms: list[str], clock: str, days: int = 30, k: int = 10) -> DataFrame:
     """Each user's newest entries that hold a term of a lexicon, with the terms that they hold."""
     known = F.array(*[F.lit(t) for t in terms])
-    found = F.filter(known, lambda t: F.contains(F.lower("content"), t))
-    rows = entries.where(F.col("created_at") >= since(clock, days)).select("user_id", "id", "created_at", F.array_join(found, ",").alias("terms")).where("terms <> ''")
+    found = F.filter(known, lambda t: F.contains("hay", t))
+    rows = searched(entries.where(F.col("created_at") >= since(clock, days)), labels).select("user_id", "id", "created_at", F.array_join(found, ",").alias("terms")).where("terms <> ''")
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     return rows.withColumn("rank", F.row_number().over(newest).cast("long")).where(F.col("rank") <= k).select("user_id", "rank", "id", "terms")
 
 
-def entry_page(entries: DataFrame, offset: int, limit: int) -> DataFrame:
-    """One page of each user's top-level entries, newest first, with the total and the ids of children."""
-    top = entries.where("parent_id is null").select("user_id", "id", "label_code", "created_at")
+def listed(entries: DataFrame, labels: DataFrame, label: str = "", terms: list[str] | None = None) -> DataFrame:
+    """Top-level entries with a label, if one is named, that hold one of the terms, if any are."""
+    rows = entries.where("parent_id is null")
+    if label:
+        rows = rows.where(F.col("label_code") == label)
+    if terms:
+        rows = searched(rows, labels).where(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains("hay", t))).drop("hay")
+    return rows
+
+
+def entry_page(entries: DataFrame, top: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One page of each user's listed entries, newest first, with the total and the ids of children."""
+    top = top.select("user_id", "id", "label_code", "created_at")
     order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     totals = top.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     page = top.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= offset + limit).where(F.col("position") > offset).join(totals, "user_id")

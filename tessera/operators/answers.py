@@ -82,6 +82,35 @@ def relevance_reason(title_hit: Column, body_hit: Column, hits: Column, coverage
     )
 
 
+# Claims that a list is complete, what stands in for them, and what a filtered list says first.
+EXHAUSTIVE = (
+    "全部相关(的)?(记录|结果|内容|条目)?",
+    "所有相关(的)?(记录|结果|内容|条目)?",
+    "完整列出",
+    "完整罗列",
+    "列出全部",
+    "列出所有",
+    "全部列出",
+    "所有列出",
+    "无一遗漏",
+    "完整清单",
+    "全部(的)?(记录|结果|提示词|(?i:prompt))",
+    "所有(的)?(记录|结果|提示词|(?i:prompt))",
+)
+SOME, PREFACE = "相关记录", "为你筛选到以下相关记录"
+
+
+def scoped(answer: Column, intent: Column, scope: Column) -> Column:
+    """An answer that doesn't call a list complete which a budget has cut."""
+    text = tx.stripped(F.coalesce(answer, F.lit("")))
+    plain = text
+    for claim in EXHAUSTIVE:
+        plain = F.regexp_replace(plain, claim, SOME)
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), "^[ ，,。]+|[ ，,。]+$", "")
+    said = F.when(F.contains(plain, F.lit(PREFACE)), plain).when(plain == "", PREFACE + "。").otherwise(F.concat(F.lit(PREFACE + "。\n"), plain))
+    return F.when((intent == "lookup_all") & (scope == "budget_filtered"), said).otherwise(text)
+
+
 def strength(title_hit: Column, hits: Column, coverage: Column) -> Column:
     """Orders candidates of one level: title hits, then term hits up to 32, then coverage."""
     return F.struct(title_hit.cast("int").alias("title"), F.least(hits, F.lit(32)).alias("hits"), coverage.alias("coverage"))

@@ -163,6 +163,30 @@ def winners(per_case: DataFrame) -> DataFrame:
     return per_case.withColumn("best", best).where(F.col("mrr") >= F.col("best") - 1e-12).select("case_id", "retriever", "mrr")
 
 
+def winner(report: DataFrame) -> DataFrame:
+    """Which retriever leads a layer by its mean MRR (E11): none if several do, nor if there is nothing to compare.
+
+    report: (layer, retriever, denominator, mrr).
+    """
+    whole = report.groupBy("layer").agg(F.min("denominator").alias("least"), F.max("mrr").alias("best"), F.count_if(F.col("mrr").isNull()).alias("missing"))
+    rows = report.join(whole, "layer").groupBy("layer").agg(
+        F.first((F.col("least") > 0) & (F.col("missing") == 0)).alias("ok"),
+        F.array_sort(F.collect_list(F.when(F.abs(F.col("mrr") - F.col("best")) < 1e-12, F.col("retriever")))).alias("leaders"),  # a few retrievers
+    )
+    known = F.coalesce("ok", F.lit(False))
+    lead = F.when(known & (F.size("leaders") == 1), F.element_at("leaders", 1))
+    return rows.select("layer", F.when(known, "ok").otherwise("unavailable").alias("status"), lead.alias("winner"), F.when(known, F.array_join("leaders", ",")).otherwise("").alias("leaders"))
+
+
+def stable(runs: DataFrame, precision_floor: float = 0.70) -> DataFrame:
+    """Whether all runs of a case are good enough (E15): found, covered, all of the gold matched, few others.
+
+    runs: (case_id, run, recall, precision, covered, found, ok).
+    """
+    good = F.col("ok") & F.col("covered") & F.col("found") & (F.col("recall") >= 1.0) & (F.col("precision") >= precision_floor)
+    return runs.groupBy("case_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("stable"), F.count_if(good).alias("good_runs"))
+
+
 def agreement(runs: DataFrame) -> DataFrame:
     """Mean Jaccard similarity of a case's runs, two empty runs alike (E15). runs: (case_id, run, keys)."""
     a, b = runs.alias("a"), runs.alias("b")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.memory import fingerprint
+
 #: Root depth is 0; a child may be no deeper than this, so the closure is a fixed number of equi-joins.
 MAX_DEPTH = 3
 #: A missing sibling order sorts behind all others.
@@ -105,3 +107,37 @@ def preorder(nodes: DataFrame) -> DataFrame:
     path = closure(nodes).join(keys, "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("up"), "key"))).alias("steps"))  # no more than the depth
     ranked = roots(nodes).join(path.select("id", F.array_join(F.col("steps.key"), "/").alias("path")), "id")
     return ranked.withColumn("position", F.row_number().over(Window.partitionBy("root").orderBy("path")).cast("long")).drop("path")
+
+
+def paths(nodes: DataFrame, between: str = " / ") -> DataFrame:
+    """The titles from the root to each node (T4)."""
+    titles = nodes.select(F.col("id").alias("ancestor"), F.col("content").alias("title"))
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("up"), "title")))  # no more than the depth
+    return closure(nodes).join(titles, "ancestor").groupBy("id").agg(steps.alias("steps")).select("id", F.array_join(F.transform("steps", lambda s: F.trim(s["title"])), between).alias("path"))
+
+
+def index_texts(nodes: DataFrame) -> DataFrame:
+    """What a task is indexed by, and a hash that changes only with it (F24): steps have no priority, urgency or due day
+    of their own; neither path nor order count. The wordings are fixed values."""
+    step, text = F.col("parent_id").isNotNull(), F.trim(F.coalesce("content", F.lit("")))
+    line = lambda name, value: F.concat(F.lit(f"{name}："), value)
+    own = lambda c: F.when(~step, c)
+    due, done = own(F.col("due_date").cast("string")), F.col("completed_on").cast("string")
+    parts = [
+        F.concat(F.when(step, "子任务步骤").otherwise("小要事"), F.lit("："), text),
+        line("状态", F.when(F.col("is_done"), "已完成").otherwise("未完成")),
+        own(line("优先级", F.coalesce("priority", F.lit("P4")))),
+        own(line("紧急", F.when(F.col("is_urgent"), "是").otherwise("否"))),
+        F.when(due.isNotNull(), line("截止日期", due)),
+        F.when(done.isNotNull(), line("完成时间", done)),
+    ]
+    seen = {
+        "completed_at": done,
+        "content": text,
+        "due_date": due,
+        "is_step": step,
+        "priority": own(F.coalesce("priority", F.lit("P4"))),
+        "status": F.when(F.col("is_done"), "completed").otherwise("open"),
+        "urgent": F.when(step, False).otherwise(F.col("is_urgent")),
+    }
+    return nodes.select("id", F.concat_ws("\n", *parts).alias("text"), fingerprint(seen).alias("content_hash"))

@@ -312,3 +312,11 @@ def judge_evidence(spark, d):
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN '标题直接命中检索主题' WHEN id % 3 = 0 AND id % 5 >= 2 THEN '正文多处涉及检索主题' WHEN id % 3 = 0 THEN '正文包含相关内容' WHEN id % 7 >= 5 THEN '内容较完整地覆盖检索主题' ELSE '内容与检索主题相关' END AS reason FROM entries")
 def relevance_reasons(spark, d):
     return t.entries(spark, d).select("id", answers.relevance_reason(F.col("id") % 2 == 0, F.col("id") % 3 == 0, F.col("id") % 5, F.col("id") % 7 / 10).alias("reason"))
+
+
+@query(
+    """SELECT id, CASE WHEN id % 3 = 0 THEN '为你筛选到以下相关记录。' || CASE WHEN id % 5 = 0 THEN '' ELSE chr(10) || CASE WHEN id % 5 = 1 THEN '这里是相关记录，相关记录' ELSE '答案 ' || CAST(id AS VARCHAR) || ' x' END END ELSE CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 = 1 THEN '这里是全部相关的记录，列出所有。' ELSE '答案 ' || CAST(id AS VARCHAR) || '  x' END END AS answer FROM entries"""
+)
+def scoped_answers(spark, d):
+    said = F.expr("case when id % 5 = 0 then ' ' when id % 5 = 1 then '这里是全部相关的记录，列出所有。' else concat('答案 ', id, '  x') end")
+    return t.entries(spark, d).select("id", answers.scoped(said, F.lit("lookup_all"), F.expr("if(id % 3 = 0, 'budget_filtered', 'complete')")).alias("answer"))

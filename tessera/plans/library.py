@@ -10,7 +10,7 @@ from tessera.sources import tables as t
 
 CLOCK = t.ENTRY_CLOCK
 USERS = list(range(8))
-LEXICON = ["the and", "nicht", "pour", "para", "worthless"]
+LEXICON = ["the and", "nicht", "pour", "para", "worthless", "src1"]
 TERMS = ["the", "and", "nicht", "pour"]
 LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 SINCE = lambda days: f"TIMESTAMP '{CLOCK}' - INTERVAL {days} DAY"
@@ -59,10 +59,10 @@ def knowledge_clusters(spark, d):
 
 
 @query(
-    f"SELECT user_id, rank, id, terms FROM (SELECT user_id, id, terms, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rank FROM (SELECT user_id, id, created_at, array_to_string(list_filter({LIST(LEXICON)}, lambda x: contains(lower(content), x)), ',') AS terms FROM entries WHERE created_at >= {SINCE(30)}) WHERE terms <> '') WHERE rank <= 10"
+    f"SELECT user_id, rank, id, terms FROM (SELECT user_id, id, terms, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rank FROM (SELECT user_id, id, created_at, array_to_string(list_filter({LIST(LEXICON)}, lambda x: contains(lower(concat_ws(chr(10), content, label_code, l.name)), x)), ',') AS terms FROM entries LEFT JOIN entry_labels l ON l.code = label_code WHERE created_at >= {SINCE(30)}) WHERE terms <> '') WHERE rank <= 10"
 )
 def lexicon_match(spark, d):
-    return a.lexicon_hits(t.entries(spark, d), LEXICON, CLOCK)
+    return a.lexicon_hits(t.entries(spark, d), t.entry_labels(spark, d), LEXICON, CLOCK)
 
 
 @query(
@@ -71,7 +71,19 @@ FROM (SELECT user_id, id, label_code, row_number() OVER (PARTITION BY user_id OR
 LEFT JOIN (SELECT parent_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS children FROM entries WHERE parent_id IS NOT NULL GROUP BY parent_id) c ON c.id = p.id WHERE position > 10 AND position <= 30"""
 )
 def entry_list_page(spark, d):
-    return a.entry_page(t.entries(spark, d), 10, 20)
+    entries = t.entries(spark, d)
+    return a.entry_page(entries, a.listed(entries, t.entry_labels(spark, d)), 10, 20)
+
+
+@query(
+    """SELECT p.user_id, position, p.id, p.label_code, total, coalesce(children, '') AS children
+FROM (SELECT user_id, id, label_code, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS position, count(*) OVER (PARTITION BY user_id) AS total FROM entries LEFT JOIN entry_labels l ON l.code = label_code
+ WHERE parent_id IS NULL AND label_code = 'src3' AND (lower(content) LIKE '%the%' OR lower(content) LIKE '%nicht%' OR lower(label_code) LIKE '%zzz%' OR lower(l.name) LIKE '%zzz%')) p
+LEFT JOIN (SELECT parent_id AS id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) AS children FROM entries WHERE parent_id IS NOT NULL GROUP BY parent_id) c ON c.id = p.id WHERE position <= 20"""
+)
+def entry_list_filtered(spark, d):
+    entries = t.entries(spark, d)
+    return a.entry_page(entries, a.listed(entries, t.entry_labels(spark, d), "src3", ["the", "nicht", "zzz"]), 0, 20)
 
 
 @query("SELECT e.id, p.id AS parent, g.id AS grandparent, coalesce(g.id, p.id, e.id) AS root FROM entries e LEFT JOIN entries p ON p.id = e.parent_id LEFT JOIN entries g ON g.id = p.parent_id")

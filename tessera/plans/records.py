@@ -369,6 +369,29 @@ def retriever_winners(spark, d):
     return ev.winners(ev.metrics(*cases(spark, d)))
 
 
+@query(
+    """SELECT layer, CASE WHEN ok THEN 'ok' ELSE 'unavailable' END AS status, CASE WHEN ok AND n = 1 THEN leaders END AS winner, CASE WHEN ok THEN leaders ELSE '' END AS leaders FROM (
+ SELECT layer, min(den) > 0 AND count(*) FILTER (mrr IS NULL) = 0 AS ok, string_agg(retriever, ',' ORDER BY retriever) FILTER (abs(mrr - best) < 1e-12) AS leaders, count(*) FILTER (abs(mrr - best) < 1e-12) AS n
+ FROM (SELECT *, max(mrr) OVER (PARTITION BY layer) AS best FROM (SELECT case_id % 4 AS layer, retriever, count(*) FILTER (case_id % 4 <> 3) AS den, round(avg(mrr), 6) AS mrr FROM metrics GROUP BY ALL)) GROUP BY layer)""",
+    CASES,
+    *metric_tables(10),
+)
+def layer_winners(spark, d):
+    rows = ev.metrics(*cases(spark, d)).withColumn("layer", F.expr("case_id % 4"))
+    return ev.winner(rows.groupBy("layer", "retriever").agg(F.count_if(F.expr("case_id % 4 <> 3")).alias("denominator"), F.round(F.avg("mrr"), 6).alias("mrr")))
+
+
+@query(
+    "SELECT case_id, count(*) = count(*) FILTER (good) AS stable, count(*) FILTER (good) AS good_runs FROM (SELECT case_id, retriever <> 'other' AND (returned > 2) AND hits > 0 AND hits / returned::DOUBLE >= 0.05 AND first <= 4 AS good FROM per) GROUP BY case_id",
+    CASES,
+    *metric_tables(10),
+)
+def run_stability(spark, d):
+    m = ev.ranked_with_gain(*cases(spark, d)).where("rank <= 10").groupBy("case_id", "retriever").agg(F.count(F.lit(1)).alias("returned"), F.count_if(F.col("relevance") > 0).alias("hits"), F.min(F.when(F.col("relevance") > 0, F.col("rank"))).alias("first"))
+    rows = m.selectExpr("case_id", "retriever as run", "if(first <= 4, 1.0D, 0.5D) as recall", "hits / returned as precision", "returned > 2 as covered", "hits > 0 as found", "retriever <> 'other' as ok")
+    return ev.stable(rows, precision_floor=0.05)
+
+
 @query(
     """SELECT case_id, round(avg(j), 6) AS jaccard, bool_and(j = 1) AS all_equal FROM (SELECT a.case_id, len(list_intersect(a.ks, b.ks)) / len(list_distinct(a.ks || b.ks))::DOUBLE AS j FROM runs a JOIN runs b ON a.case_id = b.case_id AND a.run < b.run) GROUP BY case_id""",
     "runs AS (SELECT query_id AS case_id, list_idx AS run, list(DISTINCT key) AS ks FROM rankings GROUP BY ALL)",

@@ -319,7 +319,7 @@ def script_boundary_split(spark, d):
 
 @query("SELECT query_id, array_to_string(terms, ' ') AS terms FROM (SELECT item_id AS query_id, (SELECT list(w ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest(ws) AS w, generate_subscripts(ws, 1) AS p) GROUP BY w)) AS terms FROM (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM benchmark))")
 def query_tokens(spark, d):
-    return t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tx.tokens(F.col("text")), " ").alias("terms"))
+    return t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(tx.tokens(tx.normalised(F.col("text"))), " ").alias("terms"))
 
 
 @query(

@@ -119,3 +119,18 @@ def plan_transitions(spark, d):
 )
 def notification_counts(spark, d):
     return planning.notification_counts(t.todos(spark, d), t.plan_items(spark, d), DAY)
+
+
+@query("SELECT c.id, string_agg(trim(a.content, ' '), ' / ' ORDER BY distance DESC) AS path FROM closure c JOIN todos a ON a.id = c.ancestor GROUP BY c.id")
+def todo_paths(spark, d):
+    return tree.paths(t.todos(spark, d))
+
+
+@query(
+    """SELECT id, kind || '：' || content || chr(10) || '状态：' || CASE WHEN is_done THEN '已完成' ELSE '未完成' END || CASE WHEN parent_id IS NULL THEN chr(10) || '优先级：' || priority || chr(10) || '紧急：' || CASE WHEN is_urgent THEN '是' ELSE '否' END || coalesce(chr(10) || '截止日期：' || CAST(due_date AS VARCHAR), '') ELSE '' END || coalesce(chr(10) || '完成时间：' || CAST(completed_on AS VARCHAR), '') AS text,
+ sha256('{"completed_at":' || coalesce('"' || CAST(completed_on AS VARCHAR) || '"', 'null') || ',"content":"' || content || '","due_date":' || CASE WHEN parent_id IS NULL THEN coalesce('"' || CAST(due_date AS VARCHAR) || '"', 'null') ELSE 'null' END || ',"is_step":' || CASE WHEN parent_id IS NULL THEN 'false' ELSE 'true' END
+  || ',"priority":' || CASE WHEN parent_id IS NULL THEN '"' || priority || '"' ELSE 'null' END || ',"status":"' || CASE WHEN is_done THEN 'completed' ELSE 'open' END || '","urgent":' || CASE WHEN parent_id IS NULL AND is_urgent THEN 'true' ELSE 'false' END || '}') AS content_hash
+ FROM (SELECT *, CASE WHEN parent_id IS NULL THEN '小要事' ELSE '子任务步骤' END AS kind FROM todos)"""
+)
+def todo_index_texts(spark, d):
+    return tree.index_texts(t.todos(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import admission, catalog, evaluation, families, fusion, memory, planning, quality, queues, retrieval, scopes, tree
+from tessera.operators import admission, answers, catalog, evaluation, families, fusion, memory, planning, quality, queues, retrieval, scopes, tree
 from tessera.streaming import events
 
 TODO = "id long, parent_id long, user_id long, sort_order long, content string, priority string, is_urgent boolean, is_done boolean, due_date date, created_on date, completed_on date"
@@ -286,3 +286,25 @@ def test_stream_windows_and_claims(spark, tmp_path):
     assert events.finished(events.once(stream(), ["user_id"]).select("user_id")).count() == 2
     got = {r["event_id"]: r["outcome"] for r in events.finished(events.claimed(stream())).collect()}
     assert got == {1: "acquired", 2: "in_progress", 3: "take_over", 4: "acquired", 5: "in_progress"}
+
+
+def test_a_layers_winner(spark):
+    rows = [(1, "a", 3, 0.5), (1, "b", 3, 0.4), (2, "a", 3, 0.5), (2, "b", 3, 0.5 + 1e-13), (3, "a", 0, 0.9), (4, "a", 3, None), (4, "b", 3, 0.1)]
+    got = {r["layer"]: tuple(r)[1:] for r in evaluation.winner(spark.createDataFrame(rows, "layer int, retriever string, denominator long, mrr double")).collect()}
+    assert got == {1: ("ok", "a", "a"), 2: ("ok", None, "a,b"), 3: ("unavailable", None, ""), 4: ("unavailable", None, "")}
+
+
+def test_filtered_answers_claim_no_completeness(spark):
+    rows = [("这里是全部相关的记录。", "lookup_all", "budget_filtered"), (" ", "lookup_all", "budget_filtered"), ("列出所有 PROMPT", "lookup_all", "complete"), ("所有的Prompt", "lookup_all", "budget_filtered")]
+    df = spark.createDataFrame(rows, "a string, i string, s string")
+    got = [r[0] for r in df.select(answers.scoped(F.col("a"), F.col("i"), F.col("s"))).collect()]
+    assert got == ["为你筛选到以下相关记录。\n这里是相关记录", "为你筛选到以下相关记录。", "列出所有 PROMPT", "为你筛选到以下相关记录。\n相关记录"]
+
+
+def test_hashes_of_tasks_ignore_place_and_order(spark):
+    rows = spark.createDataFrame([todo(1, order=1), todo(2, 1, order=2, urgent=True, due=DAY), todo(3, 1, order=9, priority="P0")], TODO)
+    moved = spark.createDataFrame([todo(1, order=7), todo(2, 1, order=0), todo(3, 2, order=9)], TODO)
+    hashes = lambda df: {r["id"]: r["content_hash"] for r in tree.index_texts(df).collect()}
+    assert hashes(rows) == hashes(moved)
+    assert tree.index_texts(rows).where("id = 2").first()["text"] == "子任务步骤：task\n状态：未完成"
+    assert {r["id"]: r["path"] for r in tree.paths(moved).collect()} == {1: "task", 2: "task / task", 3: "task / task / task"}
