@@ -86,8 +86,10 @@ STRENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0)
 #: Most log odds that a block has of its own.
 MOST_ODDS = 4.0
 #: Log odds of sections, and how strongly blocks and inner sections hang on them.
-SECTION_ODDS = {"boiler": -12.0, "named": -10.0, "content": 8.0, "hinted": 1.0}
-SECTION_HOLD = {"boiler": 8.0, "named": 6.0, "content": 4.5, "hinted": 1.0}
+SECTION_ODDS = {"boiler": -12.0, "named": -10.0, "content": 8.0, "hinted": 4.0}
+SECTION_HOLD = {"boiler": 8.0, "named": 6.0, "content": 4.5, "hinted": 2.5}
+#: How strongly sections hang on sections around them that aren't boilerplate.
+LOOSE = 1.0
 #: A section with more of the page's text than this may be a wrapper.
 WRAPPER = 0.5
 
@@ -396,7 +398,13 @@ def cut_of(page: Page, weights: np.ndarray, strength: float, marked: bool = True
                 left.append(i)
                 right.append(n + s)
                 room.append(SECTION_HOLD[kinds[s]])
-        # A section speaks for each of its blocks, so many doubtful ones don't outweigh it.
+        # A section speaks for each of its blocks, so many doubtful ones don't outweigh it; boilerplate, for those of the
+        # sections in it, too.
+        inside = list(blocks)
+        for s in range(len(elements) - 1, -1, -1):
+            if around[s] >= 0:
+                inside[around[s]] += inside[s]
+        blocks = [i if k in ("boiler", "named") else b for k, i, b in zip(kinds, inside, blocks, strict=True)]
         odds = np.concatenate([odds, [SECTION_ODDS.get(k, 0.0) * max(1, b) for k, b in zip(kinds, blocks, strict=True)]])
         for s, t in enumerate(around):
             if t >= 0 and kinds[s]:
@@ -404,7 +412,7 @@ def cut_of(page: Page, weights: np.ndarray, strength: float, marked: bool = True
                 right.append(n + t)
                 # Boilerplate holds what it encloses; an article doesn't hold the menus in it.
                 held = kinds[t] in ("boiler", "named") and kinds[s] != "boiler"
-                room.append(2 * SECTION_HOLD[kinds[t]] * max(1, blocks[s]) if held else SECTION_HOLD["hinted"])
+                room.append(2 * SECTION_HOLD[kinds[t]] * max(1, inside[s]) if held else LOOSE)
     return minimum_cut(odds, left, right, room)[:n]
 
 

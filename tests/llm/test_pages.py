@@ -177,6 +177,19 @@ def test_cut_changes_labels_for_the_better(spark, pages):
     assert wrong["whole"] < wrong["smooth"] <= wrong["alone"]
 
 
+def test_all_that_stands_around_an_article():
+    story = "<p>This is the first real paragraph, with several clauses, and it ends here.</p><ul><li>one point</li><li>another point</li></ul><h2>Sub</h2><p>Yes.</p><table><tr><td>cell a<td>12</table>"
+    want = "This is the first real paragraph, with several clauses, and it ends here. one point another point Sub Yes. cell a 12"
+    page = f"""<body><header><h1>Site</h1></header><nav>Menu <a>x</a></nav><main><article><header><h1>The Title</h1><p>By A. Person</p></header>{story}
+    <aside><p>Related stories, which you may like. Read them now.</p></aside><div class="advert"><p>Buy this thing now, it is the best thing. Really.</p></div><form><label>Mail</label><button>Send it</button></form>
+    <footer><p>Filed under: stories</p></footer></article><section id="comments"><h2>Comments</h2><article><p>Nice article, I agree with everything in it.</p></article></section></main>
+    <div role="complementary"><p>Side text that is long enough to look like content, is it not? Yes.</p></div><footer>© x</footer>"""
+    assert html_cut.main_text(page, PRIOR) == "The Title By A. Person " + want
+    page = f"""<body><div id=header><a href=/>Home</a> <a href=/x>About us</a></div><div id=nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div><div class="cookie-banner"><p>We use cookies to improve your
+    experience, and to show you adverts. Accept all of them?</p></div><div class="post-body"><h1>The Title</h1>{story}</div><div class="comments"><div class="comment"><p>I really liked this post, and I will share it.</p></div></div><div id="footer"><p>Copyright 2024 Some Company.</p></div>"""
+    assert html_cut.main_text(page, PRIOR) == "The Title " + want
+
+
 def test_names_of_wrappers_decide_nothing():
     said = "<h1>A title of it</h1><p>First paragraph, of some words. And more.</p><p>Second paragraph.</p>"
     for name in ("social-science-article", "legal", "article side", "comments", "header", "ads"):
