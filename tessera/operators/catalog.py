@@ -145,3 +145,20 @@ def owned_subtree(entries: DataFrame, starts: DataFrame) -> DataFrame:
         if level.isEmpty():
             return reduce(DataFrame.union, found).select("start", "id", "distance")
         found.append(level)
+
+
+def fallback_plans(queries: DataFrame) -> DataFrame:
+    """The plan of a query that no planner has seen (F23): an answer from content about its topic, or else about itself,
+    without filters. queries: (query_id, text, topic)."""
+    strip = lambda c: F.nullif(tx.stripped(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    columns = {"operation": F.lit("answer_content"), "topic": F.coalesce(strip("topic"), strip("text")), "named_source": F.lit(None).cast("string"), "presentation": F.lit("answer")}
+    return queries.select("query_id", *[c.alias(k) for k, c in columns.items()])
+
+
+# What readers may see of a reference.
+PUBLIC = ("reference_key", "source_type", "title", "snippet", "label_name", "created_at")
+
+
+def public_view(refs: DataFrame, shown: tuple[str, ...] = PUBLIC) -> DataFrame:
+    """References without their internal columns (F29): only those that are named are shown."""
+    return refs.select(*[c for c in refs.columns if c in shown])

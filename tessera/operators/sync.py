@@ -125,3 +125,14 @@ def snapshot(vectors: DataFrame, path: str, signature: str) -> None:
 def restored(spark: SparkSession, path: str, signature: str) -> DataFrame:
     """The snapshot's rows of this signature; others are as if absent."""
     return spark.read.parquet(path).where(F.col("signature") == signature).drop("signature")
+
+
+# Types of attachments whose text is extracted, and by what.
+EXTRACTORS = {"application/pdf": "pdf", "application/vnd.openxmlformats-officedocument.presentationml.presentation": "slides"}
+
+
+def extractors(attachments: DataFrame) -> DataFrame:
+    """Which extractor an attachment goes to (S8): by its type, any image to the image reader; null if there is none."""
+    kind = F.lower(F.trim("mime_type"))
+    known = F.coalesce(*[F.when(kind == name, extractor) for name, extractor in EXTRACTORS.items()], F.when(F.startswith(kind, F.lit("image/")), "image"))
+    return attachments.select("id", known.alias("extractor"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import answers, families, joins, queues, reviews
+from tessera.operators import answers, catalog, families, joins, queues, reviews, sync
 from tessera.operators import evaluation as ev
 from tessera.plans.records import CASES, cases, metric_tables
 from tessera.plans.registry import ORACLES, query
@@ -320,3 +320,22 @@ def relevance_reasons(spark, d):
 def scoped_answers(spark, d):
     said = F.expr("case when id % 5 = 0 then ' ' when id % 5 = 1 then '这里是全部相关的记录，列出所有。' else concat('答案 ', id, '  x') end")
     return t.entries(spark, d).select("id", answers.scoped(said, F.lit("lookup_all"), F.expr("if(id % 3 = 0, 'budget_filtered', 'complete')")).alias("answer"))
+
+
+@query("SELECT item_id AS query_id, 'answer_content' AS operation, CASE WHEN item_id % 3 = 0 THEN trim(substr(text, 1, 20), ' ') WHEN item_id % 3 = 1 THEN text END AS topic, NULL AS named_source, 'answer' AS presentation FROM (SELECT item_id, trim(text, ' ') AS text FROM benchmark)")
+def fallback_plan(spark, d):
+    text = F.when(F.col("item_id") % 3 != 2, F.col("text")).otherwise("  ")
+    topic = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" "), F.substring("text", 1, 20)))
+    return catalog.fallback_plans(t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"), topic.alias("topic")))
+
+
+@query("SELECT 'entry:' || CAST(id AS VARCHAR) AS reference_key, 'entry' AS source_type, label_code AS label_name FROM entries")
+def public_references(spark, d):
+    rows = t.entries(spark, d).select(F.concat(F.lit("entry:"), F.col("id").cast("string")).alias("reference_key"), F.lit("entry").alias("source_type"), F.col("label_code").alias("label_name"), "user_id", F.col("content").alias("judge_evidence"))
+    return catalog.public_view(rows)
+
+
+@query("SELECT vec_id AS id, CASE vec_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'slides' WHEN 2 THEN 'image' END AS extractor FROM embeddings")
+def attachment_extractors(spark, d):
+    kind = F.expr("element_at(array('application/pdf', 'application/vnd.openxmlformats-officedocument.presentationml.presentation', ' image/PNG', 'text/plain', null), cast(vec_id % 5 + 1 as int))")
+    return sync.extractors(t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), kind.alias("mime_type")))
