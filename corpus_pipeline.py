@@ -72,8 +72,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in the order of its slots: each document as often as the mix takes it whole, to the nearest number of
-    times (0 drops it), each copy where its words begin."""
+    """The mix, in each file in the order of its slots: each document as often as the mix takes it whole, to the nearest
+    number of times (0 drops it), each copy where its words begin."""
     rows, at = numbered(docs)
     doc, text = at["doc_id"], at["text"]
     plan = mixture.copies(rows, id_col=doc, text_col=text, source_col=at["source"])
@@ -85,7 +85,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = plan.join(twins, same("doc_id", "_doc") & same("text_hash", "_hash") & same("source", "_source"))
     place = plan.select("doc_id", "text_hash", F.col("source").alias("_of"), (F.col("i") % F.col("twins") + 1).alias("turn"), "slot")
     met = own.join(place, same(doc, "doc_id") & same("hash", "text_hash") & same(at["source"], "_of") & (F.col("nth") == F.col("turn")))
-    return met.orderBy("slot").select(*at.values()).toDF(*docs.columns)
+    # Each file has its share of the slots, in their order; a global order would send all texts once more.
+    return met.sortWithinPartitions("slot").select(*at.values()).toDF(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
