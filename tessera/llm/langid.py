@@ -182,12 +182,13 @@ def backed_off(unseen: DataFrame, model: Model) -> DataFrame:
         if left.isEmpty():
             return unioned(found)
         asked = left.select("word", F.explode(grams_column(F.col("word"), order)).alias("gram"))
-        learned = model.words.select(F.explode("counts").alias("c"), F.explode(grams_column(F.col("entry"), order)).alias("gram"))
-        learned = learned.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "c.lang").agg(F.sum("c.n").alias("n"))
+        # Distinct n-grams are few beside the words that have them, so they are summed in each task before they are sent.
+        learned = model.words.select("counts", F.explode(grams_column(F.col("entry"), order)).alias("gram"))
+        learned = learned.select("gram", F.explode("counts").alias("c")).groupBy("gram", "c.lang").agg(F.sum("c.n").alias("n"))
         vectors = learned.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("counts")).select("gram", model.vector(order, F.col("counts")).alias("v"))
         vectors = stored(vectors, "language-vectors")  # as a table, so that Spark can split an ending that many words share
         means = F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(len(model.langs))])
-        hit = stored(asked.join(vectors, "gram").groupBy("word").agg(means.alias("v")), "language-grams")
+        hit = stored(asked.join(vectors.hint("shuffle_hash"), "gram").groupBy("word").agg(means.alias("v")), "language-grams")
         found.append(hit)
         left = left.join(hit, "word", "left_anti")
     return unioned([*found, left.select("word", empty.alias("v"))])
@@ -209,14 +210,15 @@ def predicted(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id
     rows = stored(split_scores(docs, model, keep, text_col), "language-rows")
     rest = rows.select("_row", F.explode(F.arrays_zip("_rest", "_times")).alias("w")).select("_row", F.col("w._rest").alias("word"), F.col("w._times").alias("times"))
     distinct = rest.select("word").distinct()
-    met = stored(distinct.join(model.words.select(F.col("entry").alias("word"), "counts"), "word", "left"), "language-met")
+    learned = model.words.select(F.col("entry").alias("word"), "counts").hint("shuffle_hash")
+    met = stored(distinct.join(learned, "word", "left"), "language-met")
     unseen = met.where("counts is null").select("word")
     vectors = met.where("counts is not null").select("word", model.vector(0, F.col("counts")).alias("v"))
     if not unseen.isEmpty():
         vectors = vectors.unionByName(backed_off(unseen, model))
     # Words outside the table are rare, so no word's rows are many; a row's are summed before they are sent.
     sums = [F.sum(F.col("times") * F.get("v", F.lit(i))).alias(f"s{i}") for i in range(width)]
-    others = rest.join(vectors, "word").groupBy("_row").agg(*sums).select("_row", F.array(*[f"s{i}" for i in range(width)]).alias("_more"))
+    others = rest.join(vectors.hint("shuffle_hash"), "word").groupBy("_row").agg(*sums).select("_row", F.array(*[f"s{i}" for i in range(width)]).alias("_more"))
     whole = rows.drop("_rest", "_times").join(others, "_row", "left")
     total = F.zip_with("_sum", F.coalesce("_more", F.array_repeat(F.lit(0.0), width)), lambda a, b: a + b)
     whole = whole.withColumn("_total", total).withColumn("_best", F.array_max("_total"))
