@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hilbert, html_cut, kneser_ney, langid, mixture, near_dup, oracles, quality, warc, winnow
+from tessera.llm import bpe, gnat, hilbert, html_cut, kneser_ney, langid, mixture, near_dup, oracles, pair_index, quality, warc, whitening, winnow
 from tessera.llm.common import crc_of_id, table
 
 #: Words of a shingle that the near-duplicate query asks for.
 OP1_SHINGLE = 4
 #: The vocabulary file; a parameter of the operator.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+WORD_FILE = "word_bpe_49k.json"
 
 
 def op1_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,11 +65,24 @@ def op10_golden_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_gnat_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return gnat.mined(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op13_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_index.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op4_zstd_warc, op5_hilbert, op6_winnowing, op7_byte_bpe, op8_min_cut, op9_kneser_ney, op10_golden_ratio)
+    found = (op1_odd_sketch, op2_isolation_forest, op3_word_first, op4_zstd_warc, op5_hilbert, op6_winnowing, op7_byte_bpe, op8_min_cut, op9_kneser_ney, op10_golden_ratio, op11_feast_whitening, op12_gnat_negatives, op13_pair_index)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """For the operators that SQL can express; the others are compared with brute force in the tests."""
-    return {op1_odd_sketch.__name__: oracles.NEAR_DUPLICATES, op4_zstd_warc.__name__: oracles.ARCHIVES}
+    return {op1_odd_sketch.__name__: oracles.NEAR_DUPLICATES, op4_zstd_warc.__name__: oracles.ARCHIVES, op12_gnat_negatives.__name__: oracles.NEGATIVES}
