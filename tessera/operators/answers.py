@@ -15,29 +15,53 @@ def topic(tokens: Column, dropped: list[str]) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(kept)), "|")
 
 
+#: Stands for an occurrence of a term that can overlap itself, in a text where it stands for nothing else.
+MARK = "\ue000"
+
+
+def overlapping(term: str) -> bool:
+    """Whether two occurrences of a term can share characters: its start is also its end."""
+    return any(term.endswith(term[:n]) for n in range(1, len(term)))
+
+
 def hit_windows(text: Column, terms: list[str], around: int = 180, most: int = 3) -> Column:
     """The text around places where terms occur, first ones first, as long as they don't overlap (R12). Without any
-    place the text's opening; none of an empty text."""
-    low = F.lower(text)
-
-    def next_place(start: Column) -> Column:
-        """The first place at or after a place, counted from 0, or null."""
-        places = [F.nullif(F.call_function("locate", F.lit(t), low, (start + 1).cast("int")), F.lit(0)) for t in terms]
-        return F.array_min(F.array_compact(F.array(*places))) - 1
-
-    found, at = [], next_place(F.lit(0))
-    for _ in range(most):
-        begin, end = F.greatest(at - around, F.lit(0)), F.least(at + around, F.length(text))
-        found.append(F.when(at.isNotNull(), F.substring(text, begin + 1, end - begin)))
-        at = next_place(end + around)
+    place the text's opening; none of an empty text. Occurrences of one term don't overlap.
+
+    One fold goes from window to window with the next place of any term as its state; terms are values in it, so the
+    plan doesn't grow with terms or windows, and a text is read no further than its last window asks for.
+    """
+    # What can overlap itself is marked first, so that looking from any place finds only whole, separate occurrences.
+    plain = [t for t in terms if t and not overlapping(t)]
+    marked = [t for t in terms if t and overlapping(t)]
+    pair = lambda hay, needle: F.struct(hay.alias("hay"), F.lit(needle).alias("needle"))
+    low = lambda whole: F.translate(whole, MARK, " ")
+    said = lambda whole: [pair(whole, t) for t in plain] + [pair(F.replace(low(whole), F.lit(t), F.lit(MARK + " " * (len(t) - 1))), MARK) for t in marked]
     opening = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(F.substring(text, 1, 2 * around)))
-    return F.when(found[0].isNull(), opening).otherwise(F.array_compact(F.array(*found)))
+    if not plain and not marked:
+        return opening
+
+    def found(hays: Column) -> Column:
+        def next_place(start: Column) -> Column:
+            """The first place at or after a place, counted from 0, or null."""
+            return F.array_min(F.filter(F.transform(hays, lambda h: F.call_function("locate", h["needle"], h["hay"], (start + 1).cast("int"))), lambda p: p > 0)) - 1
+
+        def step(at: Column, _: Column) -> Column:
+            begin, end = F.greatest(at["place"] - around, F.lit(0)), F.least(at["place"] + around, F.length(text))
+            window = F.array_append(at["windows"], F.substring(text, begin + 1, end - begin))
+            return F.when(at["place"].isNull(), at).otherwise(F.struct(next_place(end + around).alias("place"), window.alias("windows")))
+
+        start = F.struct(next_place(F.lit(0)).alias("place"), F.array().cast("array<string>").alias("windows"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda at: at["windows"])
+
+    # Arrays of one element bind what they hold: the lower case and the marked texts are made once for each text.
+    windows = F.element_at(F.transform(F.array(F.lower(text)), lambda whole: F.element_at(F.transform(F.array(F.array(*said(whole))), found), 1)), 1)
+    return F.element_at(F.transform(F.array(windows), lambda w: F.when(F.size(w) > 0, w).otherwise(opening)), 1)
 
 
-def term_hits(text: Column, terms: list[str]) -> Column:
-    """How many of the terms occur."""
-    low = F.lower(text)
-    return sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
+def term_hits(low: Column, terms: list[str]) -> Column:
+    """How many of the terms occur in a text in lower case."""
+    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))) if terms else F.lit(0)
 
 
 def judge_evidence(rows: DataFrame, terms: list[str], budget: int = 1400, whole: int = 400, opening: int = 160, most: int = 3) -> DataFrame:
@@ -51,8 +75,9 @@ def judge_evidence(rows: DataFrame, terms: list[str], budget: int = 1400, whole:
     terms = list(dict.fromkeys(t.strip().lower() for t in terms if len(t.strip()) > 1))
     bound = rows.select("id", "dense", tx.public_title(F.col("title")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
     bound = bound.withColumn("both", F.concat_ws("\n", "title", "text")).withColumn("size", F.length("text"))
-    bound = bound.withColumns({"title_hits": term_hits(F.col("title"), terms), "body_hits": term_hits(F.col("text"), terms)})
-    counted = sum((tx.occurrences(F.lower("both"), F.lit(t)) for t in terms), F.lit(0))
+    bound = bound.withColumns({"low_title": F.lower("title"), "low_text": F.lower("text"), "low": F.lower("both")})
+    bound = bound.withColumns({"title_hits": term_hits(F.col("low_title"), terms), "body_hits": term_hits(F.col("low_text"), terms)})
+    counted = F.aggregate(F.array(*map(F.lit, terms)), F.lit(0).cast("long"), lambda n, t: n + tx.occurrences(F.col("low"), t)) if terms else F.lit(0)
     mode = (
         F.when((F.col("size") > 0) & (F.col("size") <= whole), "short_full_body")
         .when((F.col("title_hits") + F.col("body_hits") == 0) & F.col("dense") & (F.col("size") > whole), "dense_stratified_segments")

@@ -100,6 +100,20 @@ def test_windows_follow_a_plain_loop(spark):
     assert got == [windows_of(t, ["needle", "thread"]) for t in texts]
 
 
+def test_windows_of_terms_that_overlap_themselves(spark):
+    texts = ["aaaaaaa", "xaa" * 40, "abababab" + "." * 30 + "ababab", "\ue000aa \ue000", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for terms in (["aa"], ["abab", "ba"], ["aa", "x"]):
+        got = [r[0] for r in df.select(answers.hit_windows(F.col("t"), terms, 4)).collect()]
+        assert got[:-1] == [windows_of(t, terms, 4) for t in texts[:-1]], terms
+
+
+def test_plans_of_evidence_grow_with_terms_no_faster_than_they_do(spark):
+    rows = spark.createDataFrame([(1, "t", "text", True)], "id long, title string, text string, dense boolean")
+    size = lambda n, most=3: len(answers.judge_evidence(rows, [f"term{i}" for i in range(n)], most=most)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(24) < 3 * size(12) and size(3, most=12) < 1.1 * size(3)
+
+
 def test_evidence_modes_and_budget(spark):
     long = "word, " * 400
     rows = [(1, "T", "short text", True), (2, "T", long, True), (3, "T", long, False), (4, "Needle", long + "needle " * 3, True), (5, None, None, True), (6, "  记录 # 12 ", "", False)]
