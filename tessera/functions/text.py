@@ -195,7 +195,3 @@ def covered(starts: Column, length: Column, size: int) -> Column:
 
     return F.when(length == 0, F.lit(0.0)).otherwise(F.round(F.aggregate(starts, start, step, lambda at: at["sum"]) / length, 4))
 
-
-def of_class(text: Column, kept: str) -> Column:
-    """Characters of a class: what is gone when its runs are taken out."""
-    return (F.length(text) - F.length(F.regexp_replace(text, f"[{kept}]+", ""))).cast("long")

@@ -233,7 +233,7 @@ def case_scores(cases: DataFrame) -> DataFrame:
     precision = F.when(F.col("infra"), none).when((F.col("relevant") == 0) | ~F.col("answerable"), F.when(F.col("cited") == 0, 1.0).otherwise(0.0)).when(F.col("cited") == 0, 0.0).otherwise(F.col("hits") / F.col("cited"))
     recall = F.when(F.col("infra") | (F.col("relevant") == 0) | ~F.col("answerable"), none).otherwise(F.col("hits") / F.col("relevant"))
     code = F.when(F.col("infra"), "infra").when(~F.col("answerable") & (F.col("cited") > 0), "should_abstain").when(F.col("answerable") & (F.col("cited") == 0), "missing_citation").otherwise("")
-    return cases.select("case_id", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), code.alias("failure"))
+    return cases.select("case_id", precision.alias("precision"), recall.alias("recall"), code.alias("failure"))
 
 
 def report(scores: DataFrame) -> DataFrame:

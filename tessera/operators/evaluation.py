@@ -21,7 +21,7 @@ def ranked_with_gain(rankings: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def metrics(rankings: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """recall, precision, hit, MRR and nDCG at k (E2, E3). Precision divides by what was returned, no more than k;
-    a case without relevant keys scores 0."""
+    a case without relevant keys scores 0. Nothing is rounded: means are taken of these."""
     rows = ranked_with_gain(rankings, qrels).where(F.col("rank") <= k)
     per = rows.groupBy("case_id", "retriever").agg(
         F.count(F.lit(1)).alias("returned"),
@@ -33,18 +33,23 @@ def metrics(rankings: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     best = qrels.where("relevance > 0").withColumn("n", order)
     ideal = best.groupBy("case_id").agg(F.count(F.lit(1)).alias("relevant"), F.sum(F.when(F.col("n") <= k, (F.pow(F.lit(2.0), F.col("relevance")) - 1) / log2(F.col("n") + 1))).alias("idcg"))
     rows = per.join(ideal, "case_id", "left")
-    ratio = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return rows.select(
         "case_id",
         "retriever",
         ratio(F.col("hits"), F.coalesce("relevant", F.lit(0))).alias("recall"),
         ratio(F.col("hits"), F.col("returned")).alias("precision"),
         (F.col("hits") > 0).alias("hit"),
-        F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"),
+        F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"),
         ratio(F.col("dcg"), F.coalesce("idcg", F.lit(0.0))).alias("ndcg"),
     )
 
 
+def shown(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """Rows with their doubles rounded, for the last step."""
+    return rows.select([F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes])
+
+
 def percentiles(latency: DataFrame) -> DataFrame:
     """Nearest-rank and interpolated percentiles of each retriever's latency."""
     return latency.groupBy("retriever").agg(

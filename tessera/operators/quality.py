@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import of_class
+from tessera.sources.storage import bounded_batches
 
-# Classes of characters, as they stand between brackets.
-CJK = "一-鿿"
-LATIN = r"\p{IsLatin}&&\p{L}"
-CODE_SYMBOLS = r"{}\[\]()<>=;*/|&@#%$_\\\"'`~+\-"
-NOISE = r"\p{Cc}\p{Cf}\p{Co}\p{Cs}\p{Cn}�&&[^\t\n\r]"
-#: Latin letters whose base is a vowel: a rule, not a list.
-VOWELS = "".join(c for c in map(chr, [*range(0x41, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0] in "aeiouAEIOU")
-MOJIBAKE = "Ã[\u0080-¿À-ÿ ]|â€|Â[  ]"
+# Classes of characters and sequences that tell of wrongly decoded text. MOJIBAKE has the same matches as
+# the longer list of two-character sequences that it stands for.
+CODE_SYMBOLS = set("{}[]()<>=;*/|&@#%$_\\\"'`~+-")
+NOISE, ALLOWED, BROKEN = {"Cc", "Cf", "Co", "Cs", "Cn"}, set("\t\n\r "), "\ufffd"
+VOWELS = set("aeiouAEIOU")
+MOJIBAKE = re.compile("Ã[\u0080-¿À-ÿ ]|â€|Â[\xa0 ]")
+#: Classes of characters that are counted; a character may be in several.
+CLASSES = ("cjk", "latin", "digits", "symbols", "noise", "vowels", "spaces")
 
 # Thresholds of profiles, gates and scores.
 RATIO_CHARS, STRUCTURE_CHARS = 20, 40
@@ -31,45 +36,96 @@ VOWELS_LEAST, SPACES_LEAST, LONGEST_TOKENS, UNIQUE_MOST = 0.18, 0.04, 18.0, 0.55
 DIVERSITY_LEAST, DIVERSITY_TOKENS = 0.15, 8
 
 
-def statistics(texts: DataFrame) -> DataFrame:
-    """Counts of character classes and of tokens, and signs of structure (F5) of (id, text); a null text is empty."""
-    text = F.col("text")
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = texts.withColumn("text", F.coalesce(text, F.lit(""))).withColumn("words", words)
-    count = lambda kept: of_class(text, kept)
-    has = lambda *marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(text, m))
-    both = lambda a, b: F.contains(text, F.lit(a)) & F.contains(text, F.lit(b))
-    lines = F.greatest(F.lit(1), count("\n") + F.when(F.size("words") > 0, 1).otherwise(0)).cast("long")
-    near = text.rlike("[A-Za-z_]{2,}") & text.rlike("[0-9]") & has("{", "}", "[", "]", "(", ")", "=")
-    signals = [
-        (lines >= CODE_LINES) | text.rlike(r"(?m)^[ \t]+\S"),
-        both("(", ")") | both("{", "}") | both("[", "]"),
-        text.rlike("=|<=|>="),
-        text.rlike(r"[A-Za-z_][A-Za-z0-9_]*[0-9]|[0-9][A-Za-z_]") | near,
-        has(";") | (text.rlike(r"""(?m)^\s*["'A-Za-z_][^:\n]{0,40}:\s*""") & has("{", "}")),
-    ]
-    return rows.select(
-        "id",
-        F.length(text).cast("long").alias("chars"),
-        count(CJK).alias("cjk"),
-        count(LATIN).alias("latin"),
-        count("0-9").alias("digits"),
-        count(CODE_SYMBOLS).alias("symbols"),
-        count(NOISE).alias("noise"),
-        count("�").alias("broken"),
-        count(VOWELS).alias("vowels"),
-        count(r"\s  - 　").alias("spaces"),
-        lines.alias("lines"),
-        F.size("words").cast("long").alias("tokens"),
-        F.size(F.array_distinct(F.transform("words", F.lower))).cast("long").alias("distinct_tokens"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.length(w)).alias("token_chars"),
-        # More letters than this have too few different ones to matter, so these aren't taken apart.
-        F.when(F.length(text) <= 4000, F.size(F.array_distinct(F.filter(F.split(F.lower(text), ""), lambda c: c.rlike(f"[{LATIN}]"))))).otherwise(0).cast("long").alias("unique_latin"),
-        text.rlike(MOJIBAKE).alias("mojibake"),
-        sum((s.cast("int") for s in signals), F.lit(0)).alias("signals"),
+def is_latin(c: str) -> bool:
+    return unicodedata.category(c).startswith("L") and "LATIN" in unicodedata.name(c, "")
+
+
+def classes_of(c: str) -> int:
+    """The classes of a character, a bit for each."""
+    latin = is_latin(c)
+    held = (
+        "一" <= c <= "鿿",
+        latin,
+        "0" <= c <= "9",
+        c in CODE_SYMBOLS,
+        c not in ALLOWED and (c == BROKEN or unicodedata.category(c) in NOISE),
+        latin and unicodedata.normalize("NFD", c)[0] in VOWELS,
+        c.isspace(),
+    )
+    return sum(has << i for i, has in enumerate(held))
+
+
+@lru_cache(maxsize=1)
+def tables() -> tuple[np.ndarray, np.ndarray, frozenset[str]]:
+    """Classes of each code point, the classes that each number stands for, and the letters of the Latin script."""
+    table = np.array([classes_of(chr(c)) for c in range(0x110000)], dtype=np.uint8)
+    bits = np.arange(1 << len(CLASSES))[:, None] >> np.arange(len(CLASSES)) & 1
+    return table, bits, frozenset(map(chr, np.flatnonzero(table & 2).tolist()))
+
+
+# Signs of code and settings.
+INDENTED = re.compile(r"(?m)^[ \t]+\S")
+ASSIGNED = re.compile(r"==|!=|<=|>=|=>|\+=|-=|\*=|/=|:=|(?<![<>!=])=(?![=>])")
+NUMBERED, NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\d|\d[A-Za-z_]"), re.compile(r"[A-Za-z_]{2,}")
+KEYED = re.compile(r"(?m)^\s*[\"'A-Za-z_][^:\n]{0,40}:\s*")
+
+
+def signals_of(text: str, lines: int, digits: int) -> int:
+    has = lambda *marks: any(m in text for m in marks)
+    return (
+        (lines >= CODE_LINES or INDENTED.search(text) is not None)
+        + any(a in text and b in text for a, b in ("()", "{}", "[]"))
+        + (ASSIGNED.search(text) is not None)
+        + (NUMBERED.search(text) is not None or (digits > 0 and NAME.search(text) is not None and has(*"{}[]()=")))
+        + (has(";") or (has("{", "}") and KEYED.search(text) is not None))
     )
 
 
+def measured(text: str) -> tuple:
+    table, bits, latin = tables()
+    held = np.bincount(table[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)], minlength=len(bits)) @ bits
+    found = dict(zip(CLASSES, held.tolist(), strict=True))
+    tokens = len(text.split())
+    lines = max(1, text.count("\n") + (tokens > 0))
+    counts = {
+        "chars": len(text),
+        **found,
+        "broken": text.count(BROKEN),
+        "lines": lines,
+        "tokens": tokens,
+        "distinct_tokens": len(set(text.lower().split())),
+        "token_chars": len(text) - found["spaces"],
+        "unique_latin": len({c.casefold() for c in latin.intersection(text)}),
+        "signals": signals_of(text, lines, found["digits"]),
+        "mojibake": MOJIBAKE.search(text) is not None,
+        "disallowed": found["noise"] > 0,
+    }
+    return tuple(counts[name] for name in MEASURES)
+
+
+#: What is measured of a text, in the order of the columns.
+MEASURES = ("chars", "cjk", "latin", "digits", "symbols", "noise", "broken", "vowels", "spaces", "lines", "tokens", "distinct_tokens", "token_chars", "unique_latin", "mojibake", "signals", "disallowed")
+FLAGS = ("mojibake", "disallowed")
+
+
+def statistics(texts: DataFrame) -> DataFrame:
+    """Counts of character classes and of tokens, and signs of structure (F5) of (id, text); a null text is empty.
+
+    A text's code points are looked up in one table of classes and counted together; no text is too long for any count.
+    """
+    bounded_batches(texts.sparkSession)
+    kinds = ", ".join(f"{m} {'boolean' if m in FLAGS else 'int' if m == 'signals' else 'long'}" for m in MEASURES)
+    types = [pa.bool_() if m in FLAGS else pa.int32() if m == "signals" else pa.int64() for m in MEASURES]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measured(text or "") for text in batch.column("text").to_pylist()]
+            columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", *MEASURES])
+
+    return texts.select("id", "text").mapInArrow(work, f"id {texts.schema['id'].dataType.simpleString()}, {kinds}")
+
+
 def share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import answers as a
 from tessera.operators import sync as s
+from tessera.operators.evaluation import shown
 from tessera.plans.registry import query
 from tessera.sources import tables as t
 
@@ -124,8 +125,8 @@ def layer_metrics(spark, d):
     return a.layer_metrics(t.rankings(spark, d).select(F.col("query_id").alias("case_id"), F.col("channel").alias("layer"), "key"), good(spark, d))
 
 
-SCORED = """scored AS (SELECT case_id, round(CASE WHEN infra THEN NULL WHEN relevant = 0 OR NOT answerable THEN CASE WHEN cited = 0 THEN 1.0 ELSE 0.0 END WHEN cited = 0 THEN 0.0 ELSE hits / cited::DOUBLE END, 6) AS precision,
- round(CASE WHEN infra OR relevant = 0 OR NOT answerable THEN NULL ELSE hits / relevant::DOUBLE END, 6) AS recall, CASE WHEN infra THEN 'infra' WHEN NOT answerable AND cited > 0 THEN 'should_abstain' WHEN answerable AND cited = 0 THEN 'missing_citation' ELSE '' END AS failure
+SCORED = """scored AS (SELECT case_id, CASE WHEN infra THEN NULL WHEN relevant = 0 OR NOT answerable THEN CASE WHEN cited = 0 THEN 1.0 ELSE 0.0 END WHEN cited = 0 THEN 0.0 ELSE hits / cited::DOUBLE END AS precision,
+ CASE WHEN infra OR relevant = 0 OR NOT answerable THEN NULL ELSE hits / relevant::DOUBLE END AS recall, CASE WHEN infra THEN 'infra' WHEN NOT answerable AND cited > 0 THEN 'should_abstain' WHEN answerable AND cited = 0 THEN 'missing_citation' ELSE '' END AS failure
  FROM (SELECT id AS case_id, id % 7 <> 0 AS answerable, id % 11 = 0 AS infra, id % 4 AS cited, id % 3 AS relevant, least(id % 4, id % 3) AS hits FROM entries))"""
 
 
@@ -133,9 +134,9 @@ def case_scores_of(spark, d):
     return a.case_scores(t.entries(spark, d).selectExpr("id as case_id", "id % 7 <> 0 as answerable", "id % 11 = 0 as infra", "id % 4 as cited", "id % 3 as relevant", "least(id % 4, id % 3) as hits"))
 
 
-@query("SELECT * FROM scored", SCORED)
+@query("SELECT case_id, round(precision, 6) AS precision, round(recall, 6) AS recall, failure FROM scored", SCORED)
 def case_scores(spark, d):
-    return case_scores_of(spark, d)
+    return shown(case_scores_of(spark, d))
 
 
 @query("SELECT failure, count(*) AS n, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM scored GROUP BY failure", SCORED)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -161,6 +163,9 @@ CLASS = lambda k, x="x": f"length({x}) - length(regexp_replace({x}, '[{k}]+', ''
 SIGNAL = lambda *parts: " + ".join(f"CAST({p} AS INTEGER)" for p in parts)
 BOTH = lambda a, b: f"(contains(x, '{a}') AND contains(x, '{b}'))"
 MOJIBAKE = "Ã[\\x{80}-\\x{bf}À-ÿ ]|â€|Â[\\x{a0} ]"
+#: White space of all scripts, and Latin letters whose base is a vowel: rules, not lists.
+SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+VOWELS = "".join(c for c in map(chr, [*range(0x41, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFD", c)[0] in "aeiouAEIOU")
 SYMBOLS = r"{}\[\]()<>=;*/|&@#%$_\\\"''`~+\-"
 #: Every fifth text gets something that a gate looks for.
 SPOILED = "CASE id % 25 WHEN 0 THEN content || chr(65533) WHEN 5 THEN '漢字仮名' || substr(content, 1, 30) WHEN 10 THEN 'if (a1 == b) { c[2] = d; }' || chr(10) || ' e += f2;' WHEN 15 THEN repeat('bcdf ghjk ', 9) WHEN 20 THEN 'Ã© ' || content ELSE content END"
@@ -168,14 +173,14 @@ STATS = (
     f"spoiled AS (SELECT id, {SPOILED} AS x FROM entries)",
     f"""stats AS (SELECT *, greatest(1, length(x) - length(replace(x, chr(10), '')) + CASE WHEN tokens > 0 THEN 1 ELSE 0 END) AS lines FROM (
  SELECT id, x, length(x) AS chars, {CLASS('一-鿿')} AS cjk, {CLASS('\\p{Latin}')} AS latin, {CLASS('0-9')} AS digits, {CLASS(SYMBOLS)} AS symbols,
-  {CLASS('\\p{Cc}\\p{Cf}\\p{Co}\\x{FFFD}')} - ({CLASS('\\t\\n\\r')}) AS noise, {CLASS('�')} AS broken, {CLASS(quality.VOWELS)} AS vowels, {CLASS('\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}')} AS spaces,
+  {CLASS('\\p{Cc}\\p{Cf}\\p{Co}\\x{FFFD}')} - ({CLASS('\\t\\n\\r')}) AS noise, {CLASS('�')} AS broken, {CLASS(VOWELS)} AS vowels, {CLASS(SPACE)} AS spaces,
   len(ws) AS tokens, len(list_distinct(list_transform(ws, lambda w: lower(w)))) AS distinct_tokens, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS token_chars,
-  CASE WHEN length(x) <= 4000 THEN len(list_distinct(list_filter(string_split(lower(x), ''), lambda c: regexp_matches(c, '\\p{{Latin}}')))) ELSE 0 END AS unique_latin,
+  len(list_distinct(string_split(lower(regexp_replace(x, '[^\\p{{Latin}}]+', '', 'g')), ''))) - CASE WHEN regexp_matches(x, '\\p{{Latin}}') THEN 0 ELSE 1 END AS unique_latin,
   regexp_matches(x, '{MOJIBAKE}') AS mojibake
- FROM (SELECT id, x, list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '') AS ws FROM spoiled)))""",
+ FROM (SELECT id, x, list_filter(regexp_split_to_array(x, '[{SPACE}]+'), lambda w: w <> '') AS ws FROM spoiled)))""",
     f"""shown_stats AS (SELECT * EXCLUDE (x), {SIGNAL("(lines >= 2 OR regexp_matches(x, '(?m)^[ \\t]+\\S'))", f"({BOTH('(', ')')} OR {BOTH('{', '}')} OR {BOTH('[', ']')})", "contains(x, '=')",
     "(regexp_matches(x, '[A-Za-z_][A-Za-z0-9_]*[0-9]|[0-9][A-Za-z_]') OR (regexp_matches(x, '[A-Za-z_]{2,}') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[{}\\[\\]()=]')))",
-    "(contains(x, ';') OR (regexp_matches(x, '(?m)^\\s*[\"''A-Za-z_][^:\\n]{0,40}:\\s*') AND regexp_matches(x, '[{}]')))")} AS signals FROM stats)""",
+    "(contains(x, ';') OR (regexp_matches(x, '(?m)^\\s*[\"''A-Za-z_][^:\\n]{0,40}:\\s*') AND regexp_matches(x, '[{}]')))")} AS signals, noise > 0 AS disallowed FROM stats)""",
 )
 
 
@@ -282,7 +287,7 @@ def metric_tables(k: int, ranked: str = "ranked", prefix: str = "") -> tuple[str
         f"{prefix}g AS (SELECT case_id, retriever, row_number() OVER (PARTITION BY case_id, retriever ORDER BY rank, key) AS rank, key, coalesce(relevance, 0) AS relevance FROM (SELECT case_id, retriever, key, min(rank) AS rank FROM {ranked} GROUP BY ALL) LEFT JOIN qrels USING (case_id, key))",
         f"{prefix}per AS (SELECT case_id, retriever, count(*) AS returned, count(*) FILTER (relevance > 0) AS hits, min(rank) FILTER (relevance > 0) AS first, sum((pow(2.0, relevance) - 1) / log2(rank + 1)) AS dcg FROM {prefix}g WHERE rank <= {k} GROUP BY ALL)",
         f"{prefix}ideal AS (SELECT case_id, count(*) AS relevant, sum((pow(2.0, relevance) - 1) / log2(n + 1)) FILTER (n <= {k}) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, key) AS n FROM qrels) GROUP BY case_id)",
-        f"{prefix}metrics AS (SELECT case_id, retriever, round(CASE WHEN coalesce(relevant, 0) > 0 THEN hits / relevant::DOUBLE ELSE 0.0 END, 6) AS recall, round(hits / returned::DOUBLE, 6) AS precision, hits > 0 AS hit, round(coalesce(1 / first::DOUBLE, 0.0), 6) AS mrr, round(CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0.0 END, 6) AS ndcg FROM {prefix}per LEFT JOIN {prefix}ideal USING (case_id))",
+        f"{prefix}metrics AS (SELECT case_id, retriever, CASE WHEN coalesce(relevant, 0) > 0 THEN hits / relevant::DOUBLE ELSE 0.0 END AS recall, hits / returned::DOUBLE AS precision, hits > 0 AS hit, coalesce(1 / first::DOUBLE, 0.0) AS mrr, CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0.0 END AS ndcg FROM {prefix}per LEFT JOIN {prefix}ideal USING (case_id))",
     )
 
 
@@ -295,12 +300,12 @@ def cases(spark, d):
 
 @query("SELECT * FROM metrics", CASES, *metric_tables(10))
 def ranking_metrics(spark, d):
-    return ev.metrics(*cases(spark, d))
+    return ev.shown(ev.metrics(*cases(spark, d)))
 
 
 @query("SELECT * FROM metrics", CASES, *metric_tables(5))
 def ranking_metrics_at_5(spark, d):
-    return ev.metrics(*cases(spark, d), k=5)
+    return ev.shown(ev.metrics(*cases(spark, d), k=5))
 
 
 @query("SELECT retriever, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, round(quantile_cont(ms, 0.95), 6) AS p95_interpolated, count(*) AS n FROM (SELECT event_type AS retriever, value AS ms FROM jobs) GROUP BY retriever")
@@ -364,21 +369,21 @@ def failure_classification(spark, d):
     return ev.failures(known, ev.metrics(ranked, qrels, k=3), hybrid, qrels, k=3)
 
 
-@query("SELECT case_id, retriever, mrr FROM (SELECT *, max(mrr) OVER (PARTITION BY case_id) AS best FROM metrics) WHERE mrr >= best - 1e-12", CASES, *metric_tables(10))
+@query("SELECT case_id, retriever, round(mrr, 6) AS mrr FROM (SELECT *, max(mrr) OVER (PARTITION BY case_id) AS best FROM metrics) WHERE mrr >= best - 1e-12", CASES, *metric_tables(10))
 def retriever_winners(spark, d):
-    return ev.winners(ev.metrics(*cases(spark, d)))
+    return ev.shown(ev.winners(ev.metrics(*cases(spark, d))))
 
 
 @query(
     """SELECT layer, CASE WHEN ok THEN 'ok' ELSE 'unavailable' END AS status, CASE WHEN ok AND n = 1 THEN leaders END AS winner, CASE WHEN ok THEN leaders ELSE '' END AS leaders FROM (
  SELECT layer, min(den) > 0 AND count(*) FILTER (mrr IS NULL) = 0 AS ok, string_agg(retriever, ',' ORDER BY retriever) FILTER (abs(mrr - best) < 1e-12) AS leaders, count(*) FILTER (abs(mrr - best) < 1e-12) AS n
- FROM (SELECT *, max(mrr) OVER (PARTITION BY layer) AS best FROM (SELECT case_id % 4 AS layer, retriever, count(*) FILTER (case_id % 4 <> 3) AS den, round(avg(mrr), 6) AS mrr FROM metrics GROUP BY ALL)) GROUP BY layer)""",
+ FROM (SELECT *, max(mrr) OVER (PARTITION BY layer) AS best FROM (SELECT case_id % 4 AS layer, retriever, count(*) FILTER (case_id % 4 <> 3) AS den, avg(mrr) AS mrr FROM metrics GROUP BY ALL)) GROUP BY layer)""",
     CASES,
     *metric_tables(10),
 )
 def layer_winners(spark, d):
     rows = ev.metrics(*cases(spark, d)).withColumn("layer", F.expr("case_id % 4"))
-    return ev.winner(rows.groupBy("layer", "retriever").agg(F.count_if(F.expr("case_id % 4 <> 3")).alias("denominator"), F.round(F.avg("mrr"), 6).alias("mrr")))
+    return ev.winner(rows.groupBy("layer", "retriever").agg(F.count_if(F.expr("case_id % 4 <> 3")).alias("denominator"), F.avg("mrr").alias("mrr")))
 
 
 @query(

@@ -125,6 +125,22 @@ def test_quality_gates(spark):
     assert all(r["search_eligible"] == (r["status"] == "ok") and (r["score"] >= 0.55) == r["search_eligible"] for r in got.values())
 
 
+def test_long_texts_are_measured_whole(spark):
+    letters = "bcd fgh jklm npq rst vwx z"
+    texts = [letters * n for n in (1, 40, 400)] + ["é" * 5000 + "ß" * 10 + "z", "Ａ ſ"]
+    rows = quality.statistics(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).orderBy("id").collect()
+    assert [r["unique_latin"] for r in rows] == [20, 20, 20, 3, 2] and [r["chars"] for r in rows] == [len(x) for x in texts]
+    base = spark.createDataFrame([(0, "bcdfghjklmnpqrstvwxz " * n) for n in (2,)] + [(1, "bcdfghjklmnpqrstvwxz " * 300)], "id long, text string")
+    stats = quality.statistics(base).withColumns({"confidence": F.lit(None).cast("double"), "run": F.lit("succeeded")})
+    assert {r["reason"] for r in quality.verdicts(stats).collect()} == {"unknown_latin_untrusted"}
+
+
+def test_classes_beside_single_characters(spark):
+    text = "Aé中7{\u200b\t \u00a0ÃŽ\ufffd\x1c=Ω\n;"
+    r = quality.statistics(spark.createDataFrame([(1, text)], "id long, text string")).collect()[0]
+    assert (r.cjk, r.latin, r.digits, r.symbols, r.noise, r.broken, r.vowels, r.spaces, r.disallowed) == (1, 4, 1, 3, 3, 1, 3, 5, True)
+
+
 def test_queries_beyond_one_block(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(30)], "id long, content_vector array<double>")
     asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(25)] + [(99, [0.0, 0.0])], "query_id long, query_vector array<double>")
