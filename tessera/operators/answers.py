@@ -24,21 +24,23 @@ def overlapping(term: str) -> bool:
     return any(term.endswith(term[:n]) for n in range(1, len(term)))
 
 
-def hit_windows(text: Column, terms: list[str], around: int = 180, most: int = 3) -> Column:
+def hit_windows(text: Column, terms: list[str] | Column, around: int = 180, most: int = 3) -> Column:
     """The text around places where terms occur, first ones first, as long as they don't overlap (R12). Without any
-    place the text's opening; none of an empty text. Occurrences of one term don't overlap.
+    place the text's opening; none of an empty text. Occurrences of one term don't overlap. Terms are in lower case, and
+    the same for all rows or an array of each row's own.
 
     One fold goes from window to window with the next place of any term as its state; terms are values in it, so the
     plan doesn't grow with terms or windows, and a text is read no further than its last window asks for.
     """
     # What can overlap itself is marked first, so that looking from any place finds only whole, separate occurrences.
-    plain = [t for t in terms if t and not overlapping(t)]
-    marked = [t for t in terms if t and overlapping(t)]
+    own = isinstance(terms, Column)
+    plain = [] if own else [t for t in terms if t and not overlapping(t)]
+    marked = [] if own else [t for t in terms if t and overlapping(t)]
     pair = lambda hay, needle: F.struct(hay.alias("hay"), F.lit(needle).alias("needle"))
     low = lambda whole: F.translate(whole, MARK, " ")
     said = lambda whole: [pair(whole, t) for t in plain] + [pair(F.replace(low(whole), F.lit(t), F.lit(MARK + " " * (len(t) - 1))), MARK) for t in marked]
     opening = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(F.substring(text, 1, 2 * around)))
-    if not plain and not marked:
+    if not own and not plain and not marked:
         return opening
 
     def found(hays: Column) -> Column:
@@ -54,30 +56,47 @@ def hit_windows(text: Column, terms: list[str], around: int = 180, most: int = 3
         start = F.struct(next_place(F.lit(0)).alias("place"), F.array().cast("array<string>").alias("windows"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda at: at["windows"])
 
+    def hays(whole: Column) -> Column:
+        if not own:
+            return F.array(*said(whole))
+        mark = lambda t: F.replace(low(whole), t, F.concat(F.lit(MARK), F.repeat(F.lit(" "), F.length(t) - 1)))
+        return F.transform(F.filter(terms, lambda t: t != ""), lambda t: F.struct(mark(t).alias("hay"), F.lit(MARK).alias("needle")))
+
     # Arrays of one element bind what they hold: the lower case and the marked texts are made once for each text.
-    windows = F.element_at(F.transform(F.array(F.lower(text)), lambda whole: F.element_at(F.transform(F.array(F.array(*said(whole))), found), 1)), 1)
+    windows = F.element_at(F.transform(F.array(F.lower(text)), lambda whole: F.element_at(F.transform(F.array(hays(whole)), found), 1)), 1)
     return F.element_at(F.transform(F.array(windows), lambda w: F.when(F.size(w) > 0, w).otherwise(opening)), 1)
 
 
-def term_hits(low: Column, terms: list[str]) -> Column:
+def as_array(terms: list[str] | Column) -> Column:
+    if isinstance(terms, Column):
+        return F.coalesce(terms, F.array().cast("array<string>"))
+    return F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+
+
+def term_hits(low: Column, terms: list[str] | Column) -> Column:
     """How many of the terms occur in a text in lower case."""
-    return F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))) if terms else F.lit(0)
+    return F.size(F.filter(as_array(terms), lambda t: F.contains(low, t)))
 
 
-def judge_evidence(rows: DataFrame, terms: list[str], budget: int = 1400, whole: int = 400, opening: int = 160, most: int = 3) -> DataFrame:
+def judge_evidence(rows: DataFrame, terms: list[str] | None, budget: int = 1400, whole: int = 400, opening: int = 160, most: int = 3, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """What a judge is shown of a candidate (R14), within a budget of 1200 to 1600 characters.
 
     A short text is shown whole. A long one that only a vector search found, with none of the terms, is shown in equal
     segments spread over it. Any other is shown by its opening and windows around the terms. rows: (id, title, text,
-    dense). Terms of one character don't count.
+    dense). Terms of one character don't count. Without terms for all, each row has its own: terms, an array.
     """
     budget = min(1600, max(1200, budget))
-    terms = list(dict.fromkeys(t.strip().lower() for t in terms if len(t.strip()) > 1))
-    bound = rows.select("id", "dense", tx.public_title(F.col("title")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    if terms is not None:
+        terms = list(dict.fromkeys(t.strip().lower() for t in terms if len(t.strip()) > 1))
+    else:
+        clean = F.filter(F.transform(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: F.length(t) > 1)
+        rows, terms = rows.withColumn("terms", F.array_distinct(clean)), F.col("terms")
+    carried = ["terms"] if isinstance(terms, Column) else []
+    bound = rows.select(*keep, *carried, "dense", tx.public_title(F.col("title")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
     bound = bound.withColumn("both", F.concat_ws("\n", "title", "text")).withColumn("size", F.length("text"))
     bound = bound.withColumns({"low_title": F.lower("title"), "low_text": F.lower("text"), "low": F.lower("both")})
     bound = bound.withColumns({"title_hits": term_hits(F.col("low_title"), terms), "body_hits": term_hits(F.col("low_text"), terms)})
-    counted = F.aggregate(F.array(*map(F.lit, terms)), F.lit(0).cast("long"), lambda n, t: n + tx.occurrences(F.col("low"), t)) if terms else F.lit(0)
+    counted = F.aggregate(as_array(terms), F.lit(0).cast("long"), lambda n, t: n + tx.occurrences(F.col("low"), t))
     mode = (
         F.when((F.col("size") > 0) & (F.col("size") <= whole), "short_full_body")
         .when((F.col("title_hits") + F.col("body_hits") == 0) & F.col("dense") & (F.col("size") > whole), "dense_stratified_segments")
@@ -93,7 +112,7 @@ def judge_evidence(rows: DataFrame, terms: list[str], budget: int = 1400, whole:
     rows = bound.withColumn("mode", mode).withColumn("shown", shown)
     part = F.least(F.length("evidence"), F.col("size")) / F.col("size")
     share = F.when((F.col("mode") == "short_full_body") | (F.col("size") == 0), 1.0).when(F.col("mode") == "dense_stratified_segments", tx.covered(starts, F.col("size"), length)).otherwise(F.round(part, 4))
-    return rows.withColumn("evidence", F.substring("shown", 1, budget)).select("id", "mode", "title_hits", "body_hits", counted.cast("long").alias("term_hits"), share.alias("coverage"), F.col("evidence"))
+    return rows.withColumn("evidence", F.substring("shown", 1, budget)).select(*keep, "mode", "title_hits", "body_hits", counted.cast("long").alias("term_hits"), share.alias("coverage"), F.col("evidence"))
 
 
 def relevance_reason(title_hit: Column, body_hit: Column, hits: Column, coverage: Column) -> Column:

@@ -1,7 +1,8 @@
 """Dense and lexical search for many queries at once.
 
-The queries are a stated set, broadcast in blocks of a bounded number; rows are scored where they lie, and only each
-partition's best rows of a query are shuffled.
+Dense: the queries are a stated set, broadcast in blocks of a bounded number; rows are scored where they lie, and only
+each partition's best rows of a query are shuffled. Lexical: an inverted index finds the texts that can hold a term
+(``postings``), and those are looked at.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.vectors import combined, cosine, dot, norm, unit
+from tessera.operators import postings
 
 LEAST = 0.35
 
@@ -78,10 +80,9 @@ def keyword(queries: DataFrame, entries: DataFrame, clock: str, k: int = 30, ove
     """
     hay = F.lower(F.concat_ws("\n", "content", "label_code"))
     rows = entries.select("id", "created_at", hay.alias("hay"))
-    # Scored in place, row by row, so that texts never leave their partition.
     counts = F.transform("terms", lambda t: tx.occurrences(F.col("hay"), t))
     points = F.aggregate(F.filter(counts, lambda n: n > 0), F.lit(0.0), lambda s, n: s + 1 + 0.15 * F.least(n, F.lit(5)))
-    scored = met(queries, rows).select("query_id", "id", "created_at", points.alias("points")).where("points > 0")
+    scored = postings.met(queries, rows).select("query_id", "id", "created_at", points.alias("points")).where("points > 0")
     newest = best(scored, over * k, F.desc("created_at"), F.desc("id")).drop("rank")
     age = F.datediff(F.lit(clock).cast("date"), F.to_date("created_at"))
     recency = F.greatest(F.lit(0.0), 0.2 - F.least(F.greatest(age, F.lit(0)), F.lit(365)) / 365 * 0.2)
@@ -89,18 +90,42 @@ def keyword(queries: DataFrame, entries: DataFrame, clock: str, k: int = 30, ove
     return best(total.withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")), 6)), k, *by_score()).select("query_id", "rank", "id", "score")
 
 
-def lexical(queries: DataFrame, entries: DataFrame, k: int = 40) -> DataFrame:
-    """Distinct terms in titles and bodies (R9, R10): title hits first, then more title hits, more body hits, id."""
-    rows = entries.select("id", F.lower(tx.title(F.col("content"))).alias("title"), F.lower("content").alias("body"))
-    in_title = F.size(F.filter("terms", lambda t: F.contains("title", t))).cast("long")
-    in_body = F.size(F.filter("terms", lambda t: F.contains("body", t))).cast("long")
-    scored = met(queries, rows).select("query_id", "id", in_title.alias("title_hits"), in_body.alias("body_hits")).where("body_hits > 0")
-    return best(scored, k, F.when(F.col("title_hits") > 0, 0).otherwise(1), F.desc("title_hits"), F.desc("body_hits"), F.asc("id")).select("query_id", "rank", "id", "title_hits", "body_hits")
-
+def lexical(queries: DataFrame, entries: DataFrame, k: int | None = 40, budget: int | None = None) -> DataFrame:
+    """Distinct terms in titles and bodies (R9, R10): title hits first, then more title hits, more body hits, id. The body
+    is the whole text, its title included.
 
-def page_lexical(queries: DataFrame, pages: DataFrame, k: int = 20) -> DataFrame:
-    """Hits over title, path and text of a page; the score is their raw number."""
-    hay = F.lower(F.concat_ws("\n", "title", "host", "lang", F.regexp_replace("html", "<[^>]*>", " ")))
-    rows = pages.select("id", hay.alias("hay"))
-    hits = F.aggregate(F.transform("terms", lambda t: tx.occurrences(F.col("hay"), t)), F.lit(0).cast("long"), lambda s, n: s + n)
-    return best(met(queries, rows).select("query_id", "id", hits.alias("score")).where("score > 0"), k, *by_score()).select("query_id", "rank", "id", "score")
+    With a budget, only the first so many texts of a query with a term, by id, are ranked; ``cut`` says whether there
+    was one more (R9). No k: all of them.
+    """
+    hay = F.lower("content")
+    rows = entries.select("id", F.lower(tx.title(F.col("content"))).alias("title"), hay.alias("hay"))
+    in_title = F.size(F.filter("terms", lambda t: F.contains("title", t))).cast("long")
+    in_body = F.size(F.filter("terms", lambda t: F.contains("hay", t))).cast("long")
+    scored = postings.met(queries, rows).select("query_id", "id", in_title.alias("title_hits"), in_body.alias("body_hits")).where("body_hits > 0")
+    columns = ["query_id", "rank", "id", "title_hits", "body_hits"]
+    if budget is not None:
+        # One text more than the budget shows that the budget cuts; it is not ranked.
+        first = best(scored, budget + 1, F.asc("id")).drop("rank").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
+        probed = first.withColumn("cut", F.max("n").over(Window.partitionBy("query_id")) > budget)
+        scored, columns = probed.where(F.col("n") <= budget).drop("n"), [*columns, "cut"]
+    order = [F.when(F.col("title_hits") > 0, 0).otherwise(1), F.desc("title_hits"), F.desc("body_hits"), F.asc("id")]
+    if k is None:
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).select(*columns)
+    return best(scored, k, *order).select(*columns)
+
+
+def page_lexical(queries: DataFrame, pages: DataFrame, k: int = 20, before: int = 40, after: int = 200, opening: int = 420) -> DataFrame:
+    """How many of the terms occur in title, path and text of a page, and what is shown of it (R11): the text around the
+    first term, in the query's order, that occurs in the text itself, or else the text's opening."""
+    plain = F.regexp_replace("html", "<[^>]*>", " ")
+    rows = pages.select("id", plain.alias("plain"), F.lower(F.concat_ws("\n", "title", "host", "lang", plain)).alias("hay"))
+    hits = F.size(F.filter("terms", lambda t: F.contains("hay", t))).cast("long")
+    scored = postings.met(queries, rows).withColumn("score", hits).where("score > 0")
+    found = best(scored.select("query_id", "id", "score"), k, *by_score())
+    # Only what is returned is looked at again for its snippet.
+    shown = found.join(queries, "query_id").join(rows.select("id", "plain"), "id").withColumn("low", F.lower("plain"))
+    places = F.filter(F.transform("terms", lambda t: F.instr(F.col("low"), t)), lambda p: p > 0)
+    shown = shown.withColumn("at", F.get(places, F.lit(0)) - 1)
+    start = F.greatest(F.col("at") - before, F.lit(0))
+    snippet = F.when(F.col("at").isNull(), F.substring("plain", 1, opening)).otherwise(F.substring(F.col("plain"), start + 1, F.col("at") + after - start))
+    return shown.select("query_id", "rank", "id", "score", snippet.alias("snippet"))

@@ -59,12 +59,13 @@ def memory_vector_topk(spark, d):
 OCC = lambda h: f"((length({h}) - length(replace({h}, x, ''))) // length(x))"
 
 
-@query(
-    f"""SELECT query_id, rank, id, score FROM (SELECT *, {RANKED} AS rank FROM (SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM (
+KEYWORD_SQL = f"""SELECT query_id, rank, id, score FROM (SELECT *, {RANKED} AS rank FROM (SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM (
  SELECT query_id, id, points + greatest(0.0, 0.2 - least(greatest(DATE '2024-02-01' - CAST(created_at AS DATE), 0), 365) / 365 * 0.2) AS raw FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, id DESC) AS n FROM (
  SELECT query_id, id, created_at, list_sum(list_transform(list_filter(list_transform(terms, lambda x: {OCC('h')}), lambda c: c > 0), lambda c: 1 + 0.15 * least(c, 5)))::DOUBLE AS points FROM (SELECT id, created_at, lower(concat_ws(chr(10), content, label_code)) AS h FROM entries), term_queries) WHERE points > 0) WHERE n <= 90))) WHERE rank <= 30"""
-)
+
+
+@query(KEYWORD_SQL)
 def keyword_search(spark, d):
     return r.keyword(t.term_queries(spark, d), t.entries(spark, d), CLOCK)
 
@@ -77,11 +78,28 @@ def lexical_union(spark, d):
     return r.lexical(t.term_queries(spark, d), t.entries(spark, d))
 
 
-@query(f"SELECT query_id, {RANKED} AS rank, id, score FROM (SELECT query_id, id, list_sum(list_transform(terms, lambda x: {OCC('h')}))::BIGINT AS score FROM (SELECT id, lower(concat_ws(chr(10), title, host, lang, regexp_replace(html, '<[^>]*>', ' ', 'g'))) AS h FROM site_pages), term_queries) WHERE score > 0 QUALIFY rank <= 20")
+PAGE_LEX = "page_lex AS (SELECT query_id, id, terms, plain, len(list_filter(terms, lambda x: contains(h, x))) AS score FROM (SELECT id, plain, lower(concat_ws(chr(10), title, host, lang, plain)) AS h FROM (SELECT *, regexp_replace(html, '<[^>]*>', ' ', 'g') AS plain FROM site_pages)), term_queries)"
+
+
+@query(
+    f"""SELECT query_id, rank, id, score, CASE WHEN spot IS NULL THEN substr(plain, 1, 420) ELSE substr(plain, greatest(spot - 40, 0) + 1, spot + 200 - greatest(spot - 40, 0)) END AS snippet
+ FROM (SELECT *, list_filter(list_transform(terms, lambda x: instr(lower(plain), x)), lambda p: p > 0)[1] - 1 AS spot, {RANKED} AS rank FROM page_lex WHERE score > 0 QUALIFY rank <= 20)""",
+    PAGE_LEX,
+)
 def page_lexical(spark, d):
     return r.page_lexical(t.term_queries(spark, d), t.pages(spark, d))
 
 
+SCANNED = """scanned AS (SELECT *, count(*) OVER (PARTITION BY query_id) > {0} AS cut, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM lex WHERE body_hits > 0)"""
+BY_HITS = "row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN title_hits > 0 THEN 0 ELSE 1 END, title_hits DESC, body_hits DESC, id)"
+
+
+@query(f"SELECT query_id, {BY_HITS} AS rank, id, title_hits, body_hits, cut FROM scanned WHERE n <= 100", LEX, SCANNED.format(100))
+def lexical_scan_budget(spark, d):
+    """The texts with a term under a budget (R9): the first by id are ranked, and one more tells that there were more."""
+    return r.lexical(t.term_queries(spark, d), t.entries(spark, d), k=None, budget=100)
+
+
 RRF = lambda key, weights: f"SELECT query_id, {key} AS key, sum(coalesce({weights}[list_idx + 1], 1.0) / (60 + rank)) AS s, min(row(list_idx, rank)) AS first, max(relevance) AS most, count(DISTINCT list_idx) AS methods FROM l GROUP BY query_id, {key}"
 FUSED = "fused AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, key) AS rank, key, rrf, greatest(most, rrf) AS relevance, CASE WHEN methods > 1 THEN 'hybrid_rrf' ELSE 'single' END AS source_reason FROM (SELECT *, round(s, 9) AS rrf FROM f))"
 LISTS = "l AS (SELECT query_id, list_idx, rank, key, score AS relevance FROM rankings)"
@@ -134,90 +152,6 @@ def hybrid_search(spark, d):
     return fu.rrf(dense.unionByName(words).withColumn("key", F.concat(F.lit("entry:entry:"), F.col("id").cast("string"))))
 
 
-#: Attachments of the channels: each third vector belongs to an attachment of the entry that its id names.
-CHANNELS = f"""channels AS (
- SELECT query_id, 0 AS list_idx, {RANKED} AS rank, 'entry:' || CAST(id AS VARCHAR) AS key, 'e' || CAST(id AS VARCHAR) AS origin, 'entry' AS source_type, score FROM dense WHERE id % 3 <> 0 AND score >= 0.35 QUALIFY rank <= 80
- UNION ALL SELECT query_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN title_hits > 0 THEN 0 ELSE 1 END, title_hits DESC, body_hits DESC, id) AS rank, 'entry:' || CAST(id AS VARCHAR), 'e' || CAST(id AS VARCHAR), 'entry', 1.0 FROM lex WHERE body_hits > 0 QUALIFY rank <= 40
- UNION ALL SELECT query_id, 2, {RANKED} AS rank, 'attachment:' || CAST(id AS VARCHAR), 'e' || CAST(id // 2 AS VARCHAR), 'attachment_chunk', score FROM dense WHERE id % 3 = 0 AND score >= 0.35 QUALIFY rank <= 40
- UNION ALL SELECT query_id, 3, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, 'page:' || CAST(id AS VARCHAR), 'p' || CAST(id AS VARCHAR), 'page', 1.0 FROM (SELECT query_id, id, CAST(list_sum(list_transform(terms, lambda x: {OCC('h')})) AS BIGINT) AS score FROM (SELECT id, lower(concat_ws(chr(10), title, host, lang, regexp_replace(html, '<[^>]*>', ' ', 'g'))) AS h FROM site_pages), term_queries) WHERE score > 0 QUALIFY rank <= 20)"""
-POOLED = (
-    "fused_keys AS (SELECT query_id, key, origin, source_type, round(sum((CASE list_idx WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 ELSE 1.0 END) / (60 + rank)), 9) AS rrf, min(list_idx * 1000 + rank) AS first, max(score) AS score, max(CASE WHEN list_idx = 1 THEN 1 ELSE 0 END) AS worded FROM channels GROUP BY ALL)",
-    "placed_keys AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, first, key) AS rank FROM fused_keys)",
-    """merged_keys AS (SELECT query_id, min(rank) AS place, arg_min(key, (CASE WHEN source_type = 'attachment_chunk' THEN 0 ELSE 1 END, rank)) AS key, count(*) AS mirrors FROM placed_keys GROUP BY query_id, origin)""",
-)
-
-
-def channels(spark, d):
-    """The lists of four channels (query_id, list_idx, rank, key, origin, source_type, score): entries, words, attachments, pages."""
-    queries, vectors, words = t.query_vectors(spark, d), t.content_vectors(spark, d), t.term_queries(spark, d)
-    named = lambda prefix, c="id": F.concat(F.lit(prefix), F.col(c).cast("string"))
-    part = lambda rows, i, key, origin, kind, score: rows.select("query_id", F.lit(i).alias("list_idx"), "rank", named(key).alias("key"), origin.alias("origin"), F.lit(kind).alias("source_type"), score.alias("score"))
-    own = part(r.dense(queries, vectors.where("id % 3 <> 0"), k=80), 0, "entry:", named("e"), "entry", F.col("score"))
-    said = part(r.lexical(words, t.entries(spark, d), k=40), 1, "entry:", named("e"), "entry", F.lit(1.0))
-    files = r.dense(queries, vectors.where("id % 3 = 0"), k=40).withColumn("entry", F.expr("id div 2"))
-    files = part(files, 2, "attachment:", named("e", "entry"), "attachment_chunk", F.col("score"))
-    pages = part(r.page_lexical(words, t.pages(spark, d)), 3, "page:", named("p"), "page", F.lit(1.0))
-    return own.unionByName(said).unionByName(files).unionByName(pages)
-
-
-def pooled(spark, d):
-    """Channels fused by rank (R24), mirrors of an origin as one row at the place of the first."""
-    rows = channels(spark, d)
-    fused = fu.rrf(rows.withColumn("relevance", F.col("score"))).select("query_id", "key", "rank")
-    facts = rows.groupBy("query_id", "key").agg(F.first("origin").alias("origin"), F.first("source_type").alias("source_type"))
-    return fu.mirrors_merged(fused.join(facts, ["query_id", "key"]))
-
-
-@query(
-    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS position, key, mirrors, CASE WHEN parent IS NOT NULL THEN 'entry:' || CAST(parent AS VARCHAR) END AS parent FROM (SELECT m.*, e.parent_id AS parent FROM merged_keys m LEFT JOIN entries e ON m.key = 'entry:' || CAST(e.id AS VARCHAR)) QUALIFY position <= 12",
-    DENSE,
-    LEX,
-    CHANNELS,
-    *POOLED,
-)
-def hybrid_pipeline(spark, d):
-    """The whole search (R30): four channels, fused, mirrors merged, the best twelve with their parents."""
-    merged = pooled(spark, d)
-    mirrors = merged.groupBy("query_id", "origin").agg(F.count(F.lit(1)).alias("mirrors"))
-    rows = merged.where("kept").join(mirrors, ["query_id", "origin"])
-    rows = r.best(rows.drop("rank"), 12, F.col("position")).select("query_id", F.col("rank").alias("position"), "key", "mirrors")
-    up = t.entries(spark, d).select(F.concat(F.lit("entry:"), F.col("id").cast("string")).alias("key"), F.concat(F.lit("entry:"), F.col("parent_id").cast("string")).alias("parent"))
-    return rows.join(up, "key", "left").select("query_id", "position", "key", "mirrors", "parent")
-
-
-@query(
-    "SELECT query_id, key, place, mode FROM (SELECT query_id, key, place, CASE WHEN content IS NULL THEN 'none' WHEN length(content) BETWEEN 1 AND 400 THEN 'short_full_body' ELSE 'long' END AS mode, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n FROM merged_keys LEFT JOIN entries e ON key = 'entry:' || CAST(e.id AS VARCHAR)) WHERE n <= 120",
-    DENSE,
-    LEX,
-    CHANNELS,
-    *POOLED,
-)
-def lookup_pool(spark, d):
-    """The pool of a lookup (R33): all channels, mirrors merged, the first 120 of each query, and how much of each text a
-    judge is shown."""
-    rows = r.best(pooled(spark, d).where("kept").drop("rank"), 120, F.col("position")).select("query_id", "key", F.col("position").alias("place"))
-    texts = t.entries(spark, d).select(F.concat(F.lit("entry:"), F.col("id").cast("string")).alias("key"), F.length("content").alias("size"))
-    mode = F.when(F.col("size").isNull(), "none").when(F.col("size").between(1, 400), "short_full_body").otherwise("long")
-    return rows.join(texts, "key", "left").select("query_id", "key", "place", mode.alias("mode"))
-
-
-@query(
-    f"SELECT query_id, 'vector' AS retriever, {RANKED} AS rank, 'entry:' || CAST(id AS VARCHAR) AS key FROM dense WHERE score >= 0.35 QUALIFY rank <= 20 UNION ALL SELECT query_id, 'keyword', row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN title_hits > 0 THEN 0 ELSE 1 END, title_hits DESC, body_hits DESC, id) AS rank, 'entry:' || CAST(id AS VARCHAR) FROM lex WHERE body_hits > 0 QUALIFY rank <= 20 UNION ALL SELECT query_id, 'hybrid', row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank, key FROM merged_keys QUALIFY rank <= 20",
-    DENSE,
-    LEX,
-    CHANNELS,
-    *POOLED,
-)
-def live_rankings(spark, d):
-    """The same queries through three strategies, the first twenty of each."""
-    named = F.concat(F.lit("entry:"), F.col("id").cast("string")).alias("key")
-    part = lambda rows, name: rows.select("query_id", F.lit(name).alias("retriever"), "rank", named)
-    dense = part(r.dense(t.query_vectors(spark, d), t.content_vectors(spark, d), k=20), "vector")
-    words = part(r.lexical(t.term_queries(spark, d), t.entries(spark, d), k=20), "keyword")
-    both = r.best(pooled(spark, d).where("kept").drop("rank"), 20, F.col("position")).select("query_id", F.lit("hybrid").alias("retriever"), "rank", "key")
-    return dense.union(words).union(both)
-
-
 BUCKETS = "h AS (SELECT query_id, (['dense', 'fused', 'keyword', 'attachment'])[list_idx + 1] AS bucket, key, min(rank) AS rank FROM rankings GROUP BY ALL)"
 
 

@@ -40,3 +40,10 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows from a Parquet table written to the shared folder: compact, for tables that are read more than once."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

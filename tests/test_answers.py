@@ -106,6 +106,8 @@ def test_windows_of_terms_that_overlap_themselves(spark):
     for terms in (["aa"], ["abab", "ba"], ["aa", "x"]):
         got = [r[0] for r in df.select(answers.hit_windows(F.col("t"), terms, 4)).collect()]
         assert got[:-1] == [windows_of(t, terms, 4) for t in texts[:-1]], terms
+        own = [r[0] for r in df.withColumn("ts", F.array(*map(F.lit, terms))).select(answers.hit_windows(F.col("t"), F.col("ts"), 4)).collect()]
+        assert own == got
 
 
 def test_plans_of_evidence_grow_with_terms_no_faster_than_they_do(spark):

@@ -30,8 +30,14 @@ def test_top_k_is_cut_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan(spark, name)
 
 
+@pytest.mark.parametrize("name", ["keyword_search", "lexical_union", "lexical_scan_budget", "page_lexical", "todo_lexical"])
+def test_lexical_search_is_by_equal_keys(spark, name):
+    found = plan(spark, name)
+    assert "NestedLoop" not in found and "postings" in found
+
+
 #: Queries in which every row meets a stated set of queries, or a single row, by a broadcast.
-STATED = {"entry_dense_topk", "entry_dense_labelled", "entry_dense_fallback", "knowledge_dense_topk", "session_vector_topk", "memory_vector_topk", "keyword_search", "lexical_union", "page_lexical", "todo_lexical", "hybrid_search", "hybrid_pipeline", "lookup_pool", "live_rankings", "vector_recent_merge", "config_selection"}
+STATED = {"entry_dense_topk", "entry_dense_labelled", "entry_dense_fallback", "knowledge_dense_topk", "session_vector_topk", "memory_vector_topk", "hybrid_search", "hybrid_pipeline", "lookup_pool", "live_rankings", "vector_recent_merge", "config_selection"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
