@@ -1,15 +1,17 @@
 """Main-text extraction by a minimum cut over a page's blocks.
 
-A page becomes a row of text blocks that hang on a tree of elements. A logistic classifier over what a block says and
-how it is set (length, links, sentences, kind of element) gives it costs for being content or boilerplate, which
-become capacities to the two terminals. Markup is no feature of the classifier. Each element that HTML, a role or a
+A page becomes a row of text blocks that hang on a tree of elements. A logistic classifier over what a block says
+(length, links, sentences, clauses) gives it costs for being content or boilerplate, which become capacities to the two
+terminals. Markup is no feature of the classifier, as markup is where its labels come from; a heading says nothing of
+itself and hangs on the block that it stands before. Each element that HTML, a role or a
 name marks as article, menu, header, footer, notice, form and so on is a node of its own, a section, with a terminal
 capacity of its own; blocks hang on their nearest section, and sections on the section around them. Neighbours in
 page order are joined by their distance in the tree, and so are the blocks of one parent. The maximum flow's cut
 labels blocks and sections together, so markup and neighbours change a block's label only through edges.
 
-A section that holds most of the page's text, and all that marks its article, is a wrapper: what its name, or its
-tag, says of it doesn't count.
+A section that holds all that marks the page's article, and more text than stands outside of all boilerplate, is a
+wrapper: what its name, or its tag, says of it doesn't count. Nor does a name speak against an article or main element
+that holds another one, or that is the page's only one.
 
 The classifier is learned from blocks that sections label, on a bounded number of blocks of a bounded number of
 pages; the strength of the edges is the one, of a few, at which the cut without any section's capacity agrees best
@@ -71,17 +73,18 @@ ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 SENTENCE_END = frozenset(".!?:;\"'”»…。！？")
-ITEM_TAGS = frozenset("li td th dd dt label legend summary figcaption option caption".split())
 
-FEATURES = ("bias", "log_words", "link_share", "sentence", "clauses", "heading", "paragraph", "item", "copyright", "parent_links")
+FEATURES = ("bias", "log_words", "link_share", "sentence", "clauses", "copyright", "parent_links")
 #: Weights that the fit starts from and is drawn to, as log odds of being content.
-PRIOR = (-2.2, 0.9, -3.0, 1.0, 0.5, 1.2, 0.8, -0.8, -3.0, -2.0)
+PRIOR = (-2.2, 0.9, -3.0, 1.5, 0.5, -3.0, -2.0)
 PULL = 4.0
 #: The fit's sample: pages, the first by a hash of their html, and evenly spread blocks of each.
 FIT_PAGES, FIT_BLOCKS = 400, 200
 #: Smoothness of two blocks next to each other, over their distance in the tree, and of blocks of one parent; the fit
 #: multiplies both by one of STRENGTHS.
 NEAR, SIBLING = 0.5, 0.3
+#: How strongly a heading hangs on the block that it stands before.
+HEADS = 3.0
 STRENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0)
 #: Most log odds that a block has of its own.
 MOST_ODDS = 4.0
@@ -90,9 +93,6 @@ SECTION_ODDS = {"boiler": -12.0, "named": -10.0, "content": 8.0, "hinted": 4.0}
 SECTION_HOLD = {"boiler": 8.0, "named": 6.0, "content": 4.5, "hinted": 2.5}
 #: How strongly sections hang on sections around them that aren't boilerplate.
 LOOSE = 1.0
-#: A section with more of the page's text than this may be a wrapper.
-WRAPPER = 0.5
-
 
 @dataclass(slots=True)
 class Page:
@@ -302,12 +302,40 @@ def sections_of(page: Page) -> tuple[list[int], list[str], list[int], list[int]]
 
 
 def unwrapped(page: Page, sections: tuple[list[int], list[str], list[int], list[int]]) -> list[str | None]:
-    """The sections' kinds; None for what would be boilerplate but wraps the page's text."""
+    """The sections' kinds; None for what would be boilerplate but wraps the page's text, and content for the only
+    article or main element, whatever its name."""
     elements, kinds, around, nearest = sections
-    size = [0] * len(elements)
+    count = len(elements)
+    kinds = list(kinds)
+    tagged = [page.tag[e] in CONTENT_TAGS or page.names.get(e, ("", ""))[0] in CONTENT_ROLES for e in elements]
+    holds, told = [False] * count, [False] * count  # an article in it; boilerplate around it
+    for s in range(count):
+        told[s] = around[s] >= 0 and (told[around[s]] or kinds[around[s]] == "boiler" or (kinds[around[s]] == "named" and not tagged[around[s]]))
+    for s in range(count - 1, -1, -1):
+        if around[s] >= 0 and (holds[s] or tagged[s]):
+            holds[around[s]] = True
+    plain = sum(k == "content" and not t for k, t in zip(kinds, told, strict=True))
+    named = [s for s in range(count) if tagged[s] and kinds[s] == "named" and not told[s]]
+    for s in named:
+        if holds[s]:
+            kinds[s] = None
+    alone = [s for s in named if not holds[s]]
+    # Text by the innermost boilerplate around it; none: -1.
+    inner = [-1] * count
+    for s in range(count):
+        up = inner[around[s]] if around[s] >= 0 else -1
+        inner[s] = s if kinds[s] in ("boiler", "named") else up
+    own, free = [0] * count, 0
+    for text, e in zip(page.texts, page.at, strict=True):
+        s = inner[nearest[e]] if nearest[e] >= 0 else -1
+        if s >= 0:
+            own[s] += len(text)
+        else:
+            free += len(text)
+    if not plain and len(alone) == 1 and (page.tag[elements[alone[0]]] == "main" or own[alone[0]] > free):
+        kinds[alone[0]] = "content"
     # What marks the page's article: article and main elements, or else names, or else first-level headings.
-    marks = [0] * len(elements)
-    every = 0
+    marks, every = [0] * count, 0
     for mark in ("content", "hinted"):
         if not every and (every := kinds.count(mark)):
             marks = [int(k == mark) for k in kinds]
@@ -316,16 +344,17 @@ def unwrapped(page: Page, sections: tuple[list[int], list[str], list[int], list[
             every += 1
             if nearest[e] >= 0:
                 marks[nearest[e]] += 1
-    for text, e in zip(page.texts, page.at, strict=True):
-        if nearest[e] >= 0:
-            size[nearest[e]] += len(text)
-    for s in range(len(elements) - 1, -1, -1):
+    for s in range(count - 1, -1, -1):
         if around[s] >= 0:
-            size[around[s]] += size[s]
             marks[around[s]] += marks[s]
-    whole = sum(map(len, page.texts))
-    wraps = [k in ("boiler", "named") and n > WRAPPER * whole and a == every for k, n, a in zip(kinds, size, marks, strict=True)]
-    return [None if w else k for k, w in zip(kinds, wraps, strict=True)]
+    # Sections with all marks lie in one another, so an inner one's text is what the outer one wraps, too.
+    found, inside = list(kinds), 0
+    for s in range(count - 1, -1, -1):
+        if kinds[s] in ("boiler", "named") and every and marks[s] == every:
+            inside += own[s]
+            if inside > free:
+                found[s] = None
+    return found
 
 
 def features_of(page: Page) -> np.ndarray:
@@ -337,20 +366,22 @@ def features_of(page: Page) -> np.ndarray:
     links = np.array(page.links, np.float64)
     at = np.array(page.at, np.int64)
     up = np.array(page.parent, np.int64)[at]
-    tags = [page.tag[e] for e in page.at]
     chars_up, links_up = np.bincount(up, size, len(page.parent)), np.bincount(up, links, len(page.parent))
     x[:, 1] = np.log1p(words)
     x[:, 2] = np.minimum(1.0, links / size)
     x[:, 3] = np.fromiter((t[-1] in SENTENCE_END for t in texts), np.float64, n)
     x[:, 4] = np.minimum(1.0, np.fromiter((t.count(",") + t.count(". ") + t.count("，") + t.count("。") for t in texts), np.float64, n) / 3)
-    x[:, 5] = np.fromiter((t in HEADINGS for t in tags), np.float64, n)
-    x[:, 6] = np.fromiter((t in ("p", "blockquote", "pre") for t in tags), np.float64, n)
-    x[:, 7] = np.fromiter((t in ITEM_TAGS for t in tags), np.float64, n)
-    x[:, 8] = np.fromiter(("©" in t for t in texts), np.float64, n)
-    x[:, 9] = np.minimum(1.0, links_up[up] / np.maximum(chars_up[up], 1))
+    x[:, 5] = np.fromiter(("©" in t for t in texts), np.float64, n)
+    x[:, 6] = np.minimum(1.0, links_up[up] / np.maximum(chars_up[up], 1))
     return x
 
 
+def costs_of(page: Page, weights: np.ndarray) -> np.ndarray:
+    """Each block's log odds of being content; a heading has none."""
+    headings = np.fromiter((page.tag[e] in HEADINGS for e in page.at), bool, len(page.at))
+    return np.where(headings, 0.0, np.clip(features_of(page) @ weights, -MOST_ODDS, MOST_ODDS))
+
+
 def smoothness(page: Page, strength: float) -> tuple[array, array, array]:
     """Edges between blocks: ends and capacities."""
     parent, depth, at = page.parent, page.depth, page.at
@@ -367,6 +398,10 @@ def smoothness(page: Page, strength: float) -> tuple[array, array, array]:
             left.append(i - 1)
             right.append(i)
             room.append(strength * NEAR * 2 / max(2, steps))
+        if page.tag[e] in HEADINGS and i + 1 < len(at):
+            left.append(i)
+            right.append(i + 1)
+            room.append(strength * HEADS)
         before = last.get(parent[e])
         if before is not None and before != i - 1:
             left.append(before)
@@ -385,7 +420,7 @@ def labels_of(page: Page, kinds: list[str | None], nearest: list[int]) -> np.nda
 def cut_of(page: Page, weights: np.ndarray, strength: float, marked: bool = True) -> list[bool]:
     """Which blocks are content. marked: whether sections have terminal capacities."""
     n = len(page.texts)
-    odds = np.clip(features_of(page) @ weights, -MOST_ODDS, MOST_ODDS)
+    odds = costs_of(page, weights)
     left, right, room = smoothness(page, strength)
     sections = sections_of(page)
     elements, _, around, nearest = sections
@@ -576,7 +611,7 @@ def fitted(pages: DataFrame, html_col: str = "html") -> Classifier:
         for batch in batches:
             for source in batch.column("html").to_pylist():
                 page, y = labelled(source)
-                told = np.flatnonzero(y >= 0)
+                told = np.flatnonzero((y >= 0) & np.array([page.tag[e] not in HEADINGS for e in page.at], bool))
                 told = told[:: max(1, -(-len(told) // FIT_BLOCKS))]
                 x = features_of(page)[told] if len(told) else np.empty((0, len(FEATURES)))
                 yield pa.RecordBatch.from_arrays([pa.array([len(page.texts)] * len(told), pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(y[told], pa.int32())], names=names)
