@@ -202,10 +202,11 @@ def unioned(parts: list[DataFrame]) -> DataFrame:
 
 
 def predicted(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of ``keep``, then lang_pred and score (the posterior of that language under equal priors)."""
+    """The columns of ``keep``, then lang_pred, score (the posterior of that language under equal priors) and known (the
+    share of the text's words that were learned)."""
     bounded_batches(docs.sparkSession)
     if not model.langs:
-        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known"))
     width = len(model.langs)
     rows = stored(split_scores(docs, model, keep, text_col), "language-rows")
     rest = rows.select("_row", F.explode(F.arrays_zip("_rest", "_times")).alias("w")).select("_row", F.col("w._rest").alias("word"), F.col("w._times").alias("times"))
@@ -213,16 +214,16 @@ def predicted(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id
     learned = model.words.select(F.col("entry").alias("word"), "counts").hint("shuffle_hash")
     met = stored(distinct.join(learned, "word", "left"), "language-met")
     unseen = met.where("counts is null").select("word")
-    vectors = met.where("counts is not null").select("word", model.vector(0, F.col("counts")).alias("v"))
+    vectors = met.where("counts is not null").select("word", model.vector(0, F.col("counts")).alias("v"), F.lit(True).alias("learned"))
     if not unseen.isEmpty():
-        vectors = vectors.unionByName(backed_off(unseen, model))
+        vectors = vectors.unionByName(backed_off(unseen, model).withColumn("learned", F.lit(False)))
     # Words outside the table are rare, so no word's rows are many; a row's are summed before they are sent.
     sums = [F.sum(F.col("times") * F.get("v", F.lit(i))).alias(f"s{i}") for i in range(width)]
-    others = rest.join(vectors.hint("shuffle_hash"), "word").groupBy("_row").agg(*sums).select("_row", F.array(*[f"s{i}" for i in range(width)]).alias("_more"))
+    others = rest.join(vectors.hint("shuffle_hash"), "word").groupBy("_row").agg(*sums, F.sum(F.when(~F.col("learned"), F.col("times"))).alias("_new")).select("_row", F.array(*[f"s{i}" for i in range(width)]).alias("_more"), "_new")
     whole = rows.drop("_rest", "_times").join(others, "_row", "left")
     total = F.zip_with("_sum", F.coalesce("_more", F.array_repeat(F.lit(0.0), width)), lambda a, b: a + b)
     whole = whole.withColumn("_total", total).withColumn("_best", F.array_max("_total"))
     spread = F.aggregate("_total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("_best")))
     name = F.get(F.array(*map(F.lit, model.langs)), (F.array_position("_total", F.col("_best")) - 1).cast("int"))
     heard = F.col("_words") > 0
-    return whole.select(*keep, F.when(heard, name).otherwise(UNDETERMINED).alias("lang_pred"), F.when(heard, 1 / spread).otherwise(0.0).alias("score"))
+    return whole.select(*keep, F.when(heard, name).otherwise(UNDETERMINED).alias("lang_pred"), F.when(heard, 1 / spread).otherwise(0.0).alias("score"), F.when(heard, 1 - F.coalesce("_new", F.lit(0)) / F.col("_words")).otherwise(0.0).alias("known"))

@@ -139,10 +139,11 @@ def class_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def signed(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls, bands, sketch, whole) of each row; all from cls on are null without shingles."""
+def signed(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, cls, bands, sketch, whole) of each row and the columns of ``keep``; all from cls to whole are
+    null without shingles."""
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "n_shingles", "cls", "bands", "sketch", "whole"]
+    names = ["doc_id", "n_shingles", "cls", "bands", "sketch", "whole", *keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -156,10 +157,11 @@ def signed(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text
                 bands.append(None if own[0] is None else own[0].view(np.int64))
                 sketches.append(None if own[1] is None else own[1].view(np.int64))
                 wholes.append(parity(found).view(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(wholes, pa.list_(pa.int64())), *[batch.column(c) for c in keep]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(work, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>, sketch array<long>, whole array<long>")
+    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *keep).mapInArrow(work, f"doc_id {kind}, n_shingles long, cls binary, bands array<long>, sketch array<long>, whole array<long>{kept}")
 
 
 def full_sets(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -250,9 +252,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where(100 * F.col("i") >= PERCENT * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row."""
-    signs = stored(signed(docs, shingle, id_col, text_col), "signs")
+def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row, and the columns of ``keep``, which tell apart rows that share
+    an id."""
+    signs = stored(signed(docs, shingle, id_col, text_col, keep), "signs")
     classes = signs.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("whole").alias("whole"))
     classes = stored(classes, "classes")
     # What a hot bucket meets in a join is a table and no aggregate, so that Spark can split the bucket.
@@ -295,6 +298,6 @@ def linked(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", t
     homes = classes.select("cls", "first_doc").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = homes.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     homes = homes.join(lowest, "label").select("cls", "component_id")
-    found = signs.select("doc_id", "n_shingles", "cls").join(homes, "cls", "left")
+    found = signs.select("doc_id", "n_shingles", "cls", *keep).join(homes, "cls", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), *keep).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from test_near_dup import brute as brute_links
 from test_text_models import brute_counts, brute_language, brute_score
@@ -34,7 +35,10 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert out.columns == columns
         if name == "language_id":
             verdicts = brute_language([(r["lang"], r["text"]) for r in rows], [r["text"] for r in rows])
-            want = Counter(tuple(r) for r, (lang, score, _) in zip(rows, verdicts, strict=True) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE)
+            find = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", (t or "").lower())
+            learned = {w for r in rows if r["lang"] is not None for w in find(r["text"])}
+            share = lambda r: sum(w in learned for w in find(r["text"])) / max(1, len(find(r["text"])))  # noqa: B023, E731
+            want = Counter(tuple(r) for r, (lang, score, _) in zip(rows, verdicts, strict=True) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE and share(r) >= corpus_pipeline.LEAST_KNOWN)
             assert rows_of(out) == want
         if name == "quality_rules":
             stats = quality.counted(before, ("doc_id",))
@@ -111,6 +115,25 @@ def test_odd_rows(spark, empty):
     assert ids == (set() if empty else {1, None, 5})
 
 
+def test_ids_that_stand_on_other_texts(spark):
+    """A near copy goes although its id stands on a text that stays."""
+    one, other = ("the words of a text that has enough of them to be told apart from all " + w for w in ("others here today", "strangers"))
+    third = "something else that nobody has said before in this place or in any other of these"
+    rows = [(1, one), (2, one), (2, third), (3, third), (None, one), (4, other), (4, other), (1, third)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, D).collect()), key=repr)
+    assert got == sorted([(1, one), (1, third), (4, other), (None, one)], key=repr)
+
+
+def test_languages_that_were_not_learned_go(spark):
+    own = "the words of a language that was learned stay here and are said again in this text"
+    mixed = "the words of a language und etwas mehr"
+    foreign = "слова другого языка которого никто не учил"
+    rows = [(1, own, "en"), (2, own, None), (3, foreign, None), (4, mixed, None), (5, "Wörter einer zweiten Sprache stehen hier und etwas", "de")]
+    docs = spark.createDataFrame([(i, t, g, "a", 1) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, D).collect()} == {1, 2, 4, 5}
+
+
 def test_each_operator_has_one_query():
     names = list(registry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
