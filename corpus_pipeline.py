@@ -20,8 +20,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: The vocabulary file of the last stage; a parameter, as the file isn't part of the library.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Documents whose language is less sure than this are rejected.
-LEAST_SCORE = 0.3
+#: Documents whose language is less sure than this are rejected, and those with a smaller share of words that were
+#: learned: the score of a text of many words is near 1 whatever language it is in.
+LEAST_SCORE, LEAST_KNOWN = 0.3, 0.5
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -50,10 +51,10 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose language stays unsure."""
+    """Rejects documents without letters, those whose language stays unsure, and those in languages that no label names."""
     model = langid.fitted(docs)
     found = langid.predicted(with_digest(docs).select("digest", "text"), model, keep=("digest",))
-    return without(docs, found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_SCORE)))
+    return without(docs, found.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_SCORE) | (F.col("known") < LEAST_KNOWN)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +67,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each class of near copies, once."""
     rows, at = numbered(docs)
     doc, text = at["doc_id"], at["text"]
-    kept = near_dup.linked(rows, id_col=doc, text_col=text).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc)).distinct()
-    once = rows.join(kept, doc, "left_semi").withColumn("same", F.xxhash64(text)).dropDuplicates([doc, "same"]).drop("same")
+    # An id may stand on several texts, and each of these has a verdict of its own.
+    marked = rows.withColumn("same", F.xxhash64(text))
+    kept = near_dup.linked(marked, id_col=doc, text_col=text, keep=("same",)).where("kept and doc_id is not null").select(F.col("doc_id").alias(doc), "same").distinct()
+    once = marked.join(kept, [doc, "same"], "left_semi").dropDuplicates([doc, "same"]).drop("same")
     return once.unionByName(rows.where(F.col(doc).isNull())).select(*at.values()).toDF(*docs.columns)
 
 
