@@ -178,8 +178,8 @@ def ranged(rows: DataFrame, tree: Tree, width: int) -> Tree:
 def fitted(rows: DataFrame, width: int) -> Tree:
     """A tree for the rows ``x``, grown from a bounded sample, with ranges over all of them."""
     count = rows.count()
-    sample = rows.select("x").orderBy(F.xxhash64("x"), "x").limit(min(SAMPLE, count)).collect()
-    nodes, leaves = grown(np.array([r.x for r in sample], dtype=np.int64).reshape(len(sample), width), count)
+    sample = rows.select("x").orderBy(F.xxhash64("x"), "x").limit(min(SAMPLE, count)).toArrow().column("x").combine_chunks()
+    nodes, leaves = grown(matrix(sample, width), count)
     return ranged(rows, Tree(nodes, leaves), width) if nodes else Tree(nodes, leaves, sizes={0: count})
 
 
