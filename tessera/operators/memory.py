@@ -1,10 +1,21 @@
-"""Remembered facts: repeats, conflicts, merging, fingerprints."""
+"""Remembered facts: repeats, conflicts, merging, fingerprints.
+
+Repeats and conflicts are a set-similarity join. Copies are one class. Two classes can only be alike if they share one of
+their rarest bigrams (prefix filter) and have about as many; one can only lie in the other if the other has all its runs
+of characters, of which the rarest is looked up. What these equi-joins find is then compared exactly.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.postings import coded, small
+from tessera.sources.storage import bounded_batches, stored
 
 # What negates a memory, and what doesn't count when two are compared.
 NEGATIONS = ("不", "不要", "不能", "避免", "禁止", "不再", "无需", "别")
@@ -22,9 +33,101 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(text, "|".join(sorted(NEGATIONS, key=len, reverse=True)), "")
 
 
-def bigrams(text: Column) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+def bigrams(text: str) -> np.ndarray:
+    """The distinct pairs of neighbouring characters as numbers, sorted; of one character, itself."""
+    return np.unique(coded(text, min(len(text), 2) or 1))
+
+
+GROUP = ["user_id", "type"]
+
+
+def runs(rows: DataFrame, text: str, size: int) -> DataFrame:
+    """(user_id, type, id, gram, grams): the distinct runs of so many characters of each text, as numbers, and how many
+    there are. Different runs may share a number, which adds candidates and loses none."""
+
+    def of(said: str) -> np.ndarray:
+        points = np.frombuffer(said.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        last = max(len(points) - size + 1, 0)
+        found = np.zeros(last, dtype=np.uint64)
+        for i in range(size):
+            found = found * np.uint64(0x9E3779B97F4A7C15) + points[i : i + last]
+        return np.unique(found).view(np.int64)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(said) for said in batch.column(text).to_pylist()]
+            sizes = np.array([len(g) for g in found], dtype=np.int64)
+            places = pa.array(np.repeat(np.arange(len(found)), sizes))
+            every = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(places) for c in (*GROUP, "id")], pa.array(every), pa.array(np.repeat(sizes, sizes))], names=[*GROUP, "id", "gram", "grams"])
+
+    bounded_batches(rows.sparkSession)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*GROUP, "id"))
+    return rows.select(*GROUP, "id", text).mapInArrow(work, f"{kinds}, gram long, grams long")
+
+
+def holding(new: DataFrame, old: DataFrame, text: str, chars: int) -> DataFrame:
+    """Pairs (candidate, memory) of which one may hold the other, if both have so many characters."""
+    key = [*GROUP, "gram"]
+    asked = stored(runs(new, text, chars), "memory-asked")
+    of_new = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    held = stored(runs(old, text, chars).join(small(of_new), key), "memory-held")
+    of_old = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    # A memory around the candidate has the candidate's run that the fewest memories have.
+    rare = asked.join(of_old, key, "left").groupBy(*GROUP, "id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    rare = rare.where("r.n > 0").select(*GROUP, F.col("r.gram").alias("gram"), F.col("id").alias("candidate"))
+    around = rare.join(held.select(*key, F.col("id").alias("memory")), key)
+    # A memory in a candidate has no run that candidates lack; the one that the fewest have leads to them.
+    inner = held.groupBy(*GROUP, "id").agg(F.count(F.lit(1)).alias("met"), F.first("grams").alias("grams"), F.min(F.struct("n", "gram")).alias("r")).where("met = grams")
+    inner = inner.select(*GROUP, F.col("r.gram").alias("gram"), F.col("id").alias("memory"))
+    inside = inner.join(asked.select(*key, F.col("id").alias("candidate")), key)
+    return around.select("candidate", "memory").unionByName(inside.select("candidate", "memory"))
+
+
+def sharing(new: DataFrame, old: DataFrame, text: str, least: float) -> DataFrame:
+    """Pairs (candidate, memory) whose bigrams may be alike by so much. In the order of rarity, the first bigrams of two
+    such sets have one in common: as many as a set can lack, and one more."""
+    tokens = lambda rows: rows.select(*GROUP, "id", F.size(text).alias("size"), F.explode(text).alias("gram"))
+    counts = tokens(old).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts, "memory-bigrams")
+
+    def prefix(rows: DataFrame) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*GROUP, "id").orderBy(F.coalesce("n", F.lit(0)), "gram"))
+        ranked = tokens(rows).join(small(counts), "gram", "left").withColumn("nth", nth)
+        return ranked.where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+
+    mine = prefix(new).select(*GROUP, "gram", F.col("id").alias("candidate"), F.col("size").alias("a"))
+    others = prefix(old).select(*GROUP, "gram", F.col("id").alias("memory"), F.col("size").alias("b"))
+    near = (F.col("a") * least <= F.col("b") + 1e-9) & (F.col("b") * least <= F.col("a") + 1e-9)
+    return mine.join(others, [*GROUP, "gram"]).where(near).select("candidate", "memory")
+
+
+def classes_of(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal texts by the least id, (user_id, type, id, s, p, and the bigrams bs and bp of both), and the first
+    ids of each, (id, member)."""
+    own = rows.select(*GROUP, "id", stripped(F.col("content")).alias("s")).where("s <> ''")
+    whole = Window.partitionBy(*GROUP, "s")
+    first = own.withColumns({"nth": F.row_number().over(whole.orderBy("id")), "least": F.min("id").over(whole)}).where(F.col("nth") <= most)
+    kept = stored(first.withColumn("p", plain(F.col("s"))), "memory-members")
+    one = kept.where("nth = 1").select(*GROUP, "id", "s", "p")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.array([bigrams(said) for said in batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("s", "p")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, "bs", "bp"])
+
+    bounded_batches(rows.sparkSession)
+    kinds = ", ".join(f"{c} {kind}" for c, kind in one.dtypes)
+    return stored(one.mapInArrow(work, f"{kinds}, bs array<long>, bp array<long>"), "memory-classes"), kept.select(F.col("least").alias("id"), F.col("id").alias("member"))
+
+
+def candidate_pairs(new: DataFrame, old: DataFrame, least: float, conflict: float, chars: int) -> DataFrame:
+    """Pairs of classes that have to be compared, each once."""
+    found = [near for text, share in (("s", least), ("p", conflict)) for near in (holding(new, old, text, chars), sharing(new, old, f"b{text}", share))]
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole.distinct()
 
 
 def repeats(candidates: DataFrame, memories: DataFrame, least: float = 0.82, conflict: float = 0.68, chars: int = 8, most: int = 5) -> DataFrame:
@@ -32,37 +135,48 @@ def repeats(candidates: DataFrame, memories: DataFrame, least: float = 0.82, con
 
     A duplicate is equal, contains the other or is contained, or is alike in bigrams. Of the others, one is a conflict
     if just one of both has a negation and they are alike, or contained, without it. The first few of each candidate
-    are told. The candidates are a stated set; each meets the memories of its own user and type alone.
+    are told. Ids are unique; memories that nothing is left of when they are stripped take no part.
     """
+    old, members = classes_of(memories, most + 1)  # a candidate may be among them
+    new, _ = classes_of(candidates, 1)
+    own = candidates.select(*GROUP, "id", stripped(F.col("content")).alias("s")).where("s <> ''")
+    asked = own.join(new.select(*GROUP, "s", F.col("id").alias("candidate")), [*GROUP, "s"]).select("candidate", F.col("id").alias("asking"))
+    pairs = candidate_pairs(new, old, least, conflict, chars)
 
-    def said(rows: DataFrame) -> DataFrame:
-        own = rows.select("user_id", "type", "id", stripped(F.col("content")).alias("s")).where("s <> ''").withColumn("p", plain(F.col("s")))
-        return own.withColumns({"b": bigrams(F.col("s")), "pb": bigrams(F.col("p"))})
-
-    def alike(text: str, grams: str) -> tuple[Column, Column]:
+    def alike(text: str) -> tuple[Column, Column]:
         one, other = F.col(f"n.{text}"), F.col(f"o.{text}")
         inside = (F.least(F.length(one), F.length(other)) >= chars) & (F.contains(one, other) | F.contains(other, one))
-        both, size = F.size(F.array_intersect(f"n.{grams}", f"o.{grams}")), F.size(F.array_union(f"n.{grams}", f"o.{grams}"))
-        return inside, F.when(size > 0, both / size).otherwise(0.0)
-
-    new, old = said(candidates).alias("n"), said(memories).alias("o")
-    pairs = new.join(old, (F.col("o.user_id") == F.col("n.user_id")) & (F.col("o.type") == F.col("n.type")) & (F.col("o.id") != F.col("n.id")))
-    (inside, similar), (plain_inside, plain_similar) = alike("s", "b"), alike("p", "pb")
-    same = F.col("n.s") == F.col("o.s")
-    repeat = same | inside | (similar >= least)
-    turned = (F.col("n.s") != F.col("n.p")) != (F.col("o.s") != F.col("o.p"))
-    kind = F.when(repeat, "possible_duplicate").when(turned & (plain_inside | (plain_similar >= conflict)), "possible_conflict")
-    value = F.when(same, 1.0).when(repeat, similar).otherwise(plain_similar)
-    found = pairs.select(F.col("n.id").alias("candidate"), F.col("o.id").alias("memory"), kind.alias("kind"), F.round(value, 4).alias("similarity")).where("kind is not null")
-    nth = F.row_number().over(Window.partitionBy("candidate").orderBy("memory"))
-    return found.withColumn("_n", nth).where(F.col("_n") <= most).drop("_n")
+        # Both are sets: what they share is counted, and the union follows.
+        both, size = F.size(F.array_intersect(f"n.b{text}", f"o.b{text}")), F.size(f"n.b{text}") + F.size(f"o.b{text}")
+        return inside, F.when(size > 0, both / (size - both)).otherwise(0.0)
+
+    whole = F.struct("s", "p", "bs", "bp")
+    rows = pairs.join(new.select(F.col("id").alias("candidate"), whole.alias("n")), "candidate").join(old.select(F.col("id").alias("memory"), whole.alias("o")), "memory")
+    (inside, similar), (plain_inside, plain_similar) = alike("s"), alike("p")
+    same, turned = F.col("n.s") == F.col("o.s"), (F.col("n.s") != F.col("n.p")) != (F.col("o.s") != F.col("o.p"))
+    rows = rows.select("candidate", "memory", same.alias("same"), inside.alias("inside"), similar.alias("similar"), turned.alias("turned"), plain_inside.alias("plain_inside"), plain_similar.alias("plain_similar"))
+    rows = stored(rows, "memory-compared")
+    repeat = F.expr("same or inside") | (F.col("similar") >= least)
+    kind = F.when(repeat, "possible_duplicate").when(F.col("turned") & (F.col("plain_inside") | (F.col("plain_similar") >= conflict)), "possible_conflict")
+    value = F.when(F.col("same"), 1.0).when(repeat, F.col("similar")).otherwise(F.col("plain_similar"))
+    found = rows.select("candidate", "memory", kind.alias("kind"), F.round(value, 4).alias("similarity")).where("kind is not null")
+    # Each class stands for its first members, and as many are told of a candidate at most.
+    each = found.join(members.withColumnRenamed("id", "memory"), "memory").join(asked, "candidate").where("member <> asking")
+    nth = F.row_number().over(Window.partitionBy("asking").orderBy("member"))
+    return each.withColumn("_n", nth).where(F.col("_n") <= most).select(F.col("asking").alias("candidate"), F.col("member").alias("memory"), "kind", "similarity")
 
 
 def merged(memories: DataFrame, chars: int = 2000) -> DataFrame:
-    """A user's memories of a type as one: parts unique without regard to case, in order, cut; greatest confidence."""
-    seen = F.row_number().over(Window.partitionBy("user_id", "type", F.lower("content")).orderBy("id"))
-    rows = memories.withColumn("n", seen)
-    return rows.groupBy("user_id", "type").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") == 1, F.struct("id", "content")))), lambda x: x["content"]), "; "), 1, chars).alias("content"), F.max("confidence").alias("confidence"))
+    """A user's memories of a type as one: parts unique without regard to case, in order, cut; greatest confidence.
+
+    Each part but the first adds two characters or more, one may be null and add none: so many parts fill the text, and
+    no more of them are brought together, however many a user has."""
+    seen = F.row_number().over(Window.partitionBy(*GROUP, F.lower("content")).orderBy("id"))
+    parts = memories.withColumn("n", seen).where("n = 1").withColumn("nth", F.row_number().over(Window.partitionBy(*GROUP).orderBy("id"))).where(F.col("nth") <= chars + 1)
+    texts = parts.groupBy(*GROUP).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "content"))), lambda x: x["content"]), "; "), 1, chars).alias("content"))
+    sure = memories.groupBy(*GROUP).agg(F.max("confidence").alias("confidence"))
+    same = F.col("t.user_id").eqNullSafe(F.col("c.user_id")) & F.col("t.type").eqNullSafe(F.col("c.type"))
+    return texts.alias("t").join(sure.alias("c"), same).select("t.user_id", "t.type", "content", "confidence")
 
 
 def fingerprint(columns: dict[str, Column]) -> Column:

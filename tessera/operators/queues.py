@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,32 +56,47 @@ def first_deliveries(events: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.min(F.struct("created_at", "id")).alias("f"), F.count(F.lit(1)).alias("deliveries")).select(*keys, F.col("f.id").alias("id"), "deliveries")
 
 
+#: A claim: what it was asked with, who holds it and until when, when its work is ready and whether that fails.
+Claim = namedtuple("Claim", "hash owner until ready failed")
+
+
+def claim_step(held: Claim | None, row: dict, lease: timedelta) -> tuple[Claim | None, str]:
+    """The claim after a request or a heartbeat, and what it is told (Q1, Q2). A heartbeat names the request that holds
+    the claim: while its lease runs and its work isn't done it is renewed, else it is lost."""
+    at = row["at"]
+    if row.get("owner") is not None:
+        if held is not None and held.owner == row["owner"] and at < held.until and at < held.ready:
+            return held._replace(until=at + lease), "renewed"
+        return held, "lost"
+    if held is None:
+        outcome = "acquired"
+    elif held.hash != row["hash"]:
+        outcome = "conflict"
+    elif held.ready <= at:
+        outcome = "take_over" if held.failed else "replay"
+    else:
+        outcome = "in_progress" if at < held.until else "take_over"
+    if outcome in ("acquired", "take_over"):
+        held = Claim(row["hash"], row["id"], at + lease, at + timedelta(seconds=row["seconds"]), row["fails"])
+    return held, outcome
+
+
 def claims(requests: DataFrame, lease_seconds: int = 120) -> DataFrame:
     """The outcome of each request for a claim, in order of time (Q1).
 
-    requests: (key, at, id, hash, fails, seconds). A new key is acquired. While its lease runs and it isn't done,
+    requests: (key, at, id, hash, fails, seconds) and, if there are heartbeats, owner: the id of the request whose
+    claim a row renews, null for requests. A new key is acquired. While its lease runs and it isn't done,
     a repeat is in progress; another hash conflicts; a repeat of a finished claim replays it; a failed or expired
     one is taken over.
     """
     lease = timedelta(seconds=lease_seconds)
 
-    def step(held: tuple | None, row: dict) -> tuple[tuple, dict]:
-        at = row["at"]
-        if held is None:
-            outcome = "acquired"
-        else:
-            kind, until, ready, failed = held
-            if kind != row["hash"]:
-                outcome = "conflict"
-            elif ready <= at:
-                outcome = "take_over" if failed else "replay"
-            else:
-                outcome = "in_progress" if at < until else "take_over"
-        if outcome in ("acquired", "take_over"):
-            held = row["hash"], at + lease, at + timedelta(seconds=row["seconds"]), row["fails"]
+    def step(held: Claim | None, row: dict) -> tuple[Claim | None, dict]:
+        held, outcome = claim_step(held, row, lease)
         return held, {"key": row["key"], "id": row["id"], "outcome": outcome}
 
-    return folded(requests.select("key", "at", "id", "hash", "fails", "seconds"), ["key"], ["at", "id"], lambda: None, step, "key string, id long, outcome string")
+    beats = ["owner"] if "owner" in requests.columns else []
+    return folded(requests.select("key", "at", "id", "hash", "fails", "seconds", *beats), ["key"], ["at", "id"], lambda: None, step, "key string, id long, outcome string")
 
 
 def renewals(beats: DataFrame, claimed: DataFrame, lease_seconds: int = 120) -> DataFrame:

@@ -17,6 +17,7 @@ from tessera.operators import queues as q
 from tessera.plans.registry import query
 from tessera.plans.search import LISTS
 from tessera.sources import tables as t
+from tessera.streaming import claims as stream_of_claims
 from tessera.streaming import events as st
 
 NOW = t.EVENT_CLOCK
@@ -239,7 +240,7 @@ def memories(spark, d):
     return t.table(spark, d, "conversations").selectExpr("conv_id * 1000 + turn as id", "conv_id % 8 as user_id", "role as type", "text as content", "(turn % 10) / 10.0D as confidence")
 
 
-NOTES = "memories AS (SELECT doc_id AS id, doc_id % 2 AS user_id, coalesce(lang, '') AS type, substr(coalesce(text, ''), 1, 200) AS content FROM documents)"
+NOTES = "memories AS (SELECT doc_id AS id, doc_id % 2 AS user_id, coalesce(lang, '') AS type, coalesce(text, '') AS content FROM documents)"
 SAID = "CASE WHEN id % 3 = 0 THEN '不要 ' ELSE '' END || content"
 
 
@@ -255,7 +256,7 @@ SAID = "CASE WHEN id % 3 = 0 THEN '不要 ' ELSE '' END || content"
  FROM (SELECT *, regexp_replace(s, '不要|不能|不再|避免|禁止|无需|不|别', '', 'g') AS p FROM (SELECT id, user_id, type, regexp_replace(lower(substr(trim(regexp_replace({SAID}, '\s+', ' ', 'g'), ' '), 1, 2000)), '[\s，。！？、；：,.!?;:''"“”‘’（）()【】\[\]{{}}<>《》\-_/\\|`~]+', '', 'g') AS s FROM memories)))""",
 )
 def memory_duplicates(spark, d):
-    rows = t.table(spark, d, "documents").selectExpr("doc_id as id", "doc_id % 2 as user_id", "coalesce(lang, '') as type", "concat(if(doc_id % 3 = 0, '不要 ', ''), substring(coalesce(text, ''), 1, 200)) as content")
+    rows = t.table(spark, d, "documents").selectExpr("doc_id as id", "doc_id % 2 as user_id", "coalesce(lang, '') as type", "concat(if(doc_id % 3 = 0, '不要 ', ''), coalesce(text, '')) as content")
     return m.repeats(rows.where("id % 100 = 0"), rows)
 
 
@@ -470,14 +471,16 @@ def webhook_dedupe(spark, d):
     return q.first_deliveries(t.jobs(spark, d), ["user_id", "event_type", "k"])
 
 
-@query(
-    "SELECT key, id, outcome FROM claimed",
+CLAIMED = (
     "asked AS (SELECT CAST(user_id AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS key, created_at AS t, id, event_type AS hash, status = 'failed' AS fails, id % 90 AS seconds FROM jobs)",
     """claimed AS (WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, id) AS n FROM asked),
   f(key, n, id, outcome, hash, until, ready, failed) AS (SELECT key, n, id, 'acquired', hash, t + INTERVAL 120 SECOND, t + seconds * INTERVAL 1 SECOND, fails FROM r WHERE n = 1
    UNION ALL SELECT key, n, id, o, CASE WHEN o = 'take_over' THEN hash ELSE held END, CASE WHEN o = 'take_over' THEN t + INTERVAL 120 SECOND ELSE until END, CASE WHEN o = 'take_over' THEN t + seconds * INTERVAL 1 SECOND ELSE ready END, CASE WHEN o = 'take_over' THEN fails ELSE failed END
    FROM (SELECT r.*, f.hash AS held, f.until, f.ready, f.failed, CASE WHEN f.hash <> r.hash THEN 'conflict' WHEN f.ready <= r.t AND NOT f.failed THEN 'replay' WHEN f.ready > r.t AND r.t < f.until THEN 'in_progress' ELSE 'take_over' END AS o FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1)) SELECT * FROM f)""",
 )
+
+
+@query("SELECT key, id, outcome FROM claimed", *CLAIMED)
 def request_claims(spark, d):
     """Claims folded in order (Q1)."""
     rows = t.jobs(spark, d).selectExpr("concat_ws(':', user_id, k) as key", "created_at as at", "id", "event_type as hash", "status = 'failed' as fails", "cast(id % 90 as int) as seconds")
@@ -531,3 +534,10 @@ def stream_counts(spark, d):
 def stream_claims(spark, d):
     """Claims kept in the state of a stream (Q1): one for each user and type of event, a day long."""
     return st.finished(st.claimed(st.stream(spark, d, files_per_trigger=1000), lease_seconds=86_400))
+
+
+@query("SELECT key, id, outcome FROM claimed", *CLAIMED)
+def stream_request_claims(spark, d):
+    """Requests claimed on a stream with hash, owner, lease and result as state, and a timer for each lease (Q1, Q2)."""
+    columns = ["concat_ws(':', user_id, cast(get_json_object(props, '$.k') as bigint)) as key", "ts as at", "event_id as id", "event_type as hash", "event_type = 'error' as fails", "cast(event_id % 90 as int) as seconds", "cast(null as bigint) as owner"]
+    return st.finished(stream_of_claims.claimed(st.stream(spark, d, files_per_trigger=1000).selectExpr(*columns)))

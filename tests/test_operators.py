@@ -1,5 +1,7 @@
 """Small fixtures for rules that depend on order, ties, edges and missing values."""
 
+import random
+import re
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -190,6 +192,54 @@ def test_memories_that_repeat_or_contradict(spark):
     assert {(m, k) for m, k, _ in got(7)} == {(8, "possible_conflict")} and got(6) == set() == got(5)
 
 
+def alike(a, b):
+    """Whether and how two memories repeat each other, by their definition."""
+    strip = lambda t: re.sub(memory.PUNCTUATION, "", re.sub(r"\s+", " ", t).strip()[:2000].lower())
+    bare = lambda t: re.sub("|".join(sorted(memory.NEGATIONS, key=len, reverse=True)), "", t)
+    grams = lambda t: {t[i : i + 2] for i in range(max(1, len(t) - 1))} - {""}
+    share = lambda x, y: len(grams(x) & grams(y)) / len(grams(x) | grams(y)) if grams(x) | grams(y) else 0.0
+    inside = lambda x, y: min(len(x), len(y)) >= 8 and (x in y or y in x)
+    s, o = strip(a), strip(b)
+    if not s or not o:
+        return None
+    if s == o or inside(s, o) or share(s, o) >= 0.82:
+        return "possible_duplicate"
+    p, q = bare(s), bare(o)
+    return "possible_conflict" if (s != p) != (o != q) and (inside(p, q) or share(p, q) >= 0.68) else None
+
+
+def test_repeats_beside_all_pairs_and_few_are_compared(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+    for i in range(0, 300, 5):  # copies, edits, parts, denials
+        j, one = rng.randrange(300), texts[rng.randrange(300)]
+        texts[j] = [one, one + "!", one + " " + rng.choice(words), " ".join(one.split()[1:]) or one, "不要 " + one, "别" + one[:-2]][i % 6]
+    rows = [(i % 2, "fact" if i % 3 else "goal", i, t) for i, t in enumerate(texts)] + [(0, None, 900, texts[0]), (0, "fact", 901, None), (0, "fact", 902, "，。")]
+    df = spark.createDataFrame(rows, "user_id int, type string, id int, content string")
+    asked = df.where("id % 3 = 0 or id > 899")
+    got = {}
+    for r in memory.repeats(asked, df, most=1000).collect():
+        got.setdefault(r["candidate"], {})[r["memory"]] = r["kind"]
+    want = {}
+    for u, k, i, t in rows:
+        for v, m, j, o in rows:
+            if (i % 3 == 0 or i > 899) and i != j and u == v and k is not None and k == m and t and o and (kind := alike(t, o)):
+                want.setdefault(i, {})[j] = kind
+    assert got == want and {k for d in got.values() for k in d.values()} == {"possible_duplicate", "possible_conflict"}
+    (new, _), (old, _) = memory.classes_of(asked, 1), memory.classes_of(df, 6)
+    group = {(u, k): sum(1 for r in rows if r[:2] == (u, k)) for u, k, _, _ in rows}
+    assert memory.candidate_pairs(new, old, 0.82, 0.68, 8).count() < 0.2 * sum(group[r[:2]] for r in rows if r[2] % 3 == 0)
+    assert memory.repeats(asked.where("false"), df).count() == 0 == memory.repeats(asked, df.where("false")).count()
+
+
+def test_merged_memories_take_what_fills_the_text(spark):
+    rows = [(1, "fact", i, f"{'Aa'[i % 2]}{i // 2}", i / 100) for i in range(80)] + [(1, "fact", -1, None, 0.9), (None, None, 1, "x", None), (2, "goal", 1, None, 0.5)]
+    df = spark.createDataFrame(rows, "user_id int, type string, id int, content string, confidence double")
+    got = {(r["user_id"], r["type"]): (r["content"], r["confidence"]) for r in memory.merged(df, chars=25).collect()}
+    assert got == {(1, "fact"): ("; ".join(f"A{i}" for i in range(40))[:25], 0.9), (None, None): ("x", None), (2, "goal"): ("", 0.5)}
+
+
 def test_failures_name_the_first_rule_that_holds(spark):
     cases = spark.createDataFrame([(i, i != 1, i != 2) for i in range(1, 10)], "case_id long, comparable boolean, answerable boolean")
     hit = {3: "", 4: "k", 5: "v", 6: "kv", 7: "kvh", 8: "kvh", 9: "kvh"}
