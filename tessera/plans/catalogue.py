@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import answers, families, library, pools, records, scopes, search, tasks  # noqa: F401
+from tessera.plans import answers, decided, families, library, pools, records, scopes, search, tasks  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
