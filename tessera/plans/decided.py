@@ -1,11 +1,11 @@
-"""Queries over reviews of daily plans, applied to whole trees."""
+"""Queries over reviews of daily plans, applied to whole trees, and over streamed turns."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tessera.operators import decisions as dc
-from tessera.operators import planning, tree
+from tessera.operators import planning, tree, turns
 from tessera.plans.registry import ORACLES, query
 from tessera.plans.tasks import ACTIVE, DAY, META, PAST
 from tessera.sources import tables as t
@@ -124,3 +124,29 @@ def rollover_review_applied(spark, d):
 def rollover_review_report(spark, d):
     todos, rows, steps = past_steps(spark, d)
     return dc.rollover_report(rows, steps, DAY)
+
+
+#: A conversation as a request: a question opens a turn, an answer is as many deltas as it has parts of forty characters.
+#: Some answers are checked after their references, end with an error, or never end.
+TURN_EVENTS = """SELECT session_id AS request, turn AS at_, pos AS id, evs[pos] AS event FROM (SELECT *, unnest(range(1, len(evs) + 1)) AS pos FROM (SELECT session_id, turn,
+ CASE WHEN role = 'user' THEN CASE WHEN session_id % 11 = 9 AND turn > 2 THEN ['meta', 'meta'] ELSE ['meta', 'status'] END
+ ELSE CASE WHEN session_id % 4 = 1 THEN ['source_set', 'status'] ELSE [] END || CASE WHEN session_id % 13 = 4 THEN ['source_candidate', 'source_candidate'] ELSE list_transform(range((length(content) + 39) // 40), lambda x: 'text_delta') || CASE WHEN session_id % 11 = 3 THEN ['reference', 'status'] ELSE ['status', 'reference'] END END
+  || CASE WHEN session_id % 11 = 5 AND turn > 2 THEN [] WHEN session_id % 11 = 7 THEN ['error'] ELSE ['done'] END END AS evs FROM messages WHERE role <> 'system'))"""
+TURN = "MS*(E|D|C+[DE]|OS*E|(OS*)?T+([DE]|S[DE]|SR+[DE]|R+[DE]))"
+OPEN_TURN = "MS*(C+|OS*|(OS*)?T+(SR*|R+)?)?"
+
+
+@query(
+    f"""SELECT request, events, ended, CASE WHEN regexp_full_match(line, '(E|{TURN})({TURN})*') THEN CASE WHEN line LIKE '%D' THEN 'done' ELSE 'error' END WHEN regexp_full_match(line, '((E|{TURN})({TURN})*)?{OPEN_TURN}') THEN 'open' ELSE 'invalid' END AS outcome
+FROM (SELECT request, count(*) AS events, count(*) FILTER (event IN ('done', 'error')) AS ended, string_agg(CASE event WHEN 'meta' THEN 'M' WHEN 'status' THEN 'S' WHEN 'error' THEN 'E' WHEN 'done' THEN 'D' WHEN 'source_candidate' THEN 'C' WHEN 'source_set' THEN 'O' WHEN 'text_delta' THEN 'T' WHEN 'reference' THEN 'R' ELSE 'X' END, '' ORDER BY at_, id) AS line FROM ev GROUP BY request)""",
+    f"ev AS ({TURN_EVENTS})",
+)
+def turn_outcomes(spark, d):
+    """Turns told by the order of all their events (Q4)."""
+    question = "if(session_id % 11 = 9 and turn > 2, array('meta', 'meta'), array('meta', 'status'))"
+    sources = "if(session_id % 4 = 1, array('source_set', 'status'), cast(array() as array<string>))"
+    text = "concat(array_repeat('text_delta', cast((length(content) + 39) div 40 as int)), if(session_id % 11 = 3, array('reference', 'status'), array('status', 'reference')))"
+    end = "case when session_id % 11 = 5 and turn > 2 then cast(array() as array<string>) when session_id % 11 = 7 then array('error') else array('done') end"
+    answer = f"concat({sources}, if(session_id % 13 = 4, array('source_candidate', 'source_candidate'), {text}), {end})"
+    rows = t.messages(spark, d).where("role <> 'system'").selectExpr("session_id as request", "turn as at", f"posexplode(if(role = 'user', {question}, {answer})) as (id, event)")
+    return turns.outcomes(rows)
