@@ -1,4 +1,4 @@
-"""Queries over reviews of daily plans, applied to whole trees, and over streamed turns."""
+"""Queries over reviews of daily plans, applied to whole trees, over streamed turns, and over answers rewritten."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import decisions as dc
 from tessera.operators import planning, tree, turns
+from tessera.operators import rewriting as rw
 from tessera.plans.registry import ORACLES, query
 from tessera.plans.tasks import ACTIVE, DAY, META, PAST
 from tessera.sources import tables as t
@@ -150,3 +151,35 @@ def turn_outcomes(spark, d):
     answer = f"concat({sources}, if(session_id % 13 = 4, array('source_candidate', 'source_candidate'), {text}), {end})"
     rows = t.messages(spark, d).where("role <> 'system'").selectExpr("session_id as request", "turn as at", f"posexplode(if(role = 'user', {question}, {answer})) as (id, event)")
     return turns.outcomes(rows)
+
+
+#: Answers with a label, a citation in each form and an alias alone. Some find nothing, some show an internal field.
+ANSWERED = """asked AS (SELECT session_id, turn, session_id % 6 + 1 AS k, CASE WHEN session_id % 9 = 0 AND turn > 2 THEN '__NO_RELEVANT_SOURCES__' || CASE WHEN turn > 4 THEN ' S1' ELSE '' END
+ WHEN session_id % 9 = 8 THEN content ELSE CASE WHEN session_id % 9 = 1 THEN 'chunk_id=' || turn || ' ' ELSE '' END || '- **S' || (turn % 3 + 1) || '**：' || content || ' 〔S' || ((session_id + turn) % 5 + 1) || '〕 [S' || (session_id % 4 + 1) || '] 【 S' || (turn % 2 + 1) || ' 】' || CASE WHEN session_id % 3 = 0 THEN ' S' || (turn % 7 + 1) || '.' ELSE '' END END AS text FROM messages WHERE role = 'assistant')"""
+
+
+@query(
+    r"""SELECT session_id, turn, code, CASE WHEN code = 'ok' THEN CASE WHEN none THEN '' ELSE shown END END AS public, CASE WHEN code = 'ok' THEN CASE WHEN none THEN '' ELSE array_to_string(list_transform(u, lambda x: 'S' || x), ',') END END AS cited
+FROM (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN length(text) > 12000 THEN 'too_long' WHEN contains(text, 'chunk_id') THEN 'internal_field' WHEN none AND contains(text, ' S1') THEN 'mixed' WHEN none THEN 'ok' WHEN len(list_filter(u, lambda x: CAST(x AS INTEGER) > k)) > 0 THEN 'unknown_alias' WHEN len(u) = 0 THEN 'missing' WHEN alone THEN 'alias_format' ELSE 'ok' END AS code
+ FROM (SELECT *, regexp_matches(regexp_replace(t4, '〔#[0-9]+〕', '', 'g'), '\bS[1-9][0-9]*\b') AS alone, regexp_replace(list_reduce(list_prepend(t4, u), lambda acc, x: replace(acc, '〔#' || x || '〕', '〔' || list_position(u, x) || '〕')), '^\s+|\s+$', '', 'g') AS shown
+  FROM (SELECT *, list_filter(x, lambda v, i: list_position(x, v) = i) AS u FROM (SELECT *, regexp_extract_all(t4, '〔#([0-9]+)〕', 1) AS x, starts_with(text, '__NO') AS none FROM
+   (SELECT *, regexp_replace(regexp_replace(t2, '〔S([0-9]+)〕', '〔#\1〕', 'g'), '\bS(' || ks || ')\b', '〔#\1〕', 'g') AS t4 FROM (SELECT *, regexp_replace(t1, '(?m)^(\s*[-*]\s*)(?:\*\*)?S(?:' || ks || ')(?:\*\*)?\s*[：:]\s*', '\1', 'g') AS t2
+    FROM (SELECT *, array_to_string(range(1, k + 1), '|') AS ks, regexp_replace(text, '(?:\[|【|［)\s*(S[1-9][0-9]*)\s*(?:\]|】|］)', '〔\1〕', 'g') AS t1 FROM (SELECT * REPLACE (regexp_replace(text, '^\s+|\s+$', '', 'g') AS text) FROM asked)))))))) """,
+    ANSWERED,
+)
+def rewritten_answers(spark, d):
+    """Answers with public citation numbers, or why they are refused (F16)."""
+    cite = "concat('- **S', turn % 3 + 1, '**：', content, ' 〔S', (session_id + turn) % 5 + 1, '〕 [S', session_id % 4 + 1, '] 【 S', turn % 2 + 1, ' 】', if(session_id % 3 = 0, concat(' S', turn % 7 + 1, '.'), ''))"
+    text = f"case when session_id % 9 = 0 and turn > 2 then concat('__NO_RELEVANT_SOURCES__', if(turn > 4, ' S1', '')) when session_id % 9 = 8 then content else concat(if(session_id % 9 = 1, concat('chunk_id=', turn, ' '), ''), {cite}) end"
+    rows = t.messages(spark, d).where("role = 'assistant'").selectExpr("session_id", "turn", f"{text} as answer", "transform(sequence(1, session_id % 6 + 1), x -> concat('S', x)) as allowed")
+    return rw.renumbered(rows).select("session_id", "turn", "code", "public", F.array_join("cited", ",").alias("cited"))
+
+
+@query(
+    r"""SELECT session_id, turn, CASE WHEN body = '' THEN regexp_replace(raw, '^\s+|\s+$', '', 'g') ELSE body END AS text FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(plain, '^[\s，,、：:。]+', ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body
+ FROM (SELECT session_id, turn, CASE session_id % 3 WHEN 0 THEN '根据检索结果，' WHEN 1 THEN '```json' || chr(10) ELSE '' END || content || chr(10) || '- source_id: ' || turn || chr(10) || 'entry_id=' || session_id || CASE WHEN session_id % 3 = 1 THEN chr(10) || '```' ELSE '' END AS raw, regexp_replace(content, '[ \t]{2,}', ' ', 'g') AS plain FROM messages WHERE role = 'assistant'))"""
+)
+def cleaned_answers(spark, d):
+    """Answers without openings, fences and lines of internal fields."""
+    text = "concat(case session_id % 3 when 0 then '根据检索结果，' when 1 then '```json\n' else '' end, content, '\n- source_id: ', turn, '\nentry_id=', session_id, if(session_id % 3 = 1, '\n```', ''))"
+    return t.messages(spark, d).where("role = 'assistant'").select("session_id", "turn", rw.cleaned(F.expr(text)).alias("text"))
