@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import decisions as dc
-from tessera.operators import planning, tree, turns
+from tessera.operators import claims, planning, tree, turns
 from tessera.operators import rewriting as rw
 from tessera.plans.registry import ORACLES, query
 from tessera.plans.tasks import ACTIVE, DAY, META, PAST
@@ -183,3 +183,33 @@ def cleaned_answers(spark, d):
     """Answers without openings, fences and lines of internal fields."""
     text = "concat(case session_id % 3 when 0 then '根据检索结果，' when 1 then '```json\n' else '' end, content, '\n- source_id: ', turn, '\nentry_id=', session_id, if(session_id % 3 = 1, '\n```', ''))"
     return t.messages(spark, d).where("role = 'assistant'").select("session_id", "turn", rw.cleaned(F.expr(text)).alias("text"))
+
+
+#: Every query is a case: its first six hits are cited, and of three hits each says something in words of its text.
+CASES = (
+    "hits AS (SELECT query_id AS case_id, idx, key, doc_id, text FROM rankings JOIN documents USING (doc_id) WHERE idx <= 9)",
+    "refs AS (SELECT case_id, key, lower(text) AS body FROM hits WHERE idx <= 6 AND case_id % 8 <> 5)",
+    "said AS (SELECT case_id, idx AS claim, case_id % 7 = 3 OR doc_id % 5 = 0 AS may, doc_id % 4 <> 0 AS worded, key AS named, CASE WHEN doc_id % 3 = 0 THEN key END AS wanted, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 8)[1:2]) AS terms FROM hits WHERE idx IN (2, 5, 8) AND case_id % 9 <> 2)",
+    "told AS (SELECT case_id, claim, NOT may AS must, worded, (SELECT count(*) FROM unnest(terms) x(w) WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.case_id = s.case_id AND contains(body, w))) = 0 AND (wanted IS NULL OR EXISTS (SELECT 1 FROM refs r WHERE r.case_id = s.case_id AND r.key = wanted)) AS supported, EXISTS (SELECT 1 FROM refs r WHERE r.case_id = s.case_id AND r.key = named) AS linked FROM said s)",
+    "sums AS (SELECT case_id, count(*) AS claims, count(*) FILTER (must) AS must, count(*) FILTER (must AND supported) AS supported, count(*) FILTER (worded) AS worded, count(*) FILTER (worded AND linked) AS linked FROM told GROUP BY case_id)",
+    "used AS (SELECT case_id, count(*) AS cited, count(*) FILTER (EXISTS (SELECT 1 FROM said s WHERE s.case_id = c.case_id AND s.named = c.key)) AS justified FROM (SELECT DISTINCT case_id, key FROM refs) c GROUP BY case_id)",
+    "every AS (SELECT c.case_id, c.case_id % 6 <> 4 AS answerable, c.case_id % 13 = 6 AS infra, c.case_id % 10 = 7 AS abstained, CASE WHEN c.case_id % 3 = 0 THEN c.case_id % 7 - 1.0 END AS manual, CASE WHEN c.case_id % 2 = 0 THEN 0.5 END AS judge, coalesce(claims, 0) AS claims, coalesce(must, 0) AS must, coalesce(supported, 0) AS supported, coalesce(worded, 0) AS worded, coalesce(linked, 0) AS linked, coalesce(cited, 0) AS cited, coalesce(justified, 0) AS justified FROM (SELECT DISTINCT case_id FROM hits) c LEFT JOIN sums USING (case_id) LEFT JOIN used USING (case_id))",
+)
+
+
+@query(
+    """SELECT case_id, claims, must AS must_claims, supported, must - supported AS unsupported, round(CASE WHEN must > 0 THEN supported / must::DOUBLE WHEN manual IS NOT NULL THEN greatest(0, least(1, manual / CASE WHEN manual > 1 THEN 5.0 ELSE 1.0 END)) ELSE judge END::DOUBLE, 6) AS faithfulness,
+ CASE WHEN must > 0 THEN 'scored' WHEN manual IS NOT NULL THEN 'manual' WHEN judge IS NOT NULL THEN 'llm_judge' ELSE 'unsupported' END AS status,
+ round(CASE WHEN infra THEN NULL WHEN NOT answerable OR abstained THEN CASE WHEN cited = 0 THEN 1 ELSE 0 END WHEN cited = 0 THEN 0 ELSE justified / cited::DOUBLE END::DOUBLE, 6) AS citation_linkage, round(CASE WHEN worded > 0 THEN linked / worded::DOUBLE WHEN cited > 0 THEN 0 END::DOUBLE, 6) AS claim_linkage FROM every""",
+    *CASES,
+)
+def claim_scores(spark, d):
+    """Claims of each case against the texts of what it cites."""
+    texts = t.entries(spark, d).select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
+    hits = t.rankings(spark, d).where("idx <= 9").select(F.col("query_id").alias("case_id"), "idx", "key", "doc_id").join(texts, "doc_id")
+    refs = hits.where("idx <= 6 and case_id % 8 <> 5").select("case_id", "key", "text")
+    words = "slice(filter(split(lower(text), '[^a-z]+'), w -> length(w) >= 8), 1, 2)"
+    said = hits.where("idx in (2, 5, 8) and case_id % 9 <> 2").selectExpr("case_id", "idx as claim", "if(doc_id % 4 <> 0, 'said', ' ') as text", f"{words} as terms", "if(doc_id % 3 = 0, array(key), null) as required", "array(key) as keys", "not (case_id % 7 = 3 or doc_id % 5 = 0) as must")
+    cases = hits.select("case_id").distinct().selectExpr("case_id", "case_id % 6 <> 4 as answerable", "case_id % 13 = 6 as infra", "case_id % 10 = 7 as abstained", "if(case_id % 3 = 0, case_id % 7 - 1.0D, null) as manual", "if(case_id % 2 = 0, 0.5D, null) as judge")
+    rows = claims.scores(cases, said, refs)
+    return rows.select(*[F.round(c, 6).alias(c) if c in ("faithfulness", "citation_linkage", "claim_linkage") else c for c in rows.columns])
