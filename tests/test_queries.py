@@ -86,3 +86,13 @@ def test_claims_follow_a_plain_loop(spark):
     got = {r["id"]: r["outcome"] for r in queues.claims(rows).collect()}
     assert got == outcomes(base)
     assert set(got.values()) == {"acquired", "in_progress", "replay", "conflict", "take_over"}
+
+
+def test_windows_of_a_long_text_are_not_those_of_the_next(spark, tmp_path):
+    """Window 100 of entry 1 had the number of the first one of entry 2, which has a vector."""
+    texts = [(0, "short"), (1, "word " * 16_000), (2, "also short"), (3, " \n ")]
+    spark.createDataFrame([(i, said, "en", f"src{i}", len(said)) for i, said in texts], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(4)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("customer", "supplier", "part", "orders", "lineitem", "events", "pages", "benchmark", "labels", "conversations"):
+        spark.read.parquet(f"{D}/{name}.parquet").limit(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert compare(QUERIES["chunk_vector_rows"](spark, str(tmp_path)), ORACLES["chunk_vector_rows"], connection(str(tmp_path))) == ""
