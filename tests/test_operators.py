@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import admission, answers, catalog, evaluation, families, fusion, memory, planning, quality, queues, retrieval, scopes, tree
+from tessera.operators import admission, answers, catalog, evaluation, families, fusion, memory, planning, products, quality, queues, retrieval, scopes, tree
 from tessera.streaming import events
 
 TODO = "id long, parent_id long, user_id long, sort_order long, content string, priority string, is_urgent boolean, is_done boolean, due_date date, created_on date, completed_on date"
@@ -374,3 +374,28 @@ def test_hashes_of_tasks_ignore_place_and_order(spark):
     assert hashes(rows) == hashes(moved)
     assert tree.index_texts(rows).where("id = 2").first()["text"] == "子任务步骤：task\n状态：未完成"
     assert {r["id"]: r["path"] for r in tree.paths(moved).collect()} == {1: "task", 2: "task / task", 3: "task / task / task"}
+
+
+def test_vectors_meet_queries_in_blocks(spark):
+    """Odd vectors score as by the expressions; what blocks hand on is bounded by queries and k, however many copies tie."""
+    rng = random.Random(5)
+    some = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(40)] + [[1.0, 0.0, 0.0, 0.0]] * 300
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [1.0, 2.0], [float("nan"), 1.0, 0.0, 0.0]]
+    pool = [*odd, *some]
+    rows = spark.createDataFrame([(i, i % 3, v, pool[(i * 7 + 1) % len(pool)]) for i, v in enumerate(pool)], "id long, label int, content_vector array<double>, title_vector array<double>").repartition(3)
+    asked = spark.createDataFrame([(100 + i, v, i % 3) for i, v in enumerate([*odd, *some[:8], *some[-2:]])], "query_id long, query_vector array<double>, query_label int")
+    pairs = asked.crossJoin(rows)
+    cos = lambda c: vx.cosine(F.col(c), F.col("query_vector"))
+    plain = lambda df: sorted((tuple(str(v) for v in r) for r in df.collect()))
+    found = pairs.where(vx.norm(F.col("query_vector")) > 0).select("query_id", "id", F.round(vx.dot(vx.unit(F.col("content_vector")), vx.unit(F.col("query_vector"))), 6).alias("score")).where("score >= 0.35")
+    assert plain(retrieval.dense(asked, rows, k=9)) == plain(retrieval.best(found, 9, F.desc("score"), F.asc("id")).select("query_id", "rank", "id", "score"))
+    whole = "size(query_vector) = 4 and not isnan(query_vector[0])"  # what is no number counts where sizes agree
+    asked = asked.where(whole)
+    both = pairs.where(whole).select("query_id", "id", F.round(0.3 * cos("title_vector") + 0.7 * cos("content_vector"), 6).alias("score"))
+    first = {}
+    for r in retrieval.best(both, 9, F.desc("score"), F.asc("id")).collect():
+        first.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    kept = [(q, *h) for q, hits in first.items() for h in hits if h[2] != h[2] or h[2] >= 0.35 or all(x[2] < 0.35 for x in hits)]
+    assert plain(retrieval.entry_dense_fallback(asked, rows, k=9)) == sorted(tuple(str(v) for v in r) for r in kept)
+    handed = products.nearest(asked.selectExpr("query_id", "query_vector as q"), rows.selectExpr("id", "content_vector as v").where("size(v) = 4").coalesce(1), {"v": ("q", 1.0)}, k=5)
+    assert max(r["count"] for r in handed.groupBy("query_id").count().collect()) <= 5 * 2  # one block of whole vectors, one with a null entry
