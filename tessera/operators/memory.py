@@ -1,20 +1,22 @@
 """Remembered facts: repeats, conflicts, merging, fingerprints.
 
-Repeats and conflicts are a set-similarity join. Copies are one class. Two classes can only be alike if they share one of
-their rarest bigrams (prefix filter) and have about as many; one can only lie in the other if the other has all its runs
-of characters, of which the rarest is looked up. What these equi-joins find is then compared exactly.
+Repeats and conflicts are a set-similarity join. Copies are one class. Bigrams are few and common, so that texts of a
+language share their rarest ones, too: blocks of candidates meet blocks of memories of their group, a product of matrices
+counts the bigrams that two texts share, and what it finds is compared exactly. Only the first finds are handed on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.postings import coded, small
+from tessera.operators.postings import coded
 from tessera.sources.storage import bounded_batches, stored
 
 # What negates a memory, and what doesn't count when two are compared.
@@ -41,93 +43,151 @@ def bigrams(text: str) -> np.ndarray:
 GROUP = ["user_id", "type"]
 
 
-def runs(rows: DataFrame, text: str, size: int) -> DataFrame:
-    """(user_id, type, id, gram, grams): the distinct runs of so many characters of each text, as numbers, and how many
-    there are. Different runs may share a number, which adds candidates and loses none."""
+#: Bigrams with a column of their own, and columns that all others share.
+OWN, REST = 1536, 512
+#: Candidates that are broadcast at a time, and texts of a block of them and of memories.
+CANDIDATES, BLOCK, CHUNK = 10_000, 512, 1024
 
-    def of(said: str) -> np.ndarray:
-        points = np.frombuffer(said.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        last = max(len(points) - size + 1, 0)
-        found = np.zeros(last, dtype=np.uint64)
-        for i in range(size):
-            found = found * np.uint64(0x9E3779B97F4A7C15) + points[i : i + last]
-        return np.unique(found).view(np.int64)
+
+def classes_of(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal texts by the least id, (user_id, type, id, s, p), p being null where s has no negation, and the
+    first ids of each, (id, member)."""
+    own = rows.select(*GROUP, "id", stripped(F.col("content")).alias("s")).where("s <> ''")
+    whole = Window.partitionBy(*GROUP, "s")
+    first = own.withColumns({"nth": F.row_number().over(whole.orderBy("id")), "least": F.min("id").over(whole)}).where(F.col("nth") <= most)
+    kept = stored(first, "memory-members")
+    bare = plain(F.col("s"))
+    one = kept.where("nth = 1").select(*GROUP, "id", "s", F.when(bare != F.col("s"), bare).alias("p"))
+    return one, kept.select(F.col("least").alias("id"), F.col("id").alias("member"))
+
+
+def blocked(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """(user_id, type, name: so many rows of a group, in the order of ids) of all classes. Rows are dealt by ranges of group
+    and id, so a large group is in many blocks and tasks."""
+    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [of(said) for said in batch.column(text).to_pylist()]
-            sizes = np.array([len(g) for g in found], dtype=np.int64)
-            places = pa.array(np.repeat(np.arange(len(found)), sizes))
-            every = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(places) for c in (*GROUP, "id")], pa.array(every), pa.array(np.repeat(sizes, sizes))], names=[*GROUP, "id", "gram", "grams"])
+            at, told = 0, ("id", "s", "p")
+            for key, run in groupby(zip(*(batch.column(c).to_pylist() for c in GROUP), strict=True)):
+                end = at + len(list(run))
+                for start in range(at, end, most):
+                    some = batch.slice(start, min(most, end - start))
+                    # A copy, as a slice would be sent with its whole batch.
+                    one = pa.concat_arrays([pa.StructArray.from_arrays([some.column(c) for c in told], names=list(told))])
+                    yield pa.RecordBatch.from_arrays([*[pa.array([k], batch.schema.field(c).type) for c, k in zip(GROUP, key, strict=True)], pa.ListArray.from_arrays(pa.array([0, len(one)], pa.int32()), one)], names=[*GROUP, name])
+                at = end
 
     bounded_batches(rows.sparkSession)
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*GROUP, "id"))
-    return rows.select(*GROUP, "id", text).mapInArrow(work, f"{kinds}, gram long, grams long")
-
-
-def holding(new: DataFrame, old: DataFrame, text: str, chars: int) -> DataFrame:
-    """Pairs (candidate, memory) of which one may hold the other, if both have so many characters."""
-    key = [*GROUP, "gram"]
-    asked = stored(runs(new, text, chars), "memory-asked")
-    of_new = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    held = stored(runs(old, text, chars).join(small(of_new), key), "memory-held")
-    of_old = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    # A memory around the candidate has the candidate's run that the fewest memories have.
-    rare = asked.join(of_old, key, "left").groupBy(*GROUP, "id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    rare = rare.where("r.n > 0").select(*GROUP, F.col("r.gram").alias("gram"), F.col("id").alias("candidate"))
-    around = rare.join(held.select(*key, F.col("id").alias("memory")), key)
-    # A memory in a candidate has no run that candidates lack; the one that the fewest have leads to them.
-    inner = held.groupBy(*GROUP, "id").agg(F.count(F.lit(1)).alias("met"), F.first("grams").alias("grams"), F.min(F.struct("n", "gram")).alias("r")).where("met = grams")
-    inner = inner.select(*GROUP, F.col("r.gram").alias("gram"), F.col("id").alias("memory"))
-    inside = inner.join(asked.select(*key, F.col("id").alias("candidate")), key)
-    return around.select("candidate", "memory").unionByName(inside.select("candidate", "memory"))
-
-
-def sharing(new: DataFrame, old: DataFrame, text: str, least: float) -> DataFrame:
-    """Pairs (candidate, memory) whose bigrams may be alike by so much. In the order of rarity, the first bigrams of two
-    such sets have one in common: as many as a set can lack, and one more."""
-    tokens = lambda rows: rows.select(*GROUP, "id", F.size(text).alias("size"), F.explode(text).alias("gram"))
-    counts = tokens(old).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    counts = stored(counts, "memory-bigrams")
-
-    def prefix(rows: DataFrame) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy(*GROUP, "id").orderBy(F.coalesce("n", F.lit(0)), "gram"))
-        ranked = tokens(rows).join(small(counts), "gram", "left").withColumn("nth", nth)
-        return ranked.where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
-
-    mine = prefix(new).select(*GROUP, "gram", F.col("id").alias("candidate"), F.col("size").alias("a"))
-    others = prefix(old).select(*GROUP, "gram", F.col("id").alias("memory"), F.col("size").alias("b"))
-    near = (F.col("a") * least <= F.col("b") + 1e-9) & (F.col("b") * least <= F.col("a") + 1e-9)
-    return mine.join(others, [*GROUP, "gram"]).where(near).select("candidate", "memory")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in GROUP)
+    dealt = rows.repartitionByRange(parts, *GROUP, "id").sortWithinPartitions(*GROUP, "id")
+    return dealt.mapInArrow(work, f"{kinds}, {name} array<struct<id: {rows.schema['id'].dataType.simpleString()}, s: string, p: string>>")
 
 
-def classes_of(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal texts by the least id, (user_id, type, id, s, p, and the bigrams bs and bp of both), and the first
-    ids of each, (id, member)."""
-    own = rows.select(*GROUP, "id", stripped(F.col("content")).alias("s")).where("s <> ''")
-    whole = Window.partitionBy(*GROUP, "s")
-    first = own.withColumns({"nth": F.row_number().over(whole.orderBy("id")), "least": F.min("id").over(whole)}).where(F.col("nth") <= most)
-    kept = stored(first.withColumn("p", plain(F.col("s"))), "memory-members")
-    one = kept.where("nth = 1").select(*GROUP, "id", "s", "p")
+def frequent(rows: DataFrame) -> np.ndarray:
+    """The bigrams that most of the texts have, sorted; so many at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pa.array([bigrams(said) for said in batch.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("s", "p")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, "bs", "bp"])
+            found = [bigrams(said) for said in batch.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))], names=["gram"])
+
+    counts = rows.select("s").mapInArrow(work, "gram long").groupBy("gram").count()
+    return np.sort(counts.orderBy(F.desc("count"), "gram").limit(OWN).toArrow().column("gram").to_numpy())
+
+
+class Texts:
+    """Texts of a block with their bigrams as rows of a matrix: counts by column. A product of two rows is what both sets
+    share where one has own columns only, and never less."""
+
+    def __init__(self, texts: list[str], known: np.ndarray):
+        self.texts, self.sets = texts, [bigrams(said) for said in texts]
+        self.lengths = np.array([len(said) for said in texts], dtype=np.int64)
+        self.sizes = np.array([len(g) for g in self.sets], dtype=np.int64)
+        flat = np.concatenate([*self.sets, np.zeros(0, dtype=np.int64)])
+        row, at = np.repeat(np.arange(len(texts)), self.sizes), np.searchsorted(known, flat)
+        own = known[np.minimum(at, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), dtype=bool)
+        column = np.where(own, at, OWN + (flat * 0x9E3779B1 >> 7) % REST)
+        self.counts = np.bincount(row * (OWN + REST) + column, minlength=len(texts) * (OWN + REST)).reshape(-1, OWN + REST).astype(np.float32)
+        self.exact = np.bincount(row[~own], minlength=len(texts)) == 0
+
+    def some(self, at: np.ndarray) -> Texts:
+        found = object.__new__(Texts)
+        found.texts, found.sets = [self.texts[i] for i in at], [self.sets[i] for i in at]
+        found.lengths, found.sizes, found.counts, found.exact = self.lengths[at], self.sizes[at], self.counts[at], self.exact[at]
+        return found
+
+
+def likeness(one: Texts, other: Texts, least: float, chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair whether one text is in the other, if both have so many characters, and the share of their bigrams that
+    both have; it is exact where it is at least so much, or one text may be in the other, and too high nowhere else."""
+    both = (one.counts @ other.counts.T).astype(np.float64)
+    size, smaller = one.sizes[:, None] + other.sizes[None, :], np.minimum(one.sizes[:, None], other.sizes[None, :])
+    within = (np.minimum(one.lengths[:, None], other.lengths[None, :]) >= chars) & (both >= smaller)
+    for i, j in zip(*np.nonzero(~(one.exact[:, None] | other.exact[None, :]) & (within | (both >= least / (1 + least) * size - 1e-3))), strict=True):
+        both[i, j] = len(np.intersect1d(one.sets[i], other.sets[j], assume_unique=True))
+    inside = np.zeros(both.shape, dtype=bool)
+    for i, j in zip(*np.nonzero(within & (both >= smaller)), strict=True):
+        a, b = one.texts[i], other.texts[j]
+        inside[i, j] = a in b or b in a
+    return inside, np.divide(both, size - both, out=np.zeros(both.shape), where=size > both)
+
+
+def compared(new: DataFrame, old: DataFrame, least: float, conflict: float, chars: int, most: int) -> DataFrame:
+    """(candidate, memory, kind, similarity) of classes of one group: of each block of memories the first so many that a
+    candidate repeats or contradicts. Candidates are broadcast; if they are many, a block after the other."""
+    known = frequent(new)
+    blocks = max(-(-new.count() // CANDIDATES), 1)
+    of = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    chunks = blocked(old, "held", CHUNK)
+    told = f"candidate {new.schema['id'].dataType.simpleString()}, memory {old.schema['id'].dataType.simpleString()}, kind string, similarity double"
 
-    bounded_batches(rows.sparkSession)
-    kinds = ", ".join(f"{c} {kind}" for c, kind in one.dtypes)
-    return stored(one.mapInArrow(work, f"{kinds}, bs array<long>, bp array<long>"), "memory-classes"), kept.select(F.col("least").alias("id"), F.col("id").alias("member"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, dict] = {"asked": {}, "held": {}}
+
+        def sides(name: str, keep: int, rows: pa.StructArray) -> tuple[Texts, Texts, np.ndarray]:
+            """The texts, the texts without their negations, and which have any."""
+            first, seen = rows.field("id")[0].as_py(), ready[name]
+            if first not in seen:
+                while len(seen) >= keep:
+                    seen.pop(next(iter(seen)))
+                bare = rows.field("p")
+                turned = np.flatnonzero(bare.is_valid().to_numpy(zero_copy_only=False))
+                seen[first] = Texts(rows.field("s").to_pylist(), known), Texts(bare.take(pa.array(turned)).to_pylist(), known), turned
+            return seen[first]
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, held = (batch.column(c)[i].values for c in ("asked", "held"))
+                (one, one_bare, one_turned), (other, other_bare, other_turned) = sides("asked", 8, asked), sides("held", 1, held)
+                inside, similar = likeness(one, other, least, chars)
+                repeat = inside | (similar >= least)
+                kind, value = repeat.astype(np.int8), similar.copy()
+                places: dict[str, list[int]] = {}
+                for j, said in enumerate(other.texts):
+                    places.setdefault(said, []).append(j)
+                for a, said in enumerate(one.texts):
+                    kind[a, places.get(said, [])], value[a, places.get(said, [])] = 1, 1.0
+                without = [np.setdiff1d(np.arange(n), t) for n, t in ((len(one.texts), one_turned), (len(other.texts), other_turned))]
+                for mine, at, theirs, to in ((one_bare, one_turned, other.some(without[1]), without[1]), (one.some(without[0]), without[0], other_bare, other_turned)):
+                    if len(at) and len(to):
+                        bare_inside, bare_similar = likeness(mine, theirs, conflict, chars)
+                        part = np.ix_(at, to)
+                        turned = (kind[part] == 0) & (bare_inside | (bare_similar >= conflict))
+                        kind[part] = np.where(turned, 2, kind[part])
+                        value[part] = np.where(turned, bare_similar, value[part])
+                # Rows of a block are in the order of ids.
+                row, column = np.nonzero((kind > 0) & (np.cumsum(kind > 0, axis=1) <= most))
+                names = pa.array(["possible_duplicate", "possible_conflict"]).take(pa.array(kind[row, column] - 1))
+                yield pa.RecordBatch.from_arrays([asked.field("id").take(pa.array(row)), held.field("id").take(pa.array(column)), names, pa.array(value[row, column])], names=["candidate", "memory", "kind", "similarity"])
+
+    each = [chunks.join(F.broadcast(blocked(new.where(of == b), "asked", BLOCK)), GROUP).mapInArrow(work, told) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, each)
 
 
 def candidate_pairs(new: DataFrame, old: DataFrame, least: float, conflict: float, chars: int) -> DataFrame:
-    """Pairs of classes that have to be compared, each once."""
-    found = [near for text, share in (("s", least), ("p", conflict)) for near in (holding(new, old, text, chars), sharing(new, old, f"b{text}", share))]
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return whole.distinct()
+    """Pairs of classes of which one repeats or contradicts the other, each once and without a limit."""
+    return compared(new, old, least, conflict, chars, 2**31).select("candidate", "memory")
 
 
 def repeats(candidates: DataFrame, memories: DataFrame, least: float = 0.82, conflict: float = 0.68, chars: int = 8, most: int = 5) -> DataFrame:
@@ -141,25 +201,8 @@ def repeats(candidates: DataFrame, memories: DataFrame, least: float = 0.82, con
     new, _ = classes_of(candidates, 1)
     own = candidates.select(*GROUP, "id", stripped(F.col("content")).alias("s")).where("s <> ''")
     asked = own.join(new.select(*GROUP, "s", F.col("id").alias("candidate")), [*GROUP, "s"]).select("candidate", F.col("id").alias("asking"))
-    pairs = candidate_pairs(new, old, least, conflict, chars)
-
-    def alike(text: str) -> tuple[Column, Column]:
-        one, other = F.col(f"n.{text}"), F.col(f"o.{text}")
-        inside = (F.least(F.length(one), F.length(other)) >= chars) & (F.contains(one, other) | F.contains(other, one))
-        # Both are sets: what they share is counted, and the union follows.
-        both, size = F.size(F.array_intersect(f"n.b{text}", f"o.b{text}")), F.size(f"n.b{text}") + F.size(f"o.b{text}")
-        return inside, F.when(size > 0, both / (size - both)).otherwise(0.0)
-
-    whole = F.struct("s", "p", "bs", "bp")
-    rows = pairs.join(new.select(F.col("id").alias("candidate"), whole.alias("n")), "candidate").join(old.select(F.col("id").alias("memory"), whole.alias("o")), "memory")
-    (inside, similar), (plain_inside, plain_similar) = alike("s"), alike("p")
-    same, turned = F.col("n.s") == F.col("o.s"), (F.col("n.s") != F.col("n.p")) != (F.col("o.s") != F.col("o.p"))
-    rows = rows.select("candidate", "memory", same.alias("same"), inside.alias("inside"), similar.alias("similar"), turned.alias("turned"), plain_inside.alias("plain_inside"), plain_similar.alias("plain_similar"))
-    rows = stored(rows, "memory-compared")
-    repeat = F.expr("same or inside") | (F.col("similar") >= least)
-    kind = F.when(repeat, "possible_duplicate").when(F.col("turned") & (F.col("plain_inside") | (F.col("plain_similar") >= conflict)), "possible_conflict")
-    value = F.when(F.col("same"), 1.0).when(repeat, F.col("similar")).otherwise(F.col("plain_similar"))
-    found = rows.select("candidate", "memory", kind.alias("kind"), F.round(value, 4).alias("similarity")).where("kind is not null")
+    # The first members that are told are of the first classes, of which one may be the candidate's own.
+    found = stored(compared(new, old, least, conflict, chars, most + 1), "memory-compared").withColumn("similarity", F.round("similarity", 4))
     # Each class stands for its first members, and as many are told of a candidate at most.
     each = found.join(members.withColumnRenamed("id", "memory"), "memory").join(asked, "candidate").where("member <> asking")
     nth = F.row_number().over(Window.partitionBy("asking").orderBy("member"))

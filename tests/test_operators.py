@@ -399,3 +399,19 @@ def test_vectors_meet_queries_in_blocks(spark):
     assert plain(retrieval.entry_dense_fallback(asked, rows, k=9)) == sorted(tuple(str(v) for v in r) for r in kept)
     handed = products.nearest(asked.selectExpr("query_id", "query_vector as q"), rows.selectExpr("id", "content_vector as v").where("size(v) = 4").coalesce(1), {"v": ("q", 1.0)}, k=5)
     assert max(r["count"] for r in handed.groupBy("query_id").count().collect()) <= 5 * 2  # one block of whole vectors, one with a null entry
+
+
+def test_memories_hand_on_first_finds_whatever_their_bigrams(spark, monkeypatch):
+    """Bigrams without columns of their own lead to the same finds; blocks hand on no more than are told of a candidate."""
+    rng = random.Random(8)
+    said = ["".join(rng.choices("abcdefghij文字", k=rng.choice([3, 9, 14]))) for _ in range(60)]
+    rows = [(i, "u", "t", one[:7] + rng.choice(["", "不"]) + one[7 : rng.choice([8, 20])]) for i in range(240) for one in [rng.choice(said)]]
+    df = spark.createDataFrame(rows, "id long, user_id string, type string, content string")
+    asked = df.where("id % 4 = 0")
+    found = lambda: sorted(tuple(r) for r in memory.repeats(asked, df, most=4).collect())
+    whole = found()
+    monkeypatch.setattr(memory, "OWN", 5)
+    assert whole == found() and {r[2] for r in whole} == {"possible_duplicate", "possible_conflict"}
+    (new, _), (old, _) = memory.classes_of(asked, 1), memory.classes_of(df, 5)
+    handed = memory.compared(new, old.coalesce(1), 0.1, 0.1, 8, 5).groupBy("candidate").count()
+    assert max(r["count"] for r in handed.collect()) <= 5 * 4 * spark.sparkContext.defaultParallelism
