@@ -17,6 +17,8 @@ from tessera.sources.storage import fresh_path
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 LATE = "1 hour"
+#: Buckets that claims are dealt to. A query that starts again from a checkpoint needs the same number.
+BUCKETS = 4096
 
 
 def stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -43,27 +45,36 @@ def once(events: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def claimed(events: DataFrame, lease_seconds: int = 120) -> DataFrame:
-    """Claims with state on a stream (Q1): acquired, in_progress or taken over; state ends with its lease."""
+def claimed(events: DataFrame, lease_seconds: int = 120, buckets: int = BUCKETS) -> DataFrame:
+    """Claims with state on a stream (Q1): acquired, in_progress or taken over; state ends with its lease.
+
+    A call of the fold costs far more than a row, so users and types are dealt to buckets by their hash, and a bucket's
+    leases are one state.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = {(user, kind): until for user, kind, until in zip(*state.get, strict=True)} if state.exists else {}
+        told = []
+        if not state.hasTimedOut:
+            rows = pd.concat(batches).sort_values(["ts", "event_id"])
+            outcomes = []
+            for user, kind, now in zip(rows["user_id"].tolist(), rows["event_type"].tolist(), rows["sec"].tolist(), strict=True):
+                until = held.get((user, kind))
+                outcomes.append("acquired" if until is None else "in_progress" if now < until else "take_over")
+                if outcomes[-1] != "in_progress":
+                    held[user, kind] = now + lease_seconds
+            told = [pd.DataFrame({"event_id": rows["event_id"], "outcome": outcomes})]
+        mark = state.getCurrentWatermarkMs()
+        held = {k: until for k, until in held.items() if until * 1000 >= mark}
+        if held:
+            state.update(([user for user, _ in held], [kind for _, kind in held], list(held.values())))
+            state.setTimeoutTimestamp(max(min(held.values()) * 1000, mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        until = state.get[0] if state.exists else -1
-        rows = pd.concat(batches).sort_values(["ts", "event_id"])
-        outcomes = []
-        for at in rows["ts"]:
-            now = int(at.timestamp())
-            outcomes.append("in_progress" if now < until else "acquired" if until < 0 else "take_over")
-            if outcomes[-1] != "in_progress":
-                until = now + lease_seconds
-        state.update((until,))
-        if (mark := state.getCurrentWatermarkMs()) < until * 1000:
-            state.setTimeoutTimestamp(max(until * 1000, mark + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"], "outcome": outcomes})
-
-    return events.withWatermark("ts", LATE).groupBy("user_id", "event_type").applyInPandasWithState(fold, "event_id long, outcome string", "until long", "append", GroupStateTimeout.EventTimeTimeout)
+        yield from told
+
+    rows = events.withWatermark("ts", LATE).withColumn("sec", F.unix_seconds("ts")).withColumn("bucket", F.pmod(F.xxhash64("user_id", "event_type"), F.lit(buckets)))
+    return rows.select("bucket", "ts", "sec", "event_id", "user_id", "event_type").groupBy("bucket").applyInPandasWithState(fold, "event_id long, outcome string", "users array<long>, types array<string>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def finished(rows: DataFrame, mode: str = "append") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.operators import queues
-from tessera.streaming import claims
+from tessera.streaming import claims, events
 
 KINDS = "key string, at long, id long, hash string, fails boolean, seconds int, owner long"
 
@@ -60,3 +60,32 @@ def test_state_of_claims_has_rows_of_buckets_and_not_of_keys(spark, tmp_path):
         assert run_of(claims.claimed(stream, buckets=8), out, marks) <= 8 * 5
     got = [(r["id"], r["outcome"]) for r in spark.read.parquet(out).collect()]
     assert len(got) == len(rows) and dict(got) == want
+
+
+def test_leases_of_users_are_kept_by_buckets_and_end(spark, tmp_path):
+    """Each user and type had a state of its own. A lease that ends behind the watermark is forgotten: two days later all
+    is acquired anew."""
+    rng = random.Random(7)
+    rows = [(i, 1_700_000_000 + i * 2, rng.randrange(300), rng.choice(["view", "click"]), 1.0, "{}") for i in range(2000)]
+    later = [(i + 9000, sec + 2 * 86_400 + 9000, user, kind, v, p) for i, sec, user, kind, v, p in rows[:400]]
+    source, out, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    columns = "event_id long, sec long, user_id long, event_type string, value double, props string"
+    for part in (rows[:1000], rows[1000:], [(99_999, 1_700_000_000 + 86_400 + 9000, 999, "view", 1.0, "{}")], later):
+        made = spark.createDataFrame(part, columns).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+        made.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(made.schema).parquet(source)
+        assert run_of(events.claimed(stream, lease_seconds=600, buckets=8), out, marks) <= 8
+    got = {r["event_id"]: r["outcome"] for r in spark.read.parquet(out).collect()}
+    held, want = {}, {}
+    for i, now, user, kind, *_ in rows + [(99_999, 0, 999, "view")]:
+        until = held.get((user, kind))
+        want[i] = "acquired" if until is None else "in_progress" if now < until else "take_over"
+        if want[i] != "in_progress":
+            held[user, kind] = now + 600
+    held = {}
+    for i, now, user, kind, *_ in later:
+        until = held.get((user, kind))
+        want[i] = "acquired" if until is None else "in_progress" if now < until else "take_over"
+        if want[i] != "in_progress":
+            held[user, kind] = now + 600
+    assert got == want and set(want.values()) == {"acquired", "in_progress", "take_over"}
