@@ -6,7 +6,8 @@ requests in one batch only the first is looked at; the others are deferred to th
 follow one another. Requests known from before are replayed. Each operator is a few equi-joins on tasks and requests; what several of them
 use is a checkpoint, so that plans stay small.
 
-items: (id, todo_id, plan_date, status, source, carried_from_id); todos: (id, user_id, parent_id, is_done, ...).
+items: (id, todo_id, plan_date, status, source, carried_from_id); todos: (id, user_id, parent_id, is_done, ...). Tasks that
+have their chains (``tree.chains``) aren't joined with themselves again by each step.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.planning import active_today, day, latest_past_active, rollover_candidates, urgent_candidates
-from tessera.operators.tree import closure
+from tessera.operators.tree import chains
 from tessera.sources.storage import settled
 
 #: States of a plan's items.
@@ -64,8 +65,9 @@ def added(todos: DataFrame, items: DataFrame, requested: DataFrame, as_of: str,
 def with_descendants(todos: DataFrame, of: DataFrame) -> DataFrame:
     """(root, todo_id, done) of the trees below tasks, these included. of: (todo_id)."""
     wanted = of.select(F.col("todo_id").alias("ancestor")).distinct()
-    below = closure(todos).join(wanted, "ancestor", "left_semi")
-    return below.join(todos.select("id", F.coalesce("is_done", F.lit(False)).alias("done")), "id").select(F.col("ancestor").alias("root"), F.col("id").alias("todo_id"), "done")
+    rows = todos if "above" in todos.columns else chains(todos.select("id", "parent_id", "is_done"))
+    below = rows.select(F.explode("above").alias("ancestor"), F.col("id").alias("todo_id"), F.coalesce("is_done", F.lit(False)).alias("done"))
+    return below.join(wanted, "ancestor", "left_semi").withColumnRenamed("ancestor", "root")
 
 
 def looked_at(requests: DataFrame, applied: DataFrame | None) -> DataFrame:
@@ -121,7 +123,8 @@ def urgent_applied(todos: DataFrame, items: DataFrame, decisions: DataFrame, jud
     gone = settled(with_descendants(todos, taken.where("decision = 'delete'")).select(F.col("todo_id").alias("id")).distinct())
     left = todos.join(gone, "id", "left_anti")
     rest = items.join(gone.withColumnRenamed("id", "todo_id"), "todo_id", "left_anti")
-    return left, added(left, rest, taken.where("decision = 'keep'").select("todo_id"), as_of, new_id, "rollover")
+    kept = taken.where("decision = 'keep'").join(gone.withColumnRenamed("id", "todo_id"), "todo_id", "left_anti")
+    return left, added(left, rest, kept.select("todo_id"), as_of, new_id, "rollover")
 
 
 def rollover_judged(todos: DataFrame, reviewed: DataFrame, applied: DataFrame | None = None) -> DataFrame:
