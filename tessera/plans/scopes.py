@@ -52,7 +52,8 @@ def session_history(spark, d):
 @query("SELECT id, (SELECT string_agg(x, '|' ORDER BY p) FROM (SELECT arg_min(x, p) AS x, min(p) AS p FROM (SELECT unnest(xs) AS x, generate_subscripts(xs, 1) AS p) GROUP BY lower(x) ORDER BY p LIMIT 12)) AS items FROM (SELECT id, list_filter(string_split(substr(content, 1, 80), ' '), lambda x: x <> '') || list_filter(string_split(substr(content, 41, 120), ' '), lambda x: x <> '') AS xs FROM entries)")
 def summary_merge(spark, d):
     words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    return t.entries(spark, d).select("id", F.array_join(sc.merged_lists(words(F.substring("content", 1, 80)), words(F.substring("content", 41, 120))), "|").alias("items"))
+    items = F.array_join(sc.merged_lists(words(F.substring("content", 1, 80)), words(F.substring("content", 41, 120))), "|")
+    return t.entries(spark, d).select("id", F.nullif(items, F.lit("")).alias("items"))
 
 
 @query(
