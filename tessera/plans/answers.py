@@ -30,7 +30,9 @@ WINDOW = "(SELECT id, content, lower(content) AS low, (SELECT min(p) FROM (SELEC
 )
 def term_windows(spark, d):
     found = a.hit_windows(F.col("content"), TERMS)
-    return t.entries(spark, d).select("id", F.get(found, F.lit(0)).alias("window"), (F.size(found) > 1).alias("more"))
+    # An empty text has no windows; what is shown of it is empty. The windows come first, or they would be made twice.
+    first = F.coalesce(F.get(found, F.lit(0)), F.when(F.col("content") == "", ""))
+    return t.entries(spark, d).select("id", first.alias("window"), (F.size(found) > 1).alias("more"))
 
 
 @query("SELECT id, substr('[record] ' || label_code || chr(10) || content, 1, 4000) AS body FROM entries")

@@ -126,3 +126,9 @@ def test_lower_case_is_that_of_sql_for_each_character(spark):
 def test_merged_summaries_without_words_and_in_other_scripts(spark, tmp_path):
     texts = [None, "", "  ", "İstanbul istanbul ISTANBUL", "ΑΣ ας ασ", "A a B", "ΟΔΟΣ οδος οδοσ", "\ua7cc \ua7cd \ua7da \ua7db", "\U00010400 \U00010428", " ".join(f"w{i}" for i in range(40))]
     assert agrees_on(spark, tmp_path, "summary_merge", texts) == ""
+
+
+def test_windows_around_terms_where_lower_case_has_another_length(spark, tmp_path):
+    texts = [None, "", " ", "İ" * 200 + "the" + "x" * 400 + "NICHT", "x" * 170 + "İİthe" + "y" * 357 + "pour", "NİCHT", "Σ the Σ", "\U00010400" * 300 + "THE" + "é" * 361 + "Nicht"]
+    texts += ["x" * 200 + "the" + "İ" * n + "pour" + "z" * 9 for n in (176, 177, 178, 356, 357, 358)]
+    assert agrees_on(spark, tmp_path, "term_windows", texts) == ""
